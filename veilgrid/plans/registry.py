@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veilgrid.plans import governed
+from veilgrid.plans import audit, governed
 
 QUERIES = {}
 ORACLES = {}
-for _mod in (governed,):
+for _mod in (governed, audit):
     QUERIES.update(_mod.QUERIES)
     ORACLES.update(_mod.ORACLES)
