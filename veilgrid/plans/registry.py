@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veilgrid.plans import audit, governed
+from veilgrid.plans import audit, governed, report
 
 QUERIES = {}
 ORACLES = {}
-for _mod in (governed, audit):
+for _mod in (governed, audit, report):
     QUERIES.update(_mod.QUERIES)
     ORACLES.update(_mod.ORACLES)
