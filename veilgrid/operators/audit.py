@@ -134,46 +134,53 @@ def _audit_from_pair(
     """``pairs`` has struct columns ``o`` (OLD row) and ``n`` (NEW row) plus ``carry`` columns."""
     excluded = set(exclude_cols)
     common = [c for c in new_cols if c in set(old_cols) and c not in excluded]
+    # One typed, null-safe comparison per column, used for both outputs below.
+    changed = {c: distinct_from(F.col(f"o.{c}"), F.col(f"n.{c}")) for c in common}
+    any_changed = F.lit(False)
+    for c in common:
+        any_changed = any_changed | changed[c]
+    # Sorted names of the changed columns; NULLs (unchanged) removed without a lambda.
+    changed_keys = F.array_except(
+        F.array(*[F.when(changed[c], F.lit(c)) for c in sorted(common)]),
+        F.array(F.lit(None).cast("string")),
+    )
     entries = F.array(
         *[
             F.struct(
                 F.lit(c).alias("var_name"),
                 F.col(f"o.{c}").cast("string").alias("original_value"),
                 F.col(f"n.{c}").cast("string").alias("modified_value"),
-                distinct_from(F.col(f"o.{c}"), F.col(f"n.{c}")).alias("changed"),
+                changed[c].alias("changed"),
             )
-            for c in common
+            for c in sorted(common)
         ]
     )
-    changed = F.filter(entries, lambda e: e["changed"])
     ids = [
         (F.col(f"n.{c}").cast("string") if c in new_cols else F.lit(None).cast("string")).alias(c) for c in id_cols
     ]
-    cols = [
-        F.lit(table).cast("string").alias("response_table"),
-        F.lit(action).alias("action_code"),
-        step.alias("process_step"),
-        *ids,
-        *[F.col(c) for c in carry],
-        F.array_sort(F.transform(F.col("_changed"), lambda e: e["var_name"])).alias("changed_keys"),
-    ]
-    if snapshots:
-        cols += [
+    snaps = (
+        [
             F.to_json(F.col("o"), {"ignoreNullFields": "false"}).alias("old_row"),
             F.to_json(F.col("n"), {"ignoreNullFields": "false"}).alias("new_row"),
         ]
-    # A row with no changed column gives no audit rows (size 0 → explode emits nothing).
-    staged = pairs.withColumn("_changed", changed).filter(F.size("_changed") > 0)
-    out = staged.select(*cols, F.explode("_changed").alias("_e"))
+        if snapshots
+        else []
+    )
+    # Rows with no changed column are dropped before any text is built;
+    # Inline the per-column entries (a codegen'd generator) and keep the changed ones.
+    staged = pairs.filter(any_changed).select(
+        *ids, *[F.col(c) for c in carry], changed_keys.alias("changed_keys"), *snaps, F.inline(entries)
+    )
+    out = staged.filter(F.col("changed"))
     return out.select(
-        "response_table",
-        "action_code",
-        "process_step",
+        F.lit(table).cast("string").alias("response_table"),
+        F.lit(action).alias("action_code"),
+        step.alias("process_step"),
         *id_cols,
         *carry,
-        F.col("_e.var_name").alias("var_name"),
-        F.col("_e.original_value").alias("original_value"),
-        F.col("_e.modified_value").alias("modified_value"),
+        "var_name",
+        "original_value",
+        "modified_value",
         "changed_keys",
         *(["old_row", "new_row"] if snapshots else []),
         ts_literal(now).alias("created_dt"),
@@ -198,14 +205,22 @@ def audit_update(
     id_cols: Sequence[str] = ID_COLUMNS,
     snapshots: bool = True,
     stamp: bool = True,
+    order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Audit rows of ``UPDATE df SET … WHERE cond`` without a join (J1, in-row).
 
     The BEFORE stamper (C1) runs first when ``stamp`` is set, so with no
     exclusions ``modified_dt`` (and ``modified_by`` for another user) are
     audited as well.
+
+    With ``order_by`` (unique keys) the updated rows are range-sorted first;
+    as the per-column rows come out in column-name order, the result is then
+    globally ordered by (keys, var_name) and ``with_sequence_id(...,
+    presorted=True)`` can number it without sorting the wide audit rows.
     """
-    updated = df.filter(F.coalesce(cond, F.lit(False)))
+    updated = df.filter(cond)  # plain predicate: NULL drops the row and the scan gets the pushed filter
+    if order_by:
+        updated = updated.orderBy(*order_by)
     new_exprs = _set_exprs(df, F.lit(True), assignments, now if stamp else None, user if stamp else None)
     # Old and new values side by side in one row: one projection, no join.
     pairs = updated.select(
@@ -243,6 +258,7 @@ def audit_rows(
     id_cols: Sequence[str] = ID_COLUMNS,
     snapshots: bool = True,
     check_keys: bool = True,
+    order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """C3–C7 over two snapshots joined on ``keys``.
 
@@ -256,6 +272,8 @@ def audit_rows(
     o = old.select(*keys, F.struct(*[F.col(c) for c in old.columns]).alias("o"))
     n = new.select(*keys, F.struct(*[F.col(c) for c in new.columns]).alias("n"))
     pairs = o.join(n, list(keys), "inner")
+    if order_by:
+        pairs = pairs.orderBy(*order_by)
     return _audit_from_pair(
         pairs,
         old.columns,
@@ -282,23 +300,39 @@ def assert_unique_keys(df: DataFrame, keys: Sequence[str], what: str = "table")
 # ---------------------------------------------------------------- S10, C9, C10
 
 
-def with_sequence_id(df: DataFrame, order_cols: Sequence[str | Column], start: int = 1, id_col: str = "audit_log_id") -> DataFrame:
+def with_sequence_id(
+    df: DataFrame,
+    order_cols: Sequence[str | Column] = (),
+    start: int = 1,
+    id_col: str = "audit_log_id",
+    presorted: bool = False,
+) -> DataFrame:
     """Dense ids ``start, start+1, …`` in ``order_cols`` order, without a single-partition sort.
 
     1. distributed range sort, tagged with ``monotonically_increasing_id``
        (partition index in the high bits, position in the low 33 bits);
-    2. reliable checkpoint, so counting and numbering see the same partitions
-       (survives executor loss, cuts lineage);
-    3. per-partition counts (one row per partition) → running offsets;
-    4. broadcast the offsets (bounded by the partition count) and add.
+    2. per-partition row counts — one small row per partition, never rows;
+    3. running offsets over those counts, broadcast back and added.
+
+    ``presorted=True`` skips step 1 for a frame that is already globally
+    ordered (a range sort followed only by narrow steps).
+
+    The sorted, tagged frame is persisted (memory, spilling to disk) so the
+    count pass and the numbering pass read it once. If an executor is lost its
+    blocks are recomputed from lineage: the range bounds come from a
+    fixed-seed sample and the sort is total on ``order_cols``, so a recomputed
+    partition holds the same rows at the same positions and the ids do not
+    change (with ties in ``order_cols`` only the order among tied rows may).
     """
-    tagged = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.checkpoint(eager=True)
-    part = F.shiftright(F.col("_mid"), 33)
-    counts = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    # Running sum over one row per partition: tiny, a single-partition window is fine here.
+    from pyspark import StorageLevel
     from pyspark.sql.window import Window
 
+    base = df if presorted else df.orderBy(*order_cols)
+    tagged = base.withColumn("_mid", F.monotonically_increasing_id())
+    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    part = F.shiftright(F.col("_mid"), 33)
+    counts = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition: a single-partition running sum over it is trivially small.
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_p", "_off")
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))

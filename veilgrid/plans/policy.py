@@ -67,6 +67,15 @@ def policy_grants(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFram
     return grants_frame(spark, rows)
 
 
+_GOVERNORS: dict[tuple[int, str], Governor] = {}
+
+
 def governor(spark: SparkSession, sf_dir: str) -> Governor:
-    tables = governed_tables(spark, sf_dir)
-    return Governor(spark, tables, policy_grants(spark, tables), roles=list(ROLES))
+    """The policy is computed once per session and data folder (it is catalog metadata)."""
+    key = (id(spark), sf_dir)
+    gov = _GOVERNORS.get(key)
+    if gov is None or gov.spark is not spark:
+        tables = governed_tables(spark, sf_dir)
+        gov = Governor(spark, tables, policy_grants(spark, tables), roles=list(ROLES))
+        _GOVERNORS[key] = gov
+    return gov

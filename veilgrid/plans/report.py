@@ -50,7 +50,7 @@ PATTERNS = (
 
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
+    ev = read_table(spark, sf_dir, "events", spread=True)
     k = F.get_json_object("props", "$.k").cast("int")
     verb = F.element_at(F.array(*[F.lit(v) for v in VERBS]), F.pmod(k, F.lit(len(VERBS))) + 1)
     noun = F.element_at(F.array(*[F.lit(n) for n in NOUNS]), F.pmod(F.floor(k / len(VERBS)), F.lit(len(NOUNS))).cast("int") + 1)

@@ -18,9 +18,22 @@ DRIVER_TABLES = (
 )
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of ``{sf_dir}/{name}.parquet``; pruning and pushdown happen at this scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Parquet scan of ``{sf_dir}/{name}.parquet``; pruning and pushdown happen at this scan.
+
+    ``spread``: a scan with fewer input splits than task slots (one file with
+    one row group) is round-robin repartitioned to the slot count, so the
+    narrow CPU work after it (JSON, explode, codegen'd projections) uses every
+    core. On a cluster reading many files the scan already has more splits
+    than slots and nothing is added. Column pruning and filter pushdown still
+    reach the scan through the repartition.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots)
+    return df
 
 
 def read_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] = DRIVER_TABLES) -> dict[str, DataFrame]:

@@ -87,16 +87,19 @@ class EventPipeline:
         self.defaults = (default_database, default_table)
         self.max_files = max_files
 
-    def _source(self) -> DataFrame:
-        frames = [read_event_stream(self.spark, b, self.max_files) for b in self.buses]
+    def _source(self, buses: Sequence[str] | None = None) -> DataFrame:
+        frames = [read_event_stream(self.spark, b, self.max_files) for b in (buses or self.buses)]
         src = frames[0]
         for f in frames[1:]:
             src = src.unionByName(f)
         return src
 
     def start_dead_letters(self) -> StreamingQuery:
-        """Bad lines to their own (append-only) sink."""
-        dl = dead_letters(self._source()).select("value", "reason")
+        """Bad lines of the producer bus (the first one) to their own append-only sink.
+
+        Forwarded buses carry only events that already parsed and matched a rule.
+        """
+        dl = dead_letters(self._source(self.buses[:1])).select("value", "reason")
         return (
             dl.writeStream.format("parquet")
             .option("path", f"{self.out}/dead_letters")
