@@ -129,7 +129,8 @@ def format_cell(col: str | Column, data_type: str) -> Column:
     """Result-cell text: doubles with 2 decimals, everything else as text, NULL → 'NULL'."""
     c = _c(col)
     if data_type in ("double", "float") or data_type.startswith("decimal"):
-        txt = F.format_string("%.2f", c)
+        # format_string would turn NULL into the text "nu" ("null" cut to 2), so test NULL first.
+        txt = F.when(c.isNotNull(), F.format_string("%.2f", c))
     else:
         txt = c.cast("string")
     return F.coalesce(txt, F.lit("NULL"))

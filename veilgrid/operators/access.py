@@ -274,7 +274,8 @@ class Governor:
     # -- data access
     def view(self, role: str, table: str) -> DataFrame:
         """The role's view of ``table``: only its visible columns, in table order."""
-        return self.tables[table].select(*self.visible(role, table))
+        cols = self.visible(role, table)  # denies unknown or ungranted tables first
+        return self.tables[table].select(*cols)
 
     def select(self, role: str, table: str, cols: str | Sequence[str | Column] = "*") -> DataFrame:
         """``SELECT *`` (expanded after the role's columns are known) or a column list.
