@@ -28,9 +28,30 @@ def categorize(col: str | Column, threshold: float, above: str = "Fast", otherwi
     return F.when(c > F.lit(threshold), F.lit(above)).otherwise(F.lit(otherwise))
 
 
+def like_prefix(pattern: str) -> str:
+    """Literal text before the first wildcard (or escape) of a LIKE pattern."""
+    out = []
+    for ch in pattern:
+        if ch in "%_\\":
+            break
+        out.append(ch)
+    return "".join(out)
+
+
 def like(col: str | Column, pattern: str) -> Column:
-    """SQL LIKE: ``%`` any run, ``_`` exactly one character (also ``_`` itself)."""
-    return _c(col).like(pattern)
+    """SQL LIKE: ``%`` any run, ``_`` exactly one character (also ``_`` itself).
+
+    Catalyst turns only simple patterns (``abc%``) into a pushable
+    ``StartsWith``; a ``_`` inside (``WP_POC_%``) keeps the whole filter in
+    Spark. The literal prefix is implied by the pattern, so it is added as a
+    ``startswith`` conjunct: the Parquet scan then gets ``StringStartsWith``
+    and can skip row groups by their min/max statistics. Same result.
+    """
+    c = _c(col)
+    prefix = like_prefix(pattern)
+    if prefix and prefix != pattern:
+        return c.startswith(prefix) & c.like(pattern)
+    return c.like(pattern)
 
 
 def distinct_from(a: str | Column, b: str | Column) -> Column:

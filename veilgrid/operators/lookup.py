@@ -62,12 +62,14 @@ def audit_lookup(
 
     Plan: time buckets of ``minutes / split``; each audit row is also copied
     into the next ``split`` buckets, so partition ``(key, bucket)`` holds every
-    event a probe of that bucket can see. Pass 1 (audit only) records, per
-    event, the times of the ``max_results - 1`` events before it (``lag``).
-    Pass 2 (events ∪ probes, ordered by time, events first on ties) carries
-    the last event forward to each probe (``last(…, ignorenulls)``). The
-    probe's count is how many of those ``max_results`` times fall inside its
-    window — exactly min(n, max_results) — with no pairwise join.
+    event a probe of that bucket can see, and a hot key is spread over its
+    buckets. Events and probes are shuffled once on ``(key, bucket)``; two
+    window passes run over that partitioning: pass 1 records, per event, the
+    times of the ``max_results - 1`` events before it (``lag``); pass 2 (time
+    order, events first on ties) carries the last event forward to each probe
+    (``last(…, ignorenulls)``). The probe's count is how many of those
+    ``max_results`` times fall inside its window — exactly min(n, max_results)
+    — with no pairwise join and constant work per row.
     """
     width = minutes * 60 * 1_000_000 // split
     a_us = _micros(F.col(audit_ts))
@@ -79,12 +81,6 @@ def audit_lookup(
         *[F.col(c).alias(f"_p_{c}") for c in payload],
     ).withColumn("_b0", F.floor(F.col("_us") / F.lit(width)).cast("long"))
     a = a.withColumn("_b", F.explode(F.sequence(F.col("_b0"), F.col("_b0") + F.lit(split)))).drop("_b0")
-    w1 = Window.partitionBy("_k", "_b").orderBy("_us", "_id")
-    lags = [F.lag("_us", i).over(w1).alias(f"_lag{i}") for i in range(1, max_results)]
-    a = a.select("*", *lags)
-    ev = F.struct(
-        "_us", "_ts", "_id", *[f"_p_{c}" for c in payload], *[f"_lag{i}" for i in range(1, max_results)]
-    )
     p_cols = probes.columns
     p_us = _micros(F.col(probe_ts))
     p_rows = probes.select(
@@ -92,26 +88,31 @@ def audit_lookup(
         F.floor(p_us / F.lit(width)).cast("long").alias("_b"),
         p_us.alias("_us"),
         F.lit(1).alias("_kind"),
-        F.lit(None).cast(a.schema["_id"].dataType).alias("_ord"),
         F.struct(*[F.col(c) for c in p_cols]).alias("_pr"),
     )
+    ev_cols = ["_ts", "_id", *[f"_p_{c}" for c in payload]]
     a_rows = a.select(
-        "_k",
-        "_b",
-        "_us",
-        F.lit(0).alias("_kind"),
-        F.col("_id").alias("_ord"),
-        ev.alias("_ev"),
-        F.lit(None).cast(p_rows.schema["_pr"].dataType).alias("_pr"),
+        "_k", "_b", "_us", F.lit(0).alias("_kind"), *ev_cols, F.lit(None).cast(p_rows.schema["_pr"].dataType).alias("_pr")
     )
-    p_rows = p_rows.withColumn("_ev", F.lit(None).cast(a_rows.schema["_ev"].dataType))
-    # The probe row rides along in the window pass, so no join back is needed.
-    w2 = Window.partitionBy("_k", "_b").orderBy("_us", "_kind", "_ord").rowsBetween(Window.unboundedPreceding, 0)
-    carried = (
-        a_rows.unionByName(p_rows)
-        .withColumn("_last", F.last("_ev", ignorenulls=True).over(w2))
-        .filter(F.col("_kind") == 1)
+    for c in ev_cols:
+        p_rows = p_rows.withColumn(c, F.lit(None).cast(a_rows.schema[c].dataType))
+    both = a_rows.unionByName(p_rows)
+    # One shuffle on (key, bucket) feeds both windows. Pass 1 sorts events ahead of probes
+    # (kind 0 < 1), so lag() over it walks back through events only, in time order.
+    w1 = Window.partitionBy("_k", "_b").orderBy("_kind", "_us", "_id")
+    both = both.select("*", *[F.lag("_us", i).over(w1).alias(f"_lag{i}") for i in range(1, max_results)])
+    ev = F.when(
+        F.col("_kind") == 0,
+        F.struct("_us", *ev_cols, *[f"_lag{i}" for i in range(1, max_results)]),
     )
+    # Pass 2: time order, events before probes on ties (inclusive window end); carry the last event forward.
+    w2 = (
+        Window.partitionBy("_k", "_b")
+        .orderBy("_us", "_kind", "_id")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    # The probe row rides along in the window pass, so no join back is needed.
+    carried = both.withColumn("_last", F.last(ev, ignorenulls=True).over(w2)).filter(F.col("_kind") == 1)
     lo = F.col("_us") - F.lit(minutes * 60 * 1_000_000)
     times = F.array(F.col("_last._us"), *[F.col(f"_last._lag{i}") for i in range(1, max_results)])
     in_window = F.size(F.filter(times, lambda x: x.isNotNull() & (x >= lo)))
