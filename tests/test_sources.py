@@ -78,11 +78,11 @@ def test_load_permissions_subset_and_missing(spark, tmp_dir):
 
 def test_reachable_roles_two_hops(spark):
     edges = spark.createDataFrame(
-        [("ps_DataScientist", "DataScientist"), ("DataScientist", "RedshiftRole"), ("RedshiftRole", "Deeper"), ("ps_Viewer", "Viewer")],
+        [("ps_DataScientist", "DataScientist"), ("DataScientist", "WarehouseRole"), ("WarehouseRole", "Deeper"), ("ps_Viewer", "Viewer")],
         "src string, dst string",
     )
     got = sorted(tuple(r) for r in reachable_roles(edges, 2).collect())
-    assert ("ps_DataScientist", "RedshiftRole", 2) in got and ("ps_DataScientist", "Deeper", 3) not in got
+    assert ("ps_DataScientist", "WarehouseRole", 2) in got and ("ps_DataScientist", "Deeper", 3) not in got
     assert ("DataScientist", "Deeper", 2) in got
 
 
