@@ -107,9 +107,10 @@ def test_inserts_and_deletes_not_audited(spark):
 
 
 def test_duplicate_keys_fail_fast(spark):
-    old = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
-    with pytest.raises(ValueError):
-        audit_rows(old, old, ["k"], table="t", now=T1, user="u")
+    old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    new = spark.createDataFrame([(1, "z"), (2, "d")], "k int, v string")
+    with pytest.raises(Exception, match="duplicate key"):
+        audit_rows(old, new, ["k"], table="t", now=T1, user="u").collect()
 
 
 def test_replaying_audit_on_old_gives_new(spark):

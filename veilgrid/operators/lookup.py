@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # ---------------------------------------------------------------- J3, J4
@@ -36,8 +37,16 @@ def lookup_default(
 # ---------------------------------------------------------------- J6
 
 
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def _micros(df: DataFrame, col: str) -> Column:
+    """Microseconds on the time line of ``col``.
+
+    A ``timestamp_ntz`` (wall clock) is measured from the wall-clock epoch, so
+    the session time zone (and its daylight-saving jumps) never moves a window;
+    a zoned ``timestamp`` uses its instant.
+    """
+    if isinstance(df.schema[col].dataType, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col))
+    return F.unix_micros(F.col(col).cast("timestamp"))
 
 
 def audit_lookup(
@@ -72,7 +81,7 @@ def audit_lookup(
     — with no pairwise join and constant work per row.
     """
     width = minutes * 60 * 1_000_000 // split
-    a_us = _micros(F.col(audit_ts))
+    a_us = _micros(audit, audit_ts)
     a = audit.select(
         F.col(key).alias("_k"),
         F.col(audit_ts).alias("_ts"),
@@ -82,7 +91,7 @@ def audit_lookup(
     ).withColumn("_b0", F.floor(F.col("_us") / F.lit(width)).cast("long"))
     a = a.withColumn("_b", F.explode(F.sequence(F.col("_b0"), F.col("_b0") + F.lit(split)))).drop("_b0")
     p_cols = probes.columns
-    p_us = _micros(F.col(probe_ts))
+    p_us = _micros(probes, probe_ts)
     p_rows = probes.select(
         F.col(key).alias("_k"),
         F.floor(p_us / F.lit(width)).cast("long").alias("_b"),

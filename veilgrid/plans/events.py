@@ -210,7 +210,22 @@ def events_stream_notifications(spark: SparkSession, sf_dir: str, n_files: int =
     return spark.read.parquet(f"{out}/notifications").select("event_id", "export_location", "subject", "message")
 
 
+def export_customers_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 + S12 + P4 + O2: the rows of a table whose key matches a LIKE pattern, in key order,
+    exported as CSV (header, NULL as empty) under ``exported-data/{db}/{table}/export_{ts}.csv``
+    and read back with the table's schema."""
+    from veilgrid.functions.scalars import like
+    from veilgrid.sources.sinks import export_csv
+    from veilgrid.streaming.pipeline import scratch_root
+
+    cust = read_table(spark, sf_dir, "customer")
+    rows = cust.filter(like("c_name", "Customer#0000_0%"))
+    path = export_csv(rows, scratch_root(spark, "export"), "sales_db", "customer", "20240201_120000", order_by=["c_custkey"])
+    return spark.read.option("header", True).option("nullValue", "").schema(cust.schema).csv(path)
+
+
 QUERIES = {
+    "export_customers_like": export_customers_like,
     "events_stream_notifications": events_stream_notifications,
     "events_route": events_route,
     "events_deduped": events_deduped,
@@ -243,6 +258,7 @@ routed AS (
 """
 
 ORACLES = {
+    "export_customers_like": "SELECT * FROM customer WHERE c_name LIKE 'Customer#0000_0%'",
     "events_stream_notifications": None,  # filled below: same rows as the batch twin
     "events_route": _EV
     + """
