@@ -123,11 +123,9 @@ def classify_failure(error: Column, hidden: Sequence[str], restricted_role: Colu
 
 
 def compare_roles(hidden_frame: DataFrame) -> DataFrame:
-    """V8: role, database, table, column count, access level and what is hidden."""
+    """V8: column count, access level and what is hidden, added to each (role, database, table) row."""
     return hidden_frame.select(
-        "role",
-        "database",
-        "table",
+        "*",
         F.col("n_visible").alias("column_count"),
         F.when(F.size("hidden") == 0, F.lit("Full access")).otherwise(F.lit("Restricted")).alias("access_level"),
         F.when(F.size("hidden") == 0, F.lit("none"))

@@ -173,18 +173,14 @@ def status_counts(outcomes: DataFrame) -> Column:
 def summary(outcomes: DataFrame) -> DataFrame:
     """A2 + A3: count and integer percent (``n*100 // total``, 0 when empty) per status, plus Total.
 
-    One aggregate row (partial aggregation map-side), then unpivoted.
+    One aggregate row (partial aggregation map-side, one scan), unpivoted with
+    ``stack`` into the five status rows and the Total row.
     """
     agg = outcomes.agg(*status_counts(outcomes), F.count(F.lit(1)).alias("total"))
-    stack = ", ".join(f"'{st}', {st.lower()}" for st in STATUSES)
-    per = agg.select("total", F.expr(f"stack({len(STATUSES)}, {stack}) AS (status, n)"))
-    per = per.select(
-        "status",
-        F.col("n").cast("long").alias("n"),
-        F.when(F.col("total") == 0, F.lit(0)).otherwise(F.expr("n * 100 div total")).cast("long").alias("percent"),
-    )
-    total = agg.select(F.lit("Total").alias("status"), F.col("total").cast("long").alias("n"), F.lit(100).cast("long").alias("percent"))
-    return per.unionByName(total)
+    pairs = [f"'{st}', {st.lower()}" for st in STATUSES] + ["'Total', total"]
+    per = agg.select("total", F.expr(f"stack({len(pairs)}, {', '.join(pairs)}) AS (status, n)"))
+    pct = F.when(F.col("status") == "Total", F.lit(100)).when(F.col("total") == 0, F.lit(0)).otherwise(F.expr("n * 100 div total"))
+    return per.select("status", F.col("n").cast("long").alias("n"), pct.cast("long").alias("percent"))
 
 
 def service_verdict(total: Column, passed: Column, denied: Column, not_tested: Column, skipped: Column, error: Column) -> Column:
@@ -208,15 +204,15 @@ def service_matrix(outcomes: DataFrame) -> DataFrame:
 
 
 def sections(outcomes: DataFrame) -> DataFrame:
-    """The not-tested list (reason = message[:80]) and the error list (message[:60])."""
+    """The not-tested list (reason = message[:80]) and the error list (message[:60]), in one pass."""
     s = F.col("status")
-    nt = outcomes.filter(s == "NOT_TESTED").select(
-        F.lit("not_tested").alias("section"), "service", "permission", truncate("message", 80).alias("reason")
-    )
-    er = outcomes.filter(s == "ERROR").select(
-        F.lit("error").alias("section"), "service", "permission", truncate("message", 60).alias("reason")
+    nt = s == "NOT_TESTED"
+    return outcomes.filter(s.isin("NOT_TESTED", "ERROR")).select(
+        F.when(nt, F.lit("not_tested")).otherwise(F.lit("error")).alias("section"),
+        "service",
+        "permission",
+        F.when(nt, truncate("message", 80)).otherwise(truncate("message", 60)).alias("reason"),
     )
-    return nt.unionByName(er)
 
 
 def run_verdict(outcomes: DataFrame) -> DataFrame:

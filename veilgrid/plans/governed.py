@@ -81,7 +81,6 @@ def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_table = restricted.groupBy("table").agg(F.flatten(F.collect_list("restricted")).alias("any_restricted"))
     rep = (
         compare_roles(facts)
-        .join(facts.select("role", "database", "table", "columns", "n_visible", "n_total"), ["role", "database", "table"])
         .join(F.broadcast(restricted), ["role", "table"], "left")
         .join(F.broadcast(per_table), "table", "left")
         .withColumn(
@@ -95,7 +94,7 @@ def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("expected_access", expected)
         .withColumn("status", restricted_status(F.col("expected_access"), F.col("columns"), F.col("checked")))
         .withColumn("visible_text", visible_fraction(F.col("n_visible"), F.col("n_total")))
-        .join(counts, ["database", "table"])
+        .join(F.broadcast(counts), ["database", "table"])  # one row per table
     )
     return rep.select(
         "role",
