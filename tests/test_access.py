@@ -188,3 +188,42 @@ def test_role_schema_views(spark, tmp_dir):
     assert len(v.columns) == 11 and v.count() == 5
     with pytest.raises(Exception):
         spark.sql("SELECT speed_knots FROM flightradarviewer_alias.radar_detections").collect()
+
+
+def test_like_prefix_rewrite_is_exact(spark):
+    import random
+    import re
+
+    from veilgrid.functions.scalars import like
+
+    rnd = random.Random(5)
+    alphabet = "WP_OC%x1"
+    strings = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 8))) for _ in range(1500)]
+    patterns = ["WP_POC_%", "WP%", "W_P%", "%POC%", "WP", "WP_%_1", "x%", "_%", "WPxPOC"]
+    df = spark.createDataFrame([(s,) for s in strings], "s string")
+    sel = df.select("s", *[like("s", p).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+
+    def py_like(s, p):
+        rx = "".join(".*" if ch == "%" else "." if ch == "_" else re.escape(ch) for ch in p)
+        return re.fullmatch(rx, s, flags=re.S) is not None
+
+    for r in sel:
+        for i, p in enumerate(patterns):
+            assert r[f"p{i}"] == py_like(r.s, p), (r.s, p)
+
+
+def test_governed_append_needs_insert_and_writes_all_columns(spark, tmp_dir):
+    from veilgrid.operators.access import governed_append
+    from veilgrid.sources.catalog import create_database, create_table
+
+    create_database(spark, "w_db")
+    create_table(spark, "w_db.t", "a string, hidden string", f"{tmp_dir}/t")
+    grants = grants_frame(
+        spark,
+        [("viewer", "w_db", "t", ["a"], ["SELECT"]), ("writer", "w_db", "t", ["a"], ["SELECT", "INSERT"])],
+    )
+    rows = spark.createDataFrame([("x", "secret")], "a string, hidden string")
+    with pytest.raises(AccessDenied):
+        governed_append(grants, "viewer", "w_db.t", rows)
+    governed_append(grants, "writer", "w_db.t", rows)
+    assert [tuple(r) for r in spark.table("w_db.t").collect()] == [("x", "secret")]

@@ -170,3 +170,32 @@ def test_length_limits_raise_not_cut(spark):
     with pytest.raises(Exception):
         enforce_lengths(df).collect()
     assert enforce_lengths(spark.createDataFrame([("a", "b")], "var_name string, original_value string")).count() == 1
+
+
+def test_defaults_are_now_and_session_user(spark, housing):
+    a = audit_update(housing, F.col("cmid") == "000000001", {"broadbnd": F.lit("N")}, table="h")
+    r = {x.var_name: x for x in a.collect()}
+    assert set(r) >= {"broadbnd", "modified_dt", "modified_by"}
+    assert r["broadbnd"].created_by == r["modified_by"].modified_value
+    assert r["modified_dt"].created_dt is not None
+
+
+def test_audit_matches_python_model(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.choice([1, 2, None]), rnd.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, s string, n int, x double")
+    cond = (F.col("k") % 3 == 0) | F.col("s").isNull()
+    sets = {"s": F.coalesce(F.col("s"), F.lit("b")), "n": F.col("n") + F.lit(0) * F.col("k")}
+    got = sorted(
+        (r.k, r.var_name, r.original_value, r.modified_value)
+        for r in audit_update(df, cond, sets, table="t", now=T1, user="u", keys=["k"], stamp=False, snapshots=False).collect()
+    )
+    expected = []
+    for k, s, n, x in rows:
+        if k % 3 == 0 or s is None:
+            new_s = s if s is not None else "b"
+            if new_s != s:
+                expected.append((k, "s", s, new_s))
+    assert got == sorted(expected)

@@ -225,6 +225,34 @@ def grant_write(
     return grants.unionByName(first)
 
 
+def may_write(grants: DataFrame, role: str, database: str, table: str, permission: str = "INSERT") -> bool:
+    """Does ``role`` (or PUBLIC) hold ``permission`` (or ALL) on the table or its database?
+
+    One bounded look-up in the grants (policy metadata), not a data scan.
+    """
+    g = with_permission(grants, permission).filter(
+        F.col("role").isin(role, PUBLIC)
+        & (F.col("database") == database)
+        & (F.col("table").isNull() | (F.col("table") == table))
+    )
+    return bool(g.limit(1).collect())
+
+
+def governed_append(grants: DataFrame, role: str, table: str, df: DataFrame) -> None:
+    """Append ``df`` to catalog table ``db.table`` as ``role``.
+
+    Writes need INSERT; read grants (and their column lists) do not govern
+    writes, so the row is written with every column it names — hidden ones
+    included — matched by name, absent columns NULL.
+    """
+    db, tbl = split_name(table)
+    if not may_write(grants, role, db, tbl):
+        raise AccessDenied(role, table)
+    target = df.sparkSession.table(table).schema
+    cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields]
+    df.select(*cols).write.insertInto(table)
+
+
 # ---------------------------------------------------------------- governed access
 
 

@@ -41,8 +41,10 @@ LENGTH_LIMITS = {
 }
 
 
-def ts_literal(value: str | datetime | Column) -> Column:
-    """A wall-clock timestamp (``timestamp_ntz``) literal; columns pass through."""
+def ts_literal(value: str | datetime | Column | None) -> Column:
+    """A wall-clock timestamp (``timestamp_ntz``) literal; columns pass through; None = now."""
+    if value is None:
+        return F.localtimestamp()
     if isinstance(value, Column):
         return value
     if isinstance(value, datetime):
@@ -54,16 +56,25 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def _user(v) -> Column:
+    """The acting user: given, else the session user (``SESSION_USER``)."""
+    return F.session_user() if v is None else _lit(v).cast("string")
+
+
 # ---------------------------------------------------------------- S9, C1, C2, C8
 
 
-def add_meta_columns(df: DataFrame, now, user) -> DataFrame:
-    """Idempotent ``ADD COLUMN IF NOT EXISTS … NOT NULL DEFAULT``: existing columns are kept."""
+def add_meta_columns(df: DataFrame, now=None, user=None) -> DataFrame:
+    """Idempotent ``ADD COLUMN IF NOT EXISTS … NOT NULL DEFAULT``: existing columns are kept.
+
+    Defaults are ``now`` (else the current wall-clock time) and ``user`` (else
+    the session user).
+    """
     defaults = {
         "created_dt": ts_literal(now),
-        "created_by": _lit(user).cast("string"),
+        "created_by": _user(user),
         "modified_dt": ts_literal(now),
-        "modified_by": _lit(user).cast("string"),
+        "modified_by": _user(user),
     }
     out = df
     for name in META_COLUMNS:
@@ -72,9 +83,9 @@ def add_meta_columns(df: DataFrame, now, user) -> DataFrame:
     return out
 
 
-def stamp_modified(df: DataFrame, cond: Column, now, user) -> DataFrame:
+def stamp_modified(df: DataFrame, cond: Column, now=None, user=None) -> DataFrame:
     """Every updated row gets ``modified_dt``/``modified_by``, even if nothing else changed."""
-    return update(df, cond, {}, now=now, user=user)
+    return df.select(*_set_exprs(df, cond, {}, ts_literal(now), _user(user)))
 
 
 def _set_exprs(df: DataFrame, cond: Column, assignments: Mapping[str, Column], now=None, user=None) -> list[Column]:
@@ -184,7 +195,7 @@ def _audit_from_pair(
         "changed_keys",
         *(["old_row", "new_row"] if snapshots else []),
         ts_literal(now).alias("created_dt"),
-        _lit(user).cast("string").alias("created_by"),
+        _user(user).alias("created_by"),
         F.lit(table).cast("string").alias("table_name"),
         F.lit(None).cast("string").alias("note"),
     )
@@ -196,8 +207,8 @@ def audit_update(
     assignments: Mapping[str, Column],
     *,
     table: str,
-    now,
-    user,
+    now=None,
+    user=None,
     step: str | Column | None = None,
     setting: str | Column | None = None,
     keys: Sequence[str] = (),
@@ -221,7 +232,8 @@ def audit_update(
     updated = df.filter(cond)  # plain predicate: NULL drops the row and the scan gets the pushed filter
     if order_by:
         updated = updated.orderBy(*order_by)
-    new_exprs = _set_exprs(df, F.lit(True), assignments, now if stamp else None, user if stamp else None)
+    stamp_now, stamp_user = (ts_literal(now), _user(user)) if stamp else (None, None)
+    new_exprs = _set_exprs(df, F.lit(True), assignments, stamp_now, stamp_user)
     # Old and new values side by side in one row: one projection, no join.
     pairs = updated.select(
         *[F.col(k) for k in keys],
@@ -250,8 +262,8 @@ def audit_rows(
     keys: Sequence[str],
     *,
     table: str,
-    now,
-    user,
+    now=None,
+    user=None,
     step: str | Column | None = None,
     setting: str | Column | None = None,
     exclude_cols: Iterable[str] = (),
