@@ -165,34 +165,26 @@ def orders_export_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_increment(orders, exported, ["o_orderkey"])
 
 
-def events_stream_notifications(spark: SparkSession, sf_dir: str, n_files: int = 4, files_per_trigger: int = 2) -> DataFrame:
+def events_stream_notifications(spark: SparkSession, sf_dir: str, n_slices: int = 3) -> DataFrame:
     """The streaming pipeline end to end; its notifications must equal the batch twin's.
 
-    The published lines go to bus A as ``n_files`` time-ranged files; the
-    forwarder copies routed events to bus B; the consumer reads both buses one
-    file per trigger (several micro-batches), de-duplicates within the
-    watermark and writes each batch's notifications. Scratch folders live
-    under the shared checkpoint folder.
+    Replays the published events as a live bus: the events arrive on bus A in
+    ``n_slices`` time slices; after each arrival the forwarder (bus A → bus B)
+    and the consumer (bus A ∪ bus B) catch up with ``availableNow`` runs that
+    restart from their checkpoints. So, as on a live bus, a forwarded copy
+    never runs ahead of its original, and the consumer de-duplicates the two
+    deliveries within the watermark across micro-batches and restarts.
+    Scratch folders live under the shared checkpoint folder.
     """
+    from pyspark import StorageLevel
+
     from veilgrid.streaming.pipeline import EventPipeline, run_forwarder, scratch_root
 
     root = scratch_root(spark, "events-stream")
     bus_a, bus_b, out, ckpt = (f"{root}/{x}" for x in ("bus_a", "bus_b", "out", "ckpt"))
-    from pyspark import StorageLevel
-
     pub = published(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    # The bus receives files over time: one time slice per file, written one after another,
-    # so the file source (which orders new files by modification time) reads them in order.
     lo, hi = pub.agg(F.min("ts"), F.max("ts")).first()
-    step = (hi - lo) / n_files
-    for i in range(n_files):
-        a, b = lo + step * i, (lo + step * (i + 1) if i < n_files - 1 else None)
-        part = pub.filter(F.col("ts") >= ts_literal(a))
-        if b is not None:
-            part = part.filter(F.col("ts") < ts_literal(b))
-        part.coalesce(1).select("value").write.mode("append").text(bus_a)
-    pub.unpersist()
-    run_forwarder(spark, bus_a, bus_b, DIRECT_RULE, f"{ckpt}/forwarder", max_files=files_per_trigger).awaitTermination()
+    step = (hi - lo) / n_slices
     pipe = EventPipeline(
         spark,
         [bus_a, bus_b],
@@ -203,10 +195,17 @@ def events_stream_notifications(spark: SparkSession, sf_dir: str, n_files: int =
         default_database=DEFAULT_DATABASE,
         default_table=DEFAULT_TABLE,
         export_base=EXPORT_BASE,
-        max_files=files_per_trigger,
     )
+    for i in range(n_slices):
+        a, b = lo + step * i, (lo + step * (i + 1) if i < n_slices - 1 else None)
+        part = pub.filter(F.col("ts") >= ts_literal(a))
+        if b is not None:
+            part = part.filter(F.col("ts") < ts_literal(b))
+        part.select("value").write.mode("append").text(bus_a)
+        run_forwarder(spark, bus_a, bus_b, DIRECT_RULE, f"{ckpt}/forwarder").awaitTermination()
+        pipe.start().awaitTermination()
+    pub.unpersist()
     pipe.start_dead_letters().awaitTermination()
-    pipe.start().awaitTermination()
     return spark.read.parquet(f"{out}/notifications").select("event_id", "export_location", "subject", "message")
 
 
