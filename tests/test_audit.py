@@ -199,3 +199,13 @@ def test_audit_matches_python_model(spark):
             if new_s != s:
                 expected.append((k, "s", s, new_s))
     assert got == sorted(expected)
+
+
+def test_sequence_ids_hot_key_spread(spark):
+    # A third of the rows share one order key: ids stay dense and the hot key is not one partition.
+    df = spark.range(0, 3000, numPartitions=6).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    out = with_sequence_id(df, ["k"])
+    ids = sorted(r.audit_log_id for r in out.collect())
+    assert ids == list(range(1, 3001))
+    hot = out.filter(F.col("k") == 7).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert hot > 1

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilgrid.functions.joins import broadcast_if_small
+
 PUBLIC = "*"
 
 GRANTS_SCHEMA = T.StructType(
@@ -91,7 +93,7 @@ def revoke(grants: DataFrame, revocations: DataFrame) -> DataFrame:
         & (grants["database"] == r["database"])
         & grants["table"].eqNullSafe(r["table"])
     )
-    return grants.join(F.broadcast(r), cond, "left_anti")
+    return grants.join(broadcast_if_small(r), cond, "left_anti")
 
 
 def with_permission(grants: DataFrame, permission: str) -> DataFrame:
@@ -125,7 +127,7 @@ def visible_databases(grants: DataFrame, databases: DataFrame, role: str) -> Dat
     g = with_permission(grants, "DESCRIBE").filter(
         F.col("table").isNull() & F.col("role").isin(role, PUBLIC)
     )
-    return databases.join(F.broadcast(g.select("database")), "database", "left_semi")
+    return databases.join(broadcast_if_small(g.select("database")), "database", "left_semi")
 
 
 # ---------------------------------------------------------------- effective columns
@@ -145,7 +147,7 @@ def effective_columns(grants: DataFrame, catalog: DataFrame, roles: Sequence[str
             "role", F.explode(F.array(*[F.lit(r) for r in roles]))
         )
         g = g.filter(F.col("role") != PUBLIC).unionByName(public)
-    cat = F.broadcast(catalog.select("database", "table", "column", "position"))
+    cat = broadcast_if_small(catalog.select("database", "table", "column", "position"))
     full = g.filter(F.col("columns").isNull()).select("role", "database", "table").join(cat, ["database", "table"])
     listed = (
         g.filter(F.col("columns").isNotNull())
@@ -191,7 +193,7 @@ def hidden_columns(effective: DataFrame, catalog: DataFrame) -> DataFrame:
         .select("database", "table", F.transform("_all", lambda s: s["column"]).alias("all_columns"))
     )
     return (
-        effective.join(F.broadcast(all_cols), ["database", "table"])
+        effective.join(broadcast_if_small(all_cols), ["database", "table"])
         .withColumn("hidden", allowed_columns(F.col("all_columns"), F.col("columns")))
         .withColumn("n_visible", F.size("columns"))
         .withColumn("n_total", F.size("all_columns"))
@@ -211,7 +213,7 @@ def grant_write(
         [(i, db, t) for i, (db, t) in enumerate(candidates)], "pos int, database string, table string"
     )
     first = (
-        cands.join(F.broadcast(catalog_tables.select("database", "table").distinct()), ["database", "table"])
+        cands.join(broadcast_if_small(catalog_tables.select("database", "table").distinct()), ["database", "table"])
         .agg(F.min_by(F.struct("database", "table"), F.col("pos")).alias("t"))
         .filter(F.col("t").isNotNull())
         .select(

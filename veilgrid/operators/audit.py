@@ -344,12 +344,21 @@ def with_sequence_id(
     blocks are recomputed from lineage: the range bounds come from a
     fixed-seed sample and the sort is total on ``order_cols``, so a recomputed
     partition holds the same rows at the same positions and the ids do not
-    change (with ties in ``order_cols`` only the order among tied rows may).
+    change. Ties in ``order_cols`` are broken by a hash of the row, so a hot
+    key value is spread over several range partitions.
     """
     from pyspark import StorageLevel
     from pyspark.sql.window import Window
 
-    base = df if presorted else df.orderBy(*order_cols)
+    if presorted:
+        base = df
+    else:
+        # A hot value in the order keys would put all its rows into one range
+        # partition; a hash of the row as the last sort key lets the sampled
+        # range bounds split such ties (it changes nothing when keys are unique).
+        atomic = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
+        tie = [F.xxhash64(*[F.col(c) for c in atomic])] if atomic else []
+        base = df.orderBy(*order_cols, *tie)
     tagged = base.withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright(F.col("_mid"), 33)
@@ -358,6 +367,7 @@ def with_sequence_id(
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_p", "_off")
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row per partition: the bound holds by construction, so the hint needs no check.
     out = tagged.withColumn("_p", part).join(F.broadcast(offsets), "_p")
     out = out.withColumn(id_col, (F.lit(start) + F.col("_off") + local).cast("bigint"))
     return out.select(id_col, *[c for c in df.columns])

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilgrid.functions.joins import broadcast_if_small
 from veilgrid.functions.scalars import contains_any, format_cell
 
 # Fixed status words of the reports.
@@ -24,7 +25,7 @@ def check_column_counts(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """
     a = actual.select("role", "database", "table", F.size("columns").alias("actual_count"))
     return (
-        expected.join(F.broadcast(a), ["role", "database", "table"], "left")
+        expected.join(broadcast_if_small(a), ["role", "database", "table"], "left")
         .withColumn("actual_count", F.coalesce("actual_count", F.lit(0)))
         .withColumn("matches", F.col("actual_count") == F.col("expected_count"))
     )
@@ -58,7 +59,7 @@ def access_matrix(expectations: DataFrame, visible: DataFrame, restricted: DataF
     """
     pairs = expectations.select("role", F.explode("databases").alias("database"), "expected_access")
     joined = pairs.join(visible, ["role", "database"], "left").join(
-        F.broadcast(restricted), ["database", "table"], "left"
+        broadcast_if_small(restricted), ["database", "table"], "left"
     )
     return (
         joined.withColumn("restricted", F.coalesce("restricted", F.array().cast("array<string>")))

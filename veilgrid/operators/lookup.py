@@ -1,7 +1,7 @@
-"""Look-up joins: defaults (J3, J4), windowed audit look-up (J6), pattern and prefix joins.
+"""Look-up joins: defaults (J3, J4), windowed audit look-up (J6), pattern join.
 
 Small sides (code tables, patterns, policies) are policy/config data with a
-bounded size and are broadcast. The audit look-up (J6) never emits probe ×
+bounded size; they are broadcast behind a size check (``broadcast_if_small``). The audit look-up (J6) never emits probe ×
 event pairs: it is two sorted window passes over time-bucketed keys, so a hot
 key is split across buckets and the work per probe is constant.
 """
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from veilgrid.functions.joins import broadcast_if_small
+
 # ---------------------------------------------------------------- J3, J4
 
 
@@ -31,7 +33,7 @@ def lookup_default(
     ``table`` is configuration (one row per key) and is broadcast.
     """
     t = table.select(*keys, F.col(value_col).alias("_v"))
-    return df.join(F.broadcast(t), list(keys), "left").withColumn(out_col, F.coalesce(F.col("_v"), default)).drop("_v")
+    return df.join(broadcast_if_small(t), list(keys), "left").withColumn(out_col, F.coalesce(F.col("_v"), default)).drop("_v")
 
 
 # ---------------------------------------------------------------- J6
@@ -167,12 +169,7 @@ def expand_patterns(
     cond_col = cond[0]
     for c in cond[1:]:
         cond_col = cond_col & c
-    out = actions.join(F.broadcast(pats), cond_col, "inner")
+    out = actions.join(broadcast_if_small(pats), cond_col, "inner")
     for k in on:
         out = out.drop(pats[k])
     return out.drop("_like")
-
-
-def prefix_join(left: DataFrame, prefixes: DataFrame, value_col: str, prefix_col: str) -> DataFrame:
-    """Rows whose ``value_col`` starts with a (broadcast, bounded) prefix."""
-    return left.join(F.broadcast(prefixes), left[value_col].startswith(prefixes[prefix_col]), "inner")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilgrid.functions.joins import broadcast_if_small
+
 POLICY_SCHEMA = T.StructType(
     [
         T.StructField("role", T.StringType()),
@@ -71,9 +73,9 @@ def bypass_findings(flat: DataFrame, visible: DataFrame, locations: DataFrame, r
     wildcard). Policies and locations are catalog-sized and broadcast.
     """
     reads = flat.filter((F.col("effect") == "Allow") & F.col("action").isin(*read_actions))
-    partial = visible.filter(~F.col("full_table")).join(F.broadcast(locations), ["database", "table"])
+    partial = visible.filter(~F.col("full_table")).join(broadcast_if_small(locations), ["database", "table"])
     cond = (partial["role"] == reads["role"]) & F.like(
         F.concat(partial["location"], F.lit("/")), _like_from_glob(reads["resource"])
     )
-    hit = partial.join(F.broadcast(reads), cond)
+    hit = partial.join(broadcast_if_small(reads), cond)
     return hit.select(partial["role"], "database", "table", "location", reads["resource"].alias("resource")).distinct()

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrid.functions.joins import broadcast_if_small
 from veilgrid.functions.scalars import RESPONSE_METADATA_KEYS, is_readonly, snake_case, truncate
 
 # Fixed values that must equal the reference's for the same classification.
@@ -107,7 +108,7 @@ def classify_outcomes(log: DataFrame, classes: DataFrame) -> DataFrame:
     not-found code → PASSED; bad-input code → PASSED; parameter-validation
     text → NOT_TESTED; anything else → ERROR.
     """
-    c = log.join(F.broadcast(classes.withColumnRenamed("code", "error_code")), "error_code", "left")
+    c = log.join(broadcast_if_small(classes.withColumnRenamed("code", "error_code")), "error_code", "left")
     code, msg, cls = F.col("error_code"), F.coalesce(F.col("error_message"), F.lit("")), F.col("code_class")
     readonly = is_readonly("permission")
     param_text = F.lit(False)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrid.functions.joins import broadcast_if_small
 from veilgrid.functions.scalars import categorize, like
 from veilgrid.operators.access import hidden_columns
 from veilgrid.operators.checks import compare_roles, preview, restricted_status, visible_fraction
@@ -81,8 +82,8 @@ def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_table = restricted.groupBy("table").agg(F.flatten(F.collect_list("restricted")).alias("any_restricted"))
     rep = (
         compare_roles(facts)
-        .join(F.broadcast(restricted), ["role", "table"], "left")
-        .join(F.broadcast(per_table), "table", "left")
+        .join(broadcast_if_small(restricted), ["role", "table"], "left")
+        .join(broadcast_if_small(per_table), "table", "left")
         .withColumn(
             "checked",
             F.coalesce(
@@ -94,7 +95,7 @@ def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("expected_access", expected)
         .withColumn("status", restricted_status(F.col("expected_access"), F.col("columns"), F.col("checked")))
         .withColumn("visible_text", visible_fraction(F.col("n_visible"), F.col("n_total")))
-        .join(F.broadcast(counts), ["database", "table"])  # one row per table
+        .join(broadcast_if_small(counts), ["database", "table"])  # one row per table
     )
     return rep.select(
         "role",

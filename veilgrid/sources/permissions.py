@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrid.functions.joins import broadcast_if_small
+
 
 def load_permissions(spark: SparkSession, path: str, services: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Read ``{"permissions": {service: [actions]}}`` (or a bare map) from a JSON file.
@@ -24,7 +26,7 @@ def load_permissions(spark: SparkSession, path: str, services: Sequence[str] | N
     if services is None:
         return pairs, spark.createDataFrame([], "service string")
     wanted = spark.createDataFrame([(s,) for s in services], "service string")
-    chosen = pairs.join(F.broadcast(wanted), "service", "left_semi")
+    chosen = pairs.join(broadcast_if_small(wanted), "service", "left_semi")
     missing = wanted.join(per_service.select("service"), "service", "left_anti")
     return chosen, missing
 
