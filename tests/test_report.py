@@ -162,3 +162,18 @@ def test_audit_lookup_matches_brute_force_with_hot_key(spark, split):
     assert len(got) == len(probes)
     assert got == expected
     assert any(c == 5 for c, _ in got.values()) and any(c == 0 for c, _ in got.values())
+
+
+def test_latest_per_group_and_check_result(spark):
+    from veilgrid.operators.lookup import latest_per_group
+    from veilgrid.operators.report import as_check_result
+
+    ev = spark.createDataFrame(
+        [("GetObject", 1, "alice", datetime(2024, 1, 1, 10)), ("GetObject", 2, "bob", datetime(2024, 1, 1, 11)), ("ListKeys", 3, "carol", datetime(2024, 1, 1, 9))],
+        "event_name string, id long, username string, event_time timestamp_ntz",
+    )
+    got = {r.event_name: (r.latest.username, r.n) for r in latest_per_group(ev, ["event_name"], "event_time", ["username", "id"], tiebreak="id").collect()}
+    assert got == {"GetObject": ("bob", 2), "ListKeys": ("carol", 1)}
+    o = classify_outcomes(_log(spark, [("s3", "ListBuckets", None, None, {"Buckets": ["a"]})]), code_classes(spark))
+    r = as_check_result(o).first().result
+    assert (r.service, r.status, r.error_code, r.data["count"], r.data.details) == ("s3", "PASSED", None, 1, "1 buckets")

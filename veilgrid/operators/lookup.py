@@ -173,3 +173,20 @@ def expand_patterns(
     for k in on:
         out = out.drop(pats[k])
     return out.drop("_like")
+
+
+# ---------------------------------------------------------------- O5
+
+
+def latest_per_group(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], tiebreak: str | None = None) -> DataFrame:
+    """Per group, the newest row's ``cols`` (``latest``) and the group size (``n``).
+
+    One group-by with ``max_by`` and ``count``, both partially aggregated
+    map-side, so a hot group is combined before the shuffle and never
+    collected whole. ``tiebreak`` orders rows with equal ``ts``.
+    """
+    order = F.struct(F.col(ts), F.col(tiebreak)) if tiebreak else F.col(ts)
+    return df.groupBy(*keys).agg(
+        F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("latest"),
+        F.count(F.lit(1)).alias("n"),
+    )

@@ -242,3 +242,22 @@ def render_markdown(summary_rows, matrix_rows) -> str:
             f"| {r['service']} | {r['total']} | {r['passed']} | {r['denied']} | {r['not_tested']} | {r['skipped']} | {r['error']} | {r['verdict']} |"
         )
     return "\n".join(out) + "\n"
+
+
+def as_check_result(outcomes: DataFrame) -> DataFrame:
+    """One nested check result per row —
+    ``{service, permission, status, message, error_code, data{count, sample, details}}``."""
+    return outcomes.select(
+        F.struct(
+            "service",
+            "permission",
+            "status",
+            "message",
+            F.col("result_error_code").alias("error_code"),
+            F.struct(
+                F.col("data_count").alias("count"),
+                F.lit(None).cast("string").alias("sample"),
+                F.col("details").alias("details"),
+            ).alias("data"),
+        ).alias("result")
+    )
