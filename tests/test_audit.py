@@ -209,3 +209,11 @@ def test_sequence_ids_hot_key_spread(spark):
     assert ids == list(range(1, 3001))
     hot = out.filter(F.col("k") == 7).select(F.spark_partition_id().alias("p")).distinct().count()
     assert hot > 1
+
+
+def test_stamp_modified_touches_only_updated_rows(spark, housing):
+    from veilgrid.operators.audit import stamp_modified
+
+    out = {r.cmid: (str(r.modified_dt), r.modified_by) for r in stamp_modified(housing, F.col("cmid") == "000000002", T1, "editor").collect()}
+    assert out["000000002"] == ("2024-01-02 09:30:00", "editor")
+    assert out["000000001"] == ("2024-01-01 00:00:00", "loader")

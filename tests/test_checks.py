@@ -119,3 +119,14 @@ def test_preview_and_count(spark):
     rows = preview(df.union(spark.createDataFrame([("FL000", None, None)], df.schema)), 2, ["flight_id"]).collect()
     assert [tuple(r) for r in rows] == [("FL000", "NULL", "NULL"), ("FL001", "450.50", "90")]
     assert row_count(df).first().row_count == 5
+
+
+def test_check_restricted_lists_exposed_columns(spark):
+    from veilgrid.operators.checks import check_restricted
+
+    df = spark.createDataFrame(
+        [("RESTRICTED", ["a", "speed_knots"], ["speed_knots", "heading_degrees"]), ("RESTRICTED", ["a"], ["speed_knots"])],
+        "expected_access string, columns array<string>, restricted array<string>",
+    )
+    got = [(r.status, r.exposed) for r in check_restricted(df).collect()]
+    assert got == [("UNEXPECTED", ["speed_knots"]), ("CORRECT", [])]

@@ -109,3 +109,24 @@ def test_governor_rejects_bad_names(spark):
     with pytest.raises(ValueError):
         Governor(spark, {"no_db_part": spark.range(1)}, grants_frame(spark, []), roles=[])
     assert F  # keep import used
+
+
+def test_permissions_frame_counts(spark):
+    from veilgrid.sources.permissions import permissions_frame
+
+    pairs = permissions_frame(spark, {"s3": ["ListBuckets", "GetObject"], "kms": ["ListKeys"]})
+    assert tuple(counts(pairs).first()) == (3, 2)
+
+
+def test_report_sink_writes_every_section(spark, tmp_dir):
+    from veilgrid.operators.report import classify_outcomes, code_classes, report_tables, write_report
+
+    log = spark.createDataFrame(
+        [("s3", "ListBuckets", None, None, None), ("s3", "GetObject", "AccessDenied", "no", None), ("ec2", "PutItem", None, None, None)],
+        "service string, permission string, error_code string, error_message string, response map<string, array<string>>",
+    )
+    tables = report_tables(classify_outcomes(log, code_classes(spark)))
+    text = write_report(tables, f"{tmp_dir}/report")
+    assert "| DENIED | 1 | 33% |" in text
+    assert spark.read.parquet(f"{tmp_dir}/report/verdict").first().exit_code == 1
+    assert os.path.exists(f"{tmp_dir}/report/report.md")

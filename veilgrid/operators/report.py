@@ -8,6 +8,8 @@ over small aggregates (``render_markdown``).
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -261,3 +263,31 @@ def as_check_result(outcomes: DataFrame) -> DataFrame:
             ).alias("data"),
         ).alias("result")
     )
+
+
+def report_tables(outcomes: DataFrame, denied_lookup: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every report section as a DataFrame (nothing is collected here)."""
+    out = {
+        "summary": summary(outcomes),
+        "service_matrix": service_matrix(outcomes),
+        "sections": sections(outcomes),
+        "detail": detail_table(outcomes).select("service", "permission", "short_status", "detail_text"),
+        "verdict": run_verdict(outcomes),
+    }
+    if denied_lookup is not None:
+        out["denied"] = denied_lookup
+    return out
+
+
+def write_report(tables: dict[str, DataFrame], path: str, markdown_name: str = "report.md") -> str:
+    """S18 sink: each section written as Parquet under ``path/<section>`` (distributed writes);
+    the Markdown text is rendered on the driver from the two small aggregated sections only."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+    text = render_markdown(tables["summary"].collect(), tables["service_matrix"].collect())
+    if "://" not in path or path.startswith("file://"):
+        local = path.removeprefix("file://")
+        os.makedirs(local, exist_ok=True)
+        with open(os.path.join(local, markdown_name), "w", encoding="utf-8") as fh:
+            fh.write(text)
+    return text

@@ -11,7 +11,7 @@ from veilgrid.functions.joins import broadcast_if_small
 from veilgrid.functions.scalars import categorize, like
 from veilgrid.operators.access import hidden_columns
 from veilgrid.operators.checks import compare_roles, preview, restricted_status, visible_fraction
-from veilgrid.plans.policy import RESTRICTED, ROLES, governor
+from veilgrid.plans.policy import RESTRICTED, governor
 
 PRICE_THRESHOLD = 50000.0
 
@@ -112,10 +112,6 @@ def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def role_list() -> tuple[str, ...]:
-    return ROLES
-
-
 QUERIES = {
     "governed_lineitem_ops_viewer": ops_viewer_lineitem,
     "governed_customer_like_sales_viewer": sales_viewer_customers_like,

@@ -1,4 +1,4 @@
-"""Sinks (S11, S12, S18, S19)."""
+"""Sinks (S11, S12, S19); the report sink (S18) is ``operators.report.write_report``."""
 
 from __future__ import annotations
 
@@ -36,12 +36,6 @@ def export_csv(df: DataFrame, base: str, database: str, table: str, ts: str, ord
     return path
 
 
-def report_tables(sections: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """The report is a set of DataFrames, one per section; text is rendered last, on the driver,
-    from small aggregated sections only."""
-    return dict(sections)
-
-
 def dataset_view(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """A typed column list over one table (a view, not a copy): ``{column: type}``.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 
 DRIVER_TABLES = (
@@ -34,7 +32,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
         if df.rdd.getNumPartitions() < slots:
             df = df.repartition(slots)
     return df
-
-
-def read_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] = DRIVER_TABLES) -> dict[str, DataFrame]:
-    return {n: read_table(spark, sf_dir, n) for n in names}
