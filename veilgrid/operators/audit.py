@@ -281,10 +281,15 @@ def audit_rows(
     o = old.select(*keys, F.struct(*[F.col(c) for c in old.columns]).alias("o"))
     n = new.select(*keys, F.struct(*[F.col(c) for c in new.columns]).alias("n"))
     pairs = o.join(n, list(keys), "inner")
+    if order_by:
+        # Range-sorting here also serves the key check below: range partitioning on
+        # the keys keeps equal keys together, so that window adds no shuffle.
+        pairs = pairs.orderBy(*order_by)
     if check_keys:
-        # The sort-merge join's output is already hash-partitioned and sorted on the
-        # keys, so this count needs no extra shuffle or sort. A key repeated on
-        # either side shows up as more than one joined row and fails the job.
+        # The input is already clustered on the keys (the range sort above, or the
+        # sort-merge join's hash partitioning), so this count needs no extra
+        # shuffle. A key repeated on either side shows up as more than one joined
+        # row and fails the job.
         from pyspark.sql.window import Window
 
         dup = F.count(F.lit(1)).over(Window.partitionBy(*keys))
@@ -294,8 +299,6 @@ def audit_rows(
             .filter(F.coalesce(F.when(F.col("_dup") > 1, F.raise_error(msg)).cast("boolean"), F.lit(True)))
             .drop("_dup")
         )
-    if order_by:
-        pairs = pairs.orderBy(*order_by)
     return _audit_from_pair(
         pairs,
         old.columns,
