@@ -37,6 +37,7 @@ def test_outcome_classes_first_match_wins(spark):
         ("kms", "GetKeyPolicy", "SomeParamError", "Parameter validation failed: x", None),
         ("kms", "ListAliases", "Throttling", "slow down", None),
         ("sts", "GetCallerIdentity", None, None, {}),
+        ("sts", "GetSessionToken", None, None, {"ResponseMetadata": ["m"]}),
     ]
     o = detail_table(classify_outcomes(_log(spark, rows), code_classes(spark)))
     got = {r.permission: (r.status, r.message, r.result_error_code, r.details, r.data_count, r.short_status) for r in o.collect()}
@@ -47,7 +48,8 @@ def test_outcome_classes_first_match_wins(spark):
     assert got["DescribeImages"][:2] == ("PASSED", "Permission exists (InvalidParameterValue)")
     assert got["GetKeyPolicy"][:4] == ("NOT_TESTED", "Requires parameters not in mapping", None, "Needs param mapping")
     assert got["ListAliases"][:3] == ("ERROR", "Throttling: slow down", "Throttling")
-    assert got["GetCallerIdentity"][3:5] == ("API call successful", 1)
+    assert got["GetCallerIdentity"][3:5] == ("", 0)  # empty response: defaults kept
+    assert got["GetSessionToken"][3:5] == ("API call successful", 1)  # response without a list
 
 
 def test_largest_list_tie_and_metadata(spark):

@@ -78,12 +78,12 @@ def normalize_event(
 ) -> DataFrame:
     """T5 + P10: flat ``event_id, detail_type, source, event_time, database, table, record_count``.
 
-    The detail struct is used when present; a blank/``None``/``Unknown``
-    database or table falls back to the defaults, a missing count to 3.
+    The detail struct is used when present; a blank or ``None`` database or
+    table falls back to the defaults, a missing count to 3.
     """
     e = F.col("event")
     d = e["detail"]
-    blanks = ("", "None", "Unknown")
+    blanks = ("", "None")
     return df.select(
         "*",
         e["id"].alias("event_id"),
@@ -136,8 +136,8 @@ def notifications(
     cnt = F.coalesce(F.col(count_col), F.lit(0))
     msg = F.format_string(
         "Data Export Completed!\n\nDatabase: %s\nTable: %s\nRecords: %d\nLocation: %s\nTime: %s",
-        default_if_blank(F.col("database"), DEFAULT_DATABASE, ("", "None", "Unknown")),
-        default_if_blank(F.col("table"), DEFAULT_TABLE, ("", "None", "Unknown")),
+        default_if_blank(F.col("database"), DEFAULT_DATABASE, ("Unknown",)),
+        default_if_blank(F.col("table"), DEFAULT_TABLE, ("Unknown",)),
         cnt,
         loc,
         F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),

@@ -108,7 +108,9 @@ def classify_outcomes(log: DataFrame, classes: DataFrame) -> DataFrame:
 
     Order: not read-only → SKIPPED; no error → PASSED; denied code → DENIED;
     not-found code → PASSED; bad-input code → PASSED; parameter-validation
-    text → NOT_TESTED; anything else → ERROR.
+    text → NOT_TESTED; anything else → ERROR. A passed call's details: the
+    largest list of a non-empty response ("n key"), "API call successful" (1)
+    when it has no list, and "" (0) when the response is empty or missing.
     """
     c = log.join(broadcast_if_small(classes.withColumnRenamed("code", "error_code")), "error_code", "left")
     code, msg, cls = F.col("error_code"), F.coalesce(F.col("error_message"), F.lit("")), F.col("code_class")
@@ -135,8 +137,11 @@ def classify_outcomes(log: DataFrame, classes: DataFrame) -> DataFrame:
         .when(param_text, F.lit("Requires parameters not in mapping"))
         .otherwise(F.format_string("%s: %s", code, msg))
     )
+    # Details come from a non-empty response only; an empty or missing one keeps the defaults ("" / 0).
+    has_response = F.coalesce(F.size(F.col("response")) > 0, F.lit(False))
     details = (
         F.when(~readonly, F.lit(""))
+        .when(ok_call & ~has_response, F.lit(""))
         .when(ok_call & main.isNotNull(), F.format_string("%d %s", main["n"], F.lower(main["key"])))
         .when(ok_call, F.lit("API call successful"))
         .when(cls == "denied", F.lit(""))
@@ -145,7 +150,7 @@ def classify_outcomes(log: DataFrame, classes: DataFrame) -> DataFrame:
         .when(param_text, F.lit("Needs param mapping"))
         .otherwise(F.lit(""))
     )
-    count = F.when(readonly & ok_call, F.coalesce(main["n"], F.lit(1))).otherwise(F.lit(0))
+    count = F.when(readonly & ok_call & has_response, F.coalesce(main["n"], F.lit(1))).otherwise(F.lit(0))
     return (
         c.withColumn("status", status)
         .withColumn("message", message)
