@@ -130,3 +130,23 @@ def test_check_restricted_lists_exposed_columns(spark):
     )
     got = [(r.status, r.exposed) for r in check_restricted(df).collect()]
     assert got == [("UNEXPECTED", ["speed_knots"]), ("CORRECT", [])]
+
+
+def test_access_matrix_five_roles_eight_pairs(spark):
+    """The verification matrix of SURVEY §5: 5 roles, 8 role × database pairs, one test table per database."""
+    _, _, eff = _effective(spark)
+    dbs = ["flightradar_db", "aeronav_db", "aeroweather_db", "aerotraffic_db"]
+    expectations = spark.createDataFrame(
+        [("DataScientist", dbs, "FULL")] + [(r, [d], "RESTRICTED") for r, d in zip(ROLES[1:], dbs, strict=True)],
+        "role string, databases array<string>, expected_access string",
+    )
+    test_tables = {"radar_detections", "navigation_waypoints", "weather_observations", "air_traffic_control"}
+    restricted = spark.createDataFrame(
+        [(t.split(".")[0], t.split(".")[1], list(h)) for t, (_, h) in POLICY.items()],
+        "database string, table string, restricted array<string>",
+    )
+    m = access_matrix(expectations, eff, restricted).filter(F.col("table").isin(*test_tables))
+    got = sorted((r.role, r.database, r.status) for r in m.collect())
+    assert len(got) == 8
+    assert [s for r, _, s in got if r == "DataScientist"] == ["EXPECTED"] * 4
+    assert all(s == "CORRECT" for r, _, s in got if r != "DataScientist")
