@@ -127,15 +127,20 @@ class EventPipeline:
         n = normalize_event(batch, *self.defaults)
         if self.quality_rules:
             n = quality_gate(n, self.quality_rules)
-            n.filter(~F.col("accepted")).select("event_id", "failed_rules", "value").write.mode("overwrite").parquet(
-                f"{self.out}/rejected/batch_id={epoch}"
-            )
-            n = n.filter(F.col("accepted"))
-        n = n.withColumn(
+        cached = n.withColumn(
             "export_location",
             export_path(self.export_base, F.col("database"), F.col("table"), F.col("event_time")),
         ).persist()
+        n = cached
         try:
+            # The batch that only advances the watermark (state eviction) has no rows: write nothing.
+            if n.isEmpty():
+                return
+            if self.quality_rules:
+                n.filter(~F.col("accepted")).select("event_id", "failed_rules", "value").write.mode("overwrite").parquet(
+                    f"{self.out}/rejected/batch_id={epoch}"
+                )
+                n = n.filter(F.col("accepted"))
             # The newly arrived records, one CSV folder per (database, table), one distributed write.
             (
                 n.select("database", "table", "event_id", "detail_type", "event_time", "record_count")
@@ -152,7 +157,7 @@ class EventPipeline:
                 "overwrite"
             ).parquet(f"{self.out}/notifications/batch_id={epoch}")
         finally:
-            n.unpersist()
+            cached.unpersist()
 
 
 def write_and_publish(
