@@ -117,3 +117,15 @@ def test_write_and_publish(spark, tmp_dir):
         fh.write("x")
     bad = write_and_publish(df, f"{blocked}/t", f"{tmp_dir}/bus2", database="d", table="t", event_id="w2", now="2024-01-01 12:00:00")
     assert not bad["written"] and not bad["published"] and not os.path.exists(f"{tmp_dir}/bus2")
+
+
+def test_streaming_quality_gate_rejects(spark, tmp_dir):
+    bus, out, ckpt = (os.path.join(tmp_dir, x) for x in ("a", "out", "ckpt"))
+    lines = [_line(f"q{i}", count=i % 3) for i in range(9)]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(bus)
+    pipe = EventPipeline(spark, [bus], out, ckpt, {"direct": RULE}, quality_rules={"has_records": F.col("record_count") > 0})
+    pipe.start().awaitTermination()
+    rejected = sorted(r.event_id for r in spark.read.parquet(f"{out}/rejected").collect())
+    noted = sorted(r.event_id for r in spark.read.parquet(f"{out}/notifications").collect())
+    assert rejected == ["q0", "q3", "q6"]
+    assert noted == sorted(f"q{i}" for i in range(9) if i % 3)
