@@ -179,3 +179,11 @@ def test_latest_per_group_and_check_result(spark):
     o = classify_outcomes(_log(spark, [("s3", "ListBuckets", None, None, {"Buckets": ["a"]})]), code_classes(spark))
     r = as_check_result(o).first().result
     assert (r.service, r.status, r.error_code, r.data["count"], r.data.details) == ("s3", "PASSED", None, 1, "1 buckets")
+
+
+def test_audit_lookup_nulls_never_match(spark):
+    base = datetime(2024, 1, 1, 12)
+    audit = spark.createDataFrame([(1, None, base), (2, 5, None), (3, 5, base)], "aid long, k long, at timestamp_ntz")
+    probes = spark.createDataFrame([(10, None, base), (11, 5, None), (12, 5, base)], "pid long, k long, t timestamp_ntz")
+    got = {r.pid: (r.ct_count, r.ct_latest_id, r.ct_message) for r in audit_lookup(probes, audit, key="k", probe_ts="t", audit_ts="at", audit_id="aid").collect()}
+    assert got == {10: (0, None, "No recent events"), 11: (0, None, "No recent events"), 12: (1, 3, "1 events in last 60min")}

@@ -84,7 +84,9 @@ def audit_lookup(
     """
     width = minutes * 60 * 1_000_000 // split
     a_us = _micros(audit, audit_ts)
-    a = audit.select(
+    # SQL equality and BETWEEN never match NULL: such audit rows can be dropped up front, and a
+    # probe with a NULL key or time then finds no event in its partition (count 0).
+    a = audit.filter(F.col(key).isNotNull() & F.col(audit_ts).isNotNull()).select(
         F.col(key).alias("_k"),
         F.col(audit_ts).alias("_ts"),
         a_us.alias("_us"),
