@@ -150,3 +150,27 @@ def test_access_matrix_five_roles_eight_pairs(spark):
     assert len(got) == 8
     assert [s for r, _, s in got if r == "DataScientist"] == ["EXPECTED"] * 4
     assert all(s == "CORRECT" for r, _, s in got if r != "DataScientist")
+
+
+def test_run_scenarios_like_the_demo(spark):
+    from veilgrid.operators.access import Governor
+    from veilgrid.operators.checks import run_scenarios
+
+    tables = fixture_tables(spark)
+    gov = Governor(spark, tables, grants_frame(spark, policy_rows(tables)), roles=ROLES)
+    t = "{radar_detections}"
+    scenarios = [
+        ("all_ds", "DataScientist", f"SELECT * FROM {t} LIMIT 2"),
+        ("all_viewer", "FlightRadarViewer", f"SELECT * FROM {t} LIMIT 2"),
+        ("cols_viewer", "FlightRadarViewer", f"SELECT flight_id, altitude_feet FROM {t}"),
+        ("hidden_viewer", "FlightRadarViewer", f"SELECT flight_id, speed_knots FROM {t}"),
+        ("other_db", "FlightRadarViewer", "SELECT * FROM {navigation_waypoints} LIMIT 2"),
+    ]
+    restricted = {n: ["speed_knots", "heading_degrees"] for n, _, _ in scenarios}
+    access = {"DataScientist": "FULL", "FlightRadarViewer": "RESTRICTED"}
+    got = {r.name: (r.success, r.n_columns, r.row_count, r.status) for r in run_scenarios(gov, scenarios, access, restricted).collect()}
+    assert got["all_ds"] == (True, 13, 2, "EXPECTED")
+    assert got["all_viewer"] == (True, 11, 2, "CORRECT")
+    assert got["cols_viewer"] == (True, 2, 5, "CORRECT")
+    assert got["hidden_viewer"][0] is False and got["hidden_viewer"][3] == "EXPECTED_DENIAL"
+    assert got["other_db"][0] is False and got["other_db"][3] == "FAILURE"

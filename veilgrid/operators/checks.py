@@ -154,3 +154,45 @@ def preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     types = dict(df.dtypes)
     top = df.orderBy(*[F.col(c).asc_nulls_last() for c in order_by]).limit(n)
     return top.select(*[format_cell(c, types[c]).alias(c) for c in df.columns])
+
+
+def run_scenarios(gov, scenarios, expected_access, restricted) -> DataFrame:
+    """E1 end to end: run ``(name, role, sql)`` scenarios through a ``Governor``.
+
+    For each scenario: success → the columns returned, the row count and the
+    V2 status against the role's expected access (``expected_access: role →
+    FULL/RESTRICTED``) and the hidden list of the scenario's table
+    (``restricted: name → columns``); failure → the error text and its V7
+    class (EXPECTED_DENIAL when a restricted role named a hidden column).
+    The scenario list is configuration; each query runs as its own Spark job
+    and only its schema, a row count and the error text reach the driver.
+    """
+    from veilgrid.operators.access import AccessDenied
+
+    rows = []
+    for name, role, sql in scenarios:
+        hidden = list(restricted.get(name, ()))
+        try:
+            df = gov.sql(role, sql)
+            cols = df.columns
+            rows.append((name, role, sql, True, cols, df.count(), None, hidden))
+        except AccessDenied as e:
+            rows.append((name, role, sql, False, None, None, str(e), hidden))
+    spark = gov.spark
+    out = spark.createDataFrame(
+        rows,
+        "name string, role string, sql string, success boolean, columns array<string>, row_count long, "
+        "error string, hidden array<string>",
+    )
+    access = spark.createDataFrame(list(expected_access.items()), "role string, expected_access string")
+    out = out.join(broadcast_if_small(access), "role", "left")
+    # V7 with the scenario's own hidden list (the full list, not a fixed keyword list).
+    names_hidden = F.coalesce(
+        F.exists(F.col("hidden"), lambda h: F.instr(F.lower(F.col("error")), F.lower(h)) > 0), F.lit(False)
+    )
+    status = (
+        F.when(F.col("success"), restricted_status(F.col("expected_access"), F.col("columns"), F.col("hidden")))
+        .when((F.col("expected_access") == "RESTRICTED") & names_hidden, F.lit("EXPECTED_DENIAL"))
+        .otherwise(F.lit("FAILURE"))
+    )
+    return out.withColumn("status", status).withColumn("n_columns", F.size("columns"))
