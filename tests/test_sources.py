@@ -130,3 +130,16 @@ def test_report_sink_writes_every_section(spark, tmp_dir):
     assert "| DENIED | 1 | 33% |" in text
     assert spark.read.parquet(f"{tmp_dir}/report/verdict").first().exit_code == 1
     assert os.path.exists(f"{tmp_dir}/report/report.md")
+
+
+def test_load_permissions_yaml(spark, tmp_dir):
+    from veilgrid.sources.permissions import load_config
+
+    p = f"{tmp_dir}/perms.yaml"
+    with open(p, "w") as fh:
+        fh.write("config:\n  region: local-1\n  check_cloudtrail: false\n\npermissions:\n  acm:\n    - ListCertificates\n  s3:\n    # a comment\n    - ListBuckets\n    - GetBucketPolicy\n")
+    pairs, missing = load_permissions(spark, p, ["s3", "athena"])
+    assert sorted(r.permission for r in pairs.collect()) == ["GetBucketPolicy", "ListBuckets"]
+    assert [r.service for r in missing.collect()] == ["athena"]
+    assert load_config(spark, p) == {"region": "local-1", "check_cloudtrail": False}
+    assert tuple(counts(load_permissions(spark, p)[0]).first()) == (3, 2)

@@ -11,16 +11,41 @@ from pyspark.sql import functions as F
 from veilgrid.functions.joins import broadcast_if_small
 
 
+def _config_text(spark: SparkSession, path: str) -> str:
+    """The whole text of a small configuration file, read through Spark (local or remote path)."""
+    row = spark.read.text(path, wholetext=True).first()
+    return row["value"] if row else ""
+
+
+def load_config(spark: SparkSession, path: str) -> dict:
+    """The ``config`` section of a JSON or YAML permission file (region, profile, description, …)."""
+    data = _parse(path, _config_text(spark, path))
+    return dict(data.get("config") or {})
+
+
+def _parse(path: str, text: str) -> dict:
+    if path.endswith((".yaml", ".yml")):
+        import yaml  # configuration only; gated so JSON works without it
+
+        return yaml.safe_load(text) or {}
+    return json.loads(text) if text.strip() else {}
+
+
 def load_permissions(spark: SparkSession, path: str, services: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Read ``{"permissions": {service: [actions]}}`` (or a bare map) from a JSON file.
+    """Read ``{"permissions": {service: [actions]}}`` (or a bare map) from a JSON or YAML file.
 
     Returns ``(pairs, missing)``: one row per (service, permission) — for the
     chosen ``services`` when given — and the requested services that the file
-    does not list (anti join), which the caller reports as a warning.
+    does not list (anti join), which the caller reports as a warning. The file
+    is configuration (hundreds of entries): its text is parsed once and the
+    pairs are exploded by Spark.
     """
-    raw = spark.read.option("multiLine", True).text(path, wholetext=True)
-    body = F.coalesce(F.get_json_object("value", "$.permissions"), F.col("value"))
-    m = raw.select(F.from_json(body, "map<string, array<string>>").alias("m"))
+    data = _parse(path, _config_text(spark, path))
+    mapping = data.get("permissions", data) if isinstance(data, dict) else {}
+    mapping = {k: list(v or []) for k, v in mapping.items() if k != "config"}
+    m = spark.createDataFrame([(json.dumps(mapping),)], "value string").select(
+        F.from_json("value", "map<string, array<string>>").alias("m")
+    )
     per_service = m.select(F.explode("m").alias("service", "actions"))
     pairs = per_service.select("service", F.explode("actions").alias("permission"))
     if services is None:
