@@ -143,3 +143,21 @@ def test_load_permissions_yaml(spark, tmp_dir):
     assert [r.service for r in missing.collect()] == ["athena"]
     assert load_config(spark, p) == {"region": "local-1", "check_cloudtrail": False}
     assert tuple(counts(load_permissions(spark, p)[0]).first()) == (3, 2)
+
+
+def test_load_patterns_then_expand(spark, tmp_dir):
+    from veilgrid.operators.lookup import expand_patterns
+    from veilgrid.sources.permissions import load_patterns, permissions_frame
+
+    p = f"{tmp_dir}/patterns.tsv"
+    with open(p, "w") as fh:
+        fh.write("ec2\tDescribe*\ns3\tListBuckets\nkms\tList*\n")
+    pats = load_patterns(spark, p)
+    actions = permissions_frame(spark, {"ec2": ["DescribeInstances", "RunInstances"], "s3": ["ListBuckets", "ListObjects"], "kms": ["ListKeys", "ListAliases"]})
+    got = sorted((r.service, r.pattern, r.permission) for r in expand_patterns(actions, pats).collect())
+    assert got == [
+        ("ec2", "Describe*", "DescribeInstances"),
+        ("kms", "List*", "ListAliases"),
+        ("kms", "List*", "ListKeys"),
+        ("s3", "ListBuckets", "ListBuckets"),
+    ]

@@ -66,3 +66,14 @@ def permissions_frame(spark: SparkSession, mapping: dict[str, list[str]]) -> Dat
 def counts(pairs: DataFrame) -> DataFrame:
     """Number of permissions and services."""
     return pairs.agg(F.count(F.lit(1)).alias("n_permissions"), F.count_distinct("service").alias("n_services"))
+
+
+def load_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """P12 input: ``service<TAB>pattern`` lines (``*`` is the wildcard) → ``(service, pattern)``."""
+    return (
+        spark.read.option("sep", "\t")
+        .option("comment", "#")
+        .schema("service string, pattern string")
+        .csv(path)
+        .filter(F.col("service").isNotNull() & F.col("pattern").isNotNull())
+    )
