@@ -217,3 +217,11 @@ def test_stamp_modified_touches_only_updated_rows(spark, housing):
     out = {r.cmid: (str(r.modified_dt), r.modified_by) for r in stamp_modified(housing, F.col("cmid") == "000000002", T1, "editor").collect()}
     assert out["000000002"] == ("2024-01-02 09:30:00", "editor")
     assert out["000000001"] == ("2024-01-01 00:00:00", "loader")
+
+
+def test_assert_unique_keys(spark):
+    from veilgrid.operators.audit import assert_unique_keys
+
+    assert_unique_keys(spark.createDataFrame([(1,), (2,)], "k int"), ["k"])
+    with pytest.raises(ValueError, match="duplicate key"):
+        assert_unique_keys(spark.createDataFrame([(1,), (1,)], "k int"), ["k"])
