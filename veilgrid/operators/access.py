@@ -9,6 +9,7 @@ hidden columns from the Parquet ``ReadSchema`` and they are never read.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -330,8 +331,6 @@ class Governor:
         (SELECT, WHERE, ORDER BY, expressions) is unresolved and becomes
         ``AccessDenied``; a table that is not granted is denied as well.
         """
-        import string
-
         views: dict[str, DataFrame] = {}
         for _, name, _, _ in string.Formatter().parse(query):
             if not name or name in args or name in views:
