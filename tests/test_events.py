@@ -129,3 +129,15 @@ def test_streaming_quality_gate_rejects(spark, tmp_dir):
     noted = sorted(r.event_id for r in spark.read.parquet(f"{out}/notifications").collect())
     assert rejected == ["q0", "q3", "q6"]
     assert noted == sorted(f"q{i}" for i in range(9) if i % 3)
+
+
+def test_retried_epoch_replaces_its_output(spark, tmp_dir):
+    """A micro-batch that is run again (task retry, restart) overwrites its own output."""
+    out = os.path.join(tmp_dir, "out")
+    pipe = EventPipeline(spark, [os.path.join(tmp_dir, "unused")], out, os.path.join(tmp_dir, "ckpt"), {"direct": RULE})
+    batch = route_events(valid_events(_f9(spark)), {"direct": RULE}).drop("rule").dropDuplicates(["value"])
+    pipe._process_batch(batch, 7)
+    pipe._process_batch(batch, 7)
+    notes = spark.read.parquet(f"{out}/notifications")
+    assert notes.count() == batch.count() == 2
+    assert {r.batch_id for r in notes.select("batch_id").collect()} == {7}

@@ -28,7 +28,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
+        try:
+            slots = spark.sparkContext.defaultParallelism
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 — no RDD access (e.g. a remote client): leave the scan as is
+            return df
+        if splits < slots:
             df = df.repartition(slots)
     return df
