@@ -27,9 +27,12 @@ from pyspark.sql.window import Window
 
 from veilgrid.functions.scalars import distinct_from
 
+# Fixed values of the audit: meta columns, the default process step, the
+# optional id columns and the action code.
 META_COLUMNS = ("created_dt", "created_by", "modified_dt", "modified_by")
 DEFAULT_STEP = "3-Normalize"
 ID_COLUMNS = ("cmid", "pnum")
+ACTION_UPDATE = "UPDATE"
 
 # Fixed length limits of the audit log (varchar(n) there; longer values are
 # an error, not cut).
@@ -254,7 +257,7 @@ def audit_update(
         id_cols=id_cols,
         carry=list(keys),
         snapshots=snapshots,
-        action="UPDATE",
+        action=ACTION_UPDATE,
     )
 
 
@@ -311,7 +314,7 @@ def audit_rows(
         id_cols=id_cols,
         carry=list(keys),
         snapshots=snapshots,
-        action="UPDATE",
+        action=ACTION_UPDATE,
     )
 
 

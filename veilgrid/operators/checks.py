@@ -15,8 +15,11 @@ from veilgrid.functions.joins import broadcast_if_small
 from veilgrid.functions.scalars import contains_any, format_cell
 from veilgrid.operators.access import AccessDenied
 
-# Fixed status words of the reports.
+# Fixed words of the reports.
 FOUND, MISSING = "Found", "Missing"
+# V2: full-access role sees a restricted column / sees none; restricted role sees none / sees one.
+EXPECTED, NOTE, CORRECT, UNEXPECTED = "EXPECTED", "NOTE", "CORRECT", "UNEXPECTED"
+FULL_ACCESS, RESTRICTED_ACCESS, CANNOT_SEE = "Full access", "Restricted", "Cannot see "
 
 
 def check_column_counts(actual: DataFrame, expected: DataFrame) -> DataFrame:
@@ -36,10 +39,10 @@ def restricted_status(expected_access: Column, visible: Column, restricted: Colu
     """V2: CORRECT / UNEXPECTED for restricted roles; EXPECTED / NOTE for full-access roles."""
     has = F.coalesce(F.arrays_overlap(visible, restricted), F.lit(False))
     return (
-        F.when((expected_access == "FULL") & has, F.lit("EXPECTED"))
-        .when(expected_access == "FULL", F.lit("NOTE"))
-        .when(has, F.lit("UNEXPECTED"))
-        .otherwise(F.lit("CORRECT"))
+        F.when((expected_access == "FULL") & has, F.lit(EXPECTED))
+        .when(expected_access == "FULL", F.lit(NOTE))
+        .when(has, F.lit(UNEXPECTED))
+        .otherwise(F.lit(CORRECT))
     )
 
 
@@ -129,9 +132,9 @@ def compare_roles(hidden_frame: DataFrame) -> DataFrame:
     return hidden_frame.select(
         "*",
         F.col("n_visible").alias("column_count"),
-        F.when(F.size("hidden") == 0, F.lit("Full access")).otherwise(F.lit("Restricted")).alias("access_level"),
+        F.when(F.size("hidden") == 0, F.lit(FULL_ACCESS)).otherwise(F.lit(RESTRICTED_ACCESS)).alias("access_level"),
         F.when(F.size("hidden") == 0, F.lit("none"))
-        .otherwise(F.concat(F.lit("Cannot see "), F.array_join("hidden", ", ")))
+        .otherwise(F.concat(F.lit(CANNOT_SEE), F.array_join("hidden", ", ")))
         .alias("restrictions"),
     )
 

@@ -19,11 +19,19 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions.scalars import default_if_blank
 
-# Fixed fallback values when an event names no database/table/count.
+# Fallbacks when an event names no database/table/count, the
+# required envelope fields, the export key and timestamp format, the archive
+# status, and the notification text (ours, without a product name).
 DEFAULT_DATABASE = "aeronav_db"
 DEFAULT_TABLE = "navigation_waypoints"
 DEFAULT_RECORD_COUNT = 3
 REQUIRED_FIELDS = ("id", "detail-type", "source", "time")
+EXPORT_KEY = "{base}/exported-data/%s/%s/export_%s.csv"
+EXPORT_STAMP = "yyyyMMdd_HHmmss"
+ARCHIVE_STATUS = "completed"
+NOTIFY_SUBJECT = "Data Export Completed"
+NOTIFY_TEXT = "Data Export Completed!\n\nDatabase: %s\nTable: %s\nRecords: %d\nLocation: %s\nTime: %s"
+NO_LOCATION = "Not available"
 
 
 def _field(path: str) -> Column:
@@ -113,14 +121,12 @@ def quality_gate(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def export_path(base: str, database: Column, table: Column, ts: Column) -> Column:
     """S12 key: ``{base}/exported-data/{db}/{table}/export_{yyyyMMdd_HHmmss}.csv``."""
-    return F.format_string(
-        f"{base}/exported-data/%s/%s/export_%s.csv", database, table, F.date_format(ts, "yyyyMMdd_HHmmss")
-    )
+    return F.format_string(EXPORT_KEY.format(base=base), database, table, F.date_format(ts, EXPORT_STAMP))
 
 
 def archive(df: DataFrame, now: Column, count_col: str = "record_count") -> DataFrame:
     """T10 + P8: events with ``record_count > 0`` become archive records; others are skipped."""
-    return df.filter(F.col(count_col) > 0).withColumn("archive_status", F.lit("completed")).withColumn(
+    return df.filter(F.col(count_col) > 0).withColumn("archive_status", F.lit(ARCHIVE_STATUS)).withColumn(
         "archived_at", now
     )
 
@@ -132,17 +138,17 @@ def notifications(
     count_col: str = "record_count",
 ) -> DataFrame:
     """Notification text per processed event (sending mail is not built)."""
-    loc = F.coalesce(F.col(location_col), F.lit("Not available"))
+    loc = F.coalesce(F.col(location_col), F.lit(NO_LOCATION))
     cnt = F.coalesce(F.col(count_col), F.lit(0))
     msg = F.format_string(
-        "Data Export Completed!\n\nDatabase: %s\nTable: %s\nRecords: %d\nLocation: %s\nTime: %s",
+        NOTIFY_TEXT,
         default_if_blank(F.col("database"), DEFAULT_DATABASE, ("Unknown",)),
         default_if_blank(F.col("table"), DEFAULT_TABLE, ("Unknown",)),
         cnt,
         loc,
         F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
     )
-    return df.withColumn("subject", F.lit("Data Export Completed")).withColumn("message", msg)
+    return df.withColumn("subject", F.lit(NOTIFY_SUBJECT)).withColumn("message", msg)
 
 
 def dead_letters(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:

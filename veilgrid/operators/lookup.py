@@ -17,6 +17,10 @@ from pyspark.sql.window import Window
 
 from veilgrid.functions.joins import broadcast_if_small
 
+# Fixed texts of the audit look-up ("%d events in last %dmin" with count and minutes).
+MSG_EVENTS = "%d events in last {minutes}min"
+MSG_NO_EVENTS = "No recent events"
+
 # ---------------------------------------------------------------- J3, J4
 
 
@@ -139,8 +143,8 @@ def audit_lookup(
     )
     return out.withColumn(
         f"{prefix}message",
-        F.when(F.col(f"{prefix}count") > 0, F.format_string(f"%d events in last {minutes}min", F.col(f"{prefix}count")))
-        .otherwise(F.lit("No recent events")),
+        F.when(F.col(f"{prefix}count") > 0, F.format_string(MSG_EVENTS.format(minutes=minutes), F.col(f"{prefix}count")))
+        .otherwise(F.lit(MSG_NO_EVENTS)),
     )
 
 

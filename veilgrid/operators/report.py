@@ -80,6 +80,16 @@ PARAM_VALIDATION_TEXT = ("Parameter validation failed", "Missing required parame
 # Short status words of the detail table.
 SHORT_STATUS = {"PASSED": "OK", "DENIED": "DENIED", "NOT_TESTED": "N/T", "SKIPPED": "SKIP", "ERROR": "ERR"}
 STATUSES = ("PASSED", "DENIED", "NOT_TESTED", "SKIPPED", "ERROR")
+# Result messages and details per outcome ("%s" is the error code).
+MSG_SKIPPED = "Not a read-only permission (safety check)"
+MSG_PASSED = "Permission validated successfully"
+MSG_NOT_FOUND = "Permission validated (resource not found)"
+MSG_BAD_INPUT = "Permission exists (%s)"
+MSG_NOT_TESTED = "Requires parameters not in mapping"
+DETAIL_NO_LIST = "API call successful"
+DETAIL_NOT_FOUND = "API authorized (%s)"
+DETAIL_BAD_INPUT = "API accessible"
+DETAIL_NOT_TESTED = "Needs param mapping"
 
 
 def code_classes(spark: SparkSession) -> DataFrame:
@@ -129,12 +139,12 @@ def classify_outcomes(log: DataFrame, classes: DataFrame) -> DataFrame:
     )
     main = largest_list(F.col("response"))
     message = (
-        F.when(~readonly, F.lit("Not a read-only permission (safety check)"))
-        .when(ok_call, F.lit("Permission validated successfully"))
+        F.when(~readonly, F.lit(MSG_SKIPPED))
+        .when(ok_call, F.lit(MSG_PASSED))
         .when(cls == "denied", msg)
-        .when(cls == "not_found", F.lit("Permission validated (resource not found)"))
-        .when(cls == "bad_input", F.format_string("Permission exists (%s)", code))
-        .when(param_text, F.lit("Requires parameters not in mapping"))
+        .when(cls == "not_found", F.lit(MSG_NOT_FOUND))
+        .when(cls == "bad_input", F.format_string(MSG_BAD_INPUT, code))
+        .when(param_text, F.lit(MSG_NOT_TESTED))
         .otherwise(F.format_string("%s: %s", code, msg))
     )
     # Details come from a non-empty response only; an empty or missing one keeps the defaults ("" / 0).
@@ -143,11 +153,11 @@ def classify_outcomes(log: DataFrame, classes: DataFrame) -> DataFrame:
         F.when(~readonly, F.lit(""))
         .when(ok_call & ~has_response, F.lit(""))
         .when(ok_call & main.isNotNull(), F.format_string("%d %s", main["n"], F.lower(main["key"])))
-        .when(ok_call, F.lit("API call successful"))
+        .when(ok_call, F.lit(DETAIL_NO_LIST))
         .when(cls == "denied", F.lit(""))
-        .when(cls == "not_found", F.format_string("API authorized (%s)", code))
-        .when(cls == "bad_input", F.lit("API accessible"))
-        .when(param_text, F.lit("Needs param mapping"))
+        .when(cls == "not_found", F.format_string(DETAIL_NOT_FOUND, code))
+        .when(cls == "bad_input", F.lit(DETAIL_BAD_INPUT))
+        .when(param_text, F.lit(DETAIL_NOT_TESTED))
         .otherwise(F.lit(""))
     )
     count = F.when(readonly & ok_call & has_response, F.coalesce(main["n"], F.lit(1))).otherwise(F.lit(0))
