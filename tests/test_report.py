@@ -187,3 +187,18 @@ def test_audit_lookup_nulls_never_match(spark):
     probes = spark.createDataFrame([(10, None, base), (11, 5, None), (12, 5, base)], "pid long, k long, t timestamp_ntz")
     got = {r.pid: (r.ct_count, r.ct_latest_id, r.ct_message) for r in audit_lookup(probes, audit, key="k", probe_ts="t", audit_ts="at", audit_id="aid").collect()}
     assert got == {10: (0, None, "No recent events"), 11: (0, None, "No recent events"), 12: (1, 3, "1 events in last 60min")}
+
+
+def test_identity_and_denied_sections(spark):
+    from veilgrid.operators.report import denied_section, identity_section, report_tables
+
+    ident = spark.createDataFrame(
+        [("000000000000", "arn:aws:sts::000000000000:assumed-role/ReadOnly/session-1", "AROAEXAMPLE:session-1")],
+        "account string, arn string, user_id string",
+    )
+    r = identity_section(ident).first()
+    assert (r.identity_type, r.identity_name) == ("Assumed Role", "ReadOnly")
+    o = classify_outcomes(_log(spark, [("s3", "GetObject", "AccessDenied", "no", None), ("s3", "ListBuckets", None, None, None)]), code_classes(spark))
+    assert [tuple(x) for x in denied_section(o).collect()] == [("s3", "GetObject", "AccessDenied", "N/A")]
+    tables = report_tables(o, identity=ident)
+    assert set(tables) == {"summary", "service_matrix", "denied", "sections", "detail", "verdict", "identity"}

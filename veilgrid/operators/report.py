@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.functions.joins import broadcast_if_small
-from veilgrid.functions.scalars import RESPONSE_METADATA_KEYS, is_readonly, snake_case, truncate
+from veilgrid.functions.scalars import RESPONSE_METADATA_KEYS, identity_name, identity_type, is_readonly, snake_case, truncate
 
 # Fixed values that must equal the reference's for the same classification.
 # Error codes that mean the call was refused.
@@ -90,6 +90,7 @@ DETAIL_NO_LIST = "API call successful"
 DETAIL_NOT_FOUND = "API authorized (%s)"
 DETAIL_BAD_INPUT = "API accessible"
 DETAIL_NOT_TESTED = "Needs param mapping"
+NOT_AVAILABLE = "N/A"
 
 
 def code_classes(spark: SparkSession) -> DataFrame:
@@ -280,17 +281,47 @@ def as_check_result(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def report_tables(outcomes: DataFrame, denied_lookup: DataFrame | None = None) -> dict[str, DataFrame]:
+def identity_section(identity: DataFrame) -> DataFrame:
+    """The caller identity table: account, identity type and name parsed from the ARN, ARN, user id."""
+    return identity.select(
+        "account",
+        identity_type("arn").alias("identity_type"),
+        identity_name("arn").alias("identity_name"),
+        "arn",
+        "user_id",
+    )
+
+
+def denied_section(outcomes: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """The denied checks with their audit-trail text; "N/A" when no look-up was run.
+
+    ``lookup`` is the output of ``audit_lookup`` over the denied rows (keyed by
+    ``event_id``, with ``ct_message``).
+    """
+    denied = outcomes.filter(F.col("status") == "DENIED")
+    base = denied.select("service", "permission", F.coalesce("result_error_code", F.lit(NOT_AVAILABLE)).alias("error_code"))
+    if lookup is None:
+        return base.withColumn("audit_trail", F.lit(NOT_AVAILABLE))
+    return lookup.select(
+        "service", "permission", F.coalesce("error_code", F.lit(NOT_AVAILABLE)).alias("error_code"),
+        F.coalesce("ct_message", F.lit(NOT_AVAILABLE)).alias("audit_trail"),
+    )
+
+
+def report_tables(
+    outcomes: DataFrame, denied_lookup: DataFrame | None = None, identity: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Every report section as a DataFrame (nothing is collected here)."""
     out = {
         "summary": summary(outcomes),
         "service_matrix": service_matrix(outcomes),
+        "denied": denied_section(outcomes, denied_lookup),
         "sections": sections(outcomes),
         "detail": detail_table(outcomes).select("service", "permission", "short_status", "detail_text"),
         "verdict": run_verdict(outcomes),
     }
-    if denied_lookup is not None:
-        out["denied"] = denied_lookup
+    if identity is not None:
+        out["identity"] = identity_section(identity)
     return out
 
 
