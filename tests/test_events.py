@@ -19,7 +19,7 @@ from veilgrid.operators.events import (
     wrap_event,
 )
 from veilgrid.sources.events import parsed_frame, read_events
-from veilgrid.streaming.pipeline import EventPipeline, run_forwarder, write_and_publish
+from veilgrid.streaming.bus import EventConsumer, run_forwarder, write_and_publish
 
 RULE = {"source": ["app.writer"], "detail-type": ["Data Table Updated"], "detail.database": ["aeronav_db"]}
 
@@ -86,7 +86,7 @@ def test_streaming_equals_batch_and_increments(spark, tmp_dir):
     lines += ['{"broken', _line("x1", database="other_db")]
     spark.createDataFrame([(x,) for x in lines[:16]], "value string").coalesce(1).write.text(bus_a)
     run_forwarder(spark, bus_a, bus_b, RULE, f"{ckpt}/fwd").awaitTermination()
-    pipe = EventPipeline(spark, [bus_a, bus_b], out, ckpt, {"direct": RULE}, max_files=1)
+    pipe = EventConsumer(spark, [bus_a, bus_b], out, ckpt, {"direct": RULE}, max_files=1)
     pipe.start_dead_letters().awaitTermination()
     pipe.start().awaitTermination()
     first = {r.event_id for r in spark.read.parquet(f"{out}/notifications").collect()}
@@ -123,7 +123,7 @@ def test_streaming_quality_gate_rejects(spark, tmp_dir):
     bus, out, ckpt = (os.path.join(tmp_dir, x) for x in ("a", "out", "ckpt"))
     lines = [_line(f"q{i}", count=i % 3) for i in range(9)]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(bus)
-    pipe = EventPipeline(spark, [bus], out, ckpt, {"direct": RULE}, quality_rules={"has_records": F.col("record_count") > 0})
+    pipe = EventConsumer(spark, [bus], out, ckpt, {"direct": RULE}, quality_rules={"has_records": F.col("record_count") > 0})
     pipe.start().awaitTermination()
     rejected = sorted(r.event_id for r in spark.read.parquet(f"{out}/rejected").collect())
     noted = sorted(r.event_id for r in spark.read.parquet(f"{out}/notifications").collect())
@@ -134,7 +134,7 @@ def test_streaming_quality_gate_rejects(spark, tmp_dir):
 def test_retried_epoch_replaces_its_output(spark, tmp_dir):
     """A micro-batch that is run again (task retry, restart) overwrites its own output."""
     out = os.path.join(tmp_dir, "out")
-    pipe = EventPipeline(spark, [os.path.join(tmp_dir, "unused")], out, os.path.join(tmp_dir, "ckpt"), {"direct": RULE})
+    pipe = EventConsumer(spark, [os.path.join(tmp_dir, "unused")], out, os.path.join(tmp_dir, "ckpt"), {"direct": RULE})
     batch = route_events(valid_events(_f9(spark)), {"direct": RULE}).drop("rule").dropDuplicates(["value"])
     pipe._process_batch(batch, 7)
     pipe._process_batch(batch, 7)

@@ -32,7 +32,7 @@ from veilgrid.operators.events import (
 from veilgrid.sources.events import envelope, parsed_frame, to_json_text
 from veilgrid.sources.sinks import export_csv
 from veilgrid.sources.tables import read_table
-from veilgrid.streaming.pipeline import EventPipeline, run_forwarder, scratch_root
+from veilgrid.streaming.bus import EventConsumer, run_forwarder, scratch_root
 
 SOURCE = "app.events"
 DATABASES = ("sales_db", "ops_db", "ref_db")
@@ -184,7 +184,7 @@ def events_stream_notifications(spark: SparkSession, sf_dir: str, n_slices: int
     pub = published(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     lo, hi = pub.agg(F.min("ts"), F.max("ts")).first()
     step = (hi - lo) / n_slices
-    pipe = EventPipeline(
+    pipe = EventConsumer(
         spark,
         [bus_a, bus_b],
         out,

@@ -61,7 +61,7 @@ def run_forwarder(
     )
 
 
-class EventPipeline:
+class EventConsumer:
     """The consumer side: dead letters, routing, de-duplication and the per-batch steps."""
 
     def __init__(
