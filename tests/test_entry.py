@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _norm(v):
     if v is None:
-        return None
+        return "∅"
     if isinstance(v, float):
         return "nan" if math.isnan(v) else f"{v:.9g}"
     if hasattr(v, "isoformat"):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions.joins import broadcast_if_small
 from veilgrid.functions.scalars import categorize, like
 from veilgrid.operators.access import hidden_columns
-from veilgrid.operators.checks import compare_roles, preview, restricted_status, visible_fraction
+from veilgrid.operators.checks import compare_roles, preview, restricted_status, run_scenarios, visible_fraction
 from veilgrid.plans.policy import RESTRICTED, governor
 
 PRICE_THRESHOLD = 50000.0
@@ -112,7 +112,36 @@ def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed scenario list (ours): name, role, table the check refers to, SQL over role views.
+SCENARIOS = (
+    ("all_lineitem_scientist", "scientist", "lineitem", "SELECT * FROM {lineitem}"),
+    ("all_lineitem_ops", "ops_viewer", "lineitem", "SELECT * FROM {lineitem}"),
+    ("hidden_select_ops", "ops_viewer", "lineitem", "SELECT l_orderkey, l_discount FROM {lineitem}"),
+    ("hidden_where_sales", "sales_viewer", "customer", "SELECT c_custkey FROM {customer} WHERE c_acctbal > 0"),
+    ("not_granted_sales", "sales_viewer", "lineitem", "SELECT * FROM {lineitem}"),
+    ("hidden_order_part", "part_viewer", "part", "SELECT p_partkey FROM {part} ORDER BY p_retailprice"),
+    ("count_orders_sales", "sales_viewer", "orders", "SELECT COUNT(*) AS n FROM {orders}"),
+)
+
+
+def governed_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (role, SQL) scenario run through the role's views — columns and rows returned,
+    or the denial classified (G7, G8, V2, V7)."""
+    gov = governor(spark, sf_dir)
+    # A scenario is checked against its table's restricted columns, whoever runs it.
+    by_table: dict[str, list[str]] = {}
+    for per_role in RESTRICTED.values():
+        for table, cols in per_role.items():
+            by_table.setdefault(table, []).extend(c for c in cols if c not in by_table.get(table, []))
+    hidden = {name: by_table.get(table, []) for name, _, table, _ in SCENARIOS}
+    access = {role: ("FULL" if role == "scientist" else "RESTRICTED") for _, role, _, _ in SCENARIOS}
+    runs = [(name, role, sql) for name, role, _, sql in SCENARIOS]
+    out = run_scenarios(gov, runs, access, hidden)
+    return out.select("name", "role", "success", F.col("n_columns").cast("int").alias("n_columns"), "row_count", "status")
+
+
 QUERIES = {
+    "governed_scenarios": governed_scenarios,
     "governed_lineitem_ops_viewer": ops_viewer_lineitem,
     "governed_customer_like_sales_viewer": sales_viewer_customers_like,
     "governed_segment_orders_sales_viewer": sales_viewer_segment_orders,
@@ -121,6 +150,16 @@ QUERIES = {
 }
 
 ORACLES = {
+    "governed_scenarios": """
+        SELECT * FROM (VALUES
+            ('all_lineitem_scientist', 'scientist', true, 11, (SELECT COUNT(*) FROM lineitem), 'EXPECTED'),
+            ('all_lineitem_ops', 'ops_viewer', true, 9, (SELECT COUNT(*) FROM lineitem), 'CORRECT'),
+            ('hidden_select_ops', 'ops_viewer', false, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT), 'EXPECTED_DENIAL'),
+            ('hidden_where_sales', 'sales_viewer', false, NULL, NULL, 'EXPECTED_DENIAL'),
+            ('not_granted_sales', 'sales_viewer', false, NULL, NULL, 'FAILURE'),
+            ('hidden_order_part', 'part_viewer', false, NULL, NULL, 'EXPECTED_DENIAL'),
+            ('count_orders_sales', 'sales_viewer', true, 1, 1, 'CORRECT')
+        ) AS t(name, role, success, n_columns, row_count, status)""",
     "governed_lineitem_ops_viewer": """
         SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
                l_returnflag, l_linestatus, l_shipdate,
