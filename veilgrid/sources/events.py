@@ -84,8 +84,17 @@ def parse(value: Column) -> Column:
 
 
 def parsed_frame(text: DataFrame, value_col: str = "value") -> DataFrame:
-    """Text lines → ``value`` + ``event`` (struct or NULL) — the shape every T-operator takes."""
-    return text.select(F.col(value_col).alias("value"), parse(F.col(value_col)).alias("event"))
+    """Text lines → ``value`` + ``event`` (struct or NULL) — the shape every T-operator takes.
+
+    The parse is produced by a one-element ``explode``: predicates on the event
+    (validity, routing) cannot be pushed below a generator, so each line is
+    parsed exactly once. As a plain projection, Catalyst would inline
+    ``from_json`` into every pushed-down predicate and parse a line once per
+    field tested.
+    """
+    return text.select(
+        F.col(value_col).alias("value"), F.explode(F.array(parse(F.col(value_col)))).alias("event")
+    )
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
