@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from veilgrid.llm import simhash_vp
+from veilgrid.llm import langid_crf, packing, secret_scan, simhash_vp, token_cache
 
 QUERIES = {
+    "op2_language_id": langid_crf.op2_language_id,
     "op4_simhash_near_dedup": simhash_vp.op4_simhash_near_dedup,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_token_counts": token_cache.op7_token_counts,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
 }
 ORACLES: dict[str, str] = {}
