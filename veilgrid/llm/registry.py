@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from veilgrid.llm import cover_search, embed_pca, langid_crf, packing, secret_scan, simhash_vp, token_cache
+from veilgrid.llm import (
+    cover_search,
+    embed_pca,
+    langid_crf,
+    license_scan,
+    packing,
+    page_diff,
+    piece_viterbi,
+    secret_scan,
+    simhash_vp,
+    token_cache,
+)
 
 QUERIES = {
     "op1_embedding_near_dedup": embed_pca.op1_embedding_near_dedup,
     "op2_language_id": langid_crf.op2_language_id,
+    "op3_html_extraction": page_diff.op3_html_extraction,
     "op4_simhash_near_dedup": simhash_vp.op4_simhash_near_dedup,
     "op5_exact_top_k": cover_search.op5_exact_top_k,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_counts": token_cache.op7_token_counts,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_sentencepiece": piece_viterbi.op9_sentencepiece,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": embed_pca.ORACLE_OP1,
     "op5_exact_top_k": cover_search.ORACLE_OP5,
+    "op10_license_scan": license_scan.ORACLE_OP10,
 }
