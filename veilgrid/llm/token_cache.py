@@ -105,7 +105,9 @@ def count_tokens(
     misses = distinct.join(cache(), "content_digest", "left_anti")
     fresh = misses.select("content_digest", "content").mapInArrow(run, "content_digest string, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(path)
-    return narrow.join(cache(), "content_digest").select("id", "n_bytes", "n_tokens")
+    # Written first, so that nothing but shuffled scans meets in the join and a hot digest's rows can be split.
+    known = staged(cache(), "token-counts")
+    return narrow.join(known, "content_digest").select("id", "n_bytes", "n_tokens")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
