@@ -14,6 +14,7 @@ weights are a table of fixed size. Everything else runs on all rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -216,16 +217,19 @@ class Labeller:
 
     def label(self, column: pa.Array) -> tuple[pa.Array, pa.Array]:
         """(label, score) of each text."""
-        model, texts = self.model, [words_of(t.as_py()) for t in column]
+        model = self.model
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.table = {}, self.table[:0]
-        new = list(set().union(*texts) - self.memo.keys())
-        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
-        self.table = np.concatenate([self.table, model.emissions(new)])
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        memo, parts = self.memo, []
+        for t in column:
+            # Words turn into numbers text by text, so that only the distinct ones stay in memory.
+            parts.append(np.array([memo.setdefault(w, len(memo)) for w in words_of(t.as_py())], np.int32))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
         if not model.labels:
-            return pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))
-        ids = np.fromiter((self.memo[w] for x in texts for w in x), np.int64, int(size.sum()))
+            return pa.array([UNKNOWN] * len(parts), pa.string()), pa.array(np.zeros(len(parts)))
+        new = list(itertools.islice(memo, len(self.table), None))
+        self.table = np.concatenate([self.table, model.emissions(new)])
+        ids = np.concatenate([np.zeros(0, np.int32), *parts])
         share = marginal_sums(self.table[ids], size, model.moves, model.start) / np.maximum(size, 1)[:, None]
         score = np.where(size > 0, share.max(1).clip(0, 1), 0.0)
         langs = [model.labels[k] if n else UNKNOWN for k, n in zip(share.argmax(1), size, strict=True)]
@@ -240,8 +244,8 @@ def predict(docs: DataFrame, model: Model, text_col: str, *carry: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                row = b.column(0).slice(at, 2048)
+            for at in range(0, b.num_rows, 1024):
+                row = b.column(0).slice(at, 1024)
                 lang, score = labeller.label(row.field(list(cols).index(text_col)))
                 parts = {c: row.field(i) for i, c in enumerate(cols) if c in carry}
                 row = pa.StructArray.from_arrays(list(parts.values()), list(parts))
