@@ -15,7 +15,7 @@ there are (Storey's estimate), and the threshold is the lowest at which the
 share of others among the accepted stays within ``fdr``. Short strings, on
 which the tests have little power, are thereby judged by their own stratum. A
 string counts once however often it is copied, and a stratum of few strings
-leans on the share in all strata.
+leans on the share in all strata as far as the strata agree.
 """
 
 from __future__ import annotations
@@ -120,17 +120,25 @@ def candidates(text: str) -> list[tuple[int, int, str, float, str]]:
     return out
 
 
-def thresholds(histogram: dict[str, dict[int, int]], fdr: float, floor: float = 0.01, lean: float = 50) -> dict[str, float]:
+def thresholds(histogram: dict[str, dict[int, int]], fdr: float, floor: float = 0.01) -> dict[str, float]:
     """Per stratum, the least p-value accepted as random; above 1 if none is.
 
-    ``lean`` is the weight, in strings, of the random share of all strata.
+    A stratum's share of random strings is twice its share of p-values above
+    1/2, shrunk towards the share in all strata by as many strings' worth as
+    the strata agree beyond chance (1 to 100).
     """
     counts = {k: np.array([bins.get(i, 0) for i in range(BINS + 1)], dtype=float) for k, bins in histogram.items()}
-    both = sum(counts.values()) if counts else np.zeros(BINS + 1)
-    share = min(1.0, 2 * both[BINS // 2 :].sum() / max(1, both.sum()))
+    if not counts:
+        return {}
+    size = np.array([n.sum() for n in counts.values()])
+    own = np.array([2 * n[BINS // 2 :].sum() for n in counts.values()])
+    mean = min(1.0, own.sum() / size.sum())
+    chance = mean * (2 - mean) / size
+    spread = float((size * ((own / size - mean) ** 2 - chance)).sum() / size.sum())
+    lean = min(100.0, max(1.0, (mean * (1 - mean) + 0.01) / max(spread, 1e-4)))
+    share = np.minimum(1.0, (own + lean * mean) / (size + lean))
     out = {}
-    for stratum, n in counts.items():
-        random = n.sum() * min(1.0, (2 * n[BINS // 2 :].sum() + lean * share) / (n.sum() + lean))
+    for (stratum, n), random in zip(counts.items(), size * share, strict=True):
         out[stratum] = 2.0
         for i in range(max(1, int(floor * BINS)), BINS // 2 + 1):
             got = n[i:].sum()
