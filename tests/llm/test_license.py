@@ -1,0 +1,115 @@
+"""License scans: cosines by a plain computation, inheritance by walking up, edge cases."""
+
+import math
+import re
+from collections import Counter
+
+from veilgrid.llm import license_scan as L
+
+SF = "/root/testdata/sf0.01"
+IDF_DF = Counter(w for _, t in L.TEMPLATES for w in set(w for w in (x.strip(".+-") for x in re.split(L.NOT_WORD, t.lower())) if w))
+
+
+def words(text):
+    return [w for w in (re.sub(r"^[.+-]+|[.+-]+$", "", x) for x in re.split(L.NOT_WORD, text.lower())) if w]
+
+
+def vector(text):
+    n = len(L.TEMPLATES)
+    v = {w: c * (math.log((1 + n) / (1 + IDF_DF[w])) + 1) for w, c in Counter(words(text)).items()}
+    size = math.sqrt(sum(x * x for x in v.values()))
+    return {w: x / size for w, x in v.items()} if size else {}
+
+
+TEMPLATE_VECTORS = [(name, vector(t)) for name, t in L.TEMPLATES]
+
+
+def best(unit, least=0.6):
+    v = vector(unit)
+    scored = [(round(sum(x * t.get(w, 0) for w, x in v.items()), 6), -i, name) for i, (name, t) in enumerate(TEMPLATE_VECTORS)]
+    top = max(scored)
+    return (top[2], top[0]) if top[0] >= least else None
+
+
+def plain(rows):
+    """(id, path) to (license, how) of unique paths."""
+    own, files, kind = {}, {}, {}
+    for i, path, text in rows:
+        text = text or ""
+        lines = [x for x in text.split("\n") if re.search(L.CUE, x.lower())]
+        is_file = bool(path and re.search(L.FILE_NAME, path.lower())) or bool(lines) and sum(len(words(x)) for x in lines) >= 0.5 * len(words(text))
+        found = [b for b in map(best, [*lines, *([text] if is_file else [])]) if b]
+        kind[i] = is_file
+        if found:
+            own[i] = max((c, n) for n, c in found)
+            if is_file and path:
+                d = path.rpartition("/")[0]
+                files.setdefault(d, []).append((own[i][0], path, own[i][1]))
+    out = {}
+    for i, path, _ in rows:
+        if i in own:
+            out[i] = (own[i][1], "file" if kind[i] else "header")
+            continue
+        out[i] = (None, "none")
+        d = path.rpartition("/")[0] if path else None
+        while d is not None:
+            if d in files:
+                top = max(c for c, _, _ in files[d])
+                out[i] = ({n for c, _, n in files[d] if c == top}, "inherited")
+                break
+            d = d.rpartition("/")[0] if "/" in d else None
+    return out
+
+
+def same(got, want):
+    assert got.keys() == want.keys()
+    for i, (name, how) in want.items():
+        assert got[i][1] == how, i
+        assert got[i][0] in name if isinstance(name, set) else got[i][0] == name, i
+
+
+def test_headers_files_and_inheritance(spark):
+    rows = [
+        (1, "p/LICENSE", "MIT License\n" + L.TEMPLATES[6][1]),
+        (2, "p/a/b/c.py", "x = 1\n"),
+        (3, "p/a/d.py", "# Licensed under the Apache License, Version 2.0.\ny = 2\n" + "code " * 40),
+        (4, "p/a/COPYING", "This work is licensed under the GNU General Public License, version 3."),
+        (5, "p/a/b/e.py", "z"),
+        (6, "q/f.py", "nothing here about it"),
+        (7, "g.py", "All rights reserved."),
+        (8, "q/r/h.py", "We talk about driving licences and copyright in general terms, " * 5),
+    ]
+    got = {r.id: (r.license, r.how) for r in L.scan(spark.createDataFrame(rows, "id long, path string, text string"), "id", "path", "text").collect()}
+    assert got[2] == got[5] == ("GPL-3.0", "inherited") and got[3] == ("Apache-2.0", "header") and got[1] == ("MIT", "file")
+    assert got[6] == (None, "none") and got[8] == (None, "none")
+    same(got, plain(rows))
+
+
+def test_whole_table_equals_plain_computation(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    rows = [(r.doc_id, f"{r.source}/{r.doc_id // 1000}/{r.doc_id // 100}/{r.doc_id}", r.text) for r in docs.itertuples()]
+    got = {r.doc_id: (r.license, r.how) for r in L.op10_license_scan(spark, SF).collect()}
+    same(got, plain(rows))
+    assert sum(how == "header" for _, how in got.values()) > 5
+
+
+def test_edge_cases(spark):
+    mit = "Released under the MIT License."
+    rows = [(1, None, mit), (2, "d/x", None), (None, "d/LICENSE", mit), (3, "d/y", ""), (3, "d/y", ""), (4, None, None), (5, "", "word " * 50_000 + "\n" + mit), (6, "/abs/z", "no")]
+    df = spark.createDataFrame([(*r, "e", 1) for r in rows], "id long, path string, text string, license string, row int")
+    got = sorted(((str(r.id), r.license, r.how) for r in L.scan(df, "id", "path", "text").collect()), key=str)
+    assert got == sorted(
+        [("1", "MIT", "file"), ("2", "MIT", "inherited"), ("None", "MIT", "file"), ("3", "MIT", "inherited"), ("3", "MIT", "inherited"), ("4", None, "none"), ("5", "MIT", "header"), ("6", None, "none")],
+        key=str,
+    )
+    assert L.scan(df.limit(0), "id", "path", "text").count() == 0
+
+
+def test_no_python_in_the_plan(spark):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        L.op10_license_scan(spark, SF).explain("formatted")
+    assert not any(x in out.getvalue() for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
