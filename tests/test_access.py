@@ -74,6 +74,61 @@ def test_hidden_column_denied_everywhere(gov):
     assert gov.sql("DataScientist", "SELECT flight_id FROM {radar_detections} WHERE speed_knots > 400").count() == 4
 
 
+def test_returned_frames_are_closed(gov):
+    """What a role gets back does not lead to a hidden column in later calls either."""
+    from pyspark.errors import AnalysisException
+
+    t = "flightradar_db.radar_detections"
+    frames = [
+        gov.view("FlightRadarViewer", t),
+        gov.select("FlightRadarViewer", t, "*"),
+        gov.select("FlightRadarViewer", t, ["flight_id"]),
+        gov.sql("FlightRadarViewer", "SELECT flight_id FROM {radar_detections}"),
+    ]
+    for df in frames:
+        assert df.filter("flight_id is not null").count() == 5
+        for later in (lambda d: d.filter("speed_knots > 0"), lambda d: d.where(F.col("speed_knots") > 0), lambda d: d.orderBy("speed_knots"), lambda d: d.select("speed_knots")):
+            with pytest.raises(AnalysisException):
+                later(df).collect()
+    with pytest.raises(AccessDenied):
+        gov.select("FlightRadarViewer", t, ["SPEED_KNOTS"])
+    with pytest.raises(AccessDenied):
+        gov.sql("FlightRadarViewer", "SELECT Speed_Knots FROM {radar_detections}")
+
+
+def test_sql_reads_placeholders_only(spark, gov, tmp_dir):
+    spark.range(3).write.parquet(f"{tmp_dir}/p")
+    spark.range(3).createOrReplaceTempView("loose_view")
+    refused = [
+        f"SELECT * FROM parquet.`{tmp_dir}/p`",
+        "SELECT * FROM loose_view",
+        "SELECT flight_id FROM {radar_detections} WHERE flight_id IN (SELECT id FROM loose_view)",
+        "WITH x AS (SELECT * FROM loose_view) SELECT * FROM x",
+        "SELECT * FROM {radar_detections} r JOIN loose_view v ON true",
+        "DROP VIEW loose_view",
+        "CREATE TABLE stolen AS SELECT * FROM {radar_detections}",
+        "INSERT INTO loose_view SELECT 1",
+        "WITH x AS (SELECT 1) INSERT INTO loose_view SELECT * FROM x",
+        "SET a = b",
+        "SHOW TABLES",
+        "SELECT * FROM range(3)",
+    ]
+    for q in refused:
+        with pytest.raises(AccessDenied):
+            gov.sql("FlightRadarViewer", q)
+    assert spark.catalog.tableExists("loose_view")
+    ok = "WITH x AS (SELECT flight_id FROM {radar_detections}) SELECT count(*) AS n FROM x WHERE flight_id IN (SELECT flight_id FROM {radar_detections}) UNION ALL SELECT 1 ORDER BY n LIMIT 5"
+    assert sorted(r.n for r in gov.sql("FlightRadarViewer", ok).collect()) == [1, 5]
+    assert gov.sql("FlightRadarViewer", "SELECT {x} AS c, flight_id FROM {radar_detections}", x=7).first().c == 7
+
+
+def test_ambiguous_table_name_raises(spark):
+    frames = {"a.t": spark.range(1), "b.t": spark.range(1)}
+    gov = Governor(spark, frames, grants_frame(spark, [("r", "a", "t", None, ["SELECT"]), ("r", "b", "t", None, ["SELECT"])]))
+    with pytest.raises(ValueError, match="ambiguous"):
+        gov.sql("r", "SELECT * FROM {t}")
+
+
 def test_count_star_allowed(gov):
     assert gov.sql("FlightRadarViewer", "SELECT COUNT(*) AS n FROM {radar_detections}").first()["n"] == 5
 
@@ -227,3 +282,5 @@ def test_governed_append_needs_insert_and_writes_all_columns(spark, tmp_dir):
         governed_append(grants, "viewer", "w_db.t", rows)
     governed_append(grants, "writer", "w_db.t", rows)
     assert [tuple(r) for r in spark.table("w_db.t").collect()] == [("x", "secret")]
+    with pytest.raises(ValueError, match="other"):
+        governed_append(grants, "writer", "w_db.t", spark.createDataFrame([("x", 1)], "a string, other int"))

@@ -119,13 +119,13 @@ def test_permissions_frame_counts(spark):
 
 
 def test_report_sink_writes_every_section(spark, tmp_dir):
-    from veilgrid.operators.report import classify_outcomes, code_classes, report_tables, write_report
+    from veilgrid.operators.report import classify_outcomes, report_tables, write_report
 
     log = spark.createDataFrame(
         [("s3", "ListBuckets", None, None, None), ("s3", "GetObject", "AccessDenied", "no", None), ("ec2", "PutItem", None, None, None)],
         "service string, permission string, error_code string, error_message string, response map<string, array<string>>",
     )
-    tables = report_tables(classify_outcomes(log, code_classes(spark)))
+    tables = report_tables(classify_outcomes(log))
     text = write_report(tables, f"{tmp_dir}/report")
     assert "| DENIED | 1 | 33% |" in text
     assert spark.read.parquet(f"{tmp_dir}/report/verdict").first().exit_code == 1
@@ -161,3 +161,43 @@ def test_load_patterns_then_expand(spark, tmp_dir):
         ("kms", "List*", "ListKeys"),
         ("s3", "ListBuckets", "ListBuckets"),
     ]
+
+
+def test_append_by_name_refuses_unknown_columns(spark, tmp_dir):
+    from veilgrid.sources.catalog import append_by_name, create_database, create_table
+
+    create_database(spark, "n_db")
+    create_table(spark, "n_db.t", "a int, b string", f"{tmp_dir}/t")
+    with pytest.raises(ValueError, match="bb"):
+        append_by_name(spark.createDataFrame([(1, "x", "y")], "a int, bb string, c string"), "n_db.t")
+    append_by_name(spark.createDataFrame([("x", 1)], "B string, a int"), "n_db.t")
+    append_by_name(spark.createDataFrame([(2,)], "a int"), "n_db.t")
+    assert sorted(map(tuple, spark.table("n_db.t").collect())) == [(1, "x"), (2, None)]
+
+
+def test_size_check_is_a_number_and_hints_a_broadcast(spark):
+    from veilgrid.functions.joins import broadcast_if_small, estimated_bytes, values_frame
+
+    small = values_frame(spark, [("a", ["x", "y"]), ("b", None)], "k string, v array<string>")
+    assert sorted((r.k, r.v) for r in small.collect()) == [("a", ["x", "y"]), ("b", None)]
+    assert 0 < estimated_bytes(small) < 10_000
+    assert estimated_bytes(spark.createDataFrame([("a",)], "k string")) > 1 << 60  # an RDD scan's size is unknown
+    big = spark.range(10_000_000).select(F.col("id").cast("string").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = big.join(broadcast_if_small(small), "k")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+        plan = big.join(broadcast_if_small(big.withColumnRenamed("k", "k")), "k")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shared_folder_is_required_off_local_mode():
+    from types import SimpleNamespace
+
+    from veilgrid.session import checkpoint_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d)))

@@ -1,29 +1,43 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join helpers: configuration as local relations, broadcast only behind a size check."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Cap for hinting a broadcast: far above any policy, code or pattern table,
 # far below an executor's memory.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
+def values_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str | T.StructType) -> DataFrame:
+    """``rows`` as a local relation, whose exact size the optimizer knows.
+
+    A frame from ``createDataFrame(list)`` is a scan of an RDD, whose size
+    Spark takes to be unbounded; it would never pass the check below.
+    """
+    struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names = struct.fieldNames()
+    table = pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=to_arrow_schema(struct))
+    return spark.createDataFrame(table, schema=struct)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (no job runs); None if unavailable."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 — e.g. a client without plan access
+    """The optimizer's size estimate of ``df`` (no job runs); None for a client without plan access."""
+    jdf = getattr(df, "_jdf", None)
+    if jdf is None:
         return None
+    return int(str(jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """``broadcast(df)`` when its estimated size is at most ``max_bytes``; else ``df`` unchanged,
     so the planner (and AQE at run time) picks a shuffle join instead.
-
-    Local tables built from configuration have exact sizes; derived frames
-    carry the optimizer's upper estimate.
     """
     size = estimated_bytes(df)
     if size is not None and size <= max_bytes:

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilgrid.functions.joins import broadcast_if_small
+from veilgrid.functions.joins import broadcast_if_small, values_frame
+from veilgrid.sources.catalog import append_by_name
 
 PUBLIC = "*"
 
@@ -56,7 +57,7 @@ class AccessDenied(PermissionError):
 
 def grants_frame(spark: SparkSession, rows: Iterable[Sequence] = ()) -> DataFrame:
     """Grants as a DataFrame ``(role, database, table, columns, permissions)``."""
-    return spark.createDataFrame(list(rows), GRANTS_SCHEMA)
+    return values_frame(spark, rows, GRANTS_SCHEMA)
 
 
 def grant(
@@ -71,9 +72,8 @@ def grant(
 
     ``role=PUBLIC`` grants to every role (``GRANT … TO PUBLIC``).
     """
-    row = grants.sparkSession.createDataFrame(
-        [(role, database, table, list(columns) if columns is not None else None, list(permissions))],
-        GRANTS_SCHEMA,
+    row = grants_frame(
+        grants.sparkSession, [(role, database, table, list(columns) if columns is not None else None, list(permissions))]
     )
     return grants.unionByName(row)
 
@@ -113,7 +113,7 @@ def catalog_columns(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Dat
         db, tbl = split_name(qname)
         for i, f in enumerate(df.schema.fields):
             rows.append((db, tbl, f.name, i, f.dataType.simpleString()))
-    return spark.createDataFrame(rows, CATALOG_COLUMNS_SCHEMA)
+    return values_frame(spark, rows, CATALOG_COLUMNS_SCHEMA)
 
 
 def split_name(qname: str) -> tuple[str, str]:
@@ -210,9 +210,7 @@ def grant_write(
 ) -> DataFrame:
     """Give ``role`` write permissions on the first candidate table that exists."""
     spark = grants.sparkSession
-    cands = spark.createDataFrame(
-        [(i, db, t) for i, (db, t) in enumerate(candidates)], "pos int, database string, table string"
-    )
+    cands = values_frame(spark, [(i, db, t) for i, (db, t) in enumerate(candidates)], "pos int, database string, table string")
     first = (
         cands.join(broadcast_if_small(catalog_tables.select("database", "table").distinct()), ["database", "table"])
         .agg(F.min_by(F.struct("database", "table"), F.col("pos")).alias("t"))
@@ -246,19 +244,31 @@ def governed_append(grants: DataFrame, role: str, table: str, df: DataFrame) ->
 
     Writes need INSERT; read grants (and their column lists) do not govern
     writes, so the row is written with every column it names — hidden ones
-    included — matched by name, absent columns NULL.
+    included — matched by name, absent columns NULL. A column that the table
+    does not have raises.
     """
     db, tbl = split_name(table)
     if not may_write(grants, role, db, tbl):
         raise AccessDenied(role, table)
-    target = df.sparkSession.table(table).schema
-    cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields]
-    df.select(*cols).write.insertInto(table)
+    append_by_name(df, table)
 
 
 # ---------------------------------------------------------------- governed access
 
 
+# What a parsed query may consist of; anything else is a command, or reads something that is no bound table.
+QUERY_NODES = frozenset(
+    "Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias "
+    "UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedWith UnresolvedHaving UnresolvedInlineTable UnresolvedHint "
+    "OneRowRelation Generate Pivot Unpivot WithWindowDefinition Sample RepartitionByExpression".split()
+)
+
+
+def _each(seq) -> list:
+    """A Scala sequence as a list."""
+    return [seq.apply(i) for i in range(seq.length())]
+
+
 class Governor:
     """Resolves every request of a role against that role's view only.
 
@@ -304,9 +314,14 @@ class Governor:
 
     # -- data access
     def view(self, role: str, table: str) -> DataFrame:
-        """The role's view of ``table``: only its visible columns, in table order."""
+        """The role's view of ``table``: only its visible columns, in table order.
+
+        The alias closes it: Spark looks for a name that a projection lacks in
+        the projection's input, but not through an alias, so a later
+        ``filter`` or ``orderBy`` cannot reach a hidden column either.
+        """
         cols = self.visible(role, table)  # denies unknown or ungranted tables first
-        return self.tables[table].select(*cols)
+        return self.tables[table].select(*cols).alias(split_name(table)[1])
 
     def select(self, role: str, table: str, cols: str | Sequence[str | Column] = "*") -> DataFrame:
         """``SELECT *`` (expanded after the role's columns are known) or a column list.
@@ -317,19 +332,21 @@ class Governor:
         v = self.view(role, table)
         if cols == "*":
             return v
-        hidden = set(self.hidden(role, table))
+        hidden = {c.lower() for c in self.hidden(role, table)}
         for c in cols:
-            if isinstance(c, str) and c in hidden:
+            if isinstance(c, str) and c.lower() in hidden:
                 raise AccessDenied(role, table, c)
-        return self._guard(role, table, lambda: v.select(*cols))
+        return self._guard(role, table, lambda: v.select(*cols)).alias(split_name(table)[1])
 
     def sql(self, role: str, query: str, **args) -> DataFrame:
-        """Run SQL as ``role``; tables are written ``{table}`` and bind to the role's views.
+        """Run a SQL query as ``role``; tables are written ``{table}`` and bind to the role's views.
 
         PySpark binds each ``{name}`` to a DataFrame under a generated view
         name, so roles never share view names. A hidden column anywhere
         (SELECT, WHERE, ORDER BY, expressions) is unresolved and becomes
-        ``AccessDenied``; a table that is not granted is denied as well.
+        ``AccessDenied``; so is a table that is not granted, any relation that
+        is not a placeholder (base tables, files), and any statement that is
+        not a query. A name that several databases have is ambiguous.
         """
         views: dict[str, DataFrame] = {}
         for _, name, _, _ in string.Formatter().parse(query):
@@ -338,12 +355,40 @@ class Governor:
             matches = [t for t in self.tables if t == name or t.split(".", 1)[1] == name]
             if not matches:
                 raise AccessDenied(role, name)
+            if len(matches) > 1:
+                raise ValueError(f"table name {name!r} is ambiguous: {sorted(matches)}")
             views[name] = self.view(role, matches[0])
+        self._only_bound(role, query, views, args)
         try:
-            return self.spark.sql(query, **views, **args)
+            return self.spark.sql(query, **views, **args).alias("result")
         except AnalysisException as e:
             raise self._translate(role, e) from e
 
+    def _only_bound(self, role: str, query: str, views: Mapping[str, DataFrame], args: Mapping) -> None:
+        """Refuse a statement that is no query, or names a relation that is neither a placeholder nor its own CTE."""
+        bound = {name: f"__bound_{i}" for i, name in enumerate(views)}
+        text = query.format(**bound, **dict.fromkeys(args, "NULL"))
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        ctes: set[str] = set()
+        relations: list[str] = []
+        todo = [plan]
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "UnresolvedRelation":
+                relations.append(node.tableName())
+            elif kind == "UnresolvedWith":
+                for part in _each(node.cteRelations()):
+                    ctes.add(part.productElement(0).lower())
+                    todo.append(part.productElement(1))
+            elif kind.rstrip("$") not in QUERY_NODES:
+                raise AccessDenied(role, f"statement {kind}")
+            todo += [*_each(node.children()), *_each(node.subqueries())]
+        for name in relations:
+            plain = name.replace("`", "")
+            if plain not in bound.values() and plain.lower() not in ctes:
+                raise AccessDenied(role, plain)
+
     def create_role_schema(self, role: str, alias_db: str) -> list[str]:
         """Permanent views ``alias_db.table`` with only the role's columns.
 
@@ -372,7 +417,7 @@ class Governor:
             name = params.get("objectName", "").split(".")[-1].strip("`")
             tables = [table] if table else self.granted_tables(role)
             for t in tables:
-                if name in self.tables[t].columns:
+                if name.lower() in {c.lower() for c in self.tables[t].columns}:
                     return AccessDenied(role, t, name)
         if cond.startswith("TABLE_OR_VIEW_NOT_FOUND"):
             return AccessDenied(role, params.get("relationName", "?").strip("`"))

@@ -1,9 +1,10 @@
 """Look-up joins: defaults (J3, J4), windowed audit look-up (J6), pattern join.
 
 Small sides (code tables, patterns, policies) are policy/config data with a
-bounded size; they are broadcast behind a size check (``broadcast_if_small``). The audit look-up (J6) never emits probe ×
-event pairs: it is two sorted window passes over time-bucketed keys, so a hot
-key is split across buckets and the work per probe is constant.
+bounded size; built with ``values_frame`` they pass the size check of
+``broadcast_if_small``. The audit look-up (J6) never emits probe × event pairs:
+it is one sorted pass over time-bucketed keys, so a hot key is split across
+buckets and the work per probe is constant.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ def lookup_default(
     out_col: str,
     default: Column,
 ) -> DataFrame:
-    """Left join on ``keys`` to a small mapping; missing → ``default`` (a column, e.g. the key itself).
+    """Left join on ``keys`` to a mapping (one row per key); missing → ``default`` (a column, e.g. the key itself).
 
-    ``table`` is configuration (one row per key) and is broadcast.
+    The mapping is broadcast if its estimated size is small (see ``values_frame``).
     """
     t = table.select(*keys, F.col(value_col).alias("_v"))
     return df.join(broadcast_if_small(t), list(keys), "left").withColumn(out_col, F.coalesce(F.col("_v"), default)).drop("_v")
@@ -65,81 +66,73 @@ def audit_lookup(
     audit_id: str,
     payload: Sequence[str] = (),
     minutes: int = 60,
-    max_results: int = 5,
     split: int = 1,
     prefix: str = "ct_",
 ) -> DataFrame:
     """For each probe row: audit events with the same ``key`` in ``[t - minutes, t]``.
 
-    Returns the probe columns plus ``{prefix}count`` = min(n, max_results),
-    the latest event's id/time/payload and ``{prefix}message``
+    Returns the probe columns plus ``{prefix}count`` (all events in the
+    window), the latest event's id/time/payload and ``{prefix}message``
     ("n events in last 60min" / "No recent events").
 
     Plan: time buckets of ``minutes / split``; each audit row is also copied
     into the next ``split`` buckets, so partition ``(key, bucket)`` holds every
     event a probe of that bucket can see, and a hot key is spread over its
-    buckets. Events and probes are shuffled once on ``(key, bucket)``; two
-    window passes run over that partitioning: pass 1 records, per event, the
-    times of the ``max_results - 1`` events before it (``lag``); pass 2 (time
-    order, events first on ties) carries the last event forward to each probe
-    (``last(…, ignorenulls)``). The probe's count is how many of those
-    ``max_results`` times fall inside its window — exactly min(n, max_results)
-    — with no pairwise join and constant work per row.
+    buckets. A probe becomes two marks, at its window's start (before the
+    events of that time) and at its end (after them). One pass in time order
+    carries the running number of events and the last event to every mark; the
+    count is the difference of a probe's two marks, which a group-by brings
+    together within the same partitioning. So there is one shuffle, no pairwise
+    join, no cap, and constant work per row. Probes with a NULL key or time
+    find nothing and are set aside before the shuffle.
     """
-    width = minutes * 60 * 1_000_000 // split
-    a_us = _micros(audit, audit_ts)
-    # SQL equality and BETWEEN never match NULL: such audit rows can be dropped up front, and a
-    # probe with a NULL key or time then finds no event in its partition (count 0).
+    window = minutes * 60 * 1_000_000
+    width = window // split
+    # SQL equality and BETWEEN never match NULL.
     a = audit.filter(F.col(key).isNotNull() & F.col(audit_ts).isNotNull()).select(
         F.col(key).alias("_k"),
-        F.col(audit_ts).alias("_ts"),
-        a_us.alias("_us"),
-        F.col(audit_id).alias("_id"),
-        *[F.col(c).alias(f"_p_{c}") for c in payload],
-    ).withColumn("_b0", F.floor(F.col("_us") / F.lit(width)).cast("long"))
-    a = a.withColumn("_b", F.explode(F.sequence(F.col("_b0"), F.col("_b0") + F.lit(split)))).drop("_b0")
-    p_cols = probes.columns
-    p_us = _micros(probes, probe_ts)
-    p_rows = probes.select(
-        F.col(key).alias("_k"),
-        F.floor(p_us / F.lit(width)).cast("long").alias("_b"),
-        p_us.alias("_us"),
-        F.lit(1).alias("_kind"),
-        F.struct(*[F.col(c) for c in p_cols]).alias("_pr"),
+        _micros(audit, audit_ts).alias("_us"),
+        F.struct(
+            F.col(audit_ts).alias("ts"), F.col(audit_id).alias("id"), *[F.col(c).alias(f"p_{c}") for c in payload]
+        ).alias("_ev"),
     )
-    ev_cols = ["_ts", "_id", *[f"_p_{c}" for c in payload]]
-    a_rows = a.select(
-        "_k", "_b", "_us", F.lit(0).alias("_kind"), *ev_cols, F.lit(None).cast(p_rows.schema["_pr"].dataType).alias("_pr")
-    )
-    for c in ev_cols:
-        p_rows = p_rows.withColumn(c, F.lit(None).cast(a_rows.schema[c].dataType))
-    both = a_rows.unionByName(p_rows)
-    # One shuffle on (key, bucket) feeds both windows. Pass 1 sorts events ahead of probes
-    # (kind 0 < 1), so lag() over it walks back through events only, in time order.
-    w1 = Window.partitionBy("_k", "_b").orderBy("_kind", "_us", "_id")
-    both = both.select("*", *[F.lag("_us", i).over(w1).alias(f"_lag{i}") for i in range(1, max_results)])
-    ev = F.when(
-        F.col("_kind") == 0,
-        F.struct("_us", *ev_cols, *[f"_lag{i}" for i in range(1, max_results)]),
+    b0 = F.floor(F.col("_us") / F.lit(width)).cast("long")
+    a = a.withColumn("_b", F.explode(F.sequence(b0, b0 + F.lit(split))))
+    p_cols = probes.columns
+    named = probes.select(F.struct(*[F.col(c) for c in p_cols]).alias("_pr"), F.col(key).alias("_k"), _micros(probes, probe_ts).alias("_us"))
+    able = F.col("_k").isNotNull() & F.col("_us").isNotNull()
+    p = named.filter(able).withColumn("_b", F.floor(F.col("_us") / F.lit(width)).cast("long"))
+    p = p.withColumn("_pid", F.monotonically_increasing_id())
+    marks = F.array(
+        F.struct((F.col("_us") - F.lit(window)).alias("us"), F.lit(0).alias("kind")),
+        F.struct(F.col("_us").alias("us"), F.lit(2).alias("kind")),
     )
-    # Pass 2: time order, events before probes on ties (inclusive window end); carry the last event forward.
-    w2 = (
-        Window.partitionBy("_k", "_b")
-        .orderBy("_us", "_kind", "_id")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    p = p.select("_k", "_b", "_pid", "_pr", F.inline(marks).alias("_us", "_kind"))
+    # Only the mark at the end needs the probe's columns.
+    p = p.withColumn("_pr", F.when(F.col("_kind") == 2, F.col("_pr")))
+    event_type, probe_type = a.schema["_ev"].dataType, p.schema["_pr"].dataType
+    both = a.select(
+        "_k", "_b", "_us", F.lit(1).alias("_kind"), "_ev", F.lit(None).cast("long").alias("_pid"), F.lit(None).cast(probe_type).alias("_pr")
+    ).unionByName(p.withColumn("_ev", F.lit(None).cast(event_type)))
+    order = Window.partitionBy("_k", "_b").orderBy("_us", "_kind", "_ev.id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select(
+        "_k", "_b", "_kind", "_pid", "_pr",
+        F.count("_ev").over(order).alias("_n"), F.last("_ev", ignorenulls=True).over(order).alias("_last"),
+    ).filter(F.col("_kind") != 1)
+    end = F.col("_kind") == 2
+    found = seen.groupBy("_k", "_b", "_pid").agg(
+        (F.max(F.when(end, F.col("_n"))) - F.max(F.when(~end, F.col("_n")))).cast("int").alias("_count"),
+        F.first(F.when(end, F.col("_pr")), ignorenulls=True).alias("_pr"),
+        F.first(F.when(end, F.col("_last")), ignorenulls=True).alias("_last"),
     )
-    # The probe row rides along in the window pass, so no join back is needed.
-    carried = both.withColumn("_last", F.last(ev, ignorenulls=True).over(w2)).filter(F.col("_kind") == 1)
-    lo = F.col("_us") - F.lit(minutes * 60 * 1_000_000)
-    times = F.array(F.col("_last._us"), *[F.col(f"_last._lag{i}") for i in range(1, max_results)])
-    in_window = F.size(F.filter(times, lambda x: x.isNotNull() & (x >= lo)))
-    hit = F.col("_last._us").isNotNull() & (F.col("_last._us") >= lo)
-    out = carried.select(
+    none = named.filter(~able).select(F.lit(0).alias("_count"), "_pr", F.lit(None).cast(event_type).alias("_last"))
+    hit = F.col("_count") > 0
+    out = found.select("_count", "_pr", "_last").unionByName(none).select(
         *[F.col(f"_pr.{c}").alias(c) for c in p_cols],
-        in_window.cast("int").alias(f"{prefix}count"),
-        F.when(hit, F.col("_last._id")).alias(f"{prefix}latest_id"),
-        F.when(hit, F.col("_last._ts")).alias(f"{prefix}latest_time"),
-        *[F.when(hit, F.col(f"_last._p_{c}")).alias(f"{prefix}latest_{c}") for c in payload],
+        F.col("_count").alias(f"{prefix}count"),
+        F.when(hit, F.col("_last.id")).alias(f"{prefix}latest_id"),
+        F.when(hit, F.col("_last.ts")).alias(f"{prefix}latest_time"),
+        *[F.when(hit, F.col(f"_last.p_{c}")).alias(f"{prefix}latest_{c}") for c in payload],
     )
     return out.withColumn(
         f"{prefix}message",
@@ -166,9 +159,10 @@ def expand_patterns(
 ) -> DataFrame:
     """Pattern (theta) join: each action row × every pattern it matches (same ``on`` keys).
 
-    The pattern list is configuration of bounded size and is broadcast; the
-    equality keys in ``on`` are part of the join condition, so Spark plans a
-    broadcast hash join with the LIKE as a residual filter.
+    The pattern list is configuration; if its estimated size is small (see
+    ``values_frame``) it is broadcast. The equality keys in ``on`` are part of
+    the join condition, so Spark plans a broadcast hash join with the LIKE as a
+    residual filter. Give it distinct actions where they repeat.
     """
     pats = patterns.withColumn("_like", wildcard_to_like(F.col(pattern_col)))
     cond = [actions[k] == pats[k] for k in on] + [F.like(actions[action_col], pats["_like"])]

@@ -3,18 +3,19 @@
 Input: a call-log DataFrame ``(service, permission, error_code, error_message,
 response map<string, array<string>>)``, one row per permission check. Every
 section is a DataFrame; writing text is a last, driver-side formatting step
-over small aggregates (``render_markdown``).
+over small aggregates (``render_markdown``). A scalar field of a response is a
+list of one; an object inside a list is its JSON text.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from veilgrid.functions.joins import broadcast_if_small
-from veilgrid.functions.scalars import RESPONSE_METADATA_KEYS, identity_name, identity_type, is_readonly, snake_case, truncate
+from veilgrid.functions.scalars import RESPONSE_METADATA_KEYS, identity_name, identity_type, is_readonly, snake_case
 
 # Fixed values that must equal the reference's for the same classification.
 # Error codes that mean the call was refused.
@@ -86,6 +87,18 @@ MSG_PASSED = "Permission validated successfully"
 MSG_NOT_FOUND = "Permission validated (resource not found)"
 MSG_BAD_INPUT = "Permission exists (%s)"
 MSG_NOT_TESTED = "Requires parameters not in mapping"
+MSG_CLIENT_CHECK = "Requires parameters: %s"
+CLIENT_CHECK_CODE = "ParamValidationError"
+DETAIL_IDENTITY = "Account: %s, ARN: %s"
+DETAIL_INSTANCES = "%d instances"
+# Headings and table headers of the text report.
+HEAD_SUMMARY = ("## Summary", "", "| Status | Count | Percentage |", "|--------|-------|------------|")
+HEAD_MATRIX = (
+    "## Service Permission Matrix",
+    "",
+    "| Service | Total | Passed | Denied | NotTested | Skipped | Error | Status |",
+    "|---------|-------|--------|--------|-----------|---------|-------|--------|",
+)
 DETAIL_NO_LIST = "API call successful"
 DETAIL_NOT_FOUND = "API authorized (%s)"
 DETAIL_BAD_INPUT = "API accessible"
@@ -93,12 +106,13 @@ DETAIL_NOT_TESTED = "Needs param mapping"
 NOT_AVAILABLE = "N/A"
 
 
-def code_classes(spark: SparkSession) -> DataFrame:
-    """``(code, code_class)``: the three code lists as one small table (broadcast in joins)."""
-    rows = [(c, "denied") for c in DENIED_CODES]
-    rows += [(c, "not_found") for c in NOT_FOUND_CODES]
-    rows += [(c, "bad_input") for c in BAD_INPUT_CODES if c not in NOT_FOUND_CODES]
-    return spark.createDataFrame(rows, "code string, code_class string")
+def code_class(code: Column) -> Column:
+    """The class of an error code ("denied", "not_found", "bad_input"), NULL for any other: literal lists, no join."""
+    return (
+        F.when(code.isin(*DENIED_CODES), F.lit("denied"))
+        .when(code.isin(*NOT_FOUND_CODES), F.lit("not_found"))
+        .when(code.isin(*BAD_INPUT_CODES), F.lit("bad_input"))
+    )
 
 
 def largest_list(response: Column, skip=RESPONSE_METADATA_KEYS) -> Column:
@@ -114,19 +128,28 @@ def largest_list(response: Column, skip=RESPONSE_METADATA_KEYS) -> Column:
     return F.when(F.size(entries) > 0, F.struct(best["key"].alias("key"), best["n"].alias("n")))
 
 
-def classify_outcomes(log: DataFrame, classes: DataFrame) -> DataFrame:
+def nested_instances(response: Column) -> Column:
+    """How many instances the response's reservations hold together."""
+    each = F.transform(F.coalesce(response["Reservations"], F.array().cast("array<string>")), lambda r: F.size(F.from_json(r, "Instances array<string>")["Instances"]))
+    return F.aggregate(each, F.lit(0), lambda n, x: n + F.greatest(x, F.lit(0)))
+
+
+def classify_outcomes(log: DataFrame) -> DataFrame:
     """Status, message, error_code, details, count per call; first rule that matches wins.
 
     Order: not read-only → SKIPPED; no error → PASSED; denied code → DENIED;
     not-found code → PASSED; bad-input code → PASSED; parameter-validation
-    text → NOT_TESTED; anything else → ERROR. A passed call's details: the
-    largest list of a non-empty response ("n key"), "API call successful" (1)
-    when it has no list, and "" (0) when the response is empty or missing.
+    text → NOT_TESTED; anything else → ERROR. A passed call's details: account
+    and ARN of GetCallerIdentity, the instances inside the reservations of
+    DescribeInstances, else the largest list of a non-empty response ("n key"),
+    "API call successful" (1) when it has no list, and "" (0) when the response
+    is empty or missing. Texts are whole; only the text report cuts them.
     """
-    c = log.join(broadcast_if_small(classes.withColumnRenamed("code", "error_code")), "error_code", "left")
-    code, msg, cls = F.col("error_code"), F.coalesce(F.col("error_message"), F.lit("")), F.col("code_class")
+    code, msg = F.col("error_code"), F.coalesce(F.col("error_message"), F.lit(""))
+    cls = code_class(code)
     readonly = is_readonly("permission")
-    param_text = F.lit(False)
+    client_check = code == CLIENT_CHECK_CODE
+    param_text = client_check
     for t in PARAM_VALIDATION_TEXT:
         param_text = param_text | msg.contains(t)
     ok_call = code.isNull()
@@ -145,14 +168,21 @@ def classify_outcomes(log: DataFrame, classes: DataFrame) -> DataFrame:
         .when(cls == "denied", msg)
         .when(cls == "not_found", F.lit(MSG_NOT_FOUND))
         .when(cls == "bad_input", F.format_string(MSG_BAD_INPUT, code))
+        .when(client_check, F.format_string(MSG_CLIENT_CHECK, msg))
         .when(param_text, F.lit(MSG_NOT_TESTED))
         .otherwise(F.format_string("%s: %s", code, msg))
     )
     # Details come from a non-empty response only; an empty or missing one keeps the defaults ("" / 0).
     has_response = F.coalesce(F.size(F.col("response")) > 0, F.lit(False))
+    response = F.col("response")
+    identity, instances = F.col("permission") == "GetCallerIdentity", F.col("permission") == "DescribeInstances"
+    who = F.format_string(DETAIL_IDENTITY, *[F.coalesce(F.get(response[k], F.lit(0)), F.lit("None")) for k in ("Account", "Arn")])
+    n_instances = nested_instances(response)
     details = (
         F.when(~readonly, F.lit(""))
         .when(ok_call & ~has_response, F.lit(""))
+        .when(ok_call & identity, who)
+        .when(ok_call & instances, F.format_string(DETAIL_INSTANCES, n_instances))
         .when(ok_call & main.isNotNull(), F.format_string("%d %s", main["n"], F.lower(main["key"])))
         .when(ok_call, F.lit(DETAIL_NO_LIST))
         .when(cls == "denied", F.lit(""))
@@ -161,25 +191,30 @@ def classify_outcomes(log: DataFrame, classes: DataFrame) -> DataFrame:
         .when(param_text, F.lit(DETAIL_NOT_TESTED))
         .otherwise(F.lit(""))
     )
-    count = F.when(readonly & ok_call & has_response, F.coalesce(main["n"], F.lit(1))).otherwise(F.lit(0))
+    size = F.when(identity, F.lit(1)).when(instances, n_instances).otherwise(F.coalesce(main["n"], F.lit(1)))
+    count = F.when(readonly & ok_call & has_response, size).otherwise(F.lit(0))
     return (
-        c.withColumn("status", status)
+        log.withColumn("status", status)
         .withColumn("message", message)
         .withColumn("result_error_code", F.when(F.col("status").isin("DENIED", "ERROR"), code))
         .withColumn("details", details)
         .withColumn("data_count", count.cast("int"))
         .withColumn("method_name", snake_case("permission"))
-        .drop("code_class")
     )
 
 
 def detail_table(outcomes: DataFrame) -> DataFrame:
-    """Short status and the text shown per check (details when PASSED, else message[:100])."""
+    """Short status and the text shown per check: details (with the sample, if there is one) when PASSED, else the message."""
     short = F.coalesce(
         F.element_at(F.create_map(*[x for k, v in SHORT_STATUS.items() for x in (F.lit(k), F.lit(v))]), F.col("status")),
         F.lit("?"),
     )
-    text = F.when(F.col("status") == "PASSED", F.col("details")).otherwise(truncate(F.col("message"), 100))
+    shown = F.col("details")
+    if "sample" in outcomes.columns:
+        sample = F.nullif(F.col("sample"), F.lit(""))
+        both = F.when(shown != "", F.format_string("%s (%s)", shown, sample)).otherwise(sample)
+        shown = F.when(sample.isNotNull(), both).otherwise(shown)
+    text = F.when(F.col("status") == "PASSED", shown).otherwise(F.col("message"))
     return outcomes.withColumn("short_status", short).withColumn("detail_text", text)
 
 
@@ -223,14 +258,13 @@ def service_matrix(outcomes: DataFrame) -> DataFrame:
 
 
 def sections(outcomes: DataFrame) -> DataFrame:
-    """The not-tested list (reason = message[:80]) and the error list (message[:60]), in one pass."""
+    """The not-tested list and the error list with their whole messages, in one pass."""
     s = F.col("status")
-    nt = s == "NOT_TESTED"
     return outcomes.filter(s.isin("NOT_TESTED", "ERROR")).select(
-        F.when(nt, F.lit("not_tested")).otherwise(F.lit("error")).alias("section"),
+        F.when(s == "NOT_TESTED", F.lit("not_tested")).otherwise(F.lit("error")).alias("section"),
         "service",
         "permission",
-        F.when(nt, truncate("message", 80)).otherwise(truncate("message", 60)).alias("reason"),
+        F.col("message").alias("reason"),
     )
 
 
@@ -242,23 +276,23 @@ def run_verdict(outcomes: DataFrame) -> DataFrame:
 
 
 def permission_inventory(log: DataFrame) -> DataFrame:
-    """D12 + A7: service → sorted distinct permissions, with per-service counts."""
-    return log.groupBy("service").agg(
-        F.array_sort(F.collect_set("permission")).alias("permissions"),
-    ).withColumn("n_permissions", F.size("permissions"))
+    """D12 + A7: one row per distinct (service, permission) with its place in the service's sorted list and the list's length.
+
+    Rows, not one array per service: nothing bounds a service's permissions.
+    """
+    pairs = log.select("service", "permission").distinct()
+    sizes = pairs.groupBy("service").agg(F.count(F.lit(1)).cast("int").alias("n_permissions"))
+    place = F.row_number().over(Window.partitionBy("service").orderBy("permission"))
+    return pairs.withColumn("position", place).join(sizes, "service")
 
 
 def render_markdown(summary_rows, matrix_rows) -> str:
     """Driver-side text of two small, already aggregated sections."""
-    out = ["## Summary", "", "| Status | Count | Percentage |", "|--------|-------|------------|"]
-    for r in summary_rows:
-        out.append(f"| {r['status']} | {r['n']} | {r['percent']}% |")
-    out += ["", "## Service Permission Matrix", "", "| Service | Total | Passed | Denied | NotTested | Skipped | Error | Status |"]
-    out.append("|---------|-------|--------|--------|-----------|---------|-------|--------|")
-    for r in matrix_rows:
-        out.append(
-            f"| {r['service']} | {r['total']} | {r['passed']} | {r['denied']} | {r['not_tested']} | {r['skipped']} | {r['error']} | {r['verdict']} |"
-        )
+    out = list(HEAD_SUMMARY)
+    out += [f"| {r['status']} | {r['n']} | {r['percent']}% |" for r in summary_rows]
+    out += ["", *HEAD_MATRIX]
+    columns = ("service", "total", "passed", "denied", "not_tested", "skipped", "error", "verdict")
+    out += ["| " + " | ".join(str(r[c]) for c in columns) + " |" for r in matrix_rows]
     return "\n".join(out) + "\n"
 
 
@@ -274,7 +308,7 @@ def as_check_result(outcomes: DataFrame) -> DataFrame:
             F.col("result_error_code").alias("error_code"),
             F.struct(
                 F.col("data_count").alias("count"),
-                F.lit(None).cast("string").alias("sample"),
+                (F.col("sample") if "sample" in outcomes.columns else F.lit(None)).cast("string").alias("sample"),
                 F.col("details").alias("details"),
             ).alias("data"),
         ).alias("result")

@@ -7,11 +7,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.functions.joins import broadcast_if_small
+from veilgrid.functions.joins import broadcast_if_small, values_frame
 from veilgrid.functions.scalars import categorize, like
 from veilgrid.operators.access import hidden_columns
-from veilgrid.operators.checks import compare_roles, preview, restricted_status, run_scenarios, visible_fraction
-from veilgrid.plans.policy import RESTRICTED, governor
+from veilgrid.operators.checks import (
+    access_matrix,
+    check_column_counts,
+    compare_roles,
+    preview,
+    restricted_status,
+    row_count,
+    run_scenarios,
+    summarize,
+    visible_fraction,
+)
+from veilgrid.plans.policy import DATABASE_OF, PUBLIC_TABLES, RESTRICTED, governor
 
 PRICE_THRESHOLD = 50000.0
 
@@ -63,19 +73,11 @@ def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     gov = governor(spark, sf_dir)
     facts = hidden_columns(gov.effective, gov.catalog)
-    counts = reduce(
-        DataFrame.unionByName,
-        [
-            df.agg(F.count(F.lit(1)).alias("row_count")).select(
-                F.lit(q.split(".")[0]).alias("database"), F.lit(q.split(".")[1]).alias("table"), "row_count"
-            )
-            for q, df in gov.tables.items()
-        ],
-    )
+    counts = _row_counts(gov)
     restricted_rows = [
         (role, t, list(cols)) for role, per in RESTRICTED.items() for t, cols in per.items()
     ]
-    restricted = spark.createDataFrame(restricted_rows, "role string, table string, restricted array<string>")
+    restricted = values_frame(spark, restricted_rows, "role string, table string, restricted array<string>")
     expected = F.when(F.col("role") == "scientist", F.lit("FULL")).otherwise(F.lit("RESTRICTED"))
     # The restricted list a check looks for: the role's own list, or for a
     # full-access role every list any role has on that table.
@@ -95,7 +97,7 @@ def access_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("expected_access", expected)
         .withColumn("status", restricted_status(F.col("expected_access"), F.col("columns"), F.col("checked")))
         .withColumn("visible_text", visible_fraction(F.col("n_visible"), F.col("n_total")))
-        .join(broadcast_if_small(counts), ["database", "table"])  # one row per table
+        .join(F.broadcast(counts), ["database", "table"])  # one row per table, by construction
     )
     return rep.select(
         "role",
@@ -121,6 +123,9 @@ SCENARIOS = (
     ("not_granted_sales", "sales_viewer", "lineitem", "SELECT * FROM {lineitem}"),
     ("hidden_order_part", "part_viewer", "part", "SELECT p_partkey FROM {part} ORDER BY p_retailprice"),
     ("count_orders_sales", "sales_viewer", "orders", "SELECT COUNT(*) AS n FROM {orders}"),
+    ("hidden_upper_case_ops", "ops_viewer", "lineitem", "SELECT L_TAX FROM {lineitem}"),
+    ("base_table_ops", "ops_viewer", "lineitem", "SELECT l_discount FROM ops_db.lineitem"),
+    ("cte_sales", "sales_viewer", "orders", "WITH x AS (SELECT o_custkey FROM {orders}) SELECT DISTINCT o_custkey FROM x"),
 )
 
 
@@ -140,7 +145,52 @@ def governed_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "role", "success", F.col("n_columns").cast("int").alias("n_columns"), "row_count", "status")
 
 
+def _row_counts(gov) -> DataFrame:
+    """(database, table, row_count) of all governed tables: one row per table."""
+    parts = [
+        row_count(df).select(F.lit(q.split(".")[0]).alias("database"), F.lit(q.split(".")[1]).alias("table"), "row_count")
+        for q, df in gov.tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def governed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 + V3: every role against every database, table by table: columns seen, status, whether their number
+    is the policy's, and the rows that the role may read there."""
+    gov = governor(spark, sf_dir)
+    databases = sorted({t.split(".")[0] for t in gov.tables})
+    wanted = [(r, databases, "FULL" if r == "scientist" else "RESTRICTED") for r in gov.roles]
+    expectations = values_frame(spark, wanted, "role string, databases array<string>, expected_access string")
+    hidden: dict[str, list[str]] = {}
+    for per_role in RESTRICTED.values():
+        for table, cols in per_role.items():
+            hidden.setdefault(table, []).extend(cols)
+    lists = values_frame(spark, [(DATABASE_OF[t], t, c) for t, c in hidden.items()], "database string, table string, restricted array<string>")
+    matrix = access_matrix(expectations, gov.effective.select("role", "database", "table", "columns"), lists)
+    numbers = []
+    for name, df in gov.tables.items():
+        db, table = name.split(".")
+        for role in gov.roles:
+            if role == "scientist" or table in PUBLIC_TABLES or table in RESTRICTED.get(role, {}):
+                numbers.append((role, db, table, len(df.columns) - len(RESTRICTED.get(role, {}).get(table, ()))))
+    expected = values_frame(spark, numbers, "role string, database string, table string, expected_count int")
+    checked = check_column_counts(gov.effective, expected).select("role", "database", "table", "matches")
+    out = matrix.join(broadcast_if_small(checked), ["role", "database", "table"], "left")
+    out = out.join(F.broadcast(_row_counts(gov)), ["database", "table"], "left")  # one row per table, by construction
+    return out.select("role", "database", "table", "n_columns", "status", "matches", "row_count")
+
+
+def governed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: how many of the matrix's lines are as the policy says, and the verdict; lines without a table are fine."""
+    matrix = governed_matrix(spark, sf_dir)
+    ok = (F.col("status") != "UNEXPECTED") & F.coalesce("matches", F.lit(True)) & F.coalesce(F.col("row_count") >= 0, F.lit(True))
+    out = summarize(matrix.withColumn("ok", ok))
+    return out.select(*[F.col(c).cast("long").alias(c) for c in ("ok_count", "error_count", "total_count")], "verdict")
+
+
 QUERIES = {
+    "governed_matrix": governed_matrix,
+    "governed_summary": governed_summary,
     "governed_scenarios": governed_scenarios,
     "governed_lineitem_ops_viewer": ops_viewer_lineitem,
     "governed_customer_like_sales_viewer": sales_viewer_customers_like,
@@ -149,17 +199,78 @@ QUERIES = {
     "governed_access_report": access_report,
 }
 
+# The policy (which role may read which table, and what is hidden from it) against the tables' own columns.
+_COLUMNS = """
+        WITH dbs(tbl, database) AS (VALUES ('customer', 'sales_db'), ('orders', 'sales_db'), ('lineitem', 'ops_db'),
+            ('supplier', 'ops_db'), ('part', 'catalog_db'), ('nation', 'ref_db'), ('region', 'ref_db')),
+        sizes AS (SELECT table_name AS tbl, count(*) AS n_total FROM information_schema.columns GROUP BY table_name),
+        policy(role, tbl, hides) AS (
+            SELECT 'scientist', tbl, CAST([] AS VARCHAR[]) FROM dbs
+            UNION ALL SELECT role, tbl, CAST([] AS VARCHAR[]) FROM (VALUES ('sales_viewer'), ('ops_viewer'), ('part_viewer')) r(role),
+                (VALUES ('nation'), ('region')) t(tbl)
+            UNION ALL VALUES ('sales_viewer', 'customer', ['c_acctbal']), ('sales_viewer', 'orders', CAST([] AS VARCHAR[])),
+                ('ops_viewer', 'lineitem', ['l_discount', 'l_tax']), ('part_viewer', 'part', ['p_retailprice'])
+        ),
+        granted AS (
+            SELECT role, tbl, coalesce((SELECT list(column_name ORDER BY ordinal_position) FROM information_schema.columns c
+                WHERE c.table_name = p.tbl AND list_contains(p.hides, c.column_name)), []) AS hidden
+            FROM policy p
+        )"""
+
+_MATRIX = _COLUMNS + """,
+        counts AS (
+            SELECT 'customer' AS tbl, COUNT(*) AS row_count FROM customer
+            UNION ALL SELECT 'orders', COUNT(*) FROM orders
+            UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
+            UNION ALL SELECT 'supplier', COUNT(*) FROM supplier
+            UNION ALL SELECT 'part', COUNT(*) FROM part
+            UNION ALL SELECT 'nation', COUNT(*) FROM nation
+            UNION ALL SELECT 'region', COUNT(*) FROM region
+        ),
+        any_hidden AS (SELECT tbl, flatten(list(hidden)) AS names FROM granted GROUP BY tbl),
+        pairs AS (SELECT DISTINCT role, database FROM policy, dbs),
+        matrix AS (
+            SELECT p.role, p.database, g.tbl AS "table", CAST(coalesce(s.n_total - len(g.hidden), 0) AS INTEGER) AS n_columns,
+                   CASE WHEN g.tbl IS NULL THEN 'NO_ACCESS' WHEN p.role <> 'scientist' THEN 'CORRECT'
+                        WHEN len(a.names) > 0 THEN 'EXPECTED' ELSE 'NOTE' END AS status,
+                   CASE WHEN g.tbl IS NOT NULL THEN true END AS matches, c.row_count
+            FROM pairs p LEFT JOIN (SELECT g.*, d.database FROM granted g JOIN dbs d USING (tbl)) g ON g.role = p.role AND g.database = p.database
+            LEFT JOIN sizes s ON s.tbl = g.tbl LEFT JOIN any_hidden a ON a.tbl = g.tbl LEFT JOIN counts c ON c.tbl = g.tbl
+        )"""
+
 ORACLES = {
-    "governed_scenarios": """
-        SELECT * FROM (VALUES
-            ('all_lineitem_scientist', 'scientist', true, 11, (SELECT COUNT(*) FROM lineitem), 'EXPECTED'),
-            ('all_lineitem_ops', 'ops_viewer', true, 9, (SELECT COUNT(*) FROM lineitem), 'CORRECT'),
-            ('hidden_select_ops', 'ops_viewer', false, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT), 'EXPECTED_DENIAL'),
-            ('hidden_where_sales', 'sales_viewer', false, NULL, NULL, 'EXPECTED_DENIAL'),
-            ('not_granted_sales', 'sales_viewer', false, NULL, NULL, 'FAILURE'),
-            ('hidden_order_part', 'part_viewer', false, NULL, NULL, 'EXPECTED_DENIAL'),
-            ('count_orders_sales', 'sales_viewer', true, 1, 1, 'CORRECT')
-        ) AS t(name, role, success, n_columns, row_count, status)""",
+    "governed_matrix": _MATRIX + " SELECT * FROM matrix",
+    "governed_summary": _MATRIX + """
+        SELECT count(*) AS ok_count, CAST(0 AS BIGINT) AS error_count, count(*) AS total_count, 'PASSED' AS verdict FROM matrix""",
+    "governed_scenarios": _COLUMNS
+    + """,
+        runs(name, role, tbl, star, named, result_columns, n_rows) AS (VALUES
+            ('all_lineitem_scientist', 'scientist', 'lineitem', true, '', 0, (SELECT COUNT(*) FROM lineitem)),
+            ('all_lineitem_ops', 'ops_viewer', 'lineitem', true, '', 0, (SELECT COUNT(*) FROM lineitem)),
+            ('hidden_select_ops', 'ops_viewer', 'lineitem', false, 'l_discount', 2, 0),
+            ('hidden_where_sales', 'sales_viewer', 'customer', false, 'c_acctbal', 1, 0),
+            ('not_granted_sales', 'sales_viewer', 'lineitem', true, '', 0, 0),
+            ('hidden_order_part', 'part_viewer', 'part', false, 'p_retailprice', 1, 0),
+            ('count_orders_sales', 'sales_viewer', 'orders', false, '', 1, 1),
+            ('hidden_upper_case_ops', 'ops_viewer', 'lineitem', false, 'l_tax', 1, 0),
+            ('base_table_ops', 'ops_viewer', '-', false, '', 1, 0),
+            ('cte_sales', 'sales_viewer', 'orders', false, '', 1, (SELECT COUNT(DISTINCT o_custkey) FROM orders))
+        ),
+        tried AS (
+            SELECT r.*, g.role IS NOT NULL AND NOT list_contains(coalesce(g.hidden, []), r.named) AS success,
+                   CASE WHEN star THEN coalesce(s.n_total, 0) - len(coalesce(g.hidden, [])) ELSE result_columns END AS n_columns,
+                   coalesce(any_hidden, []) AS any_hidden, g.hidden AS hidden
+            FROM runs r LEFT JOIN granted g ON g.role = r.role AND g.tbl = r.tbl
+            LEFT JOIN sizes s ON s.tbl = r.tbl
+            LEFT JOIN (SELECT tbl, flatten(list(hidden)) AS any_hidden FROM granted GROUP BY tbl) a ON a.tbl = r.tbl
+        )
+        SELECT name, role, success, CAST(CASE WHEN success THEN n_columns END AS INTEGER) AS n_columns,
+               CAST(CASE WHEN success THEN n_rows END AS BIGINT) AS row_count,
+               CASE WHEN success AND role = 'scientist' THEN CASE WHEN star AND len(any_hidden) > 0 THEN 'EXPECTED' ELSE 'NOTE' END
+                    WHEN success THEN 'CORRECT'
+                    WHEN role <> 'scientist' AND list_contains(coalesce(hidden, []), named) THEN 'EXPECTED_DENIAL'
+                    ELSE 'FAILURE' END AS status
+        FROM tried""",
     "governed_lineitem_ops_viewer": """
         SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
                l_returnflag, l_linestatus, l_shipdate,
@@ -178,40 +289,25 @@ ORACLES = {
                COALESCE(p_name, 'NULL') AS p_name, COALESCE(p_brand, 'NULL') AS p_brand,
                COALESCE(p_type, 'NULL') AS p_type, COALESCE(CAST(p_size AS VARCHAR), 'NULL') AS p_size
         FROM part ORDER BY p_partkey LIMIT 2""",
-    "governed_access_report": """
-        WITH counts AS (
-            SELECT 'sales_db' AS database, 'customer' AS "table", COUNT(*) AS row_count FROM customer
-            UNION ALL SELECT 'sales_db', 'orders', COUNT(*) FROM orders
-            UNION ALL SELECT 'ops_db', 'lineitem', COUNT(*) FROM lineitem
-            UNION ALL SELECT 'ops_db', 'supplier', COUNT(*) FROM supplier
-            UNION ALL SELECT 'catalog_db', 'part', COUNT(*) FROM part
-            UNION ALL SELECT 'ref_db', 'nation', COUNT(*) FROM nation
-            UNION ALL SELECT 'ref_db', 'region', COUNT(*) FROM region
+    "governed_access_report": _COLUMNS
+    + """,
+        counts AS (
+            SELECT 'customer' AS tbl, COUNT(*) AS row_count FROM customer
+            UNION ALL SELECT 'orders', COUNT(*) FROM orders
+            UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
+            UNION ALL SELECT 'supplier', COUNT(*) FROM supplier
+            UNION ALL SELECT 'part', COUNT(*) FROM part
+            UNION ALL SELECT 'nation', COUNT(*) FROM nation
+            UNION ALL SELECT 'region', COUNT(*) FROM region
         ),
-        facts(role, database, "table", column_count, total_columns, access_level, restrictions,
-              expected_access, status) AS (VALUES
-            ('scientist', 'sales_db', 'customer', 5, 5, 'Full access', 'none', 'FULL', 'EXPECTED'),
-            ('scientist', 'sales_db', 'orders', 6, 6, 'Full access', 'none', 'FULL', 'NOTE'),
-            ('scientist', 'ops_db', 'lineitem', 11, 11, 'Full access', 'none', 'FULL', 'EXPECTED'),
-            ('scientist', 'ops_db', 'supplier', 4, 4, 'Full access', 'none', 'FULL', 'NOTE'),
-            ('scientist', 'catalog_db', 'part', 6, 6, 'Full access', 'none', 'FULL', 'EXPECTED'),
-            ('scientist', 'ref_db', 'nation', 3, 3, 'Full access', 'none', 'FULL', 'NOTE'),
-            ('scientist', 'ref_db', 'region', 2, 2, 'Full access', 'none', 'FULL', 'NOTE'),
-            ('sales_viewer', 'sales_db', 'customer', 4, 5, 'Restricted', 'Cannot see c_acctbal', 'RESTRICTED', 'CORRECT'),
-            ('sales_viewer', 'sales_db', 'orders', 6, 6, 'Full access', 'none', 'RESTRICTED', 'CORRECT'),
-            ('sales_viewer', 'ref_db', 'nation', 3, 3, 'Full access', 'none', 'RESTRICTED', 'CORRECT'),
-            ('sales_viewer', 'ref_db', 'region', 2, 2, 'Full access', 'none', 'RESTRICTED', 'CORRECT'),
-            ('ops_viewer', 'ops_db', 'lineitem', 9, 11, 'Restricted', 'Cannot see l_discount, l_tax', 'RESTRICTED', 'CORRECT'),
-            ('ops_viewer', 'ref_db', 'nation', 3, 3, 'Full access', 'none', 'RESTRICTED', 'CORRECT'),
-            ('ops_viewer', 'ref_db', 'region', 2, 2, 'Full access', 'none', 'RESTRICTED', 'CORRECT'),
-            ('part_viewer', 'catalog_db', 'part', 5, 6, 'Restricted', 'Cannot see p_retailprice', 'RESTRICTED', 'CORRECT'),
-            ('part_viewer', 'ref_db', 'nation', 3, 3, 'Full access', 'none', 'RESTRICTED', 'CORRECT'),
-            ('part_viewer', 'ref_db', 'region', 2, 2, 'Full access', 'none', 'RESTRICTED', 'CORRECT')
-        )
-        SELECT f.role, f.database, f."table", CAST(f.column_count AS INTEGER) AS column_count,
-               CAST(f.total_columns AS INTEGER) AS total_columns, f.access_level, f.restrictions,
-               f.expected_access, f.status,
-               printf('%d/%d columns visible', f.column_count, f.total_columns) AS visible_text,
+        any_hidden AS (SELECT tbl, flatten(list(hidden)) AS names FROM granted GROUP BY tbl)
+        SELECT g.role, d.database, g.tbl AS "table", CAST(s.n_total - len(g.hidden) AS INTEGER) AS column_count,
+               CAST(s.n_total AS INTEGER) AS total_columns,
+               CASE WHEN len(g.hidden) = 0 THEN 'Full access' ELSE 'Restricted' END AS access_level,
+               CASE WHEN len(g.hidden) = 0 THEN 'none' ELSE 'Cannot see ' || array_to_string(g.hidden, ', ') END AS restrictions,
+               CASE WHEN g.role = 'scientist' THEN 'FULL' ELSE 'RESTRICTED' END AS expected_access,
+               CASE WHEN g.role <> 'scientist' THEN 'CORRECT' WHEN len(a.names) > 0 THEN 'EXPECTED' ELSE 'NOTE' END AS status,
+               printf('%d/%d columns visible', s.n_total - len(g.hidden), s.n_total) AS visible_text,
                c.row_count
-        FROM facts f JOIN counts c ON f.database = c.database AND f."table" = c."table\"""",
+        FROM granted g JOIN dbs d USING (tbl) JOIN sizes s USING (tbl) JOIN counts c USING (tbl) JOIN any_hidden a USING (tbl)""",
 }

@@ -1,9 +1,10 @@
 """Permission-outcome report on a call log derived from ``events``.
 
 Mapping (ours): one event = one permission check. ``service`` = event_type;
-the permission name is built from ``props.k`` (verb = k mod 7, noun =
-(k div 7) mod 5); the outcome code comes from ``value`` ranges; the response
-holds lists whose lengths come from ``k``. The audit trail for denied checks
+the permission name is made up from ``props.k`` (verb = k mod 7, noun =
+(k div 7) mod 5; k divisible by 11 is GetCallerIdentity); the outcome code
+comes from ``value`` ranges; the response holds made-up lists whose lengths
+come from ``k`` (so A8 is shown on made-up lists only). The audit trail for denied checks
 is the ``purchase`` events of the same user.
 """
 
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrid.functions.joins import values_frame
 from veilgrid.operators.lookup import audit_lookup, expand_patterns, lookup_default
 from veilgrid.operators.report import (
     classify_outcomes,
-    code_classes,
     detail_table,
     permission_inventory,
     run_verdict,
@@ -50,7 +51,7 @@ PATTERNS = (
 
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events", spread=True)
+    ev = read_table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     verb = F.element_at(F.array(*[F.lit(v) for v in VERBS]), F.pmod(k, F.lit(len(VERBS))) + 1)
     noun = F.element_at(F.array(*[F.lit(n) for n in NOUNS]), F.pmod(F.floor(k / len(VERBS)), F.lit(len(NOUNS))).cast("int") + 1)
@@ -61,7 +62,9 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         msg = F.when(F.col("value") < bound, F.lit(m)).otherwise(msg)
     response = F.create_map(
         F.lit("Items"), F.array_repeat(F.col("event_type"), F.pmod(k, F.lit(5))),
-        F.lit("Reservations"), F.array_repeat(F.lit("r"), F.pmod(k, F.lit(3))),
+        F.lit("Reservations"), F.array_repeat(F.format_string('{"Instances":[%s]}', F.array_join(F.array_repeat(F.lit('"i"'), F.pmod(k, F.lit(4))), ",")), F.pmod(k, F.lit(3))),
+        F.lit("Account"), F.array(F.lit("000000000000")),
+        F.lit("Arn"), F.array(F.concat(F.lit("arn:user/"), F.col("user_id").cast("string"))),
         F.lit("NextToken"), F.array_repeat(F.lit("t"), F.lit(7)),
     )
     return ev.select(
@@ -69,7 +72,7 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         "user_id",
         F.col("event_type").alias("service"),
-        F.concat(verb, noun).alias("permission"),
+        F.when(F.pmod(k, F.lit(11)) == 0, F.lit("GetCallerIdentity")).otherwise(F.concat(verb, noun)).alias("permission"),
         code.alias("error_code"),
         msg.alias("error_message"),
         response.alias("response"),
@@ -77,13 +80,13 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detail_table(classify_outcomes(call_log(spark, sf_dir), code_classes(spark)))
+    return detail_table(classify_outcomes(call_log(spark, sf_dir)))
 
 
 def report_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = outcomes(spark, sf_dir)
-    clients = spark.createDataFrame(list(CLIENT_OF_SERVICE), "service string, client string")
-    overrides = spark.createDataFrame(list(CLIENT_OVERRIDE), "service string, permission string, client string")
+    clients = values_frame(spark, CLIENT_OF_SERVICE, "service string, client string")
+    overrides = values_frame(spark, CLIENT_OVERRIDE, "service string, permission string, client string")
     o = lookup_default(o, clients, ["service"], "client", "client", F.col("service"))
     o = lookup_default(o, overrides, ["service", "permission"], "client", "client", F.col("client"))
     return o.select(
@@ -128,7 +131,7 @@ def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_denied_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Denied checks with the audit look-up (same user, last 60 min, at most 5)."""
+    """Denied checks with the audit look-up (same user, last 60 min)."""
     denied = outcomes(spark, sf_dir).filter(F.col("status") == "DENIED").select(
         "event_id", "ts", "user_id", "service", "permission", F.col("result_error_code").alias("error_code")
     )
@@ -160,17 +163,16 @@ def events_audit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wildcard action patterns per service × the checks they cover."""
-    pats = spark.createDataFrame(list(PATTERNS), "service string, pattern string")
-    hits = expand_patterns(call_log(spark, sf_dir).select("service", "permission"), pats)
-    return hits.groupBy("service", "pattern").agg(
-        F.count(F.lit(1)).alias("n_checks"), F.count_distinct("permission").alias("n_permissions")
+    pats = values_frame(spark, PATTERNS, "service string, pattern string")
+    actions = call_log(spark, sf_dir).groupBy("service", "permission").agg(F.count(F.lit(1)).alias("n"))
+    return expand_patterns(actions, pats).groupBy("service", "pattern").agg(
+        F.sum("n").alias("n_checks"), F.count(F.lit(1)).alias("n_permissions")
     )
 
 
 def report_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D12 + A7: service → sorted permission list and its length."""
-    inv = permission_inventory(call_log(spark, sf_dir))
-    return inv.select("service", F.array_join("permissions", ",").alias("permissions"), F.col("n_permissions").cast("int"))
+    """D12 + A7: each service's permissions in order, with the length of its list."""
+    return permission_inventory(call_log(spark, sf_dir)).select("service", "permission", "position", "n_permissions")
 
 
 QUERIES = {
@@ -191,8 +193,9 @@ WITH ev AS (
 ),
 calls AS (
     SELECT event_id, ts, user_id, event_type AS service,
+           CASE WHEN k % 11 = 0 THEN 'GetCallerIdentity' ELSE
            ['Describe','List','Get','Lookup','Search','Put','Delete'][((k % 7) + 7) % 7 + 1]
-           || ['Instances','Buckets','Functions','Tables','Keys'][(((floor(k / 7))::INTEGER % 5) + 5) % 5 + 1] AS permission,
+           || ['Instances','Buckets','Functions','Tables','Keys'][(((floor(k / 7))::INTEGER % 5) + 5) % 5 + 1] END AS permission,
            CASE WHEN value < 2.5 THEN 'AccessDenied' WHEN value < 5.0 THEN 'NoSuchBucket'
                 WHEN value < 7.5 THEN 'ValidationException' WHEN value < 10.0 THEN 'ParamValidationError'
                 WHEN value < 11.0 THEN 'ThrottlingException' END AS code,
@@ -201,7 +204,7 @@ calls AS (
                 WHEN value < 7.5 THEN 'Invalid request'
                 WHEN value < 10.0 THEN 'Parameter validation failed: Missing required parameter in input: "Name"'
                 WHEN value < 11.0 THEN 'Rate exceeded' END AS msg,
-           ((k % 5) + 5) % 5 AS n_items, ((k % 3) + 3) % 3 AS n_res
+           ((k % 5) + 5) % 5 AS n_items, ((k % 3) + 3) % 3 AS n_res, ((k % 3) + 3) % 3 * (((k % 4) + 4) % 4) AS n_inst
     FROM ev
 ),
 o AS (
@@ -222,17 +225,21 @@ outc AS (
            WHEN code = 'AccessDenied' THEN msg
            WHEN code = 'NoSuchBucket' THEN 'Permission validated (resource not found)'
            WHEN code = 'ValidationException' THEN 'Permission exists (' || code || ')'
-           WHEN status = 'NOT_TESTED' THEN 'Requires parameters not in mapping'
+           WHEN code = 'ParamValidationError' THEN 'Requires parameters: ' || msg
            ELSE code || ': ' || msg END AS message,
       CASE WHEN status IN ('DENIED', 'ERROR') THEN code END AS error_code,
       CASE WHEN status = 'SKIPPED' THEN ''
-           WHEN code IS NULL THEN CASE WHEN n_items >= n_res THEN n_items || ' items' ELSE n_res || ' reservations' END
+           WHEN code IS NULL THEN CASE WHEN permission = 'GetCallerIdentity' THEN 'Account: 000000000000, ARN: arn:user/' || user_id
+                WHEN permission = 'DescribeInstances' THEN n_inst || ' instances'
+                WHEN n_items >= greatest(n_res, 1) THEN n_items || ' items'
+                WHEN n_res >= 1 THEN n_res || ' reservations' ELSE '1 account' END
            WHEN code = 'AccessDenied' THEN ''
            WHEN code = 'NoSuchBucket' THEN 'API authorized (' || code || ')'
            WHEN code = 'ValidationException' THEN 'API accessible'
            WHEN status = 'NOT_TESTED' THEN 'Needs param mapping'
            ELSE '' END AS details,
-      CAST(CASE WHEN status <> 'SKIPPED' AND code IS NULL THEN greatest(n_items, n_res) ELSE 0 END AS INTEGER) AS data_count
+      CAST(CASE WHEN status <> 'SKIPPED' AND code IS NULL THEN CASE permission WHEN 'GetCallerIdentity' THEN 1 WHEN 'DescribeInstances' THEN n_inst
+                ELSE greatest(n_items, n_res, 1) END ELSE 0 END AS INTEGER) AS data_count
     FROM o
 )
 """
@@ -245,7 +252,7 @@ _PURCHASE_LOOKUP = """
      AND a.ts BETWEEN p.ts - INTERVAL 60 MINUTE AND p.ts
 ),
 agg AS (
-    SELECT event_id, CAST(least(count(*), 5) AS INTEGER) AS ct_count,
+    SELECT event_id, CAST(count(*) AS INTEGER) AS ct_count,
            arg_max(aid, ats) AS ct_latest_id, max(ats) AS ct_latest_time, arg_max(avalue, ats) AS ct_latest_value
     FROM m GROUP BY event_id
 ),
@@ -270,7 +277,7 @@ ORACLES = {
            status, message, error_code, details, data_count,
            CASE status WHEN 'PASSED' THEN 'OK' WHEN 'DENIED' THEN 'DENIED' WHEN 'NOT_TESTED' THEN 'N/T'
                 WHEN 'SKIPPED' THEN 'SKIP' WHEN 'ERROR' THEN 'ERR' ELSE '?' END AS short_status,
-           CASE WHEN status = 'PASSED' THEN details ELSE substr(message, 1, 100) END AS detail_text
+           CASE WHEN status = 'PASSED' THEN details ELSE message END AS detail_text
     FROM outc""",
     "report_summary": _CALLS
     + """
@@ -295,9 +302,9 @@ ORACLES = {
     FROM g ORDER BY service""",
     "report_sections": _CALLS
     + """
-    SELECT 'not_tested' AS section, service, permission, substr(message, 1, 80) AS reason FROM outc WHERE status = 'NOT_TESTED'
+    SELECT 'not_tested' AS section, service, permission, message AS reason FROM outc WHERE status = 'NOT_TESTED'
     UNION ALL
-    SELECT 'error', service, permission, substr(message, 1, 60) FROM outc WHERE status = 'ERROR'""",
+    SELECT 'error', service, permission, message FROM outc WHERE status = 'ERROR'""",
     "report_verdict": _CALLS
     + """
     SELECT CAST(count(*) FILTER (WHERE status = 'DENIED') AS BIGINT) AS denied,
@@ -315,13 +322,13 @@ ORACLES = {
     + """
     , pats(service, pattern) AS (VALUES ('click', 'List*'), ('click', 'Describe*'), ('view', 'Get*'),
         ('view', 'Describe_*'), ('purchase', '*Keys'), ('signup', 'Search*'), ('error', '*'))
-    SELECT p.service, p.pattern, count(*) AS n_checks, count(DISTINCT c.permission) AS n_permissions
+    SELECT p.service, p.pattern, CAST(count(*) AS BIGINT) AS n_checks, count(DISTINCT c.permission) AS n_permissions
     FROM calls c JOIN pats p ON c.service = p.service
      AND c.permission LIKE replace(replace(p.pattern, '_', '\\_'), '*', '%') ESCAPE '\\'
     GROUP BY p.service, p.pattern""",
     "report_inventory": _CALLS
     + """
-    SELECT service, string_agg(DISTINCT permission, ',' ORDER BY permission) AS permissions,
-           CAST(count(DISTINCT permission) AS INTEGER) AS n_permissions
-    FROM calls GROUP BY service""",
+    SELECT service, permission, CAST(row_number() OVER (PARTITION BY service ORDER BY permission) AS INTEGER) AS position,
+           CAST(count(*) OVER (PARTITION BY service) AS INTEGER) AS n_permissions
+    FROM (SELECT DISTINCT service, permission FROM calls)""",
 }

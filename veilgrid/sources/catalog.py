@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilgrid.functions.joins import values_frame
+
 PROPERTY_PREFIX = "gov."
 
 
@@ -59,13 +61,28 @@ def append(df: DataFrame, table: str) -> None:
     df.write.insertInto(table)
 
 
+def by_name(df: DataFrame, target: T.StructType) -> DataFrame:
+    """``df`` with the target's columns, matched by name without regard to case; absent ones are NULL.
+
+    A column that the target does not have is an error: nothing is dropped.
+    """
+    given = {c.lower(): c for c in df.columns}
+    if len(given) < len(df.columns):
+        raise ValueError(f"columns that differ in case only: {df.columns}")
+    unknown = sorted(set(given) - {f.name.lower() for f in target.fields})
+    if unknown:
+        raise ValueError(f"columns not in the target table: {[given[c] for c in unknown]}")
+    return df.select(
+        *[
+            (F.col(f"`{given[f.name.lower()]}`") if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in target.fields
+        ]
+    )
+
+
 def append_by_name(df: DataFrame, table: str) -> None:
-    """``INSERT INTO t (cols)`` — columns matched by name; absent columns become NULL."""
-    target = spark_table_schema(df.sparkSession, table)
-    cols = [
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.fields
-    ]
-    df.select(*cols).write.insertInto(table)
+    """``INSERT INTO t (cols)`` — columns matched by name; absent columns become NULL, unknown ones raise."""
+    by_name(df, spark_table_schema(df.sparkSession, table)).write.insertInto(table)
 
 
 def spark_table_schema(spark: SparkSession, table: str) -> T.StructType:
@@ -119,13 +136,13 @@ def catalog_tables(spark: SparkSession, databases: Sequence[str] | None = None)
                 pass
             rows.append((db, t.name, t.tableType, props))
     schema = "database string, table string, kind string, properties map<string,string>"
-    return spark.createDataFrame(rows, schema)
+    return values_frame(spark, rows, schema)
 
 
 def find_schemas(spark: SparkSession, pattern: str) -> DataFrame:
     """Databases whose name matches a SQL LIKE pattern (``%``/``_``)."""
     names = [d.name for d in spark.catalog.listDatabases()]
-    df = spark.createDataFrame([(n,) for n in names], "database string")
+    df = values_frame(spark, [(n,) for n in names], "database string")
     return df.filter(F.col("database").like(pattern))
 
 
