@@ -149,18 +149,36 @@ def test_resolve_step(spark):
     assert (got.a, got.b, got.c) == ("2-ARC", "3-Normalize", "1-X")
 
 
-def test_sequence_ids_dense_and_ordered(spark):
+def test_sequence_ids_are_unique_and_rise(spark):
     df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("k"))
-    ids = with_sequence_id(df, ["k"], start=101).collect()
-    got = sorted((r.audit_log_id, r.k) for r in ids)
-    assert [i for i, _ in got] == list(range(101, 5101))
-    assert [k for _, k in got] == sorted(k for _, k in got)
+    rows = with_sequence_id(df, start=101).collect()
+    ids = [r.audit_log_id for r in rows]
+    assert min(ids) == 101 and ids == sorted(set(ids))
+    assert [r.k for r in rows] == [r.k for r in df.collect()]
+    assert not any(x in with_sequence_id(df)._jdf.queryExecution().executedPlan().toString() for x in ("Exchange", "Sort"))
 
 
-def test_append_and_latest(spark):
-    log = spark.createDataFrame([(1, "a"), (2, "b")], "audit_log_id long, var_name string")
-    more = spark.createDataFrame([(3, "c")], "audit_log_id long, var_name string")
-    assert [r.audit_log_id for r in latest(append_audit(log, more), 2).collect()] == [3, 2]
+def test_appended_log_goes_on_after_its_last_id(spark, tmp_dir):
+    path = f"{tmp_dir}/log"
+    one = spark.range(0, 10, numPartitions=3).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("var_name"))
+    append_audit(one, path)
+    first = {r.audit_log_id for r in spark.read.parquet(path).collect()}
+    append_audit(one, path)
+    ids = [r.audit_log_id for r in spark.read.parquet(path).collect()]
+    assert len(first) == 10 and len(set(ids)) == len(ids) == 20
+    assert min(set(ids) - first) == max(first) + 1
+    assert [r.audit_log_id for r in latest(spark.read.parquet(path), 2).collect()] == sorted(ids)[:-3:-1]
+    with pytest.raises(Exception, match="too long"):
+        append_audit(one.withColumn("action_code", F.lit("x" * 11)), path)
+    assert spark.read.parquet(path).count() == 20
+
+
+def test_nothing_stays_persisted(spark):
+    from veilgrid.plans.audit import QUERIES
+
+    for fn in QUERIES.values():
+        fn(spark, "/root/testdata/sf0.001").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
 
 
 def test_length_limits_raise_not_cut(spark):
@@ -201,16 +219,6 @@ def test_audit_matches_python_model(spark):
     assert got == sorted(expected)
 
 
-def test_sequence_ids_hot_key_spread(spark):
-    # A third of the rows share one order key: ids stay dense and the hot key is not one partition.
-    df = spark.range(0, 3000, numPartitions=6).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
-    out = with_sequence_id(df, ["k"])
-    ids = sorted(r.audit_log_id for r in out.collect())
-    assert ids == list(range(1, 3001))
-    hot = out.filter(F.col("k") == 7).select(F.spark_partition_id().alias("p")).distinct().count()
-    assert hot > 1
-
-
 def test_stamp_modified_touches_only_updated_rows(spark, housing):
     from veilgrid.operators.audit import stamp_modified
 

@@ -19,8 +19,10 @@ from veilgrid.operators.events import (
     wrap_event,
 )
 from veilgrid.sources.events import parsed_frame, read_events
-from veilgrid.streaming.bus import EventConsumer, run_forwarder, write_and_publish
+from veilgrid.streaming.bus import EventConsumer, ExportTable, run_forwarder, write_and_publish
 
+DEFAULTS = ("aeronav_db", "navigation_waypoints")
+NAMED = {"default_database": DEFAULTS[0], "default_table": DEFAULTS[1]}
 RULE = {"source": ["app.writer"], "detail-type": ["Data Table Updated"], "detail.database": ["aeronav_db"]}
 
 
@@ -53,19 +55,19 @@ def test_f9_cases(spark):
     assert sorted(r.event.id for r in routed.collect()) == ["e1", "e1", "e6"]  # wrong db and missing detail do not match
     once = dedupe_events(routed.select(F.col("event.id").alias("event_id")), "event_id")
     assert sorted(r.event_id for r in once.collect()) == ["e1", "e6"]
-    n = {r.event_id: (r.database, r.table, r.record_count) for r in normalize_event(ok).collect()}
+    n = {r.event_id: (r.database, r.table, r.record_count) for r in normalize_event(ok, *DEFAULTS).collect()}
     assert n["e3"] == ("aeronav_db", "navigation_waypoints", 3)  # missing detail → defaults
     assert n["e6"] == ("aeronav_db", "navigation_waypoints", 0)  # 'None' table → default; count 0 kept
     assert n["e2"] == ("aeroweather_db", "weather_observations", 3)
 
 
 def test_gate_archive_notification_wrap(spark):
-    n = normalize_event(valid_events(_f9(spark)))
+    n = normalize_event(valid_events(_f9(spark)), *DEFAULTS)
     q = quality_gate(n, {"has_records": F.col("record_count") > 0})
     assert sorted(r.event_id for r in q.filter(~F.col("accepted")).collect()) == ["e6"]
     arch = archive(n, ts_literal("2024-02-01 00:00:00"))
     assert "e6" not in [r.event_id for r in arch.collect()]
-    msg = notifications(n.withColumn("export_location", F.lit(None).cast("string")), ts_literal("2024-02-01 00:00:00"))
+    msg = notifications(n.withColumn("export_location", F.lit(None).cast("string")), ts_literal("2024-02-01 00:00:00"), *DEFAULTS)
     m = msg.filter(F.col("event_id") == "e3").first().message
     assert "Database: aeronav_db\nTable: navigation_waypoints\nRecords: 3\nLocation: Not available" in m
     w = wrap_event(n, ts_literal("2024-02-01 00:00:00")).first()
@@ -86,7 +88,9 @@ def test_streaming_equals_batch_and_increments(spark, tmp_dir):
     lines += ['{"broken', _line("x1", database="other_db")]
     spark.createDataFrame([(x,) for x in lines[:16]], "value string").coalesce(1).write.text(bus_a)
     run_forwarder(spark, bus_a, bus_b, RULE, f"{ckpt}/fwd").awaitTermination()
-    pipe = EventConsumer(spark, [bus_a, bus_b], out, ckpt, {"direct": RULE}, max_files=1)
+    rows = spark.createDataFrame([(f"WP{i:03}", i) for i in range(50)], "waypoint_id string, n int").repartition(5)
+    table = ExportTable(rows, ["waypoint_id"])
+    pipe = EventConsumer(spark, [bus_a, bus_b], out, ckpt, {"direct": RULE}, max_files=1, **NAMED, tables={"aeronav_db.navigation_waypoints": table})
     pipe.start_dead_letters().awaitTermination()
     pipe.start().awaitTermination()
     first = {r.event_id for r in spark.read.parquet(f"{out}/notifications").collect()}
@@ -102,8 +106,13 @@ def test_streaming_equals_batch_and_increments(spark, tmp_dir):
     assert set(ids) == {r.event.id for r in batch.collect()}
     assert first and first < set(ids)
     assert [r.reason for r in spark.read.parquet(f"{out}/dead_letters").collect()] == ["unparseable"]
-    exported = spark.read.option("header", True).csv(f"{out}/exported-data")
-    assert exported.count() == len(ids)
+    # Every location that a notification names holds the table's rows, in key order.
+    for r in notes.select("export_location").distinct().collect():
+        got = [x.waypoint_id for x in spark.read.option("header", True).csv(r.export_location).collect()]
+        assert sorted(got) == [f"WP{i:03}" for i in range(50)]
+        parts = sorted(f for f in os.listdir(r.export_location) if f.startswith("part"))
+        lines = [x for f in parts for x in open(os.path.join(r.export_location, f)).read().splitlines()[1:]]
+        assert lines == sorted(lines)
 
 
 def test_write_and_publish(spark, tmp_dir):
@@ -123,7 +132,7 @@ def test_streaming_quality_gate_rejects(spark, tmp_dir):
     bus, out, ckpt = (os.path.join(tmp_dir, x) for x in ("a", "out", "ckpt"))
     lines = [_line(f"q{i}", count=i % 3) for i in range(9)]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(bus)
-    pipe = EventConsumer(spark, [bus], out, ckpt, {"direct": RULE}, quality_rules={"has_records": F.col("record_count") > 0})
+    pipe = EventConsumer(spark, [bus], out, ckpt, {"direct": RULE}, quality_rules={"has_records": F.col("record_count") > 0}, **NAMED)
     pipe.start().awaitTermination()
     rejected = sorted(r.event_id for r in spark.read.parquet(f"{out}/rejected").collect())
     noted = sorted(r.event_id for r in spark.read.parquet(f"{out}/notifications").collect())
@@ -134,10 +143,29 @@ def test_streaming_quality_gate_rejects(spark, tmp_dir):
 def test_retried_epoch_replaces_its_output(spark, tmp_dir):
     """A micro-batch that is run again (task retry, restart) overwrites its own output."""
     out = os.path.join(tmp_dir, "out")
-    pipe = EventConsumer(spark, [os.path.join(tmp_dir, "unused")], out, os.path.join(tmp_dir, "ckpt"), {"direct": RULE})
+    pipe = EventConsumer(spark, [os.path.join(tmp_dir, "unused")], out, os.path.join(tmp_dir, "ckpt"), {"direct": RULE}, **NAMED)
     batch = route_events(valid_events(_f9(spark)), {"direct": RULE}).drop("rule").dropDuplicates(["value"])
     pipe._process_batch(batch, 7)
     pipe._process_batch(batch, 7)
     notes = spark.read.parquet(f"{out}/notifications")
     assert notes.count() == batch.count() == 2
     assert {r.batch_id for r in notes.select("batch_id").collect()} == {7}
+
+
+def test_late_event_is_processed_once(spark, tmp_dir):
+    """An event two days older than what came before it is exported, archived and announced like any other."""
+    bus, out, ckpt = (os.path.join(tmp_dir, x) for x in ("a", "out", "ckpt"))
+    pipe = EventConsumer(spark, [bus], out, ckpt, {"direct": RULE}, max_files=1, **NAMED)
+    for line in (_line("now", time="2024-01-09T12:00:00.000000"), _line("late", time="2024-01-07T11:00:00.000000"), _line("late", time="2024-01-07T11:00:00.000000")):
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(bus)
+        pipe.start().awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(f"{out}/notifications").collect()) == ["late", "now"]
+    assert {r.export_location for r in spark.read.parquet(f"{out}/notifications").collect()} == {None}  # no table to export
+
+
+def test_root_fields_stand_in_for_an_empty_detail(spark):
+    env = {"version": "0", "id": "r1", "detail-type": "t", "source": "s", "time": "2024-01-01T12:00:00.000000"}
+    lines = [env | {"database": "d1", "table": "t1", "recordCount": 7}, env | {"id": "r2", "database": "d1", "detail": {"table": "t2"}}, env | {"id": "r3", "detail": {}, "table": "None"}]
+    df = parsed_frame(spark.createDataFrame([(json.dumps(x),) for x in lines], "value string"))
+    got = {r.event_id: (r.database, r.table, r.record_count) for r in normalize_event(valid_events(df), "dd", "tt").collect()}
+    assert got == {"r1": ("d1", "t1", 7), "r2": ("dd", "t2", 3), "r3": ("dd", "tt", 3)}

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -221,7 +221,6 @@ def audit_update(
     id_cols: Sequence[str] = ID_COLUMNS,
     snapshots: bool = True,
     stamp: bool = True,
-    order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Audit rows of ``UPDATE df SET … WHERE cond`` without a join (J1, in-row).
 
@@ -229,14 +228,10 @@ def audit_update(
     exclusions ``modified_dt`` (and ``modified_by`` for another user) are
     audited as well.
 
-    With ``order_by`` (unique keys) the updated rows are range-sorted first;
-    as the per-column rows come out in column-name order, the result is then
-    globally ordered by (keys, var_name) and ``with_sequence_id(...,
-    presorted=True)`` can number it without sorting the wide audit rows.
+    No shuffle; a row is audited on its own, so a repeated key cannot mix rows
+    up (``assert_unique_keys`` checks a keyed table beforehand).
     """
     updated = df.filter(cond)  # plain predicate: NULL drops the row and the scan gets the pushed filter
-    if order_by:
-        updated = updated.orderBy(*order_by)
     stamp_now, stamp_user = (ts_literal(now), _user(user)) if stamp else (None, None)
     new_exprs = _set_exprs(df, F.lit(True), assignments, stamp_now, stamp_user)
     # Old and new values side by side in one row: one projection, no join.
@@ -275,7 +270,6 @@ def audit_rows(
     id_cols: Sequence[str] = ID_COLUMNS,
     snapshots: bool = True,
     check_keys: bool = True,
-    order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """C3–C7 over two snapshots joined on ``keys``.
 
@@ -286,14 +280,9 @@ def audit_rows(
     o = old.select(*keys, F.struct(*[F.col(c) for c in old.columns]).alias("o"))
     n = new.select(*keys, F.struct(*[F.col(c) for c in new.columns]).alias("n"))
     pairs = o.join(n, list(keys), "inner")
-    if order_by:
-        # Range-sorting here also serves the key check below: range partitioning on
-        # the keys keeps equal keys together, so that window adds no shuffle.
-        pairs = pairs.orderBy(*order_by)
     if check_keys:
-        # The input is already clustered on the keys (the range sort above, or the
-        # sort-merge join's hash partitioning), so this count needs no extra
-        # shuffle. A key repeated on either side shows up as more than one joined
+        # The join's partitioning already brings equal keys together, so this count
+        # needs no extra shuffle. A key repeated on either side shows up as more than one joined
         # row and fails the job.
         dup = F.count(F.lit(1)).over(Window.partitionBy(*keys))
         msg = F.concat(F.lit("duplicate key in audited snapshots: "), F.to_json(F.struct(*keys)))
@@ -328,57 +317,34 @@ def assert_unique_keys(df: DataFrame, keys: Sequence[str], what: str = "table")
 # ---------------------------------------------------------------- S10, C9, C10
 
 
-def with_sequence_id(
-    df: DataFrame,
-    order_cols: Sequence[str | Column] = (),
-    start: int = 1,
-    id_col: str = "audit_log_id",
-    presorted: bool = False,
-) -> DataFrame:
-    """Dense ids ``start, start+1, …`` in ``order_cols`` order, without a single-partition sort.
-
-    1. distributed range sort, tagged with ``monotonically_increasing_id``
-       (partition index in the high bits, position in the low 33 bits);
-    2. per-partition row counts — one small row per partition, never rows;
-    3. running offsets over those counts, broadcast back and added.
-
-    ``presorted=True`` skips step 1 for a frame that is already globally
-    ordered (a range sort followed only by narrow steps).
-
-    The sorted, tagged frame is persisted (memory, spilling to disk) so the
-    count pass and the numbering pass read it once. If an executor is lost its
-    blocks are recomputed from lineage: the range bounds come from a
-    fixed-seed sample and the sort is total on ``order_cols``, so a recomputed
-    partition holds the same rows at the same positions and the ids do not
-    change. Ties in ``order_cols`` are broken by a hash of the row, so a hot
-    key value is spread over several range partitions.
+def with_sequence_id(df: DataFrame, start: int = 1, id_col: str = "audit_log_id") -> DataFrame:
+    """Unique ids from ``start`` on that rise in the order of the frame's rows.
+
+    Partition and position make the id, so numbering takes no sort, no shuffle
+    and no second pass. Like a database sequence, ids may leave gaps.
+    """
+    return df.select((F.lit(start) + F.monotonically_increasing_id()).cast("bigint").alias(id_col), *df.columns)
+
+
+def next_id(log: DataFrame, id_col: str = "audit_log_id") -> int:
+    """The first id after all of the log's (1 for an empty log): a one-row aggregate."""
+    return int(log.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]) + 1
+
+
+def append_audit(rows: DataFrame, path: str, id_col: str = "audit_log_id") -> None:
+    """Append audit rows to the Parquet log at ``path``, created if absent.
+
+    Their ids follow the log's largest (S10); a value over its length limit
+    fails the write and leaves the log as it was (C10). One writer at a time.
     """
-    if presorted:
-        base = df
-    else:
-        # A hot value in the order keys would put all its rows into one range
-        # partition; a hash of the row as the last sort key lets the sampled
-        # range bounds split such ties (it changes nothing when keys are unique).
-        atomic = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
-        tie = [F.xxhash64(*[F.col(c) for c in atomic])] if atomic else []
-        base = df.orderBy(*order_cols, *tie)
-    tagged = base.withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
-    part = F.shiftright(F.col("_mid"), 33)
-    counts = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: a single-partition running sum over it is trivially small.
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_p", "_off")
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    # One row per partition: the bound holds by construction, so the hint needs no check.
-    out = tagged.withColumn("_p", part).join(F.broadcast(offsets), "_p")
-    out = out.withColumn(id_col, (F.lit(start) + F.col("_off") + local).cast("bigint"))
-    return out.select(id_col, *[c for c in df.columns])
-
-
-def append_audit(log: DataFrame, rows: DataFrame) -> DataFrame:
-    """Audit log ∪ new rows (by column name)."""
-    return log.unionByName(rows, allowMissingColumns=True)
+    spark = rows.sparkSession
+    try:
+        start = next_id(spark.read.parquet(path), id_col)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        start = 1
+    with_sequence_id(enforce_lengths(rows), start, id_col).write.mode("append").parquet(path)
 
 
 def latest(log: DataFrame, k: int, id_col: str = "audit_log_id") -> DataFrame:

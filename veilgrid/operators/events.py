@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions.scalars import default_if_blank
 
-# Fallbacks when an event names no database/table/count, the
-# required envelope fields, the export key and timestamp format, the archive
+# The count of an event that names none, the required envelope
+# fields, the export key and timestamp format, the archive
 # status, and the notification text (ours, without a product name).
-DEFAULT_DATABASE = "aeronav_db"
-DEFAULT_TABLE = "navigation_waypoints"
 DEFAULT_RECORD_COUNT = 3
 REQUIRED_FIELDS = ("id", "detail-type", "source", "time")
 EXPORT_KEY = "{base}/exported-data/%s/%s/export_%s.csv"
@@ -80,17 +78,28 @@ def dedupe_events(df: DataFrame, id_col: str = "event_id", ts_col: str | None =
 
 def normalize_event(
     df: DataFrame,
-    default_database: str = DEFAULT_DATABASE,
-    default_table: str = DEFAULT_TABLE,
+    default_database: str,
+    default_table: str,
     default_count: int = DEFAULT_RECORD_COUNT,
 ) -> DataFrame:
     """T5 + P10: flat ``event_id, detail_type, source, event_time, database, table, record_count``.
 
-    The detail struct is used when present; a blank or ``None`` database or
-    table falls back to the defaults, a missing count to 3.
+    The fields come from the detail struct if it holds anything, else from the
+    event's own root; a blank or ``None`` database or table falls back to the
+    defaults, a missing count to 3.
     """
     e = F.col("event")
     d = e["detail"]
+    names = [f.name for f in df.schema["event"].dataType["detail"].dataType.fields]
+    filled = F.lit(False)
+    for n in names:
+        filled = filled | d[n].isNotNull()
+    filled = F.coalesce(filled, F.lit(False))
+    root = {f.name for f in df.schema["event"].dataType.fields}
+
+    def field(name: str) -> Column:
+        return F.when(filled, d[name]).otherwise(e[name]) if name in root else d[name]
+
     blanks = ("", "None")
     return df.select(
         "*",
@@ -98,9 +107,9 @@ def normalize_event(
         e["detail-type"].alias("detail_type"),
         e["source"].alias("source"),
         e["time"].alias("event_time"),
-        default_if_blank(d["database"], default_database, blanks).alias("database"),
-        default_if_blank(d["table"], default_table, blanks).alias("table"),
-        F.coalesce(d["recordCount"], F.lit(default_count)).alias("record_count"),
+        default_if_blank(field("database"), default_database, blanks).alias("database"),
+        default_if_blank(field("table"), default_table, blanks).alias("table"),
+        F.coalesce(field("recordCount"), F.lit(default_count)).alias("record_count"),
     )
 
 
@@ -120,7 +129,7 @@ def quality_gate(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 
 def export_path(base: str, database: Column, table: Column, ts: Column) -> Column:
-    """S12 key: ``{base}/exported-data/{db}/{table}/export_{yyyyMMdd_HHmmss}.csv``."""
+    """S12 key, for the write and for the notification alike: ``{base}/exported-data/{db}/{table}/export_{yyyyMMdd_HHmmss}.csv``."""
     return F.format_string(EXPORT_KEY.format(base=base), database, table, F.date_format(ts, EXPORT_STAMP))
 
 
@@ -134,6 +143,8 @@ def archive(df: DataFrame, now: Column, count_col: str = "record_count") -> Data
 def notifications(
     df: DataFrame,
     now: Column,
+    default_database: str,
+    default_table: str,
     location_col: str = "export_location",
     count_col: str = "record_count",
 ) -> DataFrame:
@@ -142,8 +153,8 @@ def notifications(
     cnt = F.coalesce(F.col(count_col), F.lit(0))
     msg = F.format_string(
         NOTIFY_TEXT,
-        default_if_blank(F.col("database"), DEFAULT_DATABASE, ("Unknown",)),
-        default_if_blank(F.col("table"), DEFAULT_TABLE, ("Unknown",)),
+        default_if_blank(F.col("database"), default_database, ("Unknown",)),
+        default_if_blank(F.col("table"), default_table, ("Unknown",)),
         cnt,
         loc,
         F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),

@@ -10,23 +10,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilgrid.functions.scalars import flip
 from veilgrid.operators.audit import (
     add_meta_columns,
+    append_audit,
+    assert_unique_keys,
     audit_rows,
     audit_update,
-    latest,
     update,
-    with_sequence_id,
 )
 from veilgrid.sources.tables import read_table
+from veilgrid.streaming.bus import scratch_root
 
 LOAD_TS = "2024-01-31 00:00:00"
 UPDATE_TS = "2024-02-01 12:00:00"
 USER = "etl_user"
 STEP_SETTING = "2-ARC"
 KEYS = ["o_orderkey"]
+RUN_SETTINGS = ("2-ARC", "4-LOAD")
 
 
 def _cond():
@@ -44,42 +47,54 @@ def orders_with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_meta_columns(read_table(spark, sf_dir, "orders"), LOAD_TS, USER)
 
 
-def _finish(audit: DataFrame) -> DataFrame:
-    # The audit came out range-sorted by key and, within a key, by column name.
-    ids = with_sequence_id(audit, start=1, presorted=True)
-    return ids.withColumn("changed_keys", F.array_join("changed_keys", ","))
+def _update(spark: SparkSession, sf_dir: str, setting: str = STEP_SETTING, snapshots: bool = True) -> DataFrame:
+    old = orders_with_meta(spark, sf_dir)
+    return audit_update(
+        old, _cond(), _assignments(), table="orders", now=UPDATE_TS, user=USER, setting=setting, keys=KEYS, snapshots=snapshots
+    )
 
 
 def audit_orders_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UPDATE + audit in one narrow pass (no join, no shuffle before numbering)."""
-    old = orders_with_meta(spark, sf_dir)
-    a = audit_update(
-        old, _cond(), _assignments(), table="orders", now=UPDATE_TS, user=USER, setting=STEP_SETTING, keys=KEYS,
-        order_by=KEYS,
-    )
-    return _finish(a)
+    """UPDATE + audit in one narrow pass: no join, no shuffle."""
+    assert_unique_keys(read_table(spark, sf_dir, "orders").filter(_cond()).select(*KEYS), KEYS, "orders")
+    return _update(spark, sf_dir).withColumn("changed_keys", F.array_join("changed_keys", ","))
 
 
 def audit_orders_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same audit from two snapshots joined on the key (the general two-table case)."""
     old = orders_with_meta(spark, sf_dir)
     new = update(old, _cond(), _assignments(), now=UPDATE_TS, user=USER)
-    a = audit_rows(old, new, KEYS, table="orders", now=UPDATE_TS, user=USER, setting=STEP_SETTING, order_by=KEYS)
-    return _finish(a)
+    a = audit_rows(old, new, KEYS, table="orders", now=UPDATE_TS, user=USER, setting=STEP_SETTING)
+    return a.withColumn("changed_keys", F.array_join("changed_keys", ","))
 
 
 def audit_orders_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest 20 audit rows (``ORDER BY audit_log_id DESC LIMIT 20``)."""
-    log = audit_orders_update(spark, sf_dir)
-    return latest(log, 20).select(
-        "audit_log_id", "response_table", "o_orderkey", "var_name", "original_value", "modified_value", "changed_keys"
+    """The 20 audit rows of the last keys, newest first: a top-k, without snapshots."""
+    rows = _update(spark, sf_dir, snapshots=False).orderBy(F.desc("o_orderkey"), F.desc("var_name")).limit(20)
+    return rows.select(
+        "response_table", "o_orderkey", "var_name", "original_value", "modified_value", F.array_join("changed_keys", ",").alias("changed_keys")
     )
 
 
+def audit_log_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs appended to one audit log; per run, its rows, its ids, and whether they follow the run before."""
+    path = f"{scratch_root(spark, 'audit-log')}/audit_log"
+    for setting in RUN_SETTINGS:
+        append_audit(_update(spark, sf_dir, setting), path)
+    runs = spark.read.parquet(path).groupBy("process_step").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("audit_log_id").alias("n_ids"),
+        F.min("audit_log_id").alias("low"), F.max("audit_log_id").alias("high"),
+    )
+    # One row per run.
+    before = F.coalesce(F.lag("high").over(Window.orderBy("process_step")), F.lit(0))
+    return runs.select("process_step", "n_rows", "n_ids", (F.col("low") > before).alias("follows"))
+
+
 QUERIES = {
     "audit_orders_update": audit_orders_update,
     "audit_orders_snapshots": audit_orders_snapshots,
     "audit_orders_latest": audit_orders_latest,
+    "audit_log_appended": audit_log_appended,
 }
 
 _AUDIT_SQL = """
@@ -132,8 +147,7 @@ snap AS (
     FROM pairs
 ),
 audit AS (
-    SELECT CAST(row_number() OVER (ORDER BY c.o_orderkey, c.var_name) AS BIGINT) AS audit_log_id,
-           'orders' AS response_table, 'UPDATE' AS action_code, '2-ARC' AS process_step,
+    SELECT 'orders' AS response_table, 'UPDATE' AS action_code, '2-ARC' AS process_step,
            CAST(NULL AS VARCHAR) AS cmid, CAST(NULL AS VARCHAR) AS pnum, c.o_orderkey,
            c.var_name, c.original_value, c.modified_value, k.changed_keys, s.old_row, s.new_row,
            TIMESTAMP '2024-02-01 12:00:00' AS created_dt, 'etl_user' AS created_by,
@@ -146,6 +160,9 @@ ORACLES = {
     "audit_orders_update": _AUDIT_SQL + "SELECT * FROM audit",
     "audit_orders_snapshots": _AUDIT_SQL + "SELECT * FROM audit",
     "audit_orders_latest": _AUDIT_SQL
-    + """SELECT audit_log_id, response_table, o_orderkey, var_name, original_value, modified_value, changed_keys
-         FROM audit ORDER BY audit_log_id DESC LIMIT 20""",
+    + """SELECT response_table, o_orderkey, var_name, original_value, modified_value, changed_keys
+         FROM audit ORDER BY o_orderkey DESC, var_name DESC LIMIT 20""",
+    "audit_log_appended": _AUDIT_SQL
+    + """SELECT step AS process_step, count(*) AS n_rows, count(*) AS n_ids, true AS follows
+         FROM audit, (VALUES ('2-ARC'), ('4-LOAD')) AS runs(step) GROUP BY step""",
 }

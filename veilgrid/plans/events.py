@@ -11,7 +11,6 @@ rule, every routed event is delivered twice and de-duplicated.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +21,16 @@ from veilgrid.operators.events import (
     dead_letters,
     dedupe_events,
     export_increment,
-    export_path,
     normalize_event,
     notifications,
     quality_gate,
     route_events,
     valid_events,
 )
-from veilgrid.sources.events import envelope, parsed_frame, to_json_text
+from veilgrid.sources.events import PARSE_SCHEMA, envelope, parsed_frame, to_json_text
 from veilgrid.sources.sinks import export_csv
 from veilgrid.sources.tables import read_table
-from veilgrid.streaming.bus import EventConsumer, run_forwarder, scratch_root
+from veilgrid.streaming.bus import EventConsumer, ExportTable, run_forwarder, scratch_root, with_location
 
 SOURCE = "app.events"
 DATABASES = ("sales_db", "ops_db", "ref_db")
@@ -45,9 +43,8 @@ PURCHASE_RULE = {"detail-type": ["purchase"]}
 EXPORT_CUTOFF = "1998-01-01 00:00:00"
 
 
-def published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as one JSON envelope line (``value``)."""
-    ev = read_table(spark, sf_dir, "events", spread=True)
+def _envelope(ev: DataFrame):
+    """(envelope column, record count column) of an event row."""
     k = F.get_json_object("props", "$.k").cast("int")
     signup = F.col("event_type") == "signup"
     db = F.when(~signup, F.element_at(F.array(*[F.lit(d) for d in DATABASES]), (F.pmod(F.col("user_id"), F.lit(3)) + 1).cast("int")))
@@ -69,7 +66,25 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
         account=F.lit("000000000000"),
         region=F.lit("local-1"),
     )
-    return ev.select(to_json_text(env).alias("value"), F.col("event_type"), k.alias("k"), F.col("ts"))
+    return env, k
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as one JSON envelope line (``value``)."""
+    ev = read_table(spark, sf_dir, "events")
+    env, k = _envelope(ev)
+    return ev.select(to_json_text(env).alias("value"), F.col("event_type"), k.alias("k"), "props")
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a consumer sees them once they are parsed, without going through text."""
+    ev = read_table(spark, sf_dir, "events")
+    env, _ = _envelope(ev)
+    known = {f.name for f in ev.select(env.alias("e")).schema["e"].dataType.fields}
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in PARSE_SCHEMA.fields if f.name not in known]
+    whole = ev.select(env.alias("e"), *rest)
+    fields = [F.col("e")[f.name].alias(f.name) if f.name in known else F.col(f.name) for f in PARSE_SCHEMA.fields]
+    return whole.select(F.struct(*fields).alias("event"))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +104,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def events_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 + P6: one row per (event, matching rule)."""
-    routed = route_events(valid_events(parsed(spark, sf_dir)), {"direct": DIRECT_RULE, "purchases": PURCHASE_RULE})
+    routed = route_events(valid_events(typed(spark, sf_dir)), {"direct": DIRECT_RULE, "purchases": PURCHASE_RULE})
     return routed.select(
         F.col("event.id").alias("event_id"),
         F.col("event")["detail-type"].alias("detail_type"),
@@ -106,16 +121,17 @@ def deliveries(valid: DataFrame) -> DataFrame:
 
 def events_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: each routed event once, although it was delivered twice."""
-    return dedupe_events(_flat(deliveries(valid_events(parsed(spark, sf_dir)))), "event_id")
+    return dedupe_events(_flat(deliveries(valid_events(typed(spark, sf_dir)))), "event_id")
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_event(valid_events(parsed(spark, sf_dir)), DEFAULT_DATABASE, DEFAULT_TABLE)
+    return normalize_event(valid_events(typed(spark, sf_dir)), DEFAULT_DATABASE, DEFAULT_TABLE)
 
 
 def events_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5 + P10: flat database/table/count with defaults."""
-    return normalized(spark, sf_dir).select(
+    """T5 + P10 + S16 + S17: flat database/table/count with defaults, through the JSON text and back."""
+    n = normalize_event(valid_events(parsed(spark, sf_dir)), DEFAULT_DATABASE, DEFAULT_TABLE)
+    return n.select(
         "event_id", "detail_type", "source", "event_time", "database", "table", "record_count"
     )
 
@@ -138,25 +154,28 @@ def events_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("event_id", "database", "table", "record_count", "archive_status", "archived_at")
 
 
+def export_tables(spark: SparkSession, sf_dir: str) -> dict[str, ExportTable]:
+    """The tables that the routed events name: the events of one type, by event_id."""
+    ev = read_table(spark, sf_dir, "events")
+    return {f"sales_db.{t}": ExportTable(ev.filter(F.col("event_type") == t), ["event_id"]) for t in ("purchase", "click")}
+
+
 def events_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T8 path + T11: export location and notification text of each de-duplicated routed event."""
-    once = dedupe_events(deliveries(valid_events(parsed(spark, sf_dir))).drop("rule").withColumn("_id", F.col("event.id")), "_id")
+    once = dedupe_events(deliveries(valid_events(typed(spark, sf_dir))).drop("rule").withColumn("_id", F.col("event.id")), "_id")
     n = normalize_event(once.drop("_id"), DEFAULT_DATABASE, DEFAULT_TABLE)
-    n = n.withColumn("export_location", export_path(EXPORT_BASE, F.col("database"), F.col("table"), F.col("event_time")))
-    out = notifications(n, ts_literal(RUN_TS))
+    n = with_location(n, EXPORT_BASE, list(export_tables(spark, sf_dir)))
+    out = notifications(n, ts_literal(RUN_TS), DEFAULT_DATABASE, DEFAULT_TABLE)
     return out.select("event_id", "export_location", "subject", "message")
 
 
 def events_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixed feed — envelopes, bare props objects of 'error' events, and cut-off lines of
-    'view' events with k < 10 — split into dead letters by reason."""
+    'view' events with k < 10 — split into dead letters by reason. One scan."""
     pub = published(spark, sf_dir)
-    # Each event yields its envelope, plus a cut-off copy for 'view' events with k < 10; the bare
-    # props objects of 'error' events are a second input. One serialisation pass over the events.
     cut = F.when((F.col("event_type") == "view") & (F.col("k") < 10), F.substring("value", 1, 40))
-    lines = pub.select(F.explode(F.array_compact(F.array(F.col("value"), cut))).alias("value"))
-    props = read_table(spark, sf_dir, "events").filter(F.col("event_type") == "error").select(F.col("props").alias("value"))
-    feed = lines.unionByName(props)
+    bare = F.when(F.col("event_type") == "error", F.col("props"))
+    feed = pub.select(F.explode(F.array_compact(F.array(F.col("value"), cut, bare))).alias("value"))
     dl = dead_letters(parsed_frame(feed))
     return dl.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -168,48 +187,47 @@ def orders_export_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_increment(orders, exported, ["o_orderkey"])
 
 
-def events_stream_notifications(spark: SparkSession, sf_dir: str, n_slices: int = 3) -> DataFrame:
-    """The streaming pipeline end to end; its notifications must equal the batch twin's.
+def run_stream(spark: SparkSession, sf_dir: str) -> str:
+    """The streaming pipeline over all events; returns the folder that holds its output.
 
-    Replays the published events as a live bus: the events arrive on bus A in
-    ``n_slices`` time slices; after each arrival the forwarder (bus A → bus B)
-    and the consumer (bus A ∪ bus B) catch up with ``availableNow`` runs that
-    restart from their checkpoints. So, as on a live bus, a forwarded copy
-    never runs ahead of its original, and the consumer de-duplicates the two
-    deliveries within the watermark across micro-batches and restarts.
-    Scratch folders live under the shared checkpoint folder.
+    The feed is written once, then the forwarder (bus A to bus B) and the
+    consumer (bus A and bus B) each run until they have read all there is. Every
+    event that the rule matches arrives twice. Folders lie below the shared one.
     """
     root = scratch_root(spark, "events-stream")
     bus_a, bus_b, out, ckpt = (f"{root}/{x}" for x in ("bus_a", "bus_b", "out", "ckpt"))
-    pub = published(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    lo, hi = pub.agg(F.min("ts"), F.max("ts")).first()
-    step = (hi - lo) / n_slices
+    published(spark, sf_dir).select("value").write.text(bus_a)
+    run_forwarder(spark, bus_a, bus_b, DIRECT_RULE, f"{ckpt}/forwarder").awaitTermination()
     pipe = EventConsumer(
         spark,
         [bus_a, bus_b],
         out,
         ckpt,
         {"direct": DIRECT_RULE},
-        now=RUN_TS,
         default_database=DEFAULT_DATABASE,
         default_table=DEFAULT_TABLE,
-        export_base=EXPORT_BASE,
+        tables=export_tables(spark, sf_dir),
+        now=RUN_TS,
     )
-    for i in range(n_slices):
-        a, b = lo + step * i, (lo + step * (i + 1) if i < n_slices - 1 else None)
-        part = pub.filter(F.col("ts") >= ts_literal(a))
-        if b is not None:
-            part = part.filter(F.col("ts") < ts_literal(b))
-        part.select("value").write.mode("append").text(bus_a)
-        run_forwarder(spark, bus_a, bus_b, DIRECT_RULE, f"{ckpt}/forwarder").awaitTermination()
-        # The dead-letter stream reads only the producer bus, complete after the last arrival:
-        # it runs alongside the consumer's last catch-up (independent checkpoints and sinks).
-        dead = pipe.start_dead_letters() if i == n_slices - 1 else None
-        pipe.start().awaitTermination()
-        if dead is not None:
-            dead.awaitTermination()
-    pub.unpersist()
-    return spark.read.parquet(f"{out}/notifications").select("event_id", "export_location", "subject", "message")
+    pipe.start().awaitTermination()
+    return out
+
+
+def events_stream_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3, T4, T11 end to end: the stream's notifications, which equal the batch twin's but for the folder."""
+    out = run_stream(spark, sf_dir)
+    notes = spark.read.parquet(f"{out}/notifications")
+    here = lambda c: F.replace(F.col(c), F.lit(out), F.lit(EXPORT_BASE)).alias(c)
+    return notes.select("event_id", here("export_location"), "subject", here("message"))
+
+
+def events_table_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies where the notifications say that the changed tables were exported."""
+    out = run_stream(spark, sf_dir)
+    places = [r[0] for r in spark.read.parquet(f"{out}/notifications").select("export_location").distinct().collect()]
+    schema = read_table(spark, sf_dir, "events").schema
+    rows = spark.read.option("header", True).option("nullValue", "").schema(schema).csv(places)
+    return rows.select("event_id", "user_id", "event_type", "value")
 
 
 def export_customers_like(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +243,7 @@ def export_customers_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "export_customers_like": export_customers_like,
     "events_stream_notifications": events_stream_notifications,
+    "events_table_export": events_table_export,
     "events_route": events_route,
     "events_deduped": events_deduped,
     "events_normalized": events_normalized,
@@ -258,6 +277,8 @@ routed AS (
 ORACLES = {
     "export_customers_like": "SELECT * FROM customer WHERE c_name LIKE 'Customer#0000_0%'",
     "events_stream_notifications": None,  # filled below: same rows as the batch twin
+    "events_table_export": """
+    SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('purchase', 'click')""",
     "events_route": _EV
     + """
     SELECT sid AS event_id, event_type AS detail_type, db AS database, 'direct' AS rule FROM routed
@@ -285,7 +306,7 @@ ORACLES = {
     "events_notifications": _EV
     + """
     , x AS (SELECT *, '/exports/exported-data/' || database || '/' || "table" || '/export_'
-                      || strftime(ts, '%Y%m%d_%H%M%S') || '.csv' AS export_location FROM routed)
+                      || strftime(max(ts) OVER (PARTITION BY database, "table"), '%Y%m%d_%H%M%S') || '.csv' AS export_location FROM routed)
     SELECT sid AS event_id, export_location, 'Data Export Completed' AS subject,
            'Data Export Completed!
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from veilgrid.plans import audit, events, governed, report
+from veilgrid.plans import audit, catalog, events, governed, report
 
 QUERIES = {}
 ORACLES = {}
-for _mod in (governed, audit, report, events):
+for _mod in (governed, catalog, audit, report, events):
     QUERIES.update(_mod.QUERIES)
     ORACLES.update(_mod.ORACLES)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,16 +42,15 @@ def get_session(
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting one only when unset.
+    """The folder that the driver and all executors share, setting one only when unset.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; that is read
-    from the session and used as is. Only when nothing is configured (local
-    tests) is a fresh scratch folder created.
+    A cluster names it in ``spark.checkpoint.dir``; it is read from the session
+    and used as is. Without one, a local session gets a fresh scratch folder;
+    on a cluster that is an error, since executors could not see it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="veilgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="veilgrid-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

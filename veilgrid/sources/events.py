@@ -37,8 +37,10 @@ ENVELOPE_SCHEMA = T.StructType(
 )
 
 CORRUPT_FIELD = "_corrupt_record"
+# An event without a detail may carry these at its root.
+ROOT_FIELDS = [T.StructField("database", T.StringType()), T.StructField("table", T.StringType()), T.StructField("recordCount", T.IntegerType())]
 # Parse schema: the envelope plus the raw text of a line that did not parse.
-PARSE_SCHEMA = T.StructType(ENVELOPE_SCHEMA.fields + [T.StructField(CORRUPT_FIELD, T.StringType())])
+PARSE_SCHEMA = T.StructType(ENVELOPE_SCHEMA.fields + ROOT_FIELDS + [T.StructField(CORRUPT_FIELD, T.StringType())])
 
 # Microsecond timestamps in the JSON text, so a round trip is exact.
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}

@@ -4,12 +4,13 @@ Topology (all file-based, so it runs anywhere Spark runs):
 
     bus A ──► forwarder (T3: pattern filter, JSON passes through) ──► bus B
     bus A ∪ bus B ──► parse ──► valid / dead letters (T13)
-                  ──► route (T2) ──► watermark + dropDuplicatesWithinWatermark (T4)
+                  ──► route (T2) ──► dropDuplicatesWithinWatermark on arrival (T4)
                   ──► foreachBatch: normalise (T5), quality gate (T7),
-                      export of the new records (T8/T9), archive (T10),
+                      export of the changed tables' rows (T8), archive (T10),
                       notifications (T11)
 
-Every sink of a micro-batch writes to ``…/batch_id=<epoch>`` with overwrite,
+Every sink of a micro-batch writes to its own folder with overwrite (exports
+to the path that the notification names, the others to ``…/batch_id=<epoch>``),
 so a retried epoch (task retry, executor loss, restart from the checkpoint)
 replaces its own output instead of duplicating it (T12). Offsets live in the
 checkpoint folder, so each file of the bus is processed once (T9).
@@ -20,6 +21,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veilgrid.operators.audit import ts_literal
 from veilgrid.operators.events import (
+    EXPORT_STAMP,
     archive,
     dead_letters,
     export_path,
@@ -39,6 +42,7 @@ from veilgrid.operators.events import (
 )
 from veilgrid.session import checkpoint_dir
 from veilgrid.sources.events import DETAIL_SCHEMA, envelope, publish, read_event_stream
+from veilgrid.sources.sinks import export_csv
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
@@ -61,8 +65,34 @@ def run_forwarder(
     )
 
 
+@dataclass
+class ExportTable:
+    """A table whose rows are exported when an event says that it changed: its rows and its key."""
+
+    rows: DataFrame
+    keys: Sequence[str]
+
+
+def with_location(df: DataFrame, base: str, tables: Sequence[str]) -> DataFrame:
+    """Normalised events with ``export_location``: one export per changed table, stamped with its latest event.
+
+    Events of a table that is not in ``tables`` (``db.table`` names) have none.
+    """
+    known = F.concat_ws(".", "database", "table").isin(*tables) if tables else F.lit(False)
+    last = df.filter(known).groupBy("database", "table").agg(F.max("event_time").alias("_last"))
+    last = last.withColumn("export_location", export_path(base, F.col("database"), F.col("table"), F.col("_last")))
+    # One row per configured table at most, so the broadcast's size is bounded by the configuration.
+    return df.join(F.broadcast(last.drop("_last")), ["database", "table"], "left")
+
+
 class EventConsumer:
-    """The consumer side: dead letters, routing, de-duplication and the per-batch steps."""
+    """The consumer side: dead letters, routing, de-duplication and the per-batch steps.
+
+    ``tables`` maps ``db.table`` to the rows to export when it changes. An
+    event is processed once if its copies arrive within ``dedupe_delay`` of
+    each other. The delay runs on arrival, not on the event's own time, so an
+    event that comes days late is processed like any other.
+    """
 
     def __init__(
         self,
@@ -72,11 +102,12 @@ class EventConsumer:
         ckpt_dir: str,
         rules: Mapping[str, Mapping[str, Sequence]],
         *,
+        default_database: str,
+        default_table: str,
+        tables: Mapping[str, ExportTable] | None = None,
         quality_rules: Mapping[str, object] | None = None,
         now: str = "2024-02-01 12:00:00",
         dedupe_delay: str = "1 day",
-        default_database: str = "aeronav_db",
-        default_table: str = "navigation_waypoints",
         max_files: int | None = None,
         export_base: str | None = None,
     ):
@@ -84,6 +115,7 @@ class EventConsumer:
         self.spark, self.buses, self.out, self.ckpt = spark, list(buses), out_dir, ckpt_dir
         self.rules, self.now, self.delay = dict(rules), now, dedupe_delay
         self.quality_rules = quality_rules
+        self.tables = dict(tables or {})
         self.defaults = (default_database, default_table)
         self.max_files = max_files
 
@@ -111,11 +143,12 @@ class EventConsumer:
     def start(self) -> StreamingQuery:
         s = valid_events(self._source())
         s = route_events(s, self.rules).drop("rule")
-        s = s.withColumn("_id", F.col("event.id")).withColumn("_ts", F.col("event.time").cast("timestamp"))
-        # T4: the same event reaches the consumer on two paths; state is kept only for the delay.
-        s = s.withWatermark("_ts", self.delay).dropDuplicatesWithinWatermark(["_id"])
+        s = s.withColumn("_id", F.col("event.id")).withColumn("_arrived", F.current_timestamp())
+        # T4: the same event reaches the consumer on two paths; state is kept only for the delay. The
+        # time of a micro-batch is kept in the offset log, so a retried one gets the same.
+        s = s.withWatermark("_arrived", self.delay).dropDuplicatesWithinWatermark(["_id"])
         return (
-            s.drop("_id", "_ts")
+            s.drop("_id", "_arrived")
             .writeStream.foreachBatch(self._process_batch)
             .option("checkpointLocation", f"{self.ckpt}/main")
             .trigger(availableNow=True)
@@ -127,10 +160,7 @@ class EventConsumer:
         n = normalize_event(batch, *self.defaults)
         if self.quality_rules:
             n = quality_gate(n, self.quality_rules)
-        cached = n.withColumn(
-            "export_location",
-            export_path(self.export_base, F.col("database"), F.col("table"), F.col("event_time")),
-        ).persist()
+        cached = n.persist()
         n = cached
         try:
             # The batch that only advances the watermark (state eviction) has no rows: write nothing.
@@ -141,24 +171,27 @@ class EventConsumer:
                     f"{self.out}/rejected/batch_id={epoch}"
                 )
                 n = n.filter(F.col("accepted"))
-            # The newly arrived records, one CSV folder per (database, table), one distributed write.
-            (
-                n.select("database", "table", "event_id", "detail_type", "event_time", "record_count")
-                .write.mode("overwrite")
-                .option("header", True)
-                .option("nullValue", "")
-                .partitionBy("database", "table")
-                .csv(f"{self.out}/exported-data/batch_id={epoch}")
-            )
+            n = with_location(n, self.export_base, list(self.tables))
+            self._export(n)
             archive(n, now).select("event_id", "database", "table", "record_count", "archive_status", "archived_at").write.mode(
                 "overwrite"
             ).parquet(f"{self.out}/archive/batch_id={epoch}")
-            notifications(n, now).select("event_id", "export_location", "subject", "message").write.mode(
+            notifications(n, now, *self.defaults).select("event_id", "export_location", "subject", "message").write.mode(
                 "overwrite"
             ).parquet(f"{self.out}/notifications/batch_id={epoch}")
         finally:
             cached.unpersist()
 
+    def _export(self, n: DataFrame) -> None:
+        """The rows of every table that changed, in key order, where the notifications say.
+
+        At most one row per configured table comes to the driver.
+        """
+        changed = n.filter(F.col("export_location").isNotNull()).groupBy("database", "table")
+        for r in changed.agg(F.date_format(F.max("event_time"), EXPORT_STAMP).alias("stamp")).collect():
+            t = self.tables[f"{r['database']}.{r['table']}"]
+            export_csv(t.rows, self.export_base, r["database"], r["table"], r["stamp"], order_by=t.keys)
+
 
 def write_and_publish(
     df: DataFrame,
@@ -182,7 +215,7 @@ def write_and_publish(
     try:
         observed.write.mode("append").parquet(table_path)
     except Exception as e:  # noqa: BLE001 — the outcome is reported, not raised
-        return {"written": False, "published": False, "error": str(e)[:200], "rows": 0}
+        return {"written": False, "published": False, "error": str(e), "rows": 0}
     rows = int(obs.get["rows"])
     spark = df.sparkSession
     detail = F.struct(
@@ -206,5 +239,5 @@ def write_and_publish(
     try:
         publish(ev, bus_path)
     except Exception as e:  # noqa: BLE001
-        return {"written": True, "published": False, "error": str(e)[:200], "rows": rows}
+        return {"written": True, "published": False, "error": str(e), "rows": rows}
     return {"written": True, "published": True, "error": None, "rows": rows}
