@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 READONLY_PREFIXES = ("Describe", "List", "Get", "Lookup", "Search")
 # Keys that are response metadata, never the main list of a response.
 RESPONSE_METADATA_KEYS = ("ResponseMetadata", "NextToken", "NextMarker", "Marker", "IsTruncated")
+# Where a word starts inside a CamelCase name.
+WORD_STARTS = (r"(.)([A-Z][a-z]+)", r"([a-z0-9])([A-Z])")
+# Marker of an ARN and the kind of principal it names.
+ARN_KINDS = ((":user/", "IAM User"), (":assumed-role/", "Assumed Role"), (":role/", "IAM Role"))
+UNKNOWN_KIND = "Unknown"
 
 
 def _c(col: str | Column) -> Column:
@@ -95,30 +100,24 @@ def contains_any(col: str | Column, words: Iterable[str]) -> Column:
 
 def snake_case(col: str | Column) -> Column:
     """CamelCase → snake_case: ``DescribeDBClusters`` → ``describe_db_clusters``."""
-    s1 = F.regexp_replace(_c(col), r"(.)([A-Z][a-z]+)", "$1_$2")
-    return F.lower(F.regexp_replace(s1, r"([a-z0-9])([A-Z])", "$1_$2"))
+    out = _c(col)
+    for start in WORD_STARTS:
+        out = F.regexp_replace(out, start, "$1_$2")
+    return F.lower(out)
 
 
 def identity_type(arn: str | Column) -> Column:
     """Kind of principal named by an ARN-like string."""
     a = _c(arn)
-    return (
-        F.when(a.contains(":user/"), F.lit("IAM User"))
-        .when(a.contains(":assumed-role/"), F.lit("Assumed Role"))
-        .when(a.contains(":role/"), F.lit("IAM Role"))
-        .otherwise(F.lit("Unknown"))
-    )
+    return F.coalesce(*[F.when(a.contains(mark), F.lit(kind)) for mark, kind in ARN_KINDS], F.lit(UNKNOWN_KIND))
 
 
 def identity_name(arn: str | Column) -> Column:
     """Principal name: text after the marker; for an assumed role, up to the next ``/``."""
     a = _c(arn)
-    return (
-        F.when(a.contains(":user/"), F.substring_index(a, ":user/", -1))
-        .when(a.contains(":assumed-role/"), F.substring_index(F.substring_index(a, ":assumed-role/", -1), "/", 1))
-        .when(a.contains(":role/"), F.substring_index(a, ":role/", -1))
-        .otherwise(a)
-    )
+    after = {mark: F.substring_index(a, mark, -1) for mark, _ in ARN_KINDS}
+    after[":assumed-role/"] = F.substring_index(after[":assumed-role/"], "/", 1)
+    return F.coalesce(*[F.when(a.contains(mark), after[mark]) for mark, _ in ARN_KINDS], a)
 
 
 def last_path_part(col: str | Column) -> Column:

@@ -187,7 +187,7 @@ QUERIES = {
     "report_inventory": report_inventory,
 }
 
-_CALLS = """
+CALLS = """
 WITH ev AS (
     SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
 ),
@@ -265,7 +265,7 @@ looked AS (
 """
 
 ORACLES = {
-    "report_outcomes": _CALLS
+    "report_outcomes": CALLS
     + """
     SELECT event_id, service, permission,
            lower(regexp_replace(regexp_replace(permission, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS method_name,
@@ -279,14 +279,14 @@ ORACLES = {
                 WHEN 'SKIPPED' THEN 'SKIP' WHEN 'ERROR' THEN 'ERR' ELSE '?' END AS short_status,
            CASE WHEN status = 'PASSED' THEN details ELSE message END AS detail_text
     FROM outc""",
-    "report_summary": _CALLS
+    "report_summary": CALLS
     + """
     , t AS (SELECT count(*) AS total FROM outc),
     s(status) AS (VALUES ('PASSED'), ('DENIED'), ('NOT_TESTED'), ('SKIPPED'), ('ERROR')),
     c AS (SELECT s.status, CAST(count(outc.status) AS BIGINT) AS n FROM s LEFT JOIN outc ON outc.status = s.status GROUP BY s.status)
     SELECT c.status, c.n, CAST(CASE WHEN t.total = 0 THEN 0 ELSE c.n * 100 // t.total END AS BIGINT) AS percent FROM c, t
     UNION ALL SELECT 'Total', CAST(total AS BIGINT), CAST(100 AS BIGINT) FROM t""",
-    "report_service_matrix": _CALLS
+    "report_service_matrix": CALLS
     + """
     , g AS (
         SELECT service, CAST(count(*) AS BIGINT) AS total,
@@ -300,16 +300,16 @@ ORACLES = {
     SELECT *, CASE WHEN denied > 0 THEN 'ISSUES' WHEN error > 0 THEN 'ERRORS' WHEN not_tested > 0 THEN 'PARTIAL'
                    WHEN passed = total - skipped THEN 'OK' ELSE 'PARTIAL' END AS verdict
     FROM g ORDER BY service""",
-    "report_sections": _CALLS
+    "report_sections": CALLS
     + """
     SELECT 'not_tested' AS section, service, permission, message AS reason FROM outc WHERE status = 'NOT_TESTED'
     UNION ALL
     SELECT 'error', service, permission, message FROM outc WHERE status = 'ERROR'""",
-    "report_verdict": _CALLS
+    "report_verdict": CALLS
     + """
     SELECT CAST(count(*) FILTER (WHERE status = 'DENIED') AS BIGINT) AS denied,
            CASE WHEN count(*) FILTER (WHERE status = 'DENIED') > 0 THEN 1 ELSE 0 END AS exit_code FROM outc""",
-    "report_denied_audit": _CALLS
+    "report_denied_audit": CALLS
     + ", probes AS (SELECT event_id, ts, user_id, service, permission, error_code FROM outc WHERE status = 'DENIED')"
     + _PURCHASE_LOOKUP
     + """
@@ -318,7 +318,7 @@ ORACLES = {
     + _PURCHASE_LOOKUP
     + """
     SELECT event_id, user_id, ct_count, ct_latest_id, ct_latest_time, ct_latest_value, ct_message FROM looked""",
-    "report_pattern_matches": _CALLS
+    "report_pattern_matches": CALLS
     + """
     , pats(service, pattern) AS (VALUES ('click', 'List*'), ('click', 'Describe*'), ('view', 'Get*'),
         ('view', 'Describe_*'), ('purchase', '*Keys'), ('signup', 'Search*'), ('error', '*'))
@@ -326,7 +326,7 @@ ORACLES = {
     FROM calls c JOIN pats p ON c.service = p.service
      AND c.permission LIKE replace(replace(p.pattern, '_', '\\_'), '*', '%') ESCAPE '\\'
     GROUP BY p.service, p.pattern""",
-    "report_inventory": _CALLS
+    "report_inventory": CALLS
     + """
     SELECT service, permission, CAST(row_number() OVER (PARTITION BY service ORDER BY permission) AS INTEGER) AS position,
            CAST(count(*) OVER (PARTITION BY service) AS INTEGER) AS n_permissions
