@@ -64,7 +64,7 @@ NOT_WORD = "[^a-z0-9.+-]+"
 
 def words_of(text: Column) -> Column:
     """Lower-case words, without the signs at their ends."""
-    parts = F.transform(F.split(F.lower(text), NOT_WORD), lambda w: F.regexp_replace(w, "^[.+-]+|[.+-]+$", ""))
+    parts = F.transform(F.split(F.lower(text), NOT_WORD), lambda w: F.btrim(w, F.lit(".+-")))
     return F.filter(parts, lambda w: w != "")
 
 
@@ -122,7 +122,8 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, least: flo
     )
     rows = staged(rows, "license-units")
     units = rows.where(F.size("units") > 0).select("row", F.explode("units").alias("unit"))
-    known = units.join(scored(units, least), "unit")
+    # Written first, so that plain scans meet in the join and a line that many files share can be split.
+    known = units.join(staged(scored(units, least), "license-scores"), "unit")
     own = known.groupBy("row").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", "license")).alias("own"))
     rows = rows.select("row", "id", "path", "dir", "is_file").join(own, "row", "left")
     declared = rows.where(F.col("is_file") & F.col("own").isNotNull() & F.col("path").isNotNull())
@@ -156,7 +157,7 @@ def _sql(text: str) -> str:
 def _sql_words(text: str) -> str:
     return (
         f"list_filter(list_transform(regexp_split_to_array(lower({text}), '{NOT_WORD}'), "
-        "lambda w: regexp_replace(w, '^[.+-]+|[.+-]+$', '', 'g')), lambda w: w <> '')"
+        "lambda w: trim(w, '.+-')), lambda w: w <> '')"
     )
 
 
