@@ -36,7 +36,7 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 PRIME = 0x100000001B3
 MIX = 0x9E3779B97F4A7C15
 SIEVE_BITS = 22
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 LONG_WORD = 48
 
 
@@ -113,6 +113,7 @@ class Pieces:
                 self.ids[nodes[text[i]]] = i
         at = np.argsort(keys)
         self.keys, self.node_of_key = keys[at], at.astype(np.int32)
+        self.nodes = nodes
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have one hash")
         # Which two nodes merge to a third: sorted pairs with the rank of the outcome.
@@ -222,6 +223,34 @@ class Pieces:
         back = np.stack(cols[::-1], 1)
         return count, back[back > -2]
 
+    def viterbi_alone(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long word, where a pass over columns of one row would cost more than plain steps."""
+        n, find, known = len(word), self.nodes.get, {}
+        step, node = [0] * (n + 1), [-1] * (n + 1)
+        reached = [True] + [False] * n
+        for j in range(1, n + 1):
+            for size in range(1, min(j, self.longest) + 1):
+                i = j - size
+                if not reached[i]:
+                    continue
+                k = find(word[i:j], -1)
+                if k < 0:
+                    if size == 1:
+                        step[j], reached[j] = 1, True
+                    continue
+                pair = (node[i], k)
+                if pair[0] >= 0:
+                    if pair not in known:
+                        known[pair] = bool(self.apart(np.array(pair[:1]), np.array(pair[1:]))[0])
+                    if not known[pair]:
+                        continue
+                step[j], node[j], reached[j] = size, k, True
+        out, at = [], n
+        while at:
+            out.append(node[at])
+            at -= step[at]
+        return np.array([len(out)]), np.array(out[::-1], np.int32)
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids per word, all ids) of the words, in order."""
         parts = {k: p for k, w in enumerate(words) if len(w) > LONG_WORD and len(p := self.cut(w)) > 1}
@@ -241,7 +270,8 @@ class Pieces:
             group = max(1, 4_000_000 // (16 * (size + 1)))
             for s in range(0, len(at), group):
                 some = at[s : s + group]
-                count, nodes = self.viterbi([words[k] for k in some])
+                few = size > LONG_WORD and len(some) == 1
+                count, nodes = self.viterbi_alone(words[some[0]]) if few else self.viterbi([words[k] for k in some])
                 ids = self.ids[nodes]
                 ids[nodes < 0] = -1
                 odd = np.unique(np.repeat(np.arange(len(some)), count)[ids < 0])
