@@ -61,6 +61,9 @@ def test_battery_tells_random_from_patterned():
 def test_plain_words_and_numbers_are_no_candidates():
     text = "Donaudampfschifffahrtsgesellschaft SCHIFFFAHRTSGESELLSCHAFT 12345678901234567890123 one-two_three/four-five-six-seven ------------------------ some/long/path/with/many/parts"
     assert S.candidates(text) == []
+    # Long runs take linear time, whatever they end in.
+    for odd in ("-" * 100_000 + "a1", "a-" * 50_000 + "a1B", "Ab" * 50_000 + "!", "1" * 100_000 + "x"):
+        assert len(S.candidates(odd)) <= 1
 
 
 def test_found_without_a_keyword_and_clean_left_alone(spark):

@@ -44,7 +44,8 @@ BASE = (
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+|(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+))+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+JOINT = re.compile(r"[+/_=-]+")
 # Encodings, from the narrowest alphabet on.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -75,6 +76,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def plain(token: str) -> bool:
+    """Words, capitalised words and numbers, alone or joined by signs."""
+    return all(PART.fullmatch(x) for x in JOINT.split(token) if x)
+
+
 def infer(token: str) -> tuple[str, dict[str, int]] | None:
     """The narrowest encoding that has all characters of the token (padding aside)."""
     used = set(token)
@@ -111,7 +117,7 @@ def candidates(text: str) -> list[tuple[int, int, str, float, str]]:
     out = []
     for m in CANDIDATE.finditer(text):
         token = m[0].rstrip("=")
-        if len(token) < BANDS[0] or PLAIN.fullmatch(token):
+        if len(token) < BANDS[0] or plain(token):
             continue
         found = infer(token)
         if found:
