@@ -22,6 +22,17 @@ def test_counts_equal_the_librarys(spark):
     assert got == {i: (len((t or "").encode()), n) for i, (t, n) in enumerate(zip(ODD, library(ODD), strict=True))}
 
 
+def test_random_words_have_the_librarys_counts():
+    import random
+
+    rng = random.Random(4)
+    chars = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x250), 0x3A3, 0x3C3, 0x300, 0x301, 0x1E9E, 0x2019, 0x4E2D]] + ["'s", "'LL", "<|endoftext|>", "<|"] + list("etaoin'.") * 40
+    texts = [" ".join("".join(rng.choices(chars, k=rng.randrange(1, 9))) for _ in range(30)) for _ in range(400)]
+    assert T.WordCounter("word_bpe_49k.json").counts(texts) == library(texts)
+    every = [chr(c) for c in range(0x21, 0x250) if c not in range(0x7F, 0xA1)]
+    assert T.WordCounter("word_bpe_49k.json").counts(every + [f"a{c}b" for c in every]) == library(every + [f"a{c}b" for c in every])
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id")
     got = T.op7_token_counts(spark, SF).toPandas().set_index("doc_id").loc[docs.index]
