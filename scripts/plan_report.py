@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from veilgrid.plans.registry import QUERIES  # noqa: E402
 from veilgrid.session import get_session  # noqa: E402
 
 KINDS = {
@@ -45,10 +45,10 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = get_session("local[8]", shuffle_partitions=16)
     print("# PLANS\n")
-    print(f"Initial physical plans (AQE may still re-plan at run time) of every registered query on `{sf_dir}`,")
+    print(f"Initial physical plans (AQE may still re-plan at run time) of the queries outside llm/ on `{sf_dir}`,")
     print("from `python scripts/plan_report.py`. Counts are operators in the formatted plan (the graph section);")
     print("a streaming query shows the plan of the batch read of its output.\n")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         txt = plan_text(df)
         graph = txt.split("\n\n\n")[0]

@@ -1,4 +1,4 @@
-"""Scalar helpers, look-ups and small sinks over the driver tables."""
+"""Scalar helpers, look-ups and small sinks over the driver tables."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.functions import scalars as S
+from veilgrid.functions.joins import values_frame
 from veilgrid.operators.audit import length_violations, ts_literal
 from veilgrid.operators.events import valid_events, wrap_event
 from veilgrid.operators.lookup import latest_per_group
+from veilgrid.operators.policy import bypass_findings, flatten_policies, reachable_roles
 from veilgrid.operators.report import as_check_result, identity_section
 from veilgrid.plans.events import RUN_TS, typed
-from veilgrid.plans.report import outcomes
+from veilgrid.plans.report import call_log, outcomes
 from veilgrid.sources.events import read_events
+from veilgrid.sources.permissions import load_permissions
 from veilgrid.sources.sinks import dataset_view, write_result
 from veilgrid.sources.tables import read_table
 from veilgrid.streaming.bus import scratch_root, write_and_publish
@@ -91,7 +94,44 @@ def bi_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_view(read_table(spark, sf_dir, "events"), {"event_id": "STRING", "event_type": "STRING", "user_id": "INTEGER", "value": "DECIMAL"})
 
 
+def policy_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every customer through its nation to its region, as roles that assume roles."""
+    c, n, r = (read_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    up = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("src"), F.col("n_name").alias("dst"))
+    top = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
+    return reachable_roles(up.unionByName(top), 2)
+
+
+def policy_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as roles that may read their nation's bucket; those of one nation see a table there only in part."""
+    c, n = (read_table(spark, sf_dir, t) for t in ("customer", "nation"))
+    role = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("role"), "c_custkey", "n_name")
+    own = F.concat(F.lit("bucket-"), F.col("n_name"), F.lit("/*"))
+    statement = lambda effect, action, resource: F.struct(
+        F.lit(effect).alias("effect"), F.array(F.lit(action)).alias("actions"), F.array(resource).alias("resources")
+    )
+    policies = role.select("role", F.array(statement("Allow", "s3:GetObject", own), statement("Deny", "s3:*", F.lit("*"))).alias("statements"))
+    visible = role.select("role", F.lit("sales_db").alias("database"), F.lit("orders").alias("table"), (F.col("c_custkey") % 3 == 0).alias("full_table"))
+    places = values_frame(spark, [("sales_db", "orders", "bucket-NATION_3/tables/orders")], "database string, table string, location string")
+    return bypass_findings(flatten_policies(policies), visible, places)
+
+
+def permissions_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call log's permissions written as a configuration file and loaded for three services, one of them not listed."""
+    path = f"{scratch_root(spark, 'permissions')}/permissions.json"
+    pairs = call_log(spark, sf_dir).select("service", "permission").distinct()
+    # A configuration file is one small text: services and actions, not calls.
+    lists = pairs.groupBy("service").agg(F.sort_array(F.collect_set("permission")).alias("actions"))
+    whole = lists.agg(F.map_from_entries(F.collect_list(F.struct("service", "actions"))).alias("permissions"))
+    whole.select(F.to_json(F.struct("permissions")).alias("value")).coalesce(1).write.text(path)
+    chosen, missing = load_permissions(spark, path, ["click", "view", "absent"])
+    return chosen.select("service", "permission").unionByName(missing.select("service", F.lit(None).cast("string").alias("permission")))
+
+
 QUERIES = {
+    "policy_reachable": policy_reachable,
+    "policy_bypass": policy_bypass,
+    "permissions_loaded": permissions_loaded,
     "scalars_orders": scalars_orders,
     "report_identities": report_identities,
     "report_check_results": report_check_results,
@@ -106,6 +146,19 @@ QUERIES = {
 def oracles(calls: str) -> dict[str, str]:
     """``calls``: the CTEs that end in ``outc``, the classified call log."""
     return {
+        "policy_reachable": """
+            WITH e AS (SELECT c_name AS src, n_name AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey
+                UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+            SELECT src, dst, 1 AS hops FROM e
+            UNION ALL SELECT DISTINCT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src""",
+        "policy_bypass": """
+            SELECT c_name AS role, 'sales_db' AS database, 'orders' AS "table", 'bucket-NATION_3/tables/orders' AS location,
+                   'bucket-NATION_3/*' AS resource
+            FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' AND c_custkey % 3 <> 0""",
+        "permissions_loaded": calls
+        + """
+            SELECT DISTINCT service, permission FROM calls WHERE service IN ('click', 'view')
+            UNION ALL SELECT 'absent', NULL""",
         "scalars_orders": """
             SELECT o_orderkey, lpad(CAST(o_custkey + 4 AS VARCHAR), 6, '0') AS padded, substr(o_orderpriority, 1, 4) AS short,
                    o_orderdate - INTERVAL 90 MINUTE AS before,

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.functions.joins import broadcast_if_small
+from veilgrid.functions.joins import broadcast_if_small, values_frame
 
 
 def _config_text(spark: SparkSession, path: str) -> str:
@@ -43,14 +43,14 @@ def load_permissions(spark: SparkSession, path: str, services: Sequence[str] | N
     data = _parse(path, _config_text(spark, path))
     mapping = data.get("permissions", data) if isinstance(data, dict) else {}
     mapping = {k: list(v or []) for k, v in mapping.items() if k != "config"}
-    m = spark.createDataFrame([(json.dumps(mapping),)], "value string").select(
+    m = values_frame(spark, [(json.dumps(mapping),)], "value string").select(
         F.from_json("value", "map<string, array<string>>").alias("m")
     )
     per_service = m.select(F.explode("m").alias("service", "actions"))
     pairs = per_service.select("service", F.explode("actions").alias("permission"))
     if services is None:
-        return pairs, spark.createDataFrame([], "service string")
-    wanted = spark.createDataFrame([(s,) for s in services], "service string")
+        return pairs, values_frame(spark, [], "service string")
+    wanted = values_frame(spark, [(s,) for s in services], "service string")
     chosen = pairs.join(broadcast_if_small(wanted), "service", "left_semi")
     missing = wanted.join(per_service.select("service"), "service", "left_anti")
     return chosen, missing
@@ -59,7 +59,7 @@ def load_permissions(spark: SparkSession, path: str, services: Sequence[str] | N
 def permissions_frame(spark: SparkSession, mapping: dict[str, list[str]]) -> DataFrame:
     """The same pairs from an in-memory mapping (tests, small configs)."""
     text = json.dumps(mapping)
-    m = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", "map<string, array<string>>").alias("m"))
+    m = values_frame(spark, [(text,)], "value string").select(F.from_json("value", "map<string, array<string>>").alias("m"))
     return m.select(F.explode("m").alias("service", "actions")).select("service", F.explode("actions").alias("permission"))
 
 
