@@ -58,6 +58,23 @@ def test_tiles_prune_but_lose_nothing(monkeypatch):
     assert dict(zip(got.cid, got.links, strict=True)) == want
 
 
+def test_tile_ranges_hold_every_pair_in_reach():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        edges = np.sort(rng.uniform(-1, 1, rng.integers(0, 9)))
+        tiles = rng.integers(0, 4, len(edges) + 1).tolist()
+        reach = float(rng.uniform(0, 0.8))
+        first, low, high = A.tile_ranges(tiles, edges, reach)
+        x = rng.uniform(-1.2, 1.2, 200)
+        block = np.searchsorted(edges, x, "right")
+        for a, b in rng.integers(0, 200, (300, 2)):
+            if abs(x[a] - x[b]) <= reach:
+                for t in range(first[block[b]], first[block[b] + 1]):
+                    assert low[block[a]] <= t <= high[block[a]]
+    first, low, high = A.tile_ranges([1] * 10, np.linspace(-0.8, 0.8, 9), 0.1)
+    assert (high - low).max() == 2  # far blocks never meet
+
+
 def test_embedding_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -1,19 +1,20 @@
 """Embedding near-duplicates by a PCA-ordered tiled comparison.
 
 Equal vectors become one class first (a group of copies that holds a third of
-the rows is combined before anything is compared). Classes are dealt to
-blocks; every pair of blocks is one task. Vectors are rotated to the principal
-axes of a bounded sample, so that the leading dimensions carry most of a
-product: a tile accumulates them first, bounds the rest by the product of the
+the rows is combined before anything is compared). Vectors are rotated to the
+principal axes of a bounded sample, so that the leading dimensions carry most
+of a product. Blocks are ranges of the first axis; two blocks meet in one task
+unless they lie too far apart on it. A tile accumulates the leading dimensions
+first, bounds the rest by the product of the
 suffix norms (Cauchy-Schwarz), and goes on only with pairs whose bound still
 reaches the threshold. Survivors are checked on the unrotated vectors in
 double precision. A task returns, per class, the number of linked rows and one
 root per connected group, never all pairs; connected components join the
 groups.
 
-All pairs of classes are compared, as the contract asks, so work grows with
-the square of their number; blocks of ``block_rows`` vectors keep a task at a
-few dozen MB and the shuffle at (number of blocks) x input.
+All pairs of classes within reach are compared, as the contract asks, so work
+can grow with the square of their number; blocks of ``block_rows`` vectors keep
+a task at a few dozen MB and the shuffle at (number of blocks in reach) x input.
 """
 
 from __future__ import annotations
@@ -52,6 +53,25 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def reach_of(least: float) -> float:
+    """Unit vectors with a product of at least ``least`` are no farther apart than this, on any axis."""
+    return math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
+
+
+def tile_ranges(tiles: list[int], edges: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per block of ``tiles`` tiles: its first tile (and the number of all at the end), and the first and last tile in reach of it.
+
+    Block k holds the values from edges[k - 1] to edges[k] of the first axis.
+    """
+    first = np.concatenate([[0], np.cumsum(tiles)])
+    lower, upper = np.concatenate([[-np.inf], edges]), np.concatenate([edges, [np.inf]])
+    near = lower[None, :] - upper[:, None] <= reach  # block of the column not too far above that of the row
+    near &= near.T
+    low = np.array([first[np.nonzero(row)[0].min()] for row in near])
+    high = np.array([first[np.nonzero(row)[0].max() + 1] - 1 for row in near])
+    return first, low, np.maximum(low, high)
+
+
 def tile_links(x: np.ndarray, y: np.ndarray, xr: np.ndarray, yr: np.ndarray, cuts: list[int], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of unit rows of x and y with a product of at least ``least``; xr and yr are the rotated rows."""
     part = xr[:, : cuts[0]] @ yr[:, : cuts[0]].T
@@ -92,8 +112,7 @@ def block_links(ids: np.ndarray, mult: np.ndarray, vecs: np.ndarray, split: int,
     n, own = len(ids), split == len(ids)
     forest, links = Forest(n), np.zeros(n, np.int64)
     cuts = sorted({max(1, rot.shape[1] // 4), max(1, rot.shape[1] // 2)})
-    # Unit vectors that reach the threshold are near in each coordinate, so tiles far apart on the first axis are skipped.
-    reach = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
+    reach = reach_of(least)
     for i in range(0, split, TILE):
         a = slice(i, min(i + TILE, split))
         for j in range(i if own else split, n, TILE):
@@ -139,7 +158,6 @@ def near_duplicates(
     n, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     if not n:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    blocks = math.ceil(n / block_rows)
     kind = np.float32 if single else np.float64
 
     def padded(lists) -> np.ndarray:
@@ -149,22 +167,36 @@ def near_duplicates(
         return out
 
     picked = classes.select("vec").orderBy(F.xxhash64("cid")).limit(sample_rows).collect()
-    axes = principal_axes(unit(padded([r.vec for r in picked]).astype(float)))
+    known = unit(padded([r.vec for r in picked]).astype(float))
+    axes = principal_axes(known)
+    # Blocks are ranges of the first axis, about as large as the sample says.
+    edges = np.quantile(known @ axes[:, 0], np.linspace(0, 1, math.ceil(n / block_rows) + 1)[1:-1])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cid, mult = (b.column(c).to_numpy() for c in ("cid", "mult"))
-            flat = b.column("vec")
-            vecs = padded([x.values.to_numpy(zero_copy_only=False) for x in flat])
-            at = ((cid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(blocks)
+            vecs = padded([x.values.to_numpy(zero_copy_only=False) for x in b.column("vec")])
+            at = np.searchsorted(edges, unit(vecs.astype(float)) @ axes[:, 0], "right")
             out = []
             for k in np.unique(at):
-                mine = at == k
-                for other in range(blocks):
-                    out.append((min(int(k), other), max(int(k), other), int(k), cid[mine].tobytes(), mult[mine].tobytes(), vecs[mine].tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int32()] * 3 + [pa.binary()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["i", "j", "own", "cids", "mults", "vecs"])
+                mine = np.nonzero(at == k)[0]
+                for m in (mine[x : x + 1024] for x in range(0, len(mine), 1024)):
+                    out.append((int(k), len(m), cid[m].tobytes(), mult[m].tobytes(), vecs[m].tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "n", "cids", "mults", "vecs"])
+
+    packed = classes.select("cid", "mult", "vec").mapInArrow(deal, "block int, n long, cids binary, mults binary, vecs binary")
+    packed = staged(packed.withColumn("part", F.monotonically_increasing_id()), "vector-blocks")
+    held = {r.block: r.n for r in packed.groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    first, low, high = tile_ranges([math.ceil(held.get(k, 0) / block_rows) for k in range(len(edges) + 1)], edges, reach_of(least))
+    number = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
+    of_block = lambda xs: F.element_at(number(xs), F.col("block") + 1)
+    # A block that holds more than its share is cut into several tiles; tiles of blocks out of reach never meet.
+    spread = F.pmod(F.xxhash64("part"), of_block(np.maximum(1, np.diff(first)))).cast("int")
+    tiles = packed.withColumn("own", of_block(first[:-1]) + spread)
+    tiles = tiles.withColumn("other", F.explode(F.sequence(of_block(low), of_block(high))))
+    dealt = tiles.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cids", "mults", "vecs")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("own", kind="stable")
@@ -174,7 +206,6 @@ def near_duplicates(
         vecs = np.frombuffer(b"".join(pdf["vecs"]), kind).reshape(len(ids), dim).astype(float)
         return block_links(ids, mult, vecs, split, axes, least)
 
-    dealt = classes.select("cid", "mult", "vec").mapInArrow(deal, "i int, j int, own int, cids binary, mults binary, vecs binary")
     found = staged(dealt.groupBy("i", "j").applyInPandas(link, "cid long, links long, root long"), "vector-links")
     roots = connected_components(found, "cid", "root").withColumnRenamed("node", "cid")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
