@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi.
 
 Texts are cut into words (a run of spaces belongs to the word after it; no
-piece has a space after another character). Distinct words of equal length
+piece has a space after another character, nor a line end). Distinct words of equal length
 advance together, one character at a time: the hashes of all substrings that
 end there probe the sorted piece keys, each hit that may follow the best
 path's last piece competes, and the maximum's length is the backpointer.
@@ -32,10 +32,9 @@ from pyspark.sql import functions as F
 from veilgrid.llm.common import read
 
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 PRIME = 0x100000001B3
 MIX = 0x9E3779B97F4A7C15
-SIEVE_BITS = 22
+SLOT_BITS = 19
 MEMO_WORDS = 800_000
 LONG_WORD = 48
 
@@ -69,6 +68,28 @@ def merge_all(text: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, st
     return parts, last
 
 
+def slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per leading bits: the place of the first sorted key that has them (-1 if none), and whether others follow."""
+    slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    first = np.full(1 << SLOT_BITS, -1, np.int32)
+    first[slot[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
+    return first, np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+
+
+def found(h: np.ndarray, keys: np.ndarray, first: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of h that are among the sorted keys, their places there)."""
+    slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    at = first[slot]
+    rows = np.nonzero(at >= 0)[0]
+    at = at[rows]
+    same = keys[at] == h[rows]
+    more = np.nonzero(~same & shared[slot[rows]])[0]
+    if len(more):
+        at[more] = np.minimum(np.searchsorted(keys, h[rows[more]]), len(keys) - 1)
+        same[more] = keys[at[more]] == h[rows[more]]
+    return rows[same], at[same]
+
+
 class Pieces:
     """The vocabulary's tables: plain arrays, built once on the driver.
 
@@ -121,10 +142,13 @@ class Pieces:
         by_text = {t: k for t, k in nodes.items()}
         for t, r in rank.items():
             pairs += [(by_text[t[:c]] * len(nodes) + by_text[t[c:]], r) for c in range(1, len(t)) if t[:c] in by_text and t[c:] in by_text]
-        pairs.sort()
-        self.pair_keys = np.array([p for p, _ in pairs], np.int64)
-        self.pair_rank = np.array([r for _, r in pairs], np.int32)
+        mixed = np.array([p for p, _ in pairs], np.uint64) * np.uint64(MIX)
+        at = np.argsort(mixed)
+        self.pair_keys, self.pair_rank = mixed[at], np.array([r for _, r in pairs], np.int32)[at]
         self.longest = max(map(len, nodes))
+        # Words: spaces and what follows them. Line ends and tabs that no piece holds stand by themselves.
+        alone = "".join(c for c in "\n\t\r" if c not in nodes)
+        self.word = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]+" if alone else ""))
         self.surface = [b""] * n
         for i in plain:
             self.surface[i] = text[i].replace(SPACE, " ").encode()
@@ -135,37 +159,25 @@ class Pieces:
         self.inner = np.unique(np.array([ord(a) << 32 | ord(b) for t in nodes for a, b in zip(t, t[1:], strict=False)], np.int64))
 
     @functools.cached_property
-    def sieve(self) -> np.ndarray:
-        """Which leading bits some key has; it turns most probes away."""
-        out = np.zeros(1 << SIEVE_BITS, bool)
-        out[(self.keys >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
-        return out
+    def piece_slots(self) -> tuple[np.ndarray, np.ndarray]:
+        return slots(self.keys)
+
+    @functools.cached_property
+    def pair_slots(self) -> tuple[np.ndarray, np.ndarray]:
+        return slots(self.pair_keys)
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Node of each hash, -1 if none."""
         out = np.full(len(h), -1, np.int32)
-        some = np.nonzero(self.sieve[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])[0]
-        at = np.searchsorted(self.keys, h[some])
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == h[some]
-        out[some[hit]] = self.node_of_key[at[hit]]
-        return out
-
-    @functools.cached_property
-    def pair_sieve(self) -> np.ndarray:
-        """Which leading bits some merging pair's mixed key has."""
-        out = np.zeros(1 << SIEVE_BITS, bool)
-        out[(self.pair_keys.astype(np.uint64) * np.uint64(MIX) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
+        rows, at = found(h, self.keys, *self.piece_slots)
+        out[rows] = self.node_of_key[at]
         return out
 
     def merges(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Whether neighbours a, b merge before ``limit``."""
-        key = a * len(self.rank) + b
-        out = np.zeros(len(key), bool)
-        some = np.nonzero(self.pair_sieve[(key.astype(np.uint64) * np.uint64(MIX) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])[0]
-        at = np.searchsorted(self.pair_keys, key[some])
-        at[at == len(self.pair_keys)] = 0
-        out[some] = (self.pair_keys[at] == key[some]) & (self.pair_rank[at] < limit[some])
+        out = np.zeros(len(a), bool)
+        rows, at = found((a * len(self.rank) + b).astype(np.uint64) * np.uint64(MIX), self.pair_keys, *self.pair_slots)
+        out[rows] = self.pair_rank[at] < limit[rows]
         return out
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -275,10 +287,9 @@ class Pieces:
                 ids = self.ids[nodes]
                 ids[nodes < 0] = -1
                 odd = np.unique(np.repeat(np.arange(len(some)), count)[ids < 0])
-                if len(odd):
-                    each = np.split(nodes, np.cumsum(count)[:-1])
-                    for k in odd.tolist():
-                        pieces[some[k]] = self.with_bytes(words[some[k]], each[k])
+                ends = np.cumsum(count)
+                for k in odd.tolist():
+                    pieces[some[k]] = self.with_bytes(words[some[k]], nodes[ends[k] - count[k] : ends[k]])
                 owners.append(np.array(some))
                 counts.append(count)
                 flats.append(ids)
@@ -347,7 +358,8 @@ class Coder:
         self.start, self.count, self.flat = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = self.pieces.word.findall
+        words = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.forget()
         new = list(set().union(*words) - self.memo.keys())
