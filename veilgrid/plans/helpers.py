@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.functions import scalars as S
-from veilgrid.functions.joins import values_frame
 from veilgrid.operators.audit import length_violations, ts_literal
 from veilgrid.operators.events import valid_events, wrap_event
 from veilgrid.operators.lookup import latest_per_group
@@ -81,12 +80,9 @@ def orders_written_and_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
     done = write_and_publish(rows, f"{root}/t", f"{root}/bus", database="sales_db", table="orders", event_id="w1", now=RUN_TS)
     place = write_result(spark.read.parquet(f"{root}/t"), f"{root}/results", "q1", caller_path=f"{root}/mine")
-    told = read_events(spark, f"{root}/bus").select(F.col("event.detail.recordCount").alias("told"))
+    told = read_events(spark, f"{root}/bus").first().event.detail.recordCount  # the one event
     kept = spark.read.parquet(place).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
-    # One row each, by construction.
-    return kept.withColumn("one", F.lit(1)).join(F.broadcast(told.withColumn("one", F.lit(1))), "one").select(
-        "n_rows", "key_sum", F.col("told").cast("long").alias("told"), F.lit(done["published"]).alias("published")
-    )
+    return kept.withColumns({"told": F.lit(told).cast("long"), "published": F.lit(done["published"])})
 
 
 def bi_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +99,8 @@ def policy_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as roles that may read their nation's bucket; those of one nation see a table there only in part."""
+    """Customers as roles that may read their nation's bucket and see its orders in full or in part;
+    the orders of every other nation lie elsewhere."""
     c, n = (read_table(spark, sf_dir, t) for t in ("customer", "nation"))
     role = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("role"), "c_custkey", "n_name")
     own = F.concat(F.lit("bucket-"), F.col("n_name"), F.lit("/*"))
@@ -111,8 +108,10 @@ def policy_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(effect).alias("effect"), F.array(F.lit(action)).alias("actions"), F.array(resource).alias("resources")
     )
     policies = role.select("role", F.array(statement("Allow", "s3:GetObject", own), statement("Deny", "s3:*", F.lit("*"))).alias("statements"))
-    visible = role.select("role", F.lit("sales_db").alias("database"), F.lit("orders").alias("table"), (F.col("c_custkey") % 3 == 0).alias("full_table"))
-    places = values_frame(spark, [("sales_db", "orders", "bucket-NATION_3/tables/orders")], "database string, table string, location string")
+    table = F.concat(F.lit("orders_"), F.col("n_name")).alias("table")
+    visible = role.select("role", F.lit("sales_db").alias("database"), table, (F.col("c_custkey") % 3 == 0).alias("full_table"))
+    bucket = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.lit("SHARED"))
+    places = n.select(F.lit("sales_db").alias("database"), table, F.concat(F.lit("bucket-"), bucket, F.lit("/tables/orders")).alias("location"))
     return bypass_findings(flatten_policies(policies), visible, places)
 
 
@@ -152,9 +151,9 @@ def oracles(calls: str) -> dict[str, str]:
             SELECT src, dst, 1 AS hops FROM e
             UNION ALL SELECT DISTINCT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src""",
         "policy_bypass": """
-            SELECT c_name AS role, 'sales_db' AS database, 'orders' AS "table", 'bucket-NATION_3/tables/orders' AS location,
-                   'bucket-NATION_3/*' AS resource
-            FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' AND c_custkey % 3 <> 0""",
+            SELECT c_name AS role, 'sales_db' AS database, 'orders_' || n_name AS "table", 'bucket-' || n_name || '/tables/orders' AS location,
+                   'bucket-' || n_name || '/*' AS resource
+            FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 AND c_custkey % 3 <> 0""",
         "permissions_loaded": calls
         + """
             SELECT DISTINCT service, permission FROM calls WHERE service IN ('click', 'view')
