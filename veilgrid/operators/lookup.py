@@ -84,7 +84,7 @@ def audit_lookup(
     count is the difference of a probe's two marks, which a group-by brings
     together within the same partitioning. So there is one shuffle, no pairwise
     join, no cap, and constant work per row. Probes with a NULL key or time
-    find nothing and are set aside before the shuffle.
+    find nothing; they are spread over buckets of their own.
     """
     window = minutes * 60 * 1_000_000
     width = window // split
@@ -101,8 +101,10 @@ def audit_lookup(
     p_cols = probes.columns
     named = probes.select(F.struct(*[F.col(c) for c in p_cols]).alias("_pr"), F.col(key).alias("_k"), _micros(probes, probe_ts).alias("_us"))
     able = F.col("_k").isNotNull() & F.col("_us").isNotNull()
-    p = named.filter(able).withColumn("_b", F.floor(F.col("_us") / F.lit(width)).cast("long"))
-    p = p.withColumn("_pid", F.monotonically_increasing_id())
+    p = named.withColumn("_pid", F.monotonically_increasing_id())
+    # A probe that can find nothing has no key, and a bucket of its own.
+    p = p.withColumn("_b", F.when(able, F.floor(F.col("_us") / F.lit(width)).cast("long")).otherwise(F.col("_pid")))
+    p = p.withColumn("_k", F.when(able, F.col("_k"))).withColumn("_us", F.coalesce("_us", F.lit(0)))
     marks = F.array(
         F.struct((F.col("_us") - F.lit(window)).alias("us"), F.lit(0).alias("kind")),
         F.struct(F.col("_us").alias("us"), F.lit(2).alias("kind")),
@@ -125,9 +127,8 @@ def audit_lookup(
         F.first(F.when(end, F.col("_pr")), ignorenulls=True).alias("_pr"),
         F.first(F.when(end, F.col("_last")), ignorenulls=True).alias("_last"),
     )
-    none = named.filter(~able).select(F.lit(0).alias("_count"), "_pr", F.lit(None).cast(event_type).alias("_last"))
     hit = F.col("_count") > 0
-    out = found.select("_count", "_pr", "_last").unionByName(none).select(
+    out = found.select(
         *[F.col(f"_pr.{c}").alias(c) for c in p_cols],
         F.col("_count").alias(f"{prefix}count"),
         F.when(hit, F.col("_last.id")).alias(f"{prefix}latest_id"),
