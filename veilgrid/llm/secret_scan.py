@@ -20,7 +20,6 @@ leans on the share in all strata as far as the strata agree.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
