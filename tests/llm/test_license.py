@@ -113,3 +113,19 @@ def test_no_python_in_the_plan(spark):
     with contextlib.redirect_stdout(out):
         L.op10_license_scan(spark, SF).explain("formatted")
     assert not any(x in out.getvalue() for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_files_inherit_from_the_root(spark):
+    rows = [
+        (1, "LICENSE", "MIT License\n" + L.TEMPLATES[6][1]),
+        (2, "setup.py", "x = 1"),
+        (3, "src/a.py", "y = 2"),
+        (4, "src/deep/er/b.py", "z = 3"),
+        (5, "lib/COPYING", "This work is licensed under the GNU General Public License, version 3."),
+        (6, "lib/x/c.py", "w = 4"),
+        (7, None, "u = 6"),
+    ]
+    got = {r.id: (r.license, r.how) for r in L.scan(spark.createDataFrame(rows, "id long, path string, text string"), "id", "path", "text").collect()}
+    assert got[1] == ("MIT", "file") and got[5] == ("GPL-3.0", "file")
+    assert got[2] == got[3] == got[4] == ("MIT", "inherited")
+    assert got[6] == ("GPL-3.0", "inherited") and got[7] == (None, "none")

@@ -130,6 +130,8 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, least: flo
     by_dir = declared.groupBy("dir").agg(F.min_by("own", F.struct(-F.col("own.cosine"), "path")).alias("from_dir"))
     parts = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    # The root is '': the first part of a path with a leading slash, and above the first part of others.
+    up = F.when(parts[0] == "", up).otherwise(F.concat(F.array(F.lit("")), up))
     # Directories are few beside files: their ancestors are matched once per directory, then joined to the files.
     dirs = rows.where(F.col("path").isNotNull() & F.col("own").isNull()).select("dir").distinct()
     above = dirs.select("dir", F.posexplode(up).alias("depth", "ancestor")).join(by_dir.withColumnRenamed("dir", "ancestor"), "ancestor")
