@@ -129,3 +129,43 @@ def test_files_inherit_from_the_root(spark):
     assert got[1] == ("MIT", "file") and got[5] == ("GPL-3.0", "file")
     assert got[2] == got[3] == got[4] == ("MIT", "inherited")
     assert got[6] == ("GPL-3.0", "inherited") and got[7] == (None, "none")
+
+
+def wrapped(text, before, width=60):
+    import textwrap
+
+    return "\n".join(before + x for x in textwrap.wrap(text, width))
+
+
+def test_wrapped_headers_are_scored_as_blocks(spark):
+    code = "\n".join(f"value_{i} = compute(other_{i}, more_{i})" for i in range(60))
+    mit, apache, gpl = L.TEMPLATES[6][1], L.TEMPLATES[1][1], L.TEMPLATES[8][1]
+    lgpl = (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    )
+    rows = [
+        (1, "a/hash.py", "#!/usr/bin/env python\n# Copyright (c) 2020 Someone\n#\n" + wrapped(mit, "# ") + "\n" + code),
+        (2, "a/star.c", "/*\n" + wrapped(mit, " * ") + "\n */\n" + code),
+        (3, "a/open.c", "int x;\n/* " + wrapped(mit, "   ").strip() + " */\n" + code),
+        (4, "a/slash.go", "package a\n" + wrapped(mit, "// ") + "\n" + code),
+        (5, "a/doc.py", '"""' + wrapped(mit, "") + '"""\n' + code),
+        (6, "a/page.html", "<!--" + wrapped(gpl, "  ") + "-->\n" + code),
+        (7, "a/plain.txt", code + "\n\n" + wrapped(mit, "") + "\n\n" + code),
+        (8, "a/lesser.py", wrapped(lgpl, "# ") + "\n" + code),
+        (9, "a/short.py", "# All rights\n# reserved.\n" + code),
+        (10, "a/line.py", wrapped(apache, "# ", 1000) + "\n" + code),
+        (11, "a/none.py", wrapped("You need a licence to drive here, and the copyright of the map is with those who drew it first.", "# ") + "\n" + code),
+        (12, "a/windows.py", ("# Mine\n#\n" + wrapped(mit, "# ") + "\n" + code).replace("\n", "\r\n")),
+    ]
+    got = {r.id: (r.license, r.how) for r in L.scan(spark.createDataFrame(rows, "id long, path string, text string"), "id", "path", "text").collect()}
+    for i in (1, 2, 3, 4, 5, 7, 12):
+        assert got[i] == ("MIT", "header"), i
+    assert got[6] == ("GPL-3.0", "header") and got[8][1] == "header" and got[9] == ("Proprietary", "header") and got[10] == ("Apache-2.0", "header")
+    assert got[11] == (None, "none")
+
+
+def test_blocks_of_odd_texts_take_linear_time(spark):
+    odd = ["\n" * 200_000, "*" * 200_000, "# \n" * 100_000, "-" * 200_000, "\n#" * 50_000 + "\nx" * 50_000, "license " * 50_000, "# license\nx\n" * 5_000]
+    df = spark.createDataFrame([(i, f"p/{i}", f"{t}\n\nReleased under the MIT License.") for i, t in enumerate(odd)], "id long, path string, text string")
+    assert all(r.license == "MIT" for r in L.scan(df, "id", "path", "text").collect())

@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance along directories.
 
 DataFrame operations only. Header lines (lines with a word that licence
-statements use) and whole licence files are the units. Distinct units are cut
+statements use), the comment or paragraph blocks around them, and whole licence
+files are the units; a header that is wrapped over lines is known by its block. Distinct units are cut
 into words, weighted by count and by the inverse document frequency over the
 templates, and joined to the templates' words; the best template of a unit
 that reaches the least cosine is its licence. A file has the licence of its
@@ -60,6 +61,14 @@ TEMPLATES = (
 CUE = "licen[cs]|spdx|copyright|all rights reserved|permission (is|to)|redistribut|public domain|source code form"
 FILE_NAME = "(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
 NOT_WORD = "[^a-z0-9.+-]+"
+# A cue may be wrapped as well.
+BLOCK_CUE = CUE.replace(" ", "[^a-z0-9]+")
+# Where a block ends: marks around comments, a change between marked and other lines, lines without a letter or digit.
+AROUND = r"""/\*|\*/|<!--|-->|\"{3}|'{3}"""
+MARKED = r"[ \t]*+(?:#|//|--|;|%|(?:dnl|rem)\b)"
+AFTER_MARKED = rf"(?mi)^({MARKED}[^\n]*+)\n(?!{MARKED})"
+BEFORE_MARKED = rf"(?mi)^((?!{MARKED})[^\n]*+)\n(?={MARKED})"
+BETWEEN = r"\n[^\n\p{L}\p{N}]*+\n[^\p{L}\p{N}]*+"
 
 
 def words_of(text: Column) -> Column:
@@ -68,6 +77,14 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def blocks_of(text: Column) -> Column:
+    """The blocks of comment lines or of other lines that hold a cue, wrapped or not."""
+    cut = F.regexp_replace(text, AROUND, "\n\n")
+    for end in (AFTER_MARKED, BEFORE_MARKED):
+        cut = F.regexp_replace(cut, end, "$1\n\n")
+    return F.filter(F.split(cut, BETWEEN), lambda x: F.lower(x).rlike(BLOCK_CUE))
+
+
 def template_words(spark: SparkSession) -> DataFrame:
     """(template, license, word, count) of the templates; a few hundred rows."""
     each = [F.struct(F.lit(i).alias("template"), F.lit(n).alias("license"), F.lit(t).alias("text")) for i, (n, t) in enumerate(TEMPLATES)]
@@ -80,7 +97,7 @@ def idf(df: Column) -> Column:
 
 
 def scored(units: DataFrame, least: float) -> DataFrame:
-    """(unit, license, cosine) of the distinct texts in column ``unit`` that reach the least cosine; ties go to the first template."""
+    """(unit, license, cosine) of the distinct units that reach the least cosine; ties go to the first template. ``unit`` is the digest of ``said``."""
     spark = units.sparkSession
     tf = template_words(spark)
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
@@ -88,7 +105,8 @@ def scored(units: DataFrame, least: float) -> DataFrame:
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     templates = weighed.join(norms, "template").select("template", "license", "word", (F.col("w") / F.col("norm")).alias("tw"))
     # Both sides of the joins below are the templates' words, whose number the code fixes.
-    counts = units.select("unit").distinct().select("unit", F.explode(words_of(F.col("unit"))).alias("word")).groupBy("unit", "word").count()
+    once = units.groupBy("unit").agg(F.first("said").alias("said"))
+    counts = once.select("unit", F.explode(words_of(F.col("said"))).alias("word")).groupBy("unit", "word").count()
     own = counts.join(F.broadcast(df), "word", "left").withColumn("w", F.col("count") * idf(F.coalesce("df", F.lit(0))))
     length = own.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = own.join(F.broadcast(templates), "word").groupBy("unit", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
@@ -110,20 +128,22 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, least: flo
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(CUE))
-    found = src.select("id", "path", F.when(F.lower("text").rlike(CUE), lines).otherwise(F.array().cast("array<string>")).alias("lines"), "text")
+    if_cue = lambda units: F.when(F.lower("text").rlike(BLOCK_CUE), units).otherwise(F.array().cast("array<string>"))
+    found = src.select("id", "path", if_cue(lines).alias("lines"), if_cue(blocks_of(F.col("text"))).alias("blocks"), "text")
     named = F.coalesce(F.lower("path").rlike(FILE_NAME), F.lit(False))
     said = F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(words_of(x)))
     is_file = named | ((F.size("lines") > 0) & (said >= file_share * F.size(words_of(F.col("text")))))
-    # Texts themselves go no further: only header lines and whole licence files are kept.
+    # Texts themselves go no further: only header lines, their blocks and whole licence files are kept.
     rows = found.select(
         F.monotonically_increasing_id().alias("row"), "id", "path",
         F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), is_file.alias("is_file"),
-        F.array_distinct(F.when(is_file, F.concat("lines", F.array("text"))).otherwise(F.col("lines"))).alias("units"),
+        F.array_distinct(F.concat("lines", "blocks", F.when(is_file, F.array("text")).otherwise(F.array().cast("array<string>")))).alias("units"),
     )
     rows = staged(rows, "license-units")
-    units = rows.where(F.size("units") > 0).select("row", F.explode("units").alias("unit"))
+    # A unit goes by its digest: a long one would else travel with each of its words.
+    units = rows.where(F.size("units") > 0).select("row", F.explode("units").alias("said")).select("row", F.md5("said").alias("unit"), "said")
     # Written first, so that plain scans meet in the join and a line that many files share can be split.
-    known = units.join(staged(scored(units, least), "license-scores"), "unit")
+    known = units.select("row", "unit").join(staged(scored(units, least), "license-scores"), "unit")
     own = known.groupBy("row").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", "license")).alias("own"))
     rows = rows.select("row", "id", "path", "dir", "is_file").join(own, "row", "left")
     declared = rows.where(F.col("is_file") & F.col("own").isNotNull() & F.col("path").isNotNull())
