@@ -90,3 +90,30 @@ def test_edge_cases_and_redaction(spark):
         [("1", None, 0), ("2", "", 0), ("None", "x [SECRET] y", 12), ("3", "[SECRET]!", 9), ("3", "[SECRET]!", 9), ("4", "clean " * 2000, 12000)], key=lambda x: (x[0], str(x[1]))
     )
     assert S.scan(docs.limit(0)).count() == 0 and S.redact(docs.limit(0)).count() == 0
+
+
+def test_runs_of_no_single_alphabet_are_split():
+    secret, b64, url = "9Gx2kLmQ7vTz8RbW3nYp5cHd", "q8+Zx1/Rk7Lw0Tn5+Vb3Yc9/Hd2Jf6Mp", "q8-Zx1_Rk7Lw0Tn5-Vb3Yc9_Hd2Jf6Mp"
+    for text, part in [
+        (f"sig={secret}", secret), (f"auth={b64}", b64), (f"PRIVATE_KEY={secret}", secret), (f"AccountKey={b64}==;x", b64), (f"https://h.example/cb?code={url}&s=1", url),
+        (f"é a=b={secret} end", secret), (f"src/a/b/{url}", url), (f"some-name-{b64}", b64), (f"k={b64}==/one", b64), (f"dir/{secret}-x_y", None), (f"x={b64}-{b64}", b64),
+    ]:
+        found = S.candidates(text)
+        assert found, text
+        for start, end, stratum, p, digest in found:
+            assert S.infer(text[start:end]) and stratum.split(":")[0] == S.infer(text[start:end])[0] and end - start >= 20
+        if part:
+            assert part in [text[s:e] for s, e, *_ in found], text
+    assert S.candidates("one=two_three/four-five=six/seven_eight some_long_name=another/long-value/for_that x=1234567890123456789012345") == []
+    assert len(S.candidates("a=" * 100_000 + "b1")) == 0 and len(S.candidates("/-" * 100_000 + "b1")) <= 1
+
+
+def test_values_behind_unknown_keys_are_found_and_redacted(spark):
+    rng = random.Random(4)
+    keys = [base64.b64encode(rng.randbytes(36)).decode() for _ in range(80)]
+    rows = [(i, f"see AccountKey={k};Endpoint and sig={k[::-1]} end") for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: [(x.start, x.end) for x in r.spans] for r in S.scan(docs).collect()}
+    assert sum((15, 15 + 48) in got[i] for i in range(80)) >= 72
+    out = {r.doc_id: r.text for r in S.redact(docs).collect()}
+    assert sum(k in out[i] or k[::-1] in out[i] for i, k in enumerate(keys)) <= 12

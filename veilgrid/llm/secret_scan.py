@@ -1,10 +1,12 @@
 """Secret scans: three fixed patterns and a randomness test battery.
 
-Besides the fixed patterns, every run of 20 or more code characters that is
-no plain word or number is a candidate. Its encoding is inferred from the
-character classes it uses, and three tests ask whether it could be a uniform
-random string of that encoding: chi-squared of the alphabet's counts, the
-number of runs above and below the alphabet's middle, and the serial
+Besides the fixed patterns, every run of 20 or more code characters that is no
+plain word or number is a candidate. Its encoding is inferred from the
+character classes it uses; a run that fits none, such as key=value, is split at
+"=" and then at the signs foreign to the encoding that fits best, and its parts
+of 20 or more characters are candidates. Three tests ask whether it could be a
+uniform random string of that encoding: chi-squared of the alphabet's counts,
+the number of runs above and below the alphabet's middle, and the serial
 correlation of neighbours. Fisher's method combines them to one p-value, low
 for anything that is not random.
 
@@ -57,6 +59,8 @@ ALPHABETS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 SETS = tuple((name, frozenset(chars), {c: i for i, c in enumerate(chars)}) for name, chars in ALPHABETS)
+# The signs that base64 and base64url, which hold all other characters of a candidate but "=", lack.
+FOREIGN = ("-_", "+/")
 BANDS = (20, 24, 32, 48, 64, 128)
 BINS = 200
 KINDS = ("assign", "access", "hex", "random")
@@ -111,17 +115,40 @@ def randomness(token: str, index: dict[str, int]) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
+def split_at(signs: str, token: str, start: int) -> list[tuple[int, str]]:
+    """(start, part) of the parts of ``token`` between the signs."""
+    return [(start + m.start(), m[0]) for m in re.finditer(f"[^{re.escape(signs)}]+", token)]
+
+
+def parts(token: str, start: int) -> list[tuple[int, str]]:
+    """(start, part) of a token that fits no encoding: what lies between "=", or else between foreign signs.
+
+    Of two encodings with as few foreign signs, the one that leaves the longest part fits best.
+    """
+    out = []
+    for at, part in split_at("=", token, start):
+        if len(part) < BANDS[0] or infer(part):
+            out.append((at, part))
+            continue
+        ways = [(sum(map(part.count, signs)), split_at(signs, part, at)) for signs in FOREIGN]
+        out += min(ways, key=lambda w: (w[0], -max((len(x) for _, x in w[1]), default=0)))[1]
+    return [(at, part) for at, part in out if len(part) >= BANDS[0]]
+
+
 def candidates(text: str) -> list[tuple[int, int, str, float, str]]:
-    """(start, end, stratum, p, digest) of every run of code characters that is no plain word or number."""
+    """(start, end, stratum, p, digest) of every run of code characters, or part of one, that is no plain word or number."""
     out = []
     for m in CANDIDATE.finditer(text):
         token = m[0].rstrip("=")
         if len(token) < BANDS[0] or plain(token):
             continue
-        found = infer(token)
-        if found:
-            band = max(b for b in BANDS if b <= len(token))
-            out.append((m.start(), m.start() + len(token), f"{found[0]}:{band}", randomness(token, found[1]), xxhash.xxh64_hexdigest(token)))
+        whole = infer(token)
+        for at, part in [(m.start(), token)] if whole else parts(token, m.start()):
+            if not whole and plain(part):
+                continue
+            name, index = whole or infer(part)
+            band = max(b for b in BANDS if b <= len(part))
+            out.append((at, at + len(part), f"{name}:{band}", randomness(part, index), xxhash.xxh64_hexdigest(part)))
     return out
 
 
