@@ -13,7 +13,7 @@ TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversati
 
 def test_one_query_per_operator_and_the_pipeline():
     names = [n for n in E.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries()
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from veilgrid.llm import (
+    chat_format,
+    chebyshev_whitening,
     cover_search,
     embed_pca,
     langid_crf,
@@ -12,6 +14,7 @@ from veilgrid.llm import (
     piece_viterbi,
     secret_scan,
     simhash_vp,
+    spelling_chunks,
     token_cache,
 )
 
@@ -26,9 +29,14 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_sentencepiece": piece_viterbi.op9_sentencepiece,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_spelling_variants": spelling_chunks.op11_spelling_variants,
+    "op12_chat_formatting": chat_format.op12_chat_formatting,
+    "op13_embedding_whitening": chebyshev_whitening.op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": embed_pca.ORACLE_OP1,
     "op5_exact_top_k": cover_search.ORACLE_OP5,
     "op10_license_scan": license_scan.ORACLE_OP10,
+    "op11_spelling_variants": spelling_chunks.ORACLE_OP11,
+    "op12_chat_formatting": chat_format.ORACLE_OP12,
 }
