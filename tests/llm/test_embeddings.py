@@ -53,7 +53,7 @@ def test_tiles_prune_but_lose_nothing(monkeypatch):
     rows = clusters(200, 20, 8)
     x = np.array([r[1] for r in rows], dtype=float)
     axes = A.principal_axes(A.unit(x))
-    got = A.block_links(np.arange(200), np.ones(200, np.int64), x, 200, axes, 0.9)
+    got = A.block_links(np.arange(200), np.ones(200, np.int64), x, 200, axes, 0.9, own=True)
     want = {k: v[0] for k, v in brute_links(rows, 0.9).items() if v[0]}
     assert dict(zip(got.cid, got.links, strict=True)) == want
 
@@ -145,3 +145,14 @@ def test_search_edge_cases(spark):
     assert sorted(x[1:] for x in got if x[0] == 50 and x[1] > 1) == sorted([(2, 0, one), (3, 3, two)] * 2, key=str) or len([x for x in got if x[0] == 50]) == 6
     assert [x[1:] for x in got if x[0] == 100] == [(1, 0, 0), (2, 3, 0), (3, 7, 0)]
     assert C.top_k(df.limit(0)).count() == 0 and C.top_k(df.where("vec_id = 0")).count() == 0
+
+
+def test_blocks_cut_into_more_tiles_than_they_have_parts(spark):
+    """All vectors lie in one block, of one part; partner tiles without a part count nothing twice."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((6, 8)), 40, 0) + 1e-3 * rng.standard_normal((240, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    got = {r.id: r.n_links for r in A.near_duplicates(df, block_rows=50, sample_rows=4).collect()}
+    assert [got[i] for i in range(240)] == want.tolist()

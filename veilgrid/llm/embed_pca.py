@@ -103,13 +103,13 @@ def tile_links(x: np.ndarray, y: np.ndarray, xr: np.ndarray, yr: np.ndarray, cut
     return alive[0][exact >= least], alive[1][exact >= least]
 
 
-def block_links(ids: np.ndarray, mult: np.ndarray, vecs: np.ndarray, split: int, axes: np.ndarray, least: float) -> pd.DataFrame:
-    """Links of rows [0, split) with rows [split, n); of all rows among each other if ``split`` is n."""
+def block_links(ids: np.ndarray, mult: np.ndarray, vecs: np.ndarray, split: int, axes: np.ndarray, least: float, own: bool) -> pd.DataFrame:
+    """Links of rows [0, split) with rows [split, n); of all rows among each other if they are one tile, ``own``."""
     vecs = unit(vecs)
     rot = vecs @ axes
     order = np.concatenate([np.argsort(rot[:split, 0]), split + np.argsort(rot[split:, 0])])
     ids, mult, vecs, rot = ids[order], mult[order], vecs[order], rot[order]
-    n, own = len(ids), split == len(ids)
+    n = len(ids)
     forest, links = Forest(n), np.zeros(n, np.int64)
     cuts = sorted({max(1, rot.shape[1] // 4), max(1, rot.shape[1] // 2)})
     reach = reach_of(least)
@@ -198,13 +198,14 @@ def near_duplicates(
     tiles = tiles.withColumn("other", F.explode(F.sequence(of_block(low), of_block(high))))
     dealt = tiles.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cids", "mults", "vecs")
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # A tile may have got no part: what is left then is the other tile alone, which meets itself elsewhere.
         pdf = pdf.sort_values("own", kind="stable")
         size = pdf["cids"].map(len) // 8
         split = int(size[pdf["own"] == pdf["i"]].sum())
         ids, mult = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("cids", "mults"))
         vecs = np.frombuffer(b"".join(pdf["vecs"]), kind).reshape(len(ids), dim).astype(float)
-        return block_links(ids, mult, vecs, split, axes, least)
+        return block_links(ids, mult, vecs, split, axes, least, own=bool(key[0] == key[1]))
 
     found = staged(dealt.groupBy("i", "j").applyInPandas(link, "cid long, links long, root long"), "vector-links")
     roots = connected_components(found, "cid", "root").withColumnRenamed("node", "cid")
