@@ -76,3 +76,16 @@ def test_edge_cases(spark):
     assert L.identify(docs.limit(0)).count() == 0 and L.keep_known(docs.limit(0)).count() == 0
     bare = L.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in bare} == {("und", 0.0)}
+
+
+def test_every_label_has_its_share_and_long_texts_are_learned_from(spark):
+    rows = [(i, f"w{i % 100}a w{i % 100}b w{i % 100}c", f"l{i % 100:02}") for i in range(2000)]
+    rows += [(3000 + i, "zeta omega sigma " * 2000, "long") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = L.sample(docs, "doc_id", "text", "lang", 200, 1000)
+    n = {}
+    for t, y in taken:
+        n[y] = n.get(y, 0) + 1
+        assert len(t) <= 1000
+    assert len(n) == 101 and set(n.values()) == {4}
+    assert len(L.sample(docs, "doc_id", "text", "lang", 1600, 1000)) <= 1600

@@ -21,10 +21,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrid.llm.common import read
+from veilgrid.functions.joins import broadcast_if_small
+from veilgrid.llm.common import read, staged
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BUCKETS = 1 << 17
@@ -186,25 +187,26 @@ def _step(model: Model, w: np.ndarray, g: np.ndarray, feats: np.ndarray, ends: n
         param += rate * grad / np.sqrt(acc)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, max_chars: int) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled (text, label) rows outside the held-out fold, as many of each label as there are, by hash order."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int, least: int = 4) -> list[tuple[str, str]]:
+    """At most ``rows`` labelled (text, label) rows outside the held-out fold, as many of each label as there are, by hash order.
+
+    Every label has its share, ``least`` rows at least: more than rows / least
+    labels take more rows. Of a longer text a stretch of ``chars`` characters
+    is learned from, which begins where a hash of the id says.
+    """
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
     known = docs.where((fold != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(rows // 20).collect()}
-    if not counts:
-        return []
-    each = rows // len(counts)
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    near = F.lit(False)
-    for y, n in counts.items():
-        near = near | ((F.col(lang_col) == y) & (key < int(min(1.0, 1.5 * each / n) * (1 << 30))))
-    taken = known.where(near & (F.length(text_col) <= max_chars)).select(key.alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
-    left, out = dict.fromkeys(counts, each), []
-    for r in taken.orderBy("k", "t").limit(2 * rows).collect():
-        if left[r.y]:
-            left[r.y] -= 1
-            out.append((r.t, r.y))
-    return out
+    labels = known.groupBy(F.col(lang_col).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    each = max(least, rows // max(1, labels.count()))
+    mixed = F.xxhash64(F.col(id_col).cast("string"))
+    order = Window.partitionBy("y").orderBy("k")
+    # Ranked without their texts, and every task hands on no more than a label's share.
+    keys = known.select(F.pmod(mixed, F.lit(1 << 30)).alias("k"), F.col(lang_col).alias("y"))
+    keys = staged(keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("k", "y").distinct(), "langid-sample")
+    start = F.pmod(mixed, F.greatest(F.length(text_col) - chars + 1, F.lit(1))).cast("int")
+    texts = known.select(F.pmod(mixed, F.lit(1 << 30)).alias("k"), F.col(lang_col).alias("y"), F.col(text_col).substr(start + 1, F.lit(chars)).alias("t"))
+    taken = texts.join(broadcast_if_small(keys), ["k", "y"]).withColumn("rank", F.row_number().over(order.orderBy("k", "t"))).where(F.col("rank") <= each)
+    return [(r.t, r.y) for r in taken.orderBy("k", "t", "y").collect()]
 
 
 class Labeller:
@@ -267,8 +269,9 @@ def identify(
     """(row, lang_pred, score) for every row, from a model of the table's own labelled rows.
 
     ``row`` is a struct of the columns ``carry`` (the id alone if None).
-    Learns from at most ``sample_rows`` texts of at most ``sample_chars``
-    characters, with a non-null label, whose id's crc32 is not divisible by 5.
+    Learns from at most ``sample_rows`` texts (four of every label at least),
+    of a longer one from a stretch of ``sample_chars`` characters, with a
+    non-null label, whose id's crc32 is not divisible by 5.
     A null text or one without a letter is ``und`` with score 0; so is every
     row if there is no label to learn from. Null and repeated ids are kept as
     they are. An empty table gives an empty result.
