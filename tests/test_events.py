@@ -18,7 +18,7 @@ from veilgrid.operators.events import (
     valid_events,
     wrap_event,
 )
-from veilgrid.sources.events import parsed_frame, read_events
+from veilgrid.sources.events import parsed_frame, read_event_stream, read_events
 from veilgrid.streaming.bus import EventConsumer, ExportTable, run_forwarder, write_and_publish
 
 DEFAULTS = ("aeronav_db", "navigation_waypoints")
@@ -169,3 +169,44 @@ def test_root_fields_stand_in_for_an_empty_detail(spark):
     df = parsed_frame(spark.createDataFrame([(json.dumps(x),) for x in lines], "value string"))
     got = {r.event_id: (r.database, r.table, r.record_count) for r in normalize_event(valid_events(df), "dd", "tt").collect()}
     assert got == {"r1": ("d1", "t1", 7), "r2": ("dd", "t2", 3), "r3": ("dd", "tt", 3)}
+
+
+SAMPLE = """{"version": "0", "id": "unique-event-id", "detail-type": "Data Table Updated", "source": "bus.writer", "account": "1",
+ "time": "2024-01-01T12:00:00Z", "region": "r-1", "resources": ["a", {"b": [1, 2.5, null, true]}],
+ "detail": {"database": "nav_db", "table": "waypoints", "operation": "INSERT", "recordCount": 3, "queryExecutionId": "query-id",
+ "timestamp": "2024-01-01T12:00:00.000Z", "sourceAccount": "1", "note": {"why": "äöü", "cols": [["x"], []]}}}""".replace("\n", "")
+
+
+def test_sample_envelope_keeps_every_field_in_batch_and_stream(spark, tmp_dir):
+    (spark.createDataFrame([(SAMPLE,)], "value string").write.text(f"{tmp_dir}/bus"))
+    wrapped = wrap_event(valid_events(read_events(spark, f"{tmp_dir}/bus")), ts_literal("2024-02-01 00:00:00"))
+    row = wrapped.select("event", F.to_json("original").alias("original")).first()
+    assert json.loads(row.original) == json.loads(SAMPLE)
+    assert str(row.event.time) == "2024-01-01 12:00:00" and row.event.detail.recordCount == 3
+    stream = valid_events(read_event_stream(spark, f"{tmp_dir}/bus")).select("event.id", "event.time", F.to_json("raw").alias("raw"))
+    stream.writeStream.format("parquet").option("path", f"{tmp_dir}/out").option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{tmp_dir}/out").first()
+    assert out.id == "unique-event-id" and json.loads(out.raw) == json.loads(SAMPLE) and str(out.time) == "2024-01-01 12:00:00"
+
+
+def test_times_counts_and_details_of_any_kind(spark):
+    base = {"id": "a", "detail-type": "t", "source": "s"}
+    times = {
+        "2024-01-01T12:00:00Z": "2024-01-01 12:00:00", "2024-01-01T12:00:00": "2024-01-01 12:00:00", "2024-01-01T12:00:00.000Z": "2024-01-01 12:00:00",
+        "2024-01-01T12:00:00.123456+02:00": "2024-01-01 10:00:00.123456", "2024-01-01T12:00:00-0530": "2024-01-01 17:30:00", "2024-01-01 12:00:00+01": "2024-01-01 11:00:00",
+        "2024-01-01": "2024-01-01 00:00:00", "2024-11-03T06:30:00Z": "2024-11-03 06:30:00", "noon": None, "2024-13-01T00:00:00Z": None, 5: None,
+    }
+    details = [({"recordCount": 5_000_000_000}, 5_000_000_000), ({"recordCount": "12"}, 12), ("text", 3), ([1], 3), ({"recordCount": "many"}, None)]
+    lines = [json.dumps(base | {"time": t}) for t in times] + [json.dumps(base | {"time": "2024-01-01T12:00:00Z", "detail": d}) for d, _ in details]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            df = parsed_frame(spark.createDataFrame([(x,) for x in lines], "value string"))
+            got = {r.value: r for r in df.select("value", "event.time", "event._invalid").collect()}
+            counts = {r.value: r.record_count for r in normalize_event(valid_events(df), *DEFAULTS).collect()}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", old)
+        assert [got[x].time and str(got[x].time) for x in lines[: len(times)]] == list(times.values())
+        assert [counts.get(x) for x in lines[len(times) :]] == [n for _, n in details]
+        assert len(counts) == 8 + 4

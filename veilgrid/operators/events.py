@@ -21,7 +21,7 @@ from veilgrid.functions.scalars import default_if_blank
 
 # The count of an event that names none, the required envelope
 # fields, the export key and timestamp format, the archive
-# status, and the notification text (ours, without a product name).
+# status, and the notification text.
 DEFAULT_RECORD_COUNT = 3
 REQUIRED_FIELDS = ("id", "detail-type", "source", "time")
 EXPORT_KEY = "{base}/exported-data/%s/%s/export_%s.csv"
@@ -114,9 +114,14 @@ def normalize_event(
 
 
 def wrap_event(df: DataFrame, now: Column) -> DataFrame:
-    """Validated flag and time added; the original event kept whole under ``original_event``."""
-    return df.withColumn("event_validated", F.lit(True)).withColumn("validated_at", now).withColumn(
-        "original_event", F.col("event")
+    """Validated flag and time added; the original kept as typed envelope (``original_event``) and whole (``original``, a VARIANT).
+
+    ``original`` holds every field of the line, named in the envelope or not.
+    A frame that never was text has no such column; its typed event is whole.
+    """
+    whole = F.col("raw") if "raw" in df.columns else F.to_variant_object(F.col("event"))
+    return df.withColumns(
+        {"event_validated": F.lit(True), "validated_at": now, "original_event": F.col("event"), "original": whole}
     )
 
 
@@ -163,19 +168,23 @@ def notifications(
 
 
 def dead_letters(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
-    """Lines that did not parse, or lack a required envelope field, with the reason."""
+    """Lines that are no JSON, have a field of the wrong kind, or lack a required envelope field, with the reason."""
     e = F.col("event")
     broken = e.isNull() | e["_corrupt_record"].isNotNull()
+    wrong = F.coalesce(e["_invalid"], F.array().cast("array<string>"))
     missing = F.filter(F.array(*[F.when(e[f].isNull(), F.lit(f)) for f in required]), lambda x: x.isNotNull())
-    reason = F.when(broken, F.lit("unparseable")).otherwise(F.concat(F.lit("missing: "), F.array_join(missing, ",")))
-    bad = broken | (F.size(missing) > 0)
-    return df.filter(bad).withColumn("reason", reason)
+    reason = (
+        F.when(broken, F.lit("unparseable"))
+        .when(F.size(wrong) > 0, F.concat(F.lit("invalid: "), F.array_join(wrong, ",")))
+        .otherwise(F.concat(F.lit("missing: "), F.array_join(missing, ",")))
+    )
+    return df.filter(broken | (F.size(wrong) > 0) | (F.size(missing) > 0)).withColumn("reason", reason)
 
 
 def valid_events(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
     """Complement of ``dead_letters``."""
     e = F.col("event")
-    ok = e.isNotNull() & e["_corrupt_record"].isNull()
+    ok = e.isNotNull() & e["_corrupt_record"].isNull() & (F.coalesce(F.size(e["_invalid"]), F.lit(0)) == 0)
     for f in required:
         ok = ok & e[f].isNotNull()
     return df.filter(ok)

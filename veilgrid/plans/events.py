@@ -26,6 +26,7 @@ from veilgrid.operators.events import (
     quality_gate,
     route_events,
     valid_events,
+    wrap_event,
 )
 from veilgrid.sources.events import PARSE_SCHEMA, envelope, parsed_frame, to_json_text
 from veilgrid.sources.sinks import export_csv
@@ -45,7 +46,7 @@ EXPORT_CUTOFF = "1998-01-01 00:00:00"
 
 def _envelope(ev: DataFrame):
     """(envelope column, record count column) of an event row."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").cast("long")
     signup = F.col("event_type") == "signup"
     db = F.when(~signup, F.element_at(F.array(*[F.lit(d) for d in DATABASES]), (F.pmod(F.col("user_id"), F.lit(3)) + 1).cast("int")))
     detail = F.struct(
@@ -180,6 +181,51 @@ def events_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dl.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def foreign_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as another producer may write it (``value``), by event_id modulo 8: times of five forms and zones,
+    a count beyond 32 bits, fields that no envelope names, times that are none, and lines cut off."""
+    ev = read_table(spark, sf_dir, "events").withColumn("form", F.pmod("event_id", F.lit(8)))
+    k, form = F.get_json_object("props", "$.k").cast("long"), F.col("form")
+    at = lambda fmt, shift="0": F.date_format(F.col("ts") + F.expr(f"INTERVAL {shift} MINUTES"), fmt)
+    time = (
+        F.when(form == 1, at("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(form == 2, at("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        .when(form == 3, at("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'", "120"))
+        .when(form == 4, at("yyyy-MM-dd' 'HH:mm:ss.SSSSSS'-0530'", "-330"))
+        .when(form == 7, F.lit("yesterday"))
+        .otherwise(at("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    )
+    columns = F.when(form == 6, F.array(F.struct(F.col("event_type").alias("name"), F.array(k, k + 1).alias("versions"))))
+    detail = F.struct(
+        F.lit("sales_db").alias("database"),
+        F.when(form == 5, k + 5_000_000_000).otherwise(k).alias("recordCount"),
+        columns.alias("columns"),
+    )
+    line = F.to_json(
+        F.struct(
+            F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("detail-type"), F.lit(SOURCE).alias("source"), time.alias("time"),
+            F.array(F.concat(F.lit("table/"), "event_type")).alias("resources"), detail.alias("detail"),
+        )
+    )
+    return ev.select(F.when((form == 0) & (k % 10 == 0), F.substring(line, 1, 30)).otherwise(line).alias("value"))
+
+
+def events_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of foreign producers, with the fields no envelope names read back from the wrapped original."""
+    feed = parsed_frame(foreign_lines(spark, sf_dir))
+    good = wrap_event(normalize_event(valid_events(feed), DEFAULT_DATABASE, DEFAULT_TABLE), ts_literal(RUN_TS))
+    inner = lambda path, kind: F.try_variant_get("original", path, kind)
+    rows = good.select(
+        "event_id", "event_time", "database", "record_count",
+        inner("$.resources[0]", "string").alias("resource"),
+        inner("$.detail.columns[0].name", "string").alias("column_name"),
+        inner("$.detail.columns[0].versions[1]", "long").alias("column_version"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    empty = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes[1:-1]]
+    return rows.unionByName(dead_letters(feed).select(F.col("event.id").alias("event_id"), *empty, "reason"))
+
+
 def orders_export_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T9 batch twin: orders not in the previous export (keys exported up to the cutoff)."""
     orders = read_table(spark, sf_dir, "orders")
@@ -251,12 +297,13 @@ QUERIES = {
     "events_archive": events_archive,
     "events_notifications": events_notifications,
     "events_dead_letters": events_dead_letters,
+    "events_envelopes": events_envelopes,
     "orders_export_increment": orders_export_increment,
 }
 
 _EV = """
 WITH ev AS (
-    SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+    SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
            CASE WHEN event_type = 'signup' THEN NULL
                 ELSE ['sales_db', 'ops_db', 'ref_db'][((user_id % 3) + 3) % 3 + 1] END AS db,
            CASE WHEN event_type = 'signup' THEN NULL ELSE event_type END AS tbl
@@ -321,6 +368,18 @@ Time: 2024-02-01T12:00:00.000000' AS message
     SELECT 'missing: id,detail-type,source,time' AS reason, count(*) AS n FROM events WHERE event_type = 'error'
     UNION ALL
     SELECT 'unparseable', count(*) FROM ev WHERE event_type = 'view' AND k < 10""",
+    "events_envelopes": """
+    WITH e AS (SELECT *, event_id % 8 AS form, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+    SELECT CAST(event_id AS VARCHAR) AS event_id,
+           CASE form WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('millisecond', ts) ELSE ts END AS event_time,
+           'sales_db' AS database, CASE form WHEN 5 THEN k + 5000000000 ELSE k END AS record_count,
+           'table/' || event_type AS resource, CASE form WHEN 6 THEN event_type END AS column_name, CASE form WHEN 6 THEN k + 1 END AS column_version,
+           NULL AS reason
+    FROM e WHERE form <> 7 AND NOT (form = 0 AND k % 10 = 0)
+    UNION ALL
+    SELECT CASE form WHEN 7 THEN CAST(event_id AS VARCHAR) END, NULL, NULL, NULL, NULL, NULL, NULL,
+           CASE form WHEN 7 THEN 'invalid: time' ELSE 'unparseable' END
+    FROM e WHERE form = 7 OR (form = 0 AND k % 10 = 0)""",
     "orders_export_increment": """
     SELECT * FROM orders o WHERE NOT EXISTS (
         SELECT 1 FROM orders e WHERE e.o_orderdate < TIMESTAMP '1998-01-01 00:00:00' AND e.o_orderkey = o.o_orderkey)""",

@@ -181,7 +181,7 @@ def oracles(calls: str) -> dict[str, str]:
             SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type, count(*) AS n
             FROM events GROUP BY user_id""",
         "events_wrapped": """
-            SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS record_count,
+            SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS record_count,
                    true AS event_validated, TIMESTAMP '2024-02-01 12:00:00' AS validated_at
             FROM events""",
         "orders_over_length": """

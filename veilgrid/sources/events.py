@@ -1,8 +1,11 @@
 """Change-event source and sink (S16, S17): JSON envelopes with a ``detail`` struct.
 
-Batch and streaming share one schema and one parser: lines are read as text
-and parsed with ``from_json``, so a broken line becomes a NULL struct that the
-dead-letter step (T13) can route aside instead of failing the job.
+Batch and streaming share one parser. A line is read as text and parsed once
+to a VARIANT, which keeps it whole: fields nobody named, details of any type,
+nested lists. The typed envelope that the operators work on is read from it. A
+line that is no JSON gets an envelope without fields whose ``_corrupt_record``
+holds its text, so the dead-letter step (T13) can route it aside instead of
+failing the job; a field of the wrong kind is named there.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ DETAIL_SCHEMA = T.StructType(
         T.StructField("database", T.StringType()),
         T.StructField("table", T.StringType()),
         T.StructField("operation", T.StringType()),
-        T.StructField("recordCount", T.IntegerType()),
+        T.StructField("recordCount", T.LongType()),
         T.StructField("queryExecutionId", T.StringType()),
         T.StructField("timestamp", T.StringType()),
         T.StructField("sourceAccount", T.StringType()),
@@ -38,9 +41,14 @@ ENVELOPE_SCHEMA = T.StructType(
 
 CORRUPT_FIELD = "_corrupt_record"
 # An event without a detail may carry these at its root.
-ROOT_FIELDS = [T.StructField("database", T.StringType()), T.StructField("table", T.StringType()), T.StructField("recordCount", T.IntegerType())]
-# Parse schema: the envelope plus the raw text of a line that did not parse.
-PARSE_SCHEMA = T.StructType(ENVELOPE_SCHEMA.fields + ROOT_FIELDS + [T.StructField(CORRUPT_FIELD, T.StringType())])
+ROOT_FIELDS = [T.StructField("database", T.StringType()), T.StructField("table", T.StringType()), T.StructField("recordCount", T.LongType())]
+INVALID_FIELD = "_invalid"
+# The parsed struct: the envelope, the text of a line that did not parse, and the names of fields whose value is of the wrong kind.
+PARSE_SCHEMA = T.StructType(
+    ENVELOPE_SCHEMA.fields + ROOT_FIELDS + [T.StructField(CORRUPT_FIELD, T.StringType()), T.StructField(INVALID_FIELD, T.ArrayType(T.StringType()))]
+)
+# A date, a time with or without a fraction, and a zone or none.
+TIME_TEXT = r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?\s*(Z|UTC|GMT|[+-][0-9]{2}(:?[0-9]{2})?)?)?\s*$"
 
 # Microsecond timestamps in the JSON text, so a round trip is exact.
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
@@ -75,28 +83,58 @@ def to_json_text(env: Column) -> Column:
     return F.to_json(env, JSON_OPTIONS)
 
 
-def parse(value: Column) -> Column:
-    """JSON line → envelope struct; a broken line keeps its text in ``_corrupt_record`` (PERMISSIVE)."""
-    opts = {
-        "timestampNTZFormat": JSON_OPTIONS["timestampNTZFormat"],
-        "mode": "PERMISSIVE",
-        "columnNameOfCorruptRecord": CORRUPT_FIELD,
-    }
-    return F.from_json(value, PARSE_SCHEMA, opts)
+def utc_time(text: Column) -> Column:
+    """A timestamp text as the time it names in UTC, whatever its zone or the session's; one without a zone is UTC."""
+    told = F.when(text.rlike(TIME_TEXT), F.btrim(text))
+    # Zones are written with a colon for the cast; a time without one gets UTC.
+    zoned = F.regexp_replace(F.regexp_replace(told, r"([+-][0-9]{2}):?([0-9]{2})$", "$1:$2"), r"(:[0-9.]+)\s*([+-][0-9]{2})$", "$1$2:00")
+    has_zone = told.rlike(r"[0-9]{2}:[0-9.]+\s*(Z|UTC|GMT|[+-][0-9]{2}(:?[0-9]{2})?)$")
+    there = F.when(has_zone, zoned).when(F.length(told) > 10, F.concat(told, F.lit("Z"))).otherwise(F.concat(told, F.lit("T00:00:00Z")))
+    # By the instant, not by the session's local time, where an hour comes twice in autumn.
+    return F.timestamp_add("MICROSECOND", F.unix_micros(there.try_cast("timestamp")), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def _path(names: list[str]) -> str:
+    return "$" + "".join(f"['{n}']" for n in names)
+
+
+def envelope_of(raw: Column, value: Column) -> Column:
+    """The typed envelope (``PARSE_SCHEMA``) of a line's VARIANT."""
+    text = lambda *names: F.try_variant_get(raw, _path(names), "string")
+
+    def typed(names: list[str], kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.struct(*[typed([*names, f.name], f.dataType).alias(f.name) for f in kind.fields])
+        if isinstance(kind, T.TimestampNTZType):
+            return utc_time(text(*names))
+        if isinstance(kind, T.LongType):
+            return F.coalesce(F.try_variant_get(raw, _path(names), "long"), text(*names).try_cast("long"))
+        return text(*names)
+
+    fields = [f for f in PARSE_SCHEMA.fields if f.name not in (CORRUPT_FIELD, INVALID_FIELD)]
+    wrong = [["time"], ["recordCount"], ["detail", "recordCount"]]
+    kind = {"time": T.TimestampNTZType(), "recordCount": T.LongType()}
+    invalid = [F.when(text(*w).isNotNull() & typed(w, kind[w[-1]]).isNull(), F.lit(".".join(w))) for w in wrong]
+    detail = typed(["detail"], DETAIL_SCHEMA)
+    return F.struct(
+        *[(F.when(F.schema_of_variant(F.variant_get(raw, "$.detail", "variant")).startswith("OBJECT"), detail) if f.name == "detail" else typed([f.name], f.dataType)).alias(f.name) for f in fields],
+        F.when(raw.isNull(), value).alias(CORRUPT_FIELD),
+        F.array_compact(F.array(*invalid)).alias(INVALID_FIELD),
+    )
 
 
 def parsed_frame(text: DataFrame, value_col: str = "value") -> DataFrame:
-    """Text lines → ``value`` + ``event`` (struct or NULL) — the shape every T-operator takes.
+    """Text lines → ``value``, ``event`` (typed envelope) and ``raw`` (VARIANT) — the shape every T-operator takes.
 
-    The parse is produced by a one-element ``explode``: predicates on the event
+    Each step comes from a one-element ``explode``: predicates on the event
     (validity, routing) cannot be pushed below a generator, so each line is
-    parsed exactly once. As a plain projection, Catalyst would inline
-    ``from_json`` into every pushed-down predicate and parse a line once per
-    field tested.
+    parsed exactly once. As a plain projection, Catalyst would inline the
+    parse into every pushed-down predicate and parse a line once per field
+    tested. A query that does not read ``raw`` does not carry it further.
     """
-    return text.select(
-        F.col(value_col).alias("value"), F.explode(F.array(parse(F.col(value_col)))).alias("event")
-    )
+    value = F.col(value_col).alias("value")
+    whole = text.select(value, F.explode(F.array(F.try_parse_json(F.col(value_col)))).alias("raw"))
+    return whole.select("value", F.explode(F.array(envelope_of(F.col("raw"), F.col("value")))).alias("event"), "raw")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -222,7 +222,7 @@ def write_and_publish(
         F.lit(database).alias("database"),
         F.lit(table).alias("table"),
         F.lit("INSERT").alias("operation"),
-        F.lit(rows).cast("int").alias("recordCount"),
+        F.lit(rows).cast("long").alias("recordCount"),
         F.lit(None).cast("string").alias("queryExecutionId"),
         F.date_format(ts_literal(now), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
         F.lit(None).cast("string").alias("sourceAccount"),
