@@ -284,3 +284,41 @@ def test_governed_append_needs_insert_and_writes_all_columns(spark, tmp_dir):
     assert [tuple(r) for r in spark.table("w_db.t").collect()] == [("x", "secret")]
     with pytest.raises(ValueError, match="other"):
         governed_append(grants, "writer", "w_db.t", spark.createDataFrame([("x", 1)], "a string, other int"))
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "WITH raw_t AS (SELECT * FROM raw_t) SELECT secret FROM raw_t",
+        "WITH `sales_db.t` AS (SELECT 1 x) SELECT secret FROM sales_db.t",
+        "SELECT secret FROM raw_t WHERE 1 IN (WITH raw_t AS (SELECT 1 x) SELECT x FROM raw_t)",
+        "SELECT * FROM (WITH raw_t AS (SELECT 1 x) SELECT x FROM raw_t) JOIN raw_t",
+        "WITH a AS (SELECT * FROM b), b AS (SELECT 1 x) SELECT * FROM a",
+        "WITH a AS (WITH raw_t AS (SELECT 1 x) SELECT x FROM raw_t) SELECT secret FROM raw_t, a",
+        "WITH RECURSIVE raw_t AS (SELECT secret FROM raw_t) SELECT * FROM raw_t",
+        "SELECT (SELECT max(secret) FROM raw_t) AS s FROM {t}",
+        "SELECT x FROM {t} UNION ALL SELECT secret FROM raw_t",
+    ],
+)
+def test_cte_names_open_no_base_table(spark, sql):
+    base = spark.createDataFrame([(1, "s3cret")], "x int, secret string")
+    base.createOrReplaceTempView("raw_t")
+    base.createOrReplaceTempView("b")
+    try:
+        gov = Governor(spark, {"sales_db.t": base}, grants_frame(spark, [("r", "sales_db", "t", ["x"], ["SELECT"])]), roles=["r"])
+        with pytest.raises(AccessDenied):
+            gov.sql("r", sql)
+    finally:
+        spark.catalog.dropTempView("raw_t")
+        spark.catalog.dropTempView("b")
+
+
+def test_cte_scopes_that_are_right(spark):
+    base = spark.createDataFrame([(1, "s"), (2, "s")], "x int, secret string")
+    gov = Governor(spark, {"sales_db.t": base}, grants_frame(spark, [("r", "sales_db", "t", ["x"], ["SELECT"])]), roles=["r"])
+    for sql in (
+        "WITH a AS (SELECT x FROM {t}), b AS (SELECT x FROM A) SELECT x FROM b WHERE x IN (SELECT x FROM a)",
+        "WITH a AS (WITH c AS (SELECT x FROM {t}) SELECT x FROM c) SELECT x FROM a",
+        "WITH a AS (SELECT x FROM {t}) SELECT x FROM (WITH a AS (SELECT x FROM a) SELECT x FROM a)",
+    ):
+        assert sorted(r.x for r in gov.sql("r", sql).collect()) == [1, 2], sql

@@ -227,3 +227,25 @@ def test_identity_and_denied_sections(spark):
     assert [tuple(x) for x in denied_section(o).collect()] == [("s3", "GetObject", "AccessDenied", "N/A")]
     tables = report_tables(o, identity=ident)
     assert set(tables) == {"summary", "service_matrix", "denied", "sections", "detail", "verdict", "identity"}
+
+
+def test_pattern_join_meets_by_prefix(spark):
+    """Thousands of patterns in one service against a plain match, and no join without the prefix."""
+    import contextlib
+    import io
+    import random
+    from fnmatch import fnmatchcase
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abc_%") for _ in range(rng.randrange(n)))
+    acts = sorted({word(7) for _ in range(300)})
+    pats = sorted({f"{word(4)}{rng.choice(['', '*', '*' + word(3), '*' + word(2) + '*'])}" for _ in range(2000)} | {"", "*"})
+    a = spark.createDataFrame([("one", x, 1) for x in acts] + [("two", "abc", 2), ("one", None, 3)], "service string, permission string, n int")
+    p = spark.createDataFrame([("one", x) for x in pats] + [("two", "a*c"), ("two", None)], "service string, pattern string")
+    joined = expand_patterns(a, p)
+    got = sorted((r.service, r.permission, r.pattern, r.n) for r in joined.collect())
+    assert got == sorted([("one", x, y, 1) for x in acts for y in pats if fnmatchcase(x, y)] + [("two", "abc", "a*c", 2)])
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        joined.explain("formatted")
+    assert "NestedLoop" not in out.getvalue() and "Cartesian" not in out.getvalue()

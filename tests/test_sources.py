@@ -201,3 +201,49 @@ def test_shared_folder_is_required_off_local_mode():
     sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d)))
+
+
+def _allowed(statements, action, resource):
+    """A request for one object, judged by fnmatch: any Deny wins."""
+    from fnmatch import fnmatchcase
+
+    hit = lambda e: any(
+        s[0] == e and any(fnmatchcase(action.lower(), a.lower()) for a in s[1]) and any(fnmatchcase(resource, r) for r in s[2]) for s in statements
+    )
+    return hit("Allow") and not hit("Deny")
+
+
+def test_bypass_follows_deny_and_wildcards(spark):
+    """Against single objects: a role is found if and only if it may read one of the location's objects."""
+    cases = {
+        "plain": [("Allow", ["s3:GetObject"], ["b-nav/*"])],
+        "get_star": [("Allow", ["s3:Get*"], ["b-nav/t*/wp/*"])],
+        "deny_all": [("Allow", ["s3:*"], ["*"]), ("Deny", ["s3:*"], ["*"])],
+        "deny_place": [("Allow", ["*"], ["*"]), ("Deny", ["S3:GETOBJECT"], ["b-nav/tables/*"])],
+        "deny_part": [("Allow", ["s3:GetObject"], ["b-nav/tables/wp/*"]), ("Deny", ["s3:GetObject"], ["b-nav/tables/wp/p1*"])],
+        "deny_what_is_allowed": [("Allow", ["s3:GetObject"], ["b-nav/tables/wp/p1*"]), ("Deny", ["s3:Get*"], ["b-nav/tables/wp/p*"])],
+        "deny_elsewhere": [("Allow", ["s3:GetObject"], ["b-nav/*"]), ("Deny", ["s3:GetObject"], ["b-other/*"])],
+        "deny_write": [("Allow", ["s3:GetObject"], ["b-nav/*"]), ("Deny", ["s3:Put*"], ["*"])],
+        "write_only": [("Allow", ["s3:PutObject"], ["*"])],
+        "narrow": [("Allow", ["s3:GetObject"], ["b-nav/tables/wp/p2.csv"])],
+        "beside": [("Allow", ["s3:GetObject"], ["b-nav/tables/wp2/*", "b-nav/tables/w"])],
+        "only_place": [("Allow", ["s3:GetObject"], ["b-nav/tables/wp"])],
+        "suffix": [("Allow", ["s3:GetObject"], ["*.csv"]), ("Deny", ["s3:GetObject"], ["*.csv"])],
+        "suffix_open": [("Allow", ["s3:GetObject"], ["*.csv"]), ("Deny", ["s3:GetObject"], ["*1.csv"])],
+    }
+    flat = flatten_policies(spark.createDataFrame(list(cases.items()), POLICY_SCHEMA))
+    visible = spark.createDataFrame([(r, "nav", "wp", False) for r in cases], "role string, database string, table string, full_table boolean")
+    locs = spark.createDataFrame([("nav", "wp", "b-nav/tables/wp")], "database string, table string, location string")
+    got = {r.role for r in bypass_findings(flat, visible, locs).collect()}
+    objects = [f"b-nav/tables/wp/{x}" for x in ("p1.csv", "p2.csv", "q", "p3", "x/y.csv")]
+    assert got == {r for r, st in cases.items() if any(_allowed(st, "s3:GetObject", o) for o in objects)}
+
+
+def test_reachable_to_the_end(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 6}") for i in range(6)] + [("r3", "x"), ("x", "y"), ("y", "x"), ("lone", "lone"), (None, "r0"), ("y", None)]
+    edges = spark.createDataFrame(ring, "src string, dst string")
+    got = {(r.src, r.dst): r.hops for r in reachable_roles(edges, max_hops=None).collect()}
+    assert got["r4", "r3"] == 5 and got["r0", "y"] == 5 and got["r4", "y"] == 7 and ("lone", "lone") not in got and ("r0", "r0") not in got
+    assert len(got) == 30 + 12 + 2
+    with pytest.raises(RuntimeError):
+        reachable_roles(edges, max_hops=None, max_rounds=3)

@@ -365,29 +365,38 @@ class Governor:
             raise self._translate(role, e) from e
 
     def _only_bound(self, role: str, query: str, views: Mapping[str, DataFrame], args: Mapping) -> None:
-        """Refuse a statement that is no query, or names a relation that is neither a placeholder nor its own CTE."""
+        """Refuse a statement that is no query, or names a relation that is neither a placeholder nor a CTE in its scope.
+
+        Scopes are Spark's: a CTE is seen by the ones after it and by its own
+        query, with their subqueries, but not by its own body and not outside
+        that query. WITH RECURSIVE, whose body does see itself, is refused. A
+        name of several parts is never a CTE. Needs the session's parser; a
+        session without one (Spark Connect) gets a refusal.
+        """
+        session = getattr(self.spark, "_jsparkSession", None)
+        if session is None:
+            raise AccessDenied(role, "SQL text without a parser to check it")
         bound = {name: f"__bound_{i}" for i, name in enumerate(views)}
         text = query.format(**bound, **dict.fromkeys(args, "NULL"))
-        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-        ctes: set[str] = set()
-        relations: list[str] = []
-        todo = [plan]
+        as_named = str if self.spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+        known = frozenset(as_named(x) for x in bound.values())
+        todo = [(session.sessionState().sqlParser().parsePlan(text), known)]
         while todo:
-            node = todo.pop()
+            node, scope = todo.pop()
             kind = node.getClass().getSimpleName()
             if kind == "UnresolvedRelation":
-                relations.append(node.tableName())
+                parts = _each(node.multipartIdentifier())
+                if len(parts) != 1 or as_named(parts[0]) not in scope:
+                    raise AccessDenied(role, ".".join(parts))
             elif kind == "UnresolvedWith":
+                if node.allowRecursion():
+                    raise AccessDenied(role, "statement WITH RECURSIVE")
                 for part in _each(node.cteRelations()):
-                    ctes.add(part.productElement(0).lower())
-                    todo.append(part.productElement(1))
+                    todo.append((part.productElement(1), scope))
+                    scope = scope | {as_named(part.productElement(0))}
             elif kind.rstrip("$") not in QUERY_NODES:
                 raise AccessDenied(role, f"statement {kind}")
-            todo += [*_each(node.children()), *_each(node.subqueries())]
-        for name in relations:
-            plain = name.replace("`", "")
-            if plain not in bound.values() and plain.lower() not in ctes:
-                raise AccessDenied(role, plain)
+            todo += [(x, scope) for x in [*_each(node.children()), *_each(node.subqueries())]]
 
     def create_role_schema(self, role: str, alias_db: str) -> list[str]:
         """Permanent views ``alias_db.table`` with only the role's columns.

@@ -160,20 +160,25 @@ def expand_patterns(
 ) -> DataFrame:
     """Pattern (theta) join: each action row × every pattern it matches (same ``on`` keys).
 
-    The pattern list is configuration; if its estimated size is small (see
-    ``values_frame``) it is broadcast. The equality keys in ``on`` are part of
-    the join condition, so Spark plans a broadcast hash join with the LIKE as a
-    residual filter. Give it distinct actions where they repeat.
+    A prefix index: a pattern is met by the literal text before its first
+    wildcard, by equality with the action's start of that length, and only then
+    the rest of the pattern is checked. So the join's keys are (``on``, prefix),
+    not ``on`` alone, and no LIKE runs over all patterns of a service. An action
+    is cut at the lengths that patterns have, of which there are no more than a
+    pattern is long. Give it distinct actions where they repeat.
     """
-    pats = patterns.withColumn("_like", wildcard_to_like(F.col(pattern_col)))
-    cond = [actions[k] == pats[k] for k in on] + [F.like(actions[action_col], pats["_like"])]
-    cond_col = cond[0]
-    for c in cond[1:]:
-        cond_col = cond_col & c
-    out = actions.join(broadcast_if_small(pats), cond_col, "inner")
-    for k in on:
-        out = out.drop(pats[k])
-    return out.drop("_like")
+    start = F.regexp_extract(F.col(pattern_col), r"^[^*]*", 0)
+    pats = patterns.withColumn("_like", wildcard_to_like(F.col(pattern_col))).withColumn("_start", start)
+    lengths = sorted(r[0] for r in pats.select(F.length("_start")).distinct().collect() if r[0] is not None)
+    own = [F.col(c).alias(f"_own_{c}") for c in on]
+    cut = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(action_col))
+    starts = actions.withColumn("_n", F.explode(cut)).withColumn("_start", F.expr(f"substring(`{action_col}`, 1, _n)")).drop("_n")
+    pats = pats.select(*own, F.col("_start").alias("_own_start"), "_like", *[c for c in patterns.columns if c not in on])
+    cond = starts["_start"] == pats["_own_start"]
+    for c in on:
+        cond = cond & (starts[c] == pats[f"_own_{c}"])
+    out = starts.join(broadcast_if_small(pats), cond).filter(F.like(starts[action_col], pats["_like"]))
+    return out.drop("_start", "_own_start", "_like", *[f"_own_{c}" for c in on])
 
 
 # ---------------------------------------------------------------- O5

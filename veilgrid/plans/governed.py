@@ -126,6 +126,9 @@ SCENARIOS = (
     ("hidden_upper_case_ops", "ops_viewer", "lineitem", "SELECT L_TAX FROM {lineitem}"),
     ("base_table_ops", "ops_viewer", "lineitem", "SELECT l_discount FROM ops_db.lineitem"),
     ("cte_sales", "sales_viewer", "orders", "WITH x AS (SELECT o_custkey FROM {orders}) SELECT DISTINCT o_custkey FROM x"),
+    ("cte_own_name_ops", "ops_viewer", "lineitem", "WITH raw_lines AS (SELECT * FROM raw_lines) SELECT l_discount FROM raw_lines"),
+    ("cte_dotted_name_ops", "ops_viewer", "lineitem", "WITH `ops_db.lineitem` AS (SELECT 1 AS x) SELECT l_discount FROM ops_db.lineitem"),
+    ("cte_inner_name_ops", "ops_viewer", "lineitem", "SELECT l_discount FROM raw_lines WHERE 1 IN (WITH raw_lines AS (SELECT 1 AS x) SELECT x FROM raw_lines)"),
 )
 
 
@@ -254,6 +257,9 @@ ORACLES = {
             ('count_orders_sales', 'sales_viewer', 'orders', false, '', 1, 1),
             ('hidden_upper_case_ops', 'ops_viewer', 'lineitem', false, 'l_tax', 1, 0),
             ('base_table_ops', 'ops_viewer', '-', false, '', 1, 0),
+            ('cte_own_name_ops', 'ops_viewer', '-', false, '', 1, 0),
+            ('cte_dotted_name_ops', 'ops_viewer', '-', false, '', 1, 0),
+            ('cte_inner_name_ops', 'ops_viewer', '-', false, '', 1, 0),
             ('cte_sales', 'sales_viewer', 'orders', false, '', 1, (SELECT COUNT(DISTINCT o_custkey) FROM orders))
         ),
         tried AS (

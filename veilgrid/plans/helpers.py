@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.functions import scalars as S
@@ -17,7 +17,8 @@ from veilgrid.sources.events import read_events
 from veilgrid.sources.permissions import load_permissions
 from veilgrid.sources.sinks import dataset_view, write_result
 from veilgrid.sources.tables import read_table
-from veilgrid.streaming.bus import scratch_root, write_and_publish
+from veilgrid.session import scratch_root
+from veilgrid.streaming.bus import write_and_publish
 
 LIMITS = {"o_orderpriority": 5, "o_orderstatus": 1}
 KEYWORDS = ("authorized", "RATE")
@@ -98,20 +99,45 @@ def policy_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reachable_roles(up.unionByName(top), 2)
 
 
-def policy_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as roles that may read their nation's bucket and see its orders in full or in part;
-    the orders of every other nation lie elsewhere."""
+def policy_reachable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G12 to the end: customers assume their nation's role, nations the next nation's in a ring, and some their region's."""
+    c, n, r = (read_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    up = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("src"), F.col("n_name").alias("dst"))
+    after = n.select(((F.col("n_nationkey") + 24) % 25).alias("n_nationkey"), F.col("n_name").alias("dst"))
+    ring = n.join(after, "n_nationkey").select(F.col("n_name").alias("src"), "dst")
+    top = n.filter("n_nationkey % 4 = 0").join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
+    return reachable_roles(up.unionByName(ring).unionByName(top), max_hops=None)
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(policies, visible, locations): customers as roles with policies of six kinds over their nation's bucket, and what they see of its orders."""
     c, n = (read_table(spark, sf_dir, t) for t in ("customer", "nation"))
     role = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("role"), "c_custkey", "n_name")
-    own = F.concat(F.lit("bucket-"), F.col("n_name"), F.lit("/*"))
-    statement = lambda effect, action, resource: F.struct(
-        F.lit(effect).alias("effect"), F.array(F.lit(action)).alias("actions"), F.array(resource).alias("resources")
-    )
-    policies = role.select("role", F.array(statement("Allow", "s3:GetObject", own), statement("Deny", "s3:*", F.lit("*"))).alias("statements"))
+    own = F.concat(F.lit("bucket-"), F.col("n_name"))
+
+    def statement(effect: str, actions: list[str], *resources) -> Column:
+        return F.struct(F.lit(effect).alias("effect"), F.array(*[F.lit(a) for a in actions]).alias("actions"), F.array(*resources).alias("resources"))
+
+    under = lambda tail: F.concat(own, F.lit(tail))
+    kinds = [
+        F.array(statement("Allow", ["s3:GetObject"], under("/*"))),
+        F.array(statement("Allow", ["s3:Get*", "s3:List*"], under("/tab*/orders/*"))),
+        F.array(statement("Allow", ["s3:*"], under("/*")), statement("Deny", ["s3:*"], F.lit("*"))),
+        F.array(statement("Allow", ["*"], F.lit("bucket-*")), statement("Deny", ["S3:getobject"], under("/tables/*"))),
+        F.array(statement("Allow", ["s3:GetObject", "s3:PutObject"], under("/tables/orders/part-*")), statement("Deny", ["s3:PutObject"], F.lit("*")), statement("Deny", ["s3:Get*"], under("/tables/orders/part-0*"))),
+        F.array(statement("Allow", ["s3:PutObject"], F.lit("*")), statement("Allow", ["s3:Get*"], F.lit("bucket-other/*"))),
+    ]
+    policies = role.select("role", F.element_at(F.array(*kinds), (F.col("c_custkey") % 6 + 1).cast("int")).alias("statements"))
     table = F.concat(F.lit("orders_"), F.col("n_name")).alias("table")
-    visible = role.select("role", F.lit("sales_db").alias("database"), table, (F.col("c_custkey") % 3 == 0).alias("full_table"))
+    visible = role.select("role", F.lit("sales_db").alias("database"), table, (F.col("c_custkey") % 5 == 0).alias("full_table"))
     bucket = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.lit("SHARED"))
     places = n.select(F.lit("sales_db").alias("database"), table, F.concat(F.lit("bucket-"), bucket, F.lit("/tables/orders")).alias("location"))
+    return policies, visible, places
+
+
+def policy_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as roles whose policies let them read, past the view, the files of orders that they see in part."""
+    policies, visible, places = _policies(spark, sf_dir)
     return bypass_findings(flatten_policies(policies), visible, places)
 
 
@@ -129,6 +155,7 @@ def permissions_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "policy_reachable": policy_reachable,
+    "policy_reachable_all": policy_reachable_all,
     "policy_bypass": policy_bypass,
     "permissions_loaded": permissions_loaded,
     "scalars_orders": scalars_orders,
@@ -150,10 +177,31 @@ def oracles(calls: str) -> dict[str, str]:
                 UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
             SELECT src, dst, 1 AS hops FROM e
             UNION ALL SELECT DISTINCT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src""",
-        "policy_bypass": """
-            SELECT c_name AS role, 'sales_db' AS database, 'orders_' || n_name AS "table", 'bucket-' || n_name || '/tables/orders' AS location,
-                   'bucket-' || n_name || '/*' AS resource
-            FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 AND c_custkey % 3 <> 0""",
+        "policy_reachable_all": """
+            WITH RECURSIVE e AS (SELECT c_name AS src, n_name AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey
+                UNION SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25
+                UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 0),
+            walk AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN e ON w.dst = e.src WHERE w.hops < 32)
+            SELECT src, dst, min(hops) AS hops FROM walk WHERE src <> dst GROUP BY ALL""",
+        # The rule: an Allow whose action and resource meet the read of some object below the location, and no Deny that holds
+        # the action and all those objects. Wildcards stand in both.
+        "policy_bypass": r"""
+            WITH role AS (SELECT c_name AS role, c_custkey, n_name, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+            kinds(kind, effect, action, resource) AS (VALUES (0, 'Allow', 's3:GetObject', '@/*'), (1, 'Allow', 's3:Get*', '@/tab*/orders/*'),
+                (1, 'Allow', 's3:List*', '@/tab*/orders/*'), (2, 'Allow', 's3:*', '@/*'), (2, 'Deny', 's3:*', '*'), (3, 'Allow', '*', 'bucket-*'),
+                (3, 'Deny', 'S3:getobject', '@/tables/*'), (4, 'Allow', 's3:GetObject', '@/tables/orders/part-*'),
+                (4, 'Allow', 's3:PutObject', '@/tables/orders/part-*'), (4, 'Deny', 's3:PutObject', '*'), (4, 'Deny', 's3:Get*', '@/tables/orders/part-0*'),
+                (5, 'Allow', 's3:PutObject', '*'), (5, 'Allow', 's3:Get*', 'bucket-other/*')),
+            st AS (SELECT role, effect, lower(action) AS action, replace(resource, '@', 'bucket-' || n_name) AS resource
+                FROM role JOIN kinds ON kind = c_custkey % 6),
+            seen AS (SELECT role, 'orders_' || n_name AS "table", 'bucket-' || CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'SHARED' END || '/tables/orders' AS location
+                FROM role WHERE c_custkey % 5 <> 0),
+            met AS (SELECT s.*, a.resource, regexp_extract(a.resource, '^[^*]*') AS head FROM seen s JOIN st a USING (role)
+                WHERE effect = 'Allow' AND 's3:getobject' GLOB action),
+            reach AS (SELECT *, CASE WHEN starts_with(head, location || '/') THEN resource ELSE location || '/' || substr(resource, length(head) + 1) END AS reach
+                FROM met WHERE starts_with(head, location || '/') OR (starts_with(location || '/', head) AND contains(resource, '*')))
+            SELECT DISTINCT role, 'sales_db' AS database, "table", location, resource FROM reach r
+            WHERE NOT EXISTS (SELECT 1 FROM st d WHERE d.role = r.role AND effect = 'Deny' AND 's3:getobject' GLOB d.action AND r.reach GLOB d.resource)""",
         "permissions_loaded": calls
         + """
             SELECT DISTINCT service, permission FROM calls WHERE service IN ('click', 'view')

@@ -40,16 +40,11 @@ from veilgrid.operators.events import (
     route_events,
     valid_events,
 )
-from veilgrid.session import checkpoint_dir
+from veilgrid.session import scratch_root
 from veilgrid.sources.events import DETAIL_SCHEMA, envelope, publish, read_event_stream
 from veilgrid.sources.sinks import export_csv
 
 
-def scratch_root(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder (never a machine-local temp dir)."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 def run_forwarder(
     spark: SparkSession, bus_in: str, bus_out: str, pattern: Mapping[str, Sequence], ckpt: str, max_files: int | None = None
 ) -> StreamingQuery:
