@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from veilgrid.functions.scalars import distinct_from
+from veilgrid.session import scratch_root
 
 # Fixed values of the audit: meta columns, the default process step, the
 # optional id columns and the action code.
@@ -206,6 +207,16 @@ def _audit_from_pair(
     )
 
 
+def audit_pairs(
+    pairs: DataFrame, cols: Sequence[str], *, table: str, carry: Sequence[str], now=None, user=None, step=None, setting=None, exclude_cols: Iterable[str] = (), snapshots: bool = True
+) -> DataFrame:
+    """Audit rows of ``pairs``, whose struct columns ``o`` and ``n`` hold the OLD and the NEW row (fields ``cols``); ``carry`` is kept."""
+    return _audit_from_pair(
+        pairs, cols, cols, table=table, step=resolve_step(step, setting), now=now, user=user, exclude_cols=exclude_cols,
+        id_cols=[c for c in ID_COLUMNS if c not in carry], carry=list(carry), snapshots=snapshots, action=ACTION_UPDATE,
+    )
+
+
 def audit_update(
     df: DataFrame,
     cond: Column,
@@ -326,16 +337,41 @@ def with_sequence_id(df: DataFrame, start: int = 1, id_col: str = "audit_log_id"
     return df.select((F.lit(start) + F.monotonically_increasing_id()).cast("bigint").alias(id_col), *df.columns)
 
 
+def with_ordered_id(df: DataFrame, order_cols: Sequence[str], start: int = 1, id_col: str = "audit_log_id") -> DataFrame:
+    """The ids ``start``, ``start`` + 1, ... without gaps, in the order of ``order_cols``.
+
+    Rows are range-partitioned and sorted, and written with their place in
+    their range below the shared folder, so that a range is settled whatever is
+    computed again. The ranges' sizes, summed up in order, are the offsets; only
+    they, one row a range, pass through one task. Rows equal in ``order_cols``
+    are numbered one way or the other.
+    """
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    path = scratch_root(spark, "ordered-ids")
+    ranged.select(*df.columns, F.shiftright(place, 33).alias("_range"), place.bitwiseAND((1 << 33) - 1).alias("_place")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("_range").agg((F.max("_place") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"))
+    # One row a range: bounded by the number of partitions.
+    numbered = rows.join(F.broadcast(offsets), "_range")
+    return numbered.select((F.lit(start) + F.col("_before") + F.col("_place")).cast("bigint").alias(id_col), *df.columns)
+
+
 def next_id(log: DataFrame, id_col: str = "audit_log_id") -> int:
     """The first id after all of the log's (1 for an empty log): a one-row aggregate."""
     return int(log.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]) + 1
 
 
-def append_audit(rows: DataFrame, path: str, id_col: str = "audit_log_id") -> None:
+def append_audit(rows: DataFrame, path: str, id_col: str = "audit_log_id", order_cols: Sequence[str] | None = None) -> None:
     """Append audit rows to the Parquet log at ``path``, created if absent.
 
-    Their ids follow the log's largest (S10); a value over its length limit
-    fails the write and leaves the log as it was (C10). One writer at a time.
+    Their ids follow the log's largest (S10): without gaps and in the order of
+    ``order_cols`` where given, else in the order of the frame's rows, with
+    gaps. A value over its length limit fails the write and leaves the log as
+    it was (C10). One writer at a time.
     """
     spark = rows.sparkSession
     try:
@@ -344,7 +380,59 @@ def append_audit(rows: DataFrame, path: str, id_col: str = "audit_log_id") -> No
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         start = 1
-    with_sequence_id(enforce_lengths(rows), start, id_col).write.mode("append").parquet(path)
+    checked = enforce_lengths(rows)
+    numbered = with_ordered_id(checked, order_cols, start, id_col) if order_cols else with_sequence_id(checked, start, id_col)
+    numbered.write.mode("append").parquet(path)
+
+
+# ---------------------------------------------------------------- J1, C4, C5, F22, F23 on rows of varying keys
+
+
+def json_cells(text: Column) -> Column:
+    """A JSON object's fields as a map from key to a struct of the value's text (strings without quotes, the rest as JSON).
+
+    A key with a JSON null has a struct of NULL, a key that is not there has none.
+    """
+    return F.transform_values(F.from_json(text, "map<string,string>"), lambda _, v: F.struct(v.alias("v")))
+
+
+def audit_json(
+    df: DataFrame,
+    old: str,
+    new: str,
+    *,
+    table: str,
+    keys: Sequence[str] = (),
+    now=None,
+    user=None,
+    step: str | Column | None = None,
+    setting: str | Column | None = None,
+    exclude_keys: Sequence[str] = (),
+) -> DataFrame:
+    """Audit rows of JSON objects ``old`` and ``new`` that need not have the same keys, nor the same ones as other rows.
+
+    The keys that both objects hold are compared as text, null-safe; a key that
+    only one holds is not audited. The two maps are aligned inside the row, so
+    there is no explode before a change is found, no join and no shuffle. A row
+    whose side is NULL or no JSON object has no audit rows.
+    """
+    both = F.map_zip_with(json_cells(F.col(old)), json_cells(F.col(new)), lambda k, a, b: F.struct(a.alias("a"), b.alias("b")))
+    cells = F.filter(
+        F.map_entries(both),
+        lambda e: e["value"]["a"].isNotNull()
+        & e["value"]["b"].isNotNull()
+        & ~e["value"]["a"]["v"].eqNullSafe(e["value"]["b"]["v"])
+        & (~e["key"].isin(*exclude_keys) if exclude_keys else F.lit(True)),
+    )
+    changed = F.array_sort(F.transform(cells, lambda e: F.struct(e["key"].alias("var_name"), e["value"]["a"]["v"].alias("original_value"), e["value"]["b"]["v"].alias("modified_value"))))
+    rows = df.select(*keys, F.col(old).alias("old_row"), F.col(new).alias("new_row"), F.explode(F.array(changed)).alias("_changed"))
+    rows = rows.filter(F.size("_changed") > 0).withColumn("changed_keys", F.col("_changed.var_name"))
+    rows = rows.select(*keys, "changed_keys", "old_row", "new_row", F.inline("_changed"))
+    return rows.select(
+        F.lit(table).alias("response_table"), F.lit(ACTION_UPDATE).alias("action_code"), resolve_step(step, setting).alias("process_step"), *keys,
+        "var_name", "original_value", "modified_value", "changed_keys", "old_row", "new_row",
+        ts_literal(now).alias("created_dt"), _user(user).alias("created_by"), F.lit(table).alias("table_name"), F.lit(None).cast("string").alias("note"),
+    )
 
 
 def latest(log: DataFrame, k: int, id_col: str = "audit_log_id") -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilgrid.functions.joins import broadcast_if_small
 from veilgrid.functions.scalars import default_if_blank
 
 # The count of an event that names none, the required envelope
@@ -59,6 +60,34 @@ def route_events(df: DataFrame, rules: Mapping[str, Mapping[str, Sequence]]) ->
     return df.withColumn("rule", F.explode(F.filter(hits, lambda x: x.isNotNull())))
 
 
+def match_rule_table(df: DataFrame, rules: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
+    """T2 with rules as a table ``(rule, field, values array<string>)``: one row per (row of ``df``, matching rule), as ``rule``.
+
+    An inverted index: a rule is filed under the values of its most telling
+    field, the one whose values the fewest rules share, and an event looks up
+    its own values there. A candidate matches when as many of the rule's fields
+    hit as it has. So a value that every rule names, like a common source, is
+    never a join key unless a rule has nothing else. ``fields`` gives the
+    event's value for each field; a NULL value, or a field that is not given,
+    hits nothing. Several rows for one field of a rule count as one list.
+    """
+    given = rules.filter(F.col("field").isNotNull()).groupBy("rule", "field").agg(F.array_distinct(F.flatten(F.collect_list("values"))).alias("values"))
+    each = given.select("rule", "field", F.explode("values").alias("value"))
+    shared = each.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    cost = each.join(shared, ["field", "value"]).groupBy("rule", "field").agg(F.max("n").alias("cost"))
+    # Fields that no event has come last: their rules match nothing either way.
+    telling = cost.groupBy("rule").agg(F.min_by("field", F.struct(~F.col("field").isin(*fields), "cost", "field")).alias("field"))
+    whole = given.groupBy("rule").agg(F.map_from_entries(F.collect_list(F.struct("field", "values"))).alias("_conds"))
+    index = each.join(telling, ["rule", "field"]).join(whole, "rule").select(F.col("field").alias("_field"), F.col("value").alias("_value"), "rule", "_conds")
+    values = F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), c.cast("string"))])
+    own = df.withColumn("_values", values).withColumn("_own", F.explode(F.map_entries("_values")))
+    own = own.filter(F.col("_own.value").isNotNull())
+    on = (own["_own"]["key"] == index["_field"]) & (own["_own"]["value"] == index["_value"])
+    met = own.join(broadcast_if_small(index), on)
+    hits = F.size(F.map_filter("_conds", lambda f, vs: F.array_contains(vs, F.element_at(F.col("_values"), f))))
+    return met.filter(hits == F.size("_conds")).select(*df.columns, "rule")
+
+
 def forward(df: DataFrame, pattern: Mapping[str, Sequence]) -> DataFrame:
     """The events a forwarding rule copies to another bus (the caller writes them out)."""
     return df.filter(match_pattern(pattern))
@@ -193,7 +222,7 @@ def valid_events(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> Da
 def export_increment(rows: DataFrame, exported_keys: DataFrame, keys: Sequence[str]) -> DataFrame:
     """T9 batch twin: rows whose key was not exported yet (left anti join on the key).
 
-    Streaming needs no join: the file source's offsets in the checkpoint hand
-    each micro-batch only the new files.
+    The stream's twin is ``streaming.bus.export_new``, whose ledger holds the
+    keys of every epoch.
     """
     return rows.join(exported_keys.select(*keys), list(keys), "left_anti")

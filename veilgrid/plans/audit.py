@@ -17,12 +17,15 @@ from veilgrid.operators.audit import (
     add_meta_columns,
     append_audit,
     assert_unique_keys,
+    audit_json,
     audit_rows,
     audit_update,
+    latest,
     update,
 )
 from veilgrid.sources.tables import read_table
-from veilgrid.streaming.bus import scratch_root
+from veilgrid.session import scratch_root
+from veilgrid.streaming.audit import AuditStream
 
 LOAD_TS = "2024-01-31 00:00:00"
 UPDATE_TS = "2024-02-01 12:00:00"
@@ -90,7 +93,65 @@ def audit_log_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("process_step", "n_rows", "n_ids", (F.col("low") > before).alias("follows"))
 
 
+ORDER = ["o_orderkey", "var_name"]
+
+
+def _ordered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_root(spark, 'audit-ordered')}/audit_log"
+    for setting in RUN_SETTINGS:
+        append_audit(_update(spark, sf_dir, setting, snapshots=False), path, order_cols=ORDER)
+    return spark.read.parquet(path)
+
+
+def audit_log_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs in one log, their ids 1, 2, ... in the order of key and column, the second run's after the first's."""
+    return _ordered_log(spark, sf_dir).select("audit_log_id", "process_step", *ORDER, "original_value", "modified_value")
+
+
+def audit_log_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: the 20 newest rows of that log, by id."""
+    return latest(_ordered_log(spark, sf_dir), 20).select("audit_log_id", "process_step", *ORDER)
+
+
+def audit_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, C4, C5, F22, F23 on JSON: events whose properties change, with keys that come, go, are null or hold objects."""
+    ev = read_table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    third = F.col("event_id") % 3
+    cells = lambda *xs: F.to_json(F.map_from_entries(F.array_compact(F.array(*xs))), {"ignoreNullFields": "false"})
+    cell = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+    old = cells(cell("k", F.col("k")), cell("kind", F.col("event_type")), F.when(third == 0, cell("gone", F.col("k"))), F.when(third == 1, cell("note", F.lit(None))))
+    new = cells(
+        cell("k", F.col("k") + F.when(F.col("event_type") == "click", 1).otherwise(0)),
+        F.when(third != 2, cell("kind", F.when(F.col("k") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")))),
+        F.when(third == 2, cell("come", F.col("k"))),
+        F.when(third == 1, cell("note", F.when(F.col("k") % 5 == 0, F.lit("set")))),
+    )
+    rows = audit_json(ev.select("event_id", old.alias("o"), new.alias("n")), "o", "n", table="events", keys=["event_id"], now=UPDATE_TS, user=USER)
+    return rows.select("event_id", "var_name", "original_value", "modified_value", F.array_join("changed_keys", ",").alias("changed_keys"), "process_step", "created_dt")
+
+
+def audit_orders_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1–C9 as a stream: the orders arrive, then their updated rows; the audit rows of the second micro-batch."""
+    root = scratch_root(spark, "audit-stream")
+    old = orders_with_meta(spark, sf_dir)
+    new = update(old.filter(_cond()), _cond(), _assignments(), now=UPDATE_TS, user=USER)
+    first = old.withColumn("seq", F.lit(0).cast("long"))
+    stream = AuditStream(
+        spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", schema=first.schema, keys=KEYS, seq="seq", table="orders", now=UPDATE_TS, user=USER, setting=STEP_SETTING
+    )
+    for rows in (first, new.withColumn("seq", F.lit(1).cast("long"))):
+        rows.write.mode("append").parquet(f"{root}/in")
+        stream.start().awaitTermination()
+    return spark.read.parquet(f"{root}/out/audit").select(
+        "response_table", "process_step", "o_orderkey", "var_name", "original_value", "modified_value", F.array_join("changed_keys", ",").alias("changed_keys")
+    )
+
+
 QUERIES = {
+    "audit_orders_streamed": audit_orders_streamed,
+    "audit_log_ordered": audit_log_ordered,
+    "audit_log_newest": audit_log_newest,
+    "audit_event_props": audit_event_props,
     "audit_orders_update": audit_orders_update,
     "audit_orders_snapshots": audit_orders_snapshots,
     "audit_orders_latest": audit_orders_latest,
@@ -165,4 +226,22 @@ ORACLES = {
     "audit_log_appended": _AUDIT_SQL
     + """SELECT step AS process_step, count(*) AS n_rows, count(*) AS n_ids, true AS follows
          FROM audit, (VALUES ('2-ARC'), ('4-LOAD')) AS runs(step) GROUP BY step""",
+    "audit_log_ordered": _AUDIT_SQL
+    + """SELECT row_number() OVER (ORDER BY step, o_orderkey, var_name) AS audit_log_id, step AS process_step, o_orderkey, var_name, original_value, modified_value
+         FROM audit, (VALUES ('2-ARC'), ('4-LOAD')) AS runs(step)""",
+    "audit_log_newest": _AUDIT_SQL
+    + """SELECT row_number() OVER (ORDER BY step, o_orderkey, var_name) AS audit_log_id, step AS process_step, o_orderkey, var_name
+         FROM audit, (VALUES ('2-ARC'), ('4-LOAD')) AS runs(step) ORDER BY audit_log_id DESC LIMIT 20""",
+    "audit_orders_streamed": _AUDIT_SQL + "SELECT response_table, process_step, o_orderkey, var_name, original_value, modified_value, changed_keys FROM audit",
+    "audit_event_props": """
+    WITH e AS (SELECT event_id, event_type, event_id % 3 AS third, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+    cells AS (
+        SELECT event_id, 'k' AS var_name, CAST(k AS VARCHAR) AS original_value, CAST(k + CASE event_type WHEN 'click' THEN 1 ELSE 0 END AS VARCHAR) AS modified_value FROM e
+        UNION ALL SELECT event_id, 'kind', event_type, CASE WHEN k % 2 = 0 THEN upper(event_type) ELSE event_type END FROM e WHERE third <> 2
+        UNION ALL SELECT event_id, 'note', NULL, CASE WHEN k % 5 = 0 THEN 'set' END FROM e WHERE third = 1
+    ),
+    changed AS (SELECT * FROM cells WHERE original_value IS DISTINCT FROM modified_value)
+    SELECT *, string_agg(var_name, ',') OVER (PARTITION BY event_id ORDER BY var_name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS changed_keys,
+           '3-Normalize' AS process_step, TIMESTAMP '2024-02-01 12:00:00' AS created_dt
+    FROM changed""",
 }

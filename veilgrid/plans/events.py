@@ -21,6 +21,7 @@ from veilgrid.operators.events import (
     dead_letters,
     dedupe_events,
     export_increment,
+    match_rule_table,
     normalize_event,
     notifications,
     quality_gate,
@@ -28,10 +29,11 @@ from veilgrid.operators.events import (
     valid_events,
     wrap_event,
 )
+from veilgrid.session import scratch_root
 from veilgrid.sources.events import PARSE_SCHEMA, envelope, parsed_frame, to_json_text
 from veilgrid.sources.sinks import export_csv
 from veilgrid.sources.tables import read_table
-from veilgrid.streaming.bus import EventConsumer, ExportTable, run_forwarder, scratch_root, with_location
+from veilgrid.streaming.bus import EventConsumer, ExportTable, export_new, run_forwarder, with_location
 
 SOURCE = "app.events"
 DATABASES = ("sales_db", "ops_db", "ref_db")
@@ -233,6 +235,33 @@ def orders_export_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_increment(orders, exported, ["o_orderkey"])
 
 
+def events_rules_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 with rules as a table: every user subscribes to purchases and clicks of its own, every type to its events of one database."""
+    ev = typed(spark, sf_dir)
+    src = read_table(spark, sf_dir, "events")
+    common = F.struct(F.lit("source").alias("field"), F.array(F.lit(SOURCE)).alias("values"))
+    field = lambda name, *values: F.struct(F.lit(name).alias("field"), F.array(*values).alias("values"))
+    own = src.select("user_id", "event_id").groupBy("user_id").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    q = lambda c: F.concat(F.lit("q-"), F.col(c).cast("string"))
+    users = own.select(F.concat(F.lit("user-"), "user_id").alias("rule"), F.inline(F.array(common, field("detail-type", F.lit("purchase"), F.lit("click")), field("query", q("first"), q("last")))))
+    kinds = src.select("event_type").distinct().select(F.concat(F.lit("type-"), "event_type").alias("rule"), F.inline(F.array(common, field("detail-type", F.col("event_type")), field("database", F.lit("ops_db")))))
+    e = F.col("event")
+    fields = {"source": e["source"], "detail-type": e["detail-type"], "database": e["detail"]["database"], "query": e["detail"]["queryExecutionId"]}
+    return match_rule_table(ev, users.unionByName(kinds), fields).select(e["id"].alias("event_id"), "rule")
+
+
+def orders_exported_in_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T9 in the stream: a table that grows between three epochs, the second of them run twice; what each of them exported."""
+    orders = read_table(spark, sf_dir, "orders")
+    ledger = f"{scratch_root(spark, 'ledger')}/sales_db.orders"
+    out = None
+    for epoch, until in ((0, "1994-01-01"), (1, "1996-01-01"), (1, "1997-01-01"), (2, "1997-01-01")):
+        rows = export_new(ExportTable(orders.filter(F.col("o_orderdate") < ts_literal(until + " 00:00:00")), ["o_orderkey"]), ledger, epoch)
+        part = rows.select(F.lit(epoch).alias("epoch"), F.lit(until).alias("until"), "o_orderkey")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def run_stream(spark: SparkSession, sf_dir: str) -> str:
     """The streaming pipeline over all events; returns the folder that holds its output.
 
@@ -298,6 +327,8 @@ QUERIES = {
     "events_notifications": events_notifications,
     "events_dead_letters": events_dead_letters,
     "events_envelopes": events_envelopes,
+    "events_rules_matched": events_rules_matched,
+    "orders_exported_in_epochs": orders_exported_in_epochs,
     "orders_export_increment": orders_export_increment,
 }
 
@@ -368,6 +399,16 @@ Time: 2024-02-01T12:00:00.000000' AS message
     SELECT 'missing: id,detail-type,source,time' AS reason, count(*) AS n FROM events WHERE event_type = 'error'
     UNION ALL
     SELECT 'unparseable', count(*) FROM ev WHERE event_type = 'view' AND k < 10""",
+    "events_rules_matched": _EV
+    + """
+    , own AS (SELECT user_id, min(event_id) AS low, max(event_id) AS high FROM events GROUP BY user_id)
+    SELECT sid AS event_id, 'user-' || o.user_id AS rule FROM nv JOIN own o ON event_id IN (o.low, o.high) WHERE event_type IN ('purchase', 'click')
+    UNION ALL
+    SELECT sid, 'type-' || event_type FROM nv WHERE db = 'ops_db'""",
+    "orders_exported_in_epochs": """
+    WITH runs(epoch, until, low, high) AS (VALUES (0, '1994-01-01', '0001-01-01', '1994-01-01'), (1, '1996-01-01', '1994-01-01', '1996-01-01'),
+        (1, '1997-01-01', '1994-01-01', '1996-01-01'), (2, '1997-01-01', '1996-01-01', '1997-01-01'))
+    SELECT epoch, until, o_orderkey FROM orders JOIN runs ON o_orderdate >= CAST(low AS TIMESTAMP) AND o_orderdate < CAST(high AS TIMESTAMP)""",
     "events_envelopes": """
     WITH e AS (SELECT *, event_id % 8 AS form, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
     SELECT CAST(event_id AS VARCHAR) AS event_id,

@@ -18,7 +18,7 @@ from veilgrid.sources.permissions import load_permissions
 from veilgrid.sources.sinks import dataset_view, write_result
 from veilgrid.sources.tables import read_table
 from veilgrid.session import scratch_root
-from veilgrid.streaming.bus import write_and_publish
+from veilgrid.streaming.bus import publish_batches, read_batches, write_and_publish, write_batch
 
 LIMITS = {"o_orderpriority": 5, "o_orderstatus": 1}
 KEYWORDS = ("authorized", "RATE")
@@ -86,6 +86,18 @@ def orders_written_and_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumns({"told": F.lit(told).cast("long"), "published": F.lit(done["published"])})
 
 
+def orders_batches_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 as an outbox: orders written in a batch per status, each step called again as after a failure; per batch its rows and what its events say."""
+    root = scratch_root(spark, "outbox")
+    orders = read_table(spark, sf_dir, "orders")
+    for status in ("F", "O", "F", "P"):
+        write_batch(orders.filter(F.col("o_orderstatus") == status), f"{root}/t", f"w-{status}")
+        publish_batches(spark, f"{root}/t", f"{root}/bus", database="sales_db", table="orders", now=RUN_TS)
+    rows = read_batches(spark, f"{root}/t").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
+    told = valid_events(read_events(spark, f"{root}/bus")).groupBy(F.col("event.id").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_events"), F.sum("event.detail.recordCount").alias("told"))
+    return rows.join(told, "batch_id", "full_outer")
+
+
 def bi_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a typed view for a BI tool."""
     return dataset_view(read_table(spark, sf_dir, "events"), {"event_id": "STRING", "event_type": "STRING", "user_id": "INTEGER", "value": "DECIMAL"})
@@ -100,10 +112,10 @@ def policy_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_reachable_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G12 to the end: customers assume their nation's role, nations the next nation's in a ring, and some their region's."""
+    """G12 to the end: customers assume their nation's role, nations another nation's in rings of five, and some their region's."""
     c, n, r = (read_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     up = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_name").alias("src"), F.col("n_name").alias("dst"))
-    after = n.select(((F.col("n_nationkey") + 24) % 25).alias("n_nationkey"), F.col("n_name").alias("dst"))
+    after = n.select(((F.col("n_nationkey") + 20) % 25).alias("n_nationkey"), F.col("n_name").alias("dst"))
     ring = n.join(after, "n_nationkey").select(F.col("n_name").alias("src"), "dst")
     top = n.filter("n_nationkey % 4 = 0").join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
     return reachable_roles(up.unionByName(ring).unionByName(top), max_hops=None)
@@ -165,6 +177,7 @@ QUERIES = {
     "events_wrapped": events_wrapped,
     "orders_over_length": orders_over_length,
     "orders_written_and_published": orders_written_and_published,
+    "orders_batches_published": orders_batches_published,
     "bi_events": bi_events,
 }
 
@@ -179,9 +192,9 @@ def oracles(calls: str) -> dict[str, str]:
             UNION ALL SELECT DISTINCT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src""",
         "policy_reachable_all": """
             WITH RECURSIVE e AS (SELECT c_name AS src, n_name AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey
-                UNION SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25
+                UNION SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 5) % 25
                 UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 0),
-            walk AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN e ON w.dst = e.src WHERE w.hops < 32)
+            walk AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN e ON w.dst = e.src WHERE w.hops < 12)
             SELECT src, dst, min(hops) AS hops FROM walk WHERE src <> dst GROUP BY ALL""",
         # The rule: an Allow whose action and resource meet the read of some object below the location, and no Deny that holds
         # the action and all those objects. Wildcards stand in both.
@@ -237,6 +250,9 @@ def oracles(calls: str) -> dict[str, str]:
         "orders_written_and_published": """
             SELECT count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, count(*) AS told, true AS published
             FROM orders WHERE o_orderstatus = 'F'""",
+        "orders_batches_published": """
+            SELECT 'w-' || o_orderstatus AS batch_id, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+                   CAST(1 AS BIGINT) AS n_events, count(*) AS told FROM orders GROUP BY o_orderstatus""",
         "bi_events": """
             SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(user_id AS INTEGER) AS user_id, value FROM events""",
     }

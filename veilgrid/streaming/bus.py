@@ -18,15 +18,17 @@ checkpoint folder, so each file of the bus is processed once (T9).
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from veilgrid.functions.joins import broadcast_if_small
 from veilgrid.operators.audit import ts_literal
 from veilgrid.operators.events import (
     EXPORT_STAMP,
@@ -41,7 +43,7 @@ from veilgrid.operators.events import (
     valid_events,
 )
 from veilgrid.session import scratch_root
-from veilgrid.sources.events import DETAIL_SCHEMA, envelope, publish, read_event_stream
+from veilgrid.sources.events import DETAIL_SCHEMA, envelope, parsed_frame, publish, read_event_stream
 from veilgrid.sources.sinks import export_csv
 
 
@@ -80,10 +82,42 @@ def with_location(df: DataFrame, base: str, tables: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(last.drop("_last")), ["database", "table"], "left")
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has finished: its success mark lies there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def export_new(table: ExportTable, ledger: str, epoch: int) -> DataFrame:
+    """T9 in the stream: the rows of ``table`` that no earlier epoch exported.
+
+    The ledger below ``ledger`` holds the keys of each epoch in a folder of its
+    own, written before the rows are. An epoch that finds its own folder done is
+    a retried one: it gets exactly those keys again, whatever the table has got
+    since. One writer at a time. Rows whose key holds a NULL have no identity
+    and go out every time.
+    """
+    spark = table.rows.sparkSession
+    own, keys = f"{ledger}/epoch={epoch}", list(table.keys)
+    if not written(spark, own):
+        new = table.rows.select(*keys).distinct()
+        schema = T.StructType([*new.schema.fields, T.StructField("epoch", T.IntegerType())])
+        try:
+            known = spark.read.schema(schema).parquet(ledger).filter(F.col("epoch") < epoch)
+            new = new.join(known, keys, "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        new.write.mode("overwrite").parquet(own)
+    return table.rows.join(spark.read.schema(table.rows.select(*keys).schema).parquet(own), keys, "left_semi")
+
+
 class EventConsumer:
     """The consumer side: dead letters, routing, de-duplication and the per-batch steps.
 
-    ``tables`` maps ``db.table`` to the rows to export when it changes. An
+    ``tables`` maps ``db.table`` to the rows to export when it changes: all of
+    them each time, or with ``only_new`` those that no earlier epoch exported
+    (see ``export_new``), in a folder of the epoch. An An
     event is processed once if its copies arrive within ``dedupe_delay`` of
     each other. The delay runs on arrival, not on the event's own time, so an
     event that comes days late is processed like any other.
@@ -105,7 +139,9 @@ class EventConsumer:
         dedupe_delay: str = "1 day",
         max_files: int | None = None,
         export_base: str | None = None,
+        only_new: bool = False,
     ):
+        self.only_new = only_new
         self.export_base = export_base or out_dir
         self.spark, self.buses, self.out, self.ckpt = spark, list(buses), out_dir, ckpt_dir
         self.rules, self.now, self.delay = dict(rules), now, dedupe_delay
@@ -119,21 +155,49 @@ class EventConsumer:
         src = frames[0]
         for f in frames[1:]:
             src = src.unionByName(f)
-        return src
+        return src.drop("raw")
 
     def start_dead_letters(self) -> StreamingQuery:
         """Bad lines of the producer bus (the first one) to their own append-only sink.
 
         Forwarded buses carry only events that already parsed and matched a rule.
         """
-        dl = dead_letters(self._source(self.buses[:1])).select("value", "reason")
-        return (
-            dl.writeStream.format("parquet")
-            .option("path", f"{self.out}/dead_letters")
-            .option("checkpointLocation", f"{self.ckpt}/dead_letters")
-            .trigger(availableNow=True)
-            .start()
-        )
+        # The day of arrival is the micro-batch's, which a retried one repeats.
+        dl = dead_letters(self._source(self.buses[:1])).select("value", "reason", F.current_date().alias("arrived"))
+
+        def keep(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").partitionBy("arrived").parquet(f"{self.out}/dead_letters/batch_id={epoch}")
+
+        return dl.writeStream.foreachBatch(keep).option("checkpointLocation", f"{self.ckpt}/dead_letters").trigger(availableNow=True).start()
+
+    def _dead_letter_days(self) -> list[tuple]:
+        """(file system, folder, day) of the dead letters."""
+        spark = self.spark
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.out}/dead_letters/batch_id=*/arrived=*")
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        return [(fs, s.getPath(), s.getPath().getName().removeprefix("arrived=")) for s in (fs.globStatus(place) or [])]
+
+    def redrive(self, bus: str, mend: Callable[[Column], Column], today: str, days: int = 14) -> DataFrame:
+        """Dead letters not older than ``days`` go back to ``bus`` where ``mend`` makes their line valid.
+
+        Returns those that stay broken. A line sent back is an event like any
+        other and is de-duplicated by its id, so doing this twice does no harm.
+        """
+        kept = self.spark.read.parquet(f"{self.out}/dead_letters").filter(F.col("arrived") > F.date_sub(F.lit(today).cast("date"), days))
+        mended = parsed_frame(kept.select("reason", "arrived", mend(F.col("value")).alias("value"))).drop("raw")
+        valid_events(mended).select("value").write.mode("append").text(bus)
+        return dead_letters(mended).select("value", "reason")
+
+    def drop_old_dead_letters(self, today: str, days: int = 14) -> int:
+        """Removes the dead letters of days that lie ``days`` or more before ``today``; returns how many days went.
+
+        A day of a micro-batch is a folder, so nothing is read or rewritten.
+        """
+        limit = (date.fromisoformat(today) - timedelta(days=days)).isoformat()
+        old = [(fs, place, day) for fs, place, day in self._dead_letter_days() if day <= limit]
+        for fs, place, _ in old:
+            fs.delete(place, True)
+        return len({day for _, _, day in old})
 
     def start(self) -> StreamingQuery:
         s = valid_events(self._source())
@@ -166,8 +230,9 @@ class EventConsumer:
                     f"{self.out}/rejected/batch_id={epoch}"
                 )
                 n = n.filter(F.col("accepted"))
-            n = with_location(n, self.export_base, list(self.tables))
-            self._export(n)
+            base = f"{self.export_base}/batch_id={epoch}" if self.only_new else self.export_base
+            n = with_location(n, base, list(self.tables))
+            self._export(n, base, epoch)
             archive(n, now).select("event_id", "database", "table", "record_count", "archive_status", "archived_at").write.mode(
                 "overwrite"
             ).parquet(f"{self.out}/archive/batch_id={epoch}")
@@ -177,15 +242,75 @@ class EventConsumer:
         finally:
             cached.unpersist()
 
-    def _export(self, n: DataFrame) -> None:
-        """The rows of every table that changed, in key order, where the notifications say.
+    def _export(self, n: DataFrame, base: str, epoch: int) -> None:
+        """The rows of every table that changed, or its new ones, in key order, where the notifications say.
 
         At most one row per configured table comes to the driver.
         """
         changed = n.filter(F.col("export_location").isNotNull()).groupBy("database", "table")
         for r in changed.agg(F.date_format(F.max("event_time"), EXPORT_STAMP).alias("stamp")).collect():
-            t = self.tables[f"{r['database']}.{r['table']}"]
-            export_csv(t.rows, self.export_base, r["database"], r["table"], r["stamp"], order_by=t.keys)
+            name = f"{r['database']}.{r['table']}"
+            t = self.tables[name]
+            rows = export_new(t, f"{self.out}/ledger/{name}", epoch) if self.only_new else t.rows
+            export_csv(rows, base, r["database"], r["table"], r["stamp"], order_by=t.keys)
+
+
+def write_batch(df: DataFrame, table_path: str, batch_id: str) -> int:
+    """T1, first step: ``df`` becomes the batch ``batch_id`` of the table; returns its rows.
+
+    The rows go to the batch's own folder, then a manifest says that they are
+    there. A call that finds the manifest has nothing to do, and one that finds
+    rows without it replaces them, so a retry after a failure at any point
+    leaves the batch once. Rows without a manifest are not part of the table
+    (``read_batches``).
+    """
+    spark = df.sparkSession
+    manifest = f"{table_path}/_manifest/batch_id={batch_id}"
+    if not written(spark, manifest):
+        obs = Observation(f"batch {batch_id}")
+        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        spark.range(1).select(F.lit(int(obs.get["rows"])).cast("long").alias("rows")).write.mode("overwrite").parquet(manifest)
+    return int(spark.read.parquet(manifest).first().rows)
+
+
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    """(rows, batch_id) of the manifests or marks below ``path``."""
+    try:
+        return spark.read.schema("rows long, batch_id string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "rows long, batch_id string")
+
+
+def read_batches(spark: SparkSession, table_path: str) -> DataFrame:
+    """The rows of all batches that have a manifest, with their ``batch_id``; others are pruned as partitions."""
+    rows = spark.read.option("basePath", table_path).parquet(table_path).withColumn("batch_id", F.col("batch_id").cast("string"))
+    return rows.join(broadcast_if_small(_batches(spark, f"{table_path}/_manifest").select("batch_id")), "batch_id", "left_semi")
+
+
+def publish_batches(
+    spark: SparkSession, table_path: str, bus_path: str, *, database: str, table: str, now: str, source: str = "app.writer", detail_type: str = "Data Table Updated"
+) -> int:
+    """T1, second step: one change event for every batch that has a manifest and no mark; returns their number.
+
+    An event's id is its batch's, so a batch that is published and loses its
+    mark to a failure is published again as the same event, which consumers
+    take once (T4). No event is lost and none tells of rows that are not there.
+    """
+    pending = _batches(spark, f"{table_path}/_manifest").join(_batches(spark, f"{table_path}/_published").select("batch_id"), "batch_id", "left_anti")
+    pending = spark.createDataFrame(pending.collect(), "batch_id string, rows long")  # one row a batch that waits
+    detail = F.struct(
+        F.lit(database).alias("database"), F.lit(table).alias("table"), F.lit("INSERT").alias("operation"), F.col("rows").alias("recordCount"),
+        F.col("batch_id").alias("queryExecutionId"), F.date_format(ts_literal(now), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.lit(None).cast("string").alias("sourceAccount"),
+    ).cast(DETAIL_SCHEMA)
+    event = envelope(id=F.col("batch_id"), detail_type=F.lit(detail_type), source=F.lit(source), time=ts_literal(now), detail=detail)
+    n = pending.count()
+    if n:
+        publish(pending.select(event.alias("event")), bus_path)
+        # As rows of one file, so all of these batches are marked or none.
+        pending.select("rows", "batch_id").coalesce(1).write.mode("append").parquet(f"{table_path}/_published")
+    return n
 
 
 def write_and_publish(
