@@ -4,6 +4,9 @@ import base64
 import hashlib
 import random
 import re
+import string
+
+import pytest
 
 from veilgrid.llm import secret_scan as S
 
@@ -117,3 +120,61 @@ def test_values_behind_unknown_keys_are_found_and_redacted(spark):
     assert sum((15, 15 + 48) in got[i] for i in range(80)) >= 72
     out = {r.doc_id: r.text for r in S.redact(docs).collect()}
     assert sum(k in out[i] or k[::-1] in out[i] for i, k in enumerate(keys)) <= 12
+
+
+NOUNS = (
+    "user account manager get set list update delete create order item price total count index value key name type state event table column row file path read write "
+    "open close start stop time date hour minute second day week month year the and that have for not with you this but his from they say her she will one all would "
+    "there their what out about who which when make can like just him know take people into good some could them see other than then now look only come its over"
+).split()
+
+
+def identifiers(rng, n):
+    """Names as programs have them: joined words with a few digits, which no test of the string alone tells from a key."""
+    out = set()
+    while len(out) < n:
+        ws = [rng.choice(NOUNS) for _ in range(rng.randrange(3, 7))]
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(4))
+        t = rng.choice(["".join(w.capitalize() for w in ws) + f"{rng.randrange(100)}{rng.choice('abxyz')}", "/".join([*ws, hexes]), "_".join(ws) + f"_v{rng.randrange(1000)}"])
+        if len(t) >= 20:
+            out.add(t)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n_keys,length", [(200, 32), (200, 24), (200, 20)])
+def test_precision_and_recall_beside_identifiers(spark, n_keys, length):
+    rng = random.Random(n_keys + length)
+    names = identifiers(rng, 5000)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(length)) for _ in range(n_keys)]
+    prose = lambda: " ".join(rng.choice(NOUNS) for _ in range(12))
+    rows = [(i, f"{prose()} {t} {prose()}") for i, t in enumerate([*keys, *names])]
+    out = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = [r.id for r in out if r.spans]
+    right = sum(i < n_keys for i in hit)
+    assert right >= 0.9 * n_keys and right >= 0.9 * len(hit), (right, len(hit))
+
+
+def test_few_keys_beside_identifiers():
+    """20 keys among 5,000 names: chance moves a single corpus, so means over ten of them."""
+    precision, recall = [], []
+    for seed in range(10):
+        rng = random.Random(seed)
+        words = S.WordPairs(S.pair_counts([" ".join(rng.choice(NOUNS) for _ in range(60_000))]))
+        keys = {"".join(rng.choice(string.ascii_letters + string.digits) for _ in range(32)) for _ in range(20)}
+        found = [(t in keys, c) for t in [*keys, *identifiers(rng, 5000)] for c in S.candidates(t, words)]
+        bins = {}
+        for _, c in found:
+            at = bins.setdefault(c[2], {})
+            at[int(c[3] * S.BINS)] = at.get(int(c[3] * S.BINS), 0) + 1
+        least = S.thresholds(bins, 0.05)
+        hit = [key for key, c in found if c[3] >= least[c[2]]]
+        precision.append(sum(hit) / max(1, len(hit)))
+        recall.append(sum(hit) / 20)
+    assert sum(precision) / 10 >= 0.9 and sum(recall) / 10 >= 0.8, (precision, recall)
+
+
+def test_identifiers_alone_are_left(spark):
+    rng = random.Random(8)
+    rows = [(i, f"see {t} and {' '.join(rng.choice(NOUNS) for _ in range(9))}") for i, t in enumerate(identifiers(rng, 3000))]
+    out = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(bool(r.spans) for r in out) <= 30

@@ -4,16 +4,18 @@ Besides the fixed patterns, every run of 20 or more code characters that is no
 plain word or number is a candidate. Its encoding is inferred from the
 character classes it uses; a run that fits none, such as key=value, is split at
 "=" and then at the signs foreign to the encoding that fits best, and its parts
-of 20 or more characters are candidates. Three tests ask whether it could be a
+of 20 or more characters are candidates. Four tests ask whether it could be a
 uniform random string of that encoding: chi-squared of the alphabet's counts,
-the number of runs above and below the alphabet's middle, and the serial
-correlation of neighbours. Fisher's method combines them to one p-value, low
-for anything that is not random.
+the number of runs above and below the alphabet's middle, the serial
+correlation of neighbours, and how much its letter pairs are those of the
+corpus's own words (an identifier is made of words; a key is not). Fisher's
+method combines them to one p-value, low for anything that is not random.
+The pairs are counted over the words of all texts, in a pass of its own.
 
 False discoveries are controlled within each stratum (encoding and length
 band) over the whole corpus: random strings have uniform p-values, others
-pile up near zero, so the p-values above 1/2 tell how many random strings
-there are (Storey's estimate), and the threshold is the lowest at which the
+pile up near zero, so the larger p-values tell how many random strings there
+are (Storey's estimate), and the threshold is the lowest at which the
 share of others among the accepted stays within ``fdr``. Short strings, on
 which the tests have little power, are thereby judged by their own stratum. A
 string counts once however often it is copied, and a stratum of few strings
@@ -28,7 +30,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -63,6 +64,10 @@ SETS = tuple((name, frozenset(chars), {c: i for i, c in enumerate(chars)}) for n
 FOREIGN = ("-_", "+/")
 BANDS = (20, 24, 32, 48, 64, 128)
 BINS = 200
+# A word of the corpus: it stands alone and has no capital inside.
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z][a-z]{1,18}(?![A-Za-z0-9+/_=-])")
+LETTERS = 26
+SURE = 0.2  # p-values above are hardly ever of words
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -90,12 +95,51 @@ def infer(token: str) -> tuple[str, dict[str, int]] | None:
     return next(((name, index) for name, chars, index in SETS if used <= chars), None)
 
 
+def letter_codes(text: bytes) -> np.ndarray:
+    """0 to 25 for letters of either case, 26 for all else."""
+    x = (np.frombuffer(text, np.uint8) | 0x20) - ord("a")
+    return np.minimum(x, LETTERS).astype(np.int64)
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """How often each letter follows each other in the words of the texts, 26 x 26."""
+    joined = " ".join(" ".join(WORD.findall(t)) for t in texts).encode()
+    x = letter_codes(joined)
+    full = np.bincount(x[:-1] * (LETTERS + 1) + x[1:], minlength=(LETTERS + 1) ** 2) if len(x) else np.zeros((LETTERS + 1) ** 2, np.int64)
+    return full.reshape(LETTERS + 1, LETTERS + 1)[:LETTERS, :LETTERS]
+
+
+class WordPairs:
+    """The log odds of a letter pair in the corpus's words against any pair, and what sums of them random strings have.
+
+    ``prior`` pairs of each kind are added, so a corpus of few words says little.
+    """
+
+    def __init__(self, counts: np.ndarray, prior: float = 2.0):
+        seen = counts + prior
+        self.odds = np.zeros((LETTERS + 1, LETTERS + 1))
+        self.odds[:LETTERS, :LETTERS] = np.log(LETTERS * seen / seen.sum(1, keepdims=True))
+        self.random = {}
+        for name, chars in ALPHABETS:
+            x = letter_codes(chars.encode())
+            f = self.odds[x][:, x]
+            mean = f.mean()
+            self.random[name] = mean, f.var(), float((f.mean(0) * f.mean(1)).mean() - mean**2)
+
+    def p(self, token: str, name: str) -> float:
+        """The chance that a random string of the encoding is as like to words as the token."""
+        x = letter_codes(token.encode())
+        n, (mean, var, cov) = len(x) - 1, self.random[name]
+        spread = n * var + 2 * (n - 1) * cov
+        return 0.5 if spread < 1e-9 else p_upper((float(self.odds[x[:-1], x[1:]].sum()) - n * mean) / math.sqrt(spread))
+
+
 def p_upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def randomness(token: str, index: dict[str, int]) -> float:
-    """Fisher's p-value of the three tests that the token is uniform over its alphabet."""
+def randomness(token: str, index: dict[str, int], *more: float) -> float:
+    """Fisher's p-value of the three tests of the token itself, and of the p-values ``more``, that it is uniform over its alphabet."""
     n, size = len(token), len(index)
     x = np.fromiter((index[c] for c in token), np.float64, n)
     counts = np.fromiter(Counter(token).values(), np.float64)
@@ -111,8 +155,9 @@ def randomness(token: str, index: dict[str, int]) -> float:
     d = x - x.mean()
     ss = float((d * d).sum())
     p3 = 2 * p_upper(abs(float((d[1:] * d[:-1]).sum()) / ss * math.sqrt(n) + 1 / math.sqrt(n))) if ss > 0 else 0.0
-    half = -math.log(max(p1, 1e-300)) - math.log(max(p2, 1e-300)) - math.log(max(p3, 1e-300))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    tests = (p1, p2, p3, *more)
+    half = -sum(math.log(max(p, 1e-300)) for p in tests)
+    return math.exp(-half) * sum(half**k / math.factorial(k) for k in range(len(tests)))
 
 
 def split_at(signs: str, token: str, start: int) -> list[tuple[int, str]]:
@@ -135,9 +180,9 @@ def parts(token: str, start: int) -> list[tuple[int, str]]:
     return [(at, part) for at, part in out if len(part) >= BANDS[0]]
 
 
-def candidates(text: str) -> list[tuple[int, int, str, float, str]]:
+def candidates(text: str, words: WordPairs | None = None) -> list[tuple[int, int, str, float, str]]:
     """(start, end, stratum, p, digest) of every run of code characters, or part of one, that is no plain word or number."""
-    out = []
+    out, words = [], words or WordPairs(np.zeros((LETTERS, LETTERS)))
     for m in CANDIDATE.finditer(text):
         token = m[0].rstrip("=")
         if len(token) < BANDS[0] or plain(token):
@@ -148,22 +193,38 @@ def candidates(text: str) -> list[tuple[int, int, str, float, str]]:
                 continue
             name, index = whole or infer(part)
             band = max(b for b in BANDS if b <= len(part))
-            out.append((at, at + len(part), f"{name}:{band}", randomness(part, index), xxhash.xxh64_hexdigest(part)))
+            out.append((at, at + len(part), f"{name}:{band}", randomness(part, index, words.p(part, name)), xxhash.xxh64_hexdigest(part)))
     return out
 
 
+def random_strings(n: np.ndarray, least: float = SURE) -> float:
+    """How many of the strings are random, from their p-values' histogram.
+
+    Above the least of a few cuts beyond which the lower half holds no more
+    than the upper half, chance aside, p-values are taken to be of random
+    strings alone; those below the cut are as many for their share. The
+    more p-values that serve, the surer the estimate where keys are few.
+    """
+    for cut in (least, 0.3, 0.4):
+        i = int(cut * BINS)
+        mid = (i + BINS) // 2
+        low, all_ = n[i:mid].sum(), n[i:].sum()
+        if 2 * low - all_ <= 1.64 * math.sqrt(all_):
+            return float(all_ / (1 - cut))
+    return float(2 * n[BINS // 2 :].sum())
+
+
 def thresholds(histogram: dict[str, dict[int, int]], fdr: float, floor: float = 0.01) -> dict[str, float]:
     """Per stratum, the least p-value accepted as random; above 1 if none is.
 
-    A stratum's share of random strings is twice its share of p-values above
-    1/2, shrunk towards the share in all strata by as many strings' worth as
+    A stratum's share of random strings (``random_strings``) is shrunk towards the share in all strata by as many strings' worth as
     the strata agree beyond chance (1 to 100).
     """
     counts = {k: np.array([bins.get(i, 0) for i in range(BINS + 1)], dtype=float) for k, bins in histogram.items()}
     if not counts:
         return {}
     size = np.array([n.sum() for n in counts.values()])
-    own = np.array([2 * n[BINS // 2 :].sum() for n in counts.values()])
+    own = np.array([random_strings(n) for n in counts.values()])
     mean = min(1.0, own.sum() / size.sum())
     chance = mean * (2 - mean) / size
     spread = float((size * ((own / size - mean) ** 2 - chance)).sum() / size.sum())
@@ -174,7 +235,9 @@ def thresholds(histogram: dict[str, dict[int, int]], fdr: float, floor: float =
         out[stratum] = 2.0
         for i in range(max(1, int(floor * BINS)), BINS // 2 + 1):
             got = n[i:].sum()
-            if got and 1 - random * (1 - i / BINS) / got <= fdr:
+            want = random * (1 - i / BINS)
+            # What exceeds the random strings expected there, chance aside, is taken for others.
+            if got and got - want - math.sqrt(random * max(0.0, SURE - i / BINS)) <= fdr * got:
                 out[stratum] = i / BINS
                 break
     return out
@@ -185,17 +248,6 @@ def join_spans(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
-def all_spans(text: str, least: dict[str, float]) -> list[tuple[str, int, int]]:
-    """The fixed patterns' spans and the accepted candidates that overlap none of them."""
-    base = base_spans(text)
-    return base + accepted(base, candidates(text), least)
-
-
-def accepted(base: list, found: list, least: dict[str, float]) -> list[tuple[str, int, int]]:
-    free = lambda s, e: all(e <= b or f <= s for _, b, f in base)
-    return [("random", s, e) for s, e, stratum, p, _ in found if p >= least.get(stratum, 2.0) and free(s, e)]
-
-
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 FOUND = "array<struct<start:int,end:int,stratum:string,p:double,digest:string>>"
 
@@ -205,28 +257,50 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
 
     Null and empty texts have no span. Rows with null or repeated ids are kept
     as they are. An empty table gives an empty result. Other columns are not
-    read. One pass reads the texts; thresholds come from all candidates.
+    read. One pass counts the letter pairs of words, one finds the candidates;
+    thresholds come from all candidates.
     """
-    return judged(found_in(docs, id_col, text_col), fdr)
+    return judged(found_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"]), fdr)
+
+
+def word_pairs(docs: DataFrame, text_col: str) -> WordPairs:
+    """The letter pairs of all words of all texts; a task hands on one table of 676 numbers, and they are summed by a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((LETTERS, LETTERS), np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                total += pair_counts([t for t in b.column(0).slice(at, 256).to_pylist() if t])
+        hit = np.nonzero(total.ravel())[0]
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total.ravel()[hit])], ["pair", "n"])
 
+    counts = np.zeros(LETTERS * LETTERS)
+    for r in docs.select(F.col(text_col).alias("t")).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r.pair] = r.n
+    return WordPairs(counts.reshape(LETTERS, LETTERS))
 
-def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, base, found), written in the shared folder: the fixed patterns' spans and the candidates."""
+
+def found_in(rows: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` in a struct ``row``, ``base`` and ``found``, written in the shared folder: the fixed patterns' spans and the candidates."""
+    words = word_pairs(rows, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.string()), ("p", pa.float64()), ("digest", pa.string())]))
         for b in batches:
-            a, c = [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                a.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in base_spans(text)])
-                c.append([dict(zip(("start", "end", "stratum", "p", "digest"), x, strict=True)) for x in candidates(text)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a, span), pa.array(c, found)], ["id", "base", "found"])
+            for at in range(0, b.num_rows, 1024):
+                part, a, c = b.column(0).slice(at, 1024), [], []
+                for t in part.field(cols.index(text_col)):
+                    text = t.as_py() or ""
+                    a.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in base_spans(text)])
+                    c.append([dict(zip(("start", "end", "stratum", "p", "digest"), x, strict=True)) for x in candidates(text, words)])
+                row = pa.StructArray.from_arrays([part.field(cols.index(x)) for x in carry], carry)
+                yield pa.RecordBatch.from_arrays([row, pa.array(a, span), pa.array(c, found)], ["row", "base", "found"])
 
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, base {SPAN}, found {FOUND}")
-    return staged(rows, "secrets")
+    cols = list(dict.fromkeys([*carry, text_col]))
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+    kind = rows.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")).dtypes[0][1]
+    return staged(packed.mapInArrow(run, f"row {kind}, base {SPAN}, found {FOUND}"), "secrets")
 
 
 def learned(found: DataFrame, fdr: float) -> dict[str, float]:
@@ -241,6 +315,7 @@ def learned(found: DataFrame, fdr: float) -> dict[str, float]:
 
 
 def judged(found: DataFrame, fdr: float) -> DataFrame:
+    """The carried columns, with ``spans`` (the fixed patterns' and the accepted candidates that overlap none of them) and ``base_spans``."""
     least = learned(found, fdr)
     accept = F.filter(
         "found",
@@ -248,7 +323,7 @@ def judged(found: DataFrame, fdr: float) -> DataFrame:
         & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
     )
     extra = F.transform(accept, lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return found.select("id", F.concat("base", extra).alias("spans"), F.col("base").alias("base_spans"))
+    return found.select("row.*", F.concat("base", extra).alias("spans"), F.col("base").alias("base_spans"))
 
 
 def _literal_map(least: dict[str, float]):
@@ -279,23 +354,29 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     A null text stays null. An ``n_chars`` column follows the text.
     """
-    least = learned(found_in(docs, id_col, text_col), fdr)
-
-    def run(texts: pd.Series) -> pd.Series:
-        def clean(text):
-            if text is None:
-                return None
-            at, out = 0, []
-            for _, s, e in sorted(all_spans(text, least), key=lambda x: x[1:]):
-                if e > at:
-                    out += [text[at:s], mark] if s >= at else []
-                    at = e
-            return "".join([*out, text[at:]])
-
-        return pd.Series([clean(t) for t in texts], dtype=object)
-
-    hide = F.pandas_udf(run, "string")
-    out = docs.withColumn(text_col, hide(F.col(text_col)))
+    # Found once: the rows are written beside what was found in them, and cut from there.
+    renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index(text_col)}"
+    rows = judged(found_in(renamed, text, renamed.columns), fdr)
+
+    def clean(text: str | None, spans: list[dict]) -> str | None:
+        if text is None or not spans:
+            return text
+        at, out = 0, []
+        for s, e in sorted((x["start"], x["end"]) for x in spans):
+            if e > at:
+                out += [text[at:s], mark] if s >= at else []
+                at = e
+        return "".join([*out, text[at:]])
+
+    names, schema = renamed.columns, renamed.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([clean(t.as_py(), x.as_py()) for t, x in zip(b.column(text), b.column("spans"), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == text else b.column(c) for c in names], names)
+
+    out = rows.select(*names, "spans").mapInArrow(run, schema).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(dict(docs.dtypes)["n_chars"])))
     return out
