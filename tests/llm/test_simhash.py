@@ -83,6 +83,47 @@ def test_shards_and_chunks_on_spark_equal_brute_force(spark):
     assert [one[i][1] for i in range(400)] == brute(list(range(400)), fps, 4)
 
 
+@pytest.mark.parametrize("cuts", [1, 3])
+def test_chunks_and_pieces_lose_no_pair(cuts):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base[:200] ^ np.uint64(5), base[:50] ^ np.uint64(7 << 40)]))
+    want = {(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
+    tree = S.build_tree(fps[::5], 3)
+    tasks: dict = {}
+    for part in np.array_split(fps, 4):  # four tasks deal, each its part
+        for rows in S.deal_shards(tree, part, 4, {leaf: (cuts, 2 * cuts) for leaf in range(8)}):
+            for leaf, chunk, piece, home, guest in rows:
+                got = tasks.setdefault((leaf, chunk, piece), ([], []))
+                got[0].append(home)
+                got[1].append(guest)
+    assert len(tasks) == 8 * cuts * 2 * cuts
+    seen = set()
+    for home, guest in tasks.values():
+        home, guest = (np.frombuffer(b"".join(x), np.uint64) for x in (home, guest))
+        vals = np.unique(np.concatenate([home, guest]))
+        for i, j in S.close_pairs(vals, np.arange(len(vals)), np.searchsorted(vals, np.unique(home)), 4):
+            a, b = np.searchsorted(fps, vals[i]), np.searchsorted(fps, vals[j])
+            seen |= {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x != y}
+    assert seen == want
+
+
+def test_guests_in_pieces_on_spark_equal_brute_force(spark):
+    rows = [(i, f"common text number {i % 40} with words " + "z " * (i % 3) + f"{i % 7}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.id: r.component_id for r in S.components(docs, shard_rows=4, sample_rows=16, guest_rows=8).collect()}
+    assert [one[i] for i in range(400)] == brute(list(range(400)), [plain_fingerprint(t) for _, t in rows], 4)
+
+
+def test_rows_that_share_an_id_with_other_texts_stay(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black pink")
+    rows = [(5, a, "x", 1), (5, b, "y", 2), (5, b, "y", 2), (5, b, "z", 3), (6, a, "w", 4), (7, c, "v", 5), (7, None, "u", 6), (8, "", "t", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, nth long")
+    kept = S.keep_one(docs).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(5, a), (5, b), (7, c), (7, "")])
+    assert {tuple(r) for r in S.keep_one(docs.repartition(3)).collect()} == {tuple(r) for r in kept}
+
+
 def test_nulls_repeats_and_extra_columns(spark):
     rows = [(1, None, "a"), (2, "", "b"), (None, "", "c"), (3, "some words in a text here", "d"), (3, "some words in a text here", "d"), (None, "lonely words " * 9, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")

@@ -15,7 +15,12 @@
 Cost: 64-bit fingerprints of unrelated texts lie 32 +- 4 bits apart, so a
 radius of 4 leaves a large part of every boundary open: one level halves a
 shard and lets about 1.7 times as many visitors through. Comparisons grow
-about as n^1.75; they are 8-byte XORs in numpy.
+about as n^1.75; they are 8-byte XORs in numpy. Only the upper tree is paid
+for in shuffled bytes, so beyond ``SHARDS`` shards these grow (up to
+``MOST_HOME`` rows) before they get more; the recursion inside goes on from
+there without a shuffle. At 10^9 classes that is 4,096 shards, 8 bytes x 10^9 x
+1.7^12, about 5 TB shuffled. Visitors are counted per shard first and
+dealt in pieces of about ``MOST_GUESTS``, so no task's input grows with the table.
 """
 
 from __future__ import annotations
@@ -26,12 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrid.llm.common import connected_components, staged
 
 PAIR_BLOCK = 1 << 20
+SHARDS = 1024
+MOST_HOME = 1 << 18
+MOST_GUESTS = 1 << 20
+MOST_SAMPLE = 1 << 20
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
@@ -57,15 +66,16 @@ def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint's bits as a signed long."""
+    """(id, digest, fp): fp is the fingerprint's bits as a signed long, digest the text's xxhash64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words_per_shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words_per_shingle) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["id", "digest", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return text.mapInArrow(run, f"id {kind}, digest long, fp long")
 
 
 def build_tree(sample: np.ndarray, depth: int, pool: int = 16) -> tuple:
@@ -174,46 +184,80 @@ def shard_links(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.nd
     return vals[moved], vals[r[moved]]
 
 
-def components(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words_per_shingle: int = 4,
-    max_bits: int = 4,
-    shard_rows: int = 4096,
-    sample_rows: int = 8192,
-) -> DataFrame:
-    """(id, fp, component_id) for every row of ``docs``.
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The fingerprints of several batches at once, so that a shard gets few and long parts."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b.column(0).to_numpy().view(np.uint64))
+        n += b.num_rows
+        if n >= rows:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
 
-    Texts whose fingerprints differ in at most ``max_bits`` bits are linked;
-    component_id is the smallest id reachable. Null and word-less texts have
-    fingerprint zero and link like any other. A null id never becomes a
-    component's id unless the component has no other; repeated rows are kept.
-    An empty table gives an empty result; columns other than the two named are
-    not read. ``sample_rows`` bounds the sample that shapes the tree; it bears
-    on speed alone.
+
+def pieces(fps: np.ndarray, n: int) -> list[np.ndarray]:
+    """``fps`` cut into n pieces by their own value."""
+    if n == 1:
+        return [fps]
+    at = (fps * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(n)
+    order = np.argsort(at, kind="stable")
+    return np.split(fps[order], np.searchsorted(at[order], np.arange(1, n, dtype=np.uint64)))
+
+
+def deal_shards(tree: tuple, fps: np.ndarray, radius: int, cuts: dict[int, tuple[int, int]]) -> Iterator[list[tuple]]:
+    """Per shard its rows (leaf, chunk, piece, home, guests); ``cuts`` has a shard's numbers of chunks and of pieces.
+
+    Home rows are cut into chunks, visitors into pieces, and every chunk meets
+    every piece. A chunk's rows also visit the chunks before it.
     """
-    spark = docs.sparkSession
+    for leaf, home, guest in route(tree, fps, radius):
+        if leaf not in cuts:
+            continue
+        n, m = cuts[leaf]
+        own = (home * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)
+        rows = []
+        for c in range(n):
+            mine, visits = home[own == c], pieces(np.concatenate([guest, home[own > c]]), m)
+            rows += [(leaf, c, p, mine.tobytes(), x.tobytes()) for p, x in enumerate(visits) if len(mine) or len(x)]
+        if rows:
+            yield rows
+
+
+def labelled(
+    docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, max_bits: int, shard_rows: int, sample_rows: int, guest_rows: int
+) -> DataFrame:
+    """(id, digest, fp, component, component_id): component is the component's own key, a fingerprint."""
     fps = staged(fingerprints(docs, id_col, text_col, words_per_shingle), "simhash")
     classes = staged(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
     total = classes.count()
-    picked = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
+    home_rows = max(shard_rows, min(total // SHARDS, MOST_HOME))
+    depth = max(0, math.ceil(math.log2(max(1, total) / home_rows)))
+    rows = min(max(sample_rows, 16 << depth), MOST_SAMPLE)
+    picked = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(rows).collect()
     sample = np.array([r.fp for r in picked], dtype=np.int64).view(np.uint64)
-    tree = build_tree(sample, max(0, math.ceil(math.log2(max(1, total) / shard_rows))))
-    # A leaf that the sample shows to hold too many is cut into chunks; its members visit the chunks before their own.
-    chunks = [max(1, math.ceil(x[0] / max(1, len(sample)) * total / (4 * shard_rows))) for x in leaves(tree)]
+    tree = build_tree(sample, depth)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches):
+            cols = list(zip(*((leaf, len(home), len(guest)) for leaf, home, guest in route(tree, part, max_bits)), strict=True))
+            kinds = [pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["leaf", "homes", "guests"])
+
+    # One row a shard comes to the driver. A shard that no row calls home has no pair to look for.
+    load = classes.select("fp").mapInArrow(count, "leaf int, homes long, guests long").groupBy("leaf").agg(F.sum("homes").alias("homes"), F.sum("guests").alias("guests"))
+    cuts = {}
+    for r in load.where("homes > 0").collect():
+        chunks = math.ceil(r.homes / (4 * home_rows))
+        cuts[r.leaf] = (chunks, max(1, math.ceil((r.guests + (r.homes if chunks > 1 else 0)) / guest_rows)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for leaf, home, guest in route(tree, b.column(0).to_numpy().view(np.uint64), max_bits):
-                n = chunks[leaf]
-                own = (home * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(n)
-                for c in range(n):
-                    rows.append((leaf, c, home[own == c].tobytes(), np.concatenate([guest, home[own > c]]).tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["leaf", "chunk", "home", "guest"])
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        for part in gathered(batches):
+            for rows in deal_shards(tree, part, max_bits, cuts):
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["leaf", "chunk", "piece", "home", "guest"])
 
     def link(pdf):
         import pandas as pd
@@ -222,15 +266,38 @@ def components(
         a, b = shard_links(home, guest, max_bits)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = classes.select("fp").mapInArrow(deal, "leaf int, chunk int, home binary, guest binary")
-    edges = dealt.groupBy("leaf", "chunk").applyInPandas(link, "a long, b long")
+    dealt = classes.select("fp").mapInArrow(deal, "leaf int, chunk int, piece int, home binary, guest binary")
+    edges = dealt.groupBy("leaf", "chunk", "piece").applyInPandas(link, "a long, b long")
     linked = connected_components(edges, "a", "b")
     known = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "rep", F.coalesce("component", "fp").alias("component")
     )
     first = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = known.join(first, "component").select("fp", "component_id")
-    return fps.join(of, "fp").select("id", "fp", "component_id")
+    of = known.join(first, "component").select("fp", "component", "component_id")
+    return fps.join(of, "fp").select("id", "digest", "fp", "component", "component_id")
+
+
+def components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words_per_shingle: int = 4,
+    max_bits: int = 4,
+    shard_rows: int = 4096,
+    sample_rows: int = 8192,
+    guest_rows: int = MOST_GUESTS,
+) -> DataFrame:
+    """(id, fp, component_id) for every row of ``docs``.
+
+    Texts whose fingerprints differ in at most ``max_bits`` bits are linked;
+    component_id is the smallest id reachable. Null and word-less texts have
+    fingerprint zero and link like any other. A null id never becomes a
+    component's id unless the component has no other; repeated rows are kept.
+    An empty table gives an empty result; columns other than the two named are
+    not read. The sample shapes the tree and bears on speed alone; it has
+    ``sample_rows`` rows, or 16 a shard where that is more, up to 2^20.
+    """
+    return labelled(docs, id_col, text_col, words_per_shingle, max_bits, shard_rows, sample_rows, guest_rows).select("id", "fp", "component_id")
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -241,12 +308,37 @@ def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words_per_shingle: int = 4,
+    max_bits: int = 4,
+    shard_rows: int = 4096,
+    sample_rows: int = 8192,
+    guest_rows: int = MOST_GUESTS,
+) -> DataFrame:
     """``docs`` with one document of each component: the one that has the smallest id.
 
-    Of rows that repeat that id one stays; rows without an id all stay.
+    Rows are told apart by id and text: rows that share an id but not a
+    component stay, one of each component. Where several texts of a component
+    share its smallest id, the text of the smallest xxhash64 stays; of rows
+    that repeat both, the one whose columns have the smallest xxhash64. Rows
+    without an id all stay.
     """
-    comp = components(docs, id_col, text_col, **kw)
-    heads = comp.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(heads, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    comp = labelled(docs, id_col, text_col, words_per_shingle, max_bits, shard_rows, sample_rows, guest_rows)
+    heads = comp.where(F.col("id") == F.col("component_id")).groupBy("component", "id").agg(F.min("digest").alias("digest"))
+    digest, nth = unused(docs, "digest"), unused(docs, "nth")
+    heads = heads.select(F.col("id").alias(id_col), F.col("digest").alias(digest)).distinct()
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    kept = docs.withColumn(digest, F.xxhash64(text_col)).join(heads, [id_col, digest], "left_semi")
+    one = Window.partitionBy(id_col, digest).orderBy(F.xxhash64(*hashed))
+    kept = kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
