@@ -156,3 +156,36 @@ def test_blocks_cut_into_more_tiles_than_they_have_parts(spark):
     want = (u @ u.T >= 0.95).sum(1) - 1
     got = {r.id: r.n_links for r in A.near_duplicates(df, block_rows=50, sample_rows=4).collect()}
     assert [got[i] for i in range(240)] == want.tolist()
+
+
+def test_descent_equals_every_leaf_pair_checked():
+    """The level-wise descent keeps each leaf pair whose own bound reaches the group's worst score, and no empty leaf."""
+    rng = np.random.default_rng(7)
+    for leaves in (1, 2, 9, 40):
+        x = rng.normal(size=(500, 3)) * rng.choice([1, 20], 500)[:, None]
+        tree = C.CoverTree(x, leaves)
+        size = len(tree.parent)
+        q_radius, p_radius = rng.uniform(0, 3, size), rng.uniform(0, 3, size)
+        p_radius[rng.random(size) < 0.2] = -1
+        worst = rng.normal(size=size) * 200
+        got = C.open_pairs(tree, q_radius, p_radius, worst)
+        assert len(got) == len(set(got))
+        c, norm = tree.centres, np.linalg.norm(tree.centres, axis=1)
+        for i in range(size):
+            for j in range(size):
+                top = c[i] @ c[j] + q_radius[i] * norm[j] + p_radius[j] * norm[i] + q_radius[i] * p_radius[j]
+                if p_radius[j] >= 0 and top >= worst[i]:
+                    assert (i, j) in got
+                if p_radius[j] < 0 or top < worst[i] - 1:
+                    assert (i, j) not in got
+
+
+def test_leaves_grow_with_the_rows(spark, monkeypatch):
+    made = []
+    tree = C.CoverTree
+    monkeypatch.setattr(C, "CoverTree", lambda sample, leaves: made.append(leaves) or tree(sample, leaves))
+    monkeypatch.setattr(C, "LEAST_LEAVES", 2)
+    rows = clusters(400, 6, 11)
+    df = spark.createDataFrame([(*r, "a", "b") for r in rows], SCHEMA).repartition(3)
+    assert set(map(tuple, C.top_k(df, chunk_rows=10, group_rows=1).collect())) == brute_top(rows, 50, 5)
+    assert made == [40]

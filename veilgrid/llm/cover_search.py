@@ -9,11 +9,14 @@ centres q, p. A first round scores each query group against its most promising
 leaf, which gives the group's worst kth score; the dual-tree descent then
 prunes every node pair whose bound stays below it. A second round scores what
 is left. Rows lie in bounded chunks of a leaf; queries travel to the chunks.
+
+The tree grows with the table: a leaf for each ``chunk_rows`` rows, at least 32
+and at most ``MOST_LEAVES``, since the pairs of leaves are walked on the driver and
+broadcast as rows of four numbers (2^20 at most). Beyond that a leaf has more chunks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 
 from veilgrid.llm.common import read, staged
 
+LEAST_LEAVES = 32
+MOST_LEAVES = 1024
+
 
 class CoverTree:
     """Nested centres: node i joins at the level of its insertion distance, below its nearest earlier centre."""
@@ -48,8 +54,9 @@ class CoverTree:
 
     def leaf(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(nearest centre, distance to it) per row."""
-        sq = (rows * rows).sum(1)[:, None] - 2 * rows @ self.centres.T + (self.centres * self.centres).sum(1)[None, :]
-        at = sq.argmin(1)
+        half = (self.centres * self.centres).sum(1) / 2
+        at = [(half - rows[k : k + 2048] @ self.centres.T).argmin(1) for k in range(0, len(rows), 2048)]
+        at = np.concatenate([np.zeros(0, np.int64), *at])
         return at, np.linalg.norm(rows - self.centres[at], axis=1)
 
     def reach(self, radius: np.ndarray) -> np.ndarray:
@@ -65,40 +72,75 @@ class CoverTree:
         return [j for j in range(1, len(self.parent)) if self.parent[j] == i]
 
 
-def bound(q: np.ndarray, p: np.ndarray, rq: float, rp: float) -> float:
-    """The largest inner product of points within rq of q and rp of p, rounded up."""
-    top = float(q @ p) + rq * float(np.linalg.norm(p)) + rp * float(np.linalg.norm(q)) + rq * rp
-    return top + 1e-9 * (abs(top) + 1) + 1e-6
-
-
 def open_pairs(tree: CoverTree, q_radius: np.ndarray, p_radius: np.ndarray, worst: np.ndarray) -> list[tuple[int, int]]:
-    """Leaf pairs (query leaf, data leaf) that the dual descent cannot prune; a radius below 0 marks an empty leaf."""
+    """Leaf pairs (query leaf, data leaf) that the dual descent cannot prune; a radius below 0 marks an empty leaf.
+
+    Node pairs descend together, a level of pairs at a time. A node stands for
+    itself and all below it (whole) or for its own rows alone.
+    """
+    parent = np.array(tree.parent[1:], dtype=np.int64)
+    kids = np.argsort(parent, kind="stable") + 1
+    count = np.bincount(parent, minlength=len(tree.parent))
+    start = np.cumsum(count) - count
     q_all, p_all = tree.reach(q_radius), tree.reach(p_radius)
-    kids = [tree.children(i) for i in range(len(tree.parent))]
     low = worst.copy()
     for i in range(len(low) - 1, 0, -1):
         low[tree.parent[i]] = min(low[tree.parent[i]], low[i])
-    out = []
+    product, norm = tree.centres @ tree.centres.T, np.linalg.norm(tree.centres, axis=1)
 
-    def descend(q: int, q_tree: bool, p: int, p_tree: bool) -> None:
-        rq, rp = (q_all if q_tree else q_radius)[q], (p_all if p_tree else p_radius)[p]
-        if rq < 0 or rp < 0 or bound(tree.centres[q], tree.centres[p], rq, rp) < (low if q_tree else worst)[q]:
-            return
-        if q_tree and kids[q] and (not p_tree or not kids[p] or rq >= rp):
-            descend(q, False, p, p_tree)
-            for c in kids[q]:
-                descend(c, True, p, p_tree)
-        elif p_tree and kids[p]:
-            descend(q, q_tree, p, False)
-            for c in kids[p]:
-                descend(q, q_tree, c, True)
-        else:
-            out.append((q, p))
-
-    descend(0, True, 0, True)
+    def below(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in x, child) for every child of every node of x."""
+        place = np.repeat(np.arange(len(x)), count[x])
+        first = np.cumsum(count[x]) - count[x]
+        return place, kids[start[x][place] + np.arange(len(place)) - first[place]]
+
+    out = []
+    q, p = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    q_whole, p_whole = np.ones(1, bool), np.ones(1, bool)
+    while len(q):
+        rq, rp = np.where(q_whole, q_all[q], q_radius[q]), np.where(p_whole, p_all[p], p_radius[p])
+        # The largest inner product of points within the radii of their centres, rounded up.
+        top = product[q, p] + rq * norm[p] + rp * norm[q] + rq * rp
+        top += 1e-9 * (np.abs(top) + 1) + 1e-6
+        keep = (rq >= 0) & (rp >= 0) & (top >= np.where(q_whole, low[q], worst[q]))
+        q, p, q_whole, p_whole, rq, rp = (x[keep] for x in (q, p, q_whole, p_whole, rq, rp))
+        p_open = p_whole & (count[p] > 0)
+        by_q = q_whole & (count[q] > 0) & (~p_open | (rq >= rp))
+        by_p = ~by_q & p_open
+        settled = ~by_q & ~by_p
+        out += zip(q[settled].tolist(), p[settled].tolist(), strict=True)
+        at_q, q_kids = below(q[by_q])
+        at_p, p_kids = below(p[by_p])
+        no, yes = (lambda x: np.zeros(len(x), bool)), (lambda x: np.ones(len(x), bool))
+        q, p, q_whole, p_whole = (
+            np.concatenate([q[by_q], q_kids, q[by_p], q[by_p][at_p]]),
+            np.concatenate([p[by_q], p[by_q][at_q], p[by_p], p_kids]),
+            np.concatenate([no(q[by_q]), yes(q_kids), q_whole[by_p], q_whole[by_p][at_p]]),
+            np.concatenate([p_whole[by_q], p_whole[by_q][at_q], no(p[by_p]), yes(p_kids)]),
+        )
     return out
 
 
+def seed_pairs(tree: CoverTree, q_radius: np.ndarray, p_count: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """For every query leaf the data leaf of largest centre product that alone can give k results, or the nearest to that."""
+    enough = p_count > k if (p_count > k).any() else p_count > 0
+    asked = np.nonzero(q_radius >= 0)[0]
+    product = np.where(enough, tree.centres[asked] @ tree.centres.T, -np.inf)
+    return list(zip(asked.tolist(), product.argmax(1).tolist(), strict=True))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Several batches as one, so that a leaf gets few and long parts."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: highest score, then smallest id."""
     return np.lexsort((ids, -scores))[:k]
@@ -132,7 +174,7 @@ def top_k(
     every: int = 50,
     k: int = 5,
     scale: int = 256,
-    leaves: int = 32,
+    leaves: int | None = None,
     sample_rows: int = 4096,
     chunk_rows: int = 8192,
     group_rows: int = 16_384,
@@ -145,7 +187,9 @@ def top_k(
     with zeros. A row with a null id is a candidate with id null that loses
     ties, never a query. Rows that repeat an id are rows of their own: each is
     a candidate for the other, and each is a query. An empty table gives an
-    empty result; other columns are not read. The sample only shapes the tree.
+    empty result; other columns are not read. ``leaves`` follows from the number
+    of rows unless given. The sample only shapes the tree; it has ``sample_rows``
+    rows, or 16 a leaf where that is more.
     """
     spark = vectors.sparkSession
     vec = F.col(vec_col).cast("array<double>")
@@ -168,12 +212,13 @@ def top_k(
             out[i, : len(v)] = v
         return out
 
-    picked = rows.select("vec").orderBy(F.xxhash64("row")).limit(sample_rows).collect()
+    leaves = leaves or min(MOST_LEAVES, max(LEAST_LEAVES, n // chunk_rows))
+    picked = rows.select("vec").orderBy(F.xxhash64("row")).limit(max(sample_rows, 16 * leaves)).collect()
     tree = CoverTree(padded([r.vec for r in picked]), leaves)
     no_id = np.iinfo(np.int64).max
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             row = b.column("row").to_numpy()
             ids = b.column("id").fill_null(no_id).to_numpy()
             vecs = padded([x.values.to_numpy(zero_copy_only=False) for x in b.column("vec")])
@@ -194,31 +239,31 @@ def top_k(
     packed = staged(packed.withColumn("part", F.monotonically_increasing_id()), "search-leaves")
     stats = packed.groupBy("leaf", "asks").agg(F.max("far").alias("far"), F.sum("n").alias("n")).collect()
     size = len(tree.parent)
-    p_radius, q_radius, p_count, q_count = np.full(size, -1.0), np.full(size, -1.0), [0] * size, [0] * size
+    p_radius, q_radius, p_count, q_count = np.full(size, -1.0), np.full(size, -1.0), np.zeros(size, np.int64), np.zeros(size, np.int64)
     for r in stats:
         (q_radius if r.asks else p_radius)[r.leaf] = r.far
         (q_count if r.asks else p_count)[r.leaf] = r.n
     # Chunks and query groups are dealt by the packed part, so that a leaf that holds most rows spreads over many tasks.
-    chunks = [max(1, math.ceil(x / chunk_rows)) for x in p_count]
-    groups = max(1, math.ceil(sum(q_count) / group_rows))
+    chunks = np.maximum(1, -(-p_count // chunk_rows))
     spread = F.pmod(F.xxhash64("part"), F.lit(1 << 30)).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
 
     def schedule(pairs: list[tuple[int, int]]) -> DataFrame:
-        """Rows (leaf, chunk, group, side, ...) of the data chunks and the queries that go to them; pairs are at most leaves squared."""
-        to: dict[int, list[int]] = {}
-        for q, p in pairs:
-            to.setdefault(q, []).append(p)
-        open_data = sorted({p for _, p in pairs})
-        counts = F.element_at(F.array(*[F.lit(c) for c in chunks]), F.col("leaf") + 1)
-        data = packed.where(~F.col("asks") & F.col("leaf").isin(open_data)).select(
-            "leaf", (spread % counts).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(False).alias("asks"), "rows", "ids", "vecs"
-        )
-        targets = F.create_map(*[x for q, ps in to.items() for x in (F.lit(q), F.array(*[F.lit(p) for p in ps]))])
-        asks = packed.where(F.col("asks") & F.col("leaf").isin(list(to))).withColumn("to", F.explode(F.element_at(targets, F.col("leaf"))))
-        counts = F.element_at(F.array(*[F.lit(c) for c in chunks]), F.col("to") + 1)
-        asks = asks.select(
-            F.col("to").alias("leaf"), F.explode(F.sequence(F.lit(0), counts - 1)).alias("chunk"), (spread % F.lit(groups)).alias("grp"), F.lit(True).alias("asks"), "rows", "ids", "vecs"
-        )
+        """Rows (leaf, chunk, grp, asks, ...) of the data chunks and the queries that go to them.
+
+        A data leaf has as many query groups as the queries of its open pairs
+        fill. Both broadcast tables are bounded by the tree: a row a pair of
+        leaves and a row a leaf.
+        """
+        q, p = (np.array(x) for x in zip(*pairs, strict=True))
+        asked = np.bincount(p, weights=q_count[q], minlength=size).astype(np.int64)
+        groups = np.maximum(1, -(-asked // group_rows))
+        to = spark.createDataFrame([(int(a), int(c), int(chunks[c]), int(groups[c])) for a, c in pairs], "leaf int, to int, chunks int, groups int")
+        open_data = spark.createDataFrame([(int(c), int(chunks[c]), int(groups[c])) for c in np.unique(p)], "leaf int, chunks int, groups int")
+        data = packed.where(~F.col("asks")).join(F.broadcast(open_data), "leaf")
+        data = data.select("leaf", (spread % F.col("chunks")).alias("chunk"), upto("groups").alias("grp"), F.lit(False).alias("asks"), "rows", "ids", "vecs")
+        asks = packed.where(F.col("asks")).join(F.broadcast(to), "leaf")
+        asks = asks.select(F.col("to").alias("leaf"), upto("chunks").alias("chunk"), (spread % F.col("groups")).alias("grp"), F.lit(True).alias("asks"), "rows", "ids", "vecs")
         return data.union(asks)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -234,10 +279,7 @@ def top_k(
         out = schedule(pairs).groupBy("leaf", "chunk", "grp").applyInPandas(search, "row long, query_id long, ids array<long>, scores array<long>")
         return staged(out, name)
 
-    seeds = []
-    for q in np.nonzero(q_radius >= 0)[0]:
-        enough = [p for p in range(size) if p_count[p] > k] or [p for p in range(size) if p_count[p]]
-        seeds.append((int(q), max(enough, key=lambda p: float(tree.centres[q] @ tree.centres[p]))))
+    seeds = seed_pairs(tree, q_radius, p_count, k)
     first = scored(seeds, "search-seeds")
 
     def ranked(found: DataFrame) -> DataFrame:
@@ -258,7 +300,8 @@ def top_k(
     worst = np.full(size, np.inf)
     for r in of.join(kth, "row", "left").groupBy("leaf").agg(F.min("score").alias("low"), F.count("score").alias("have"), F.count(F.lit(1)).alias("all")).collect():
         worst[r.leaf] = float(r.low) if r.have == r["all"] else -np.inf
-    rest = [x for x in open_pairs(tree, q_radius, p_radius, worst) if x not in set(seeds)]
+    scored_already = set(seeds)
+    rest = [x for x in open_pairs(tree, q_radius, p_radius, worst) if x not in scored_already]
     found = first.union(scored(rest, "search-rest")) if rest else first
     out = ranked(found)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("id") != no_id, F.col("id")).alias("vec_id"), "score")
