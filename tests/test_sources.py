@@ -130,6 +130,26 @@ def test_report_sink_writes_every_section(spark, tmp_dir):
     assert "| DENIED | 1 | 33% |" in text
     assert spark.read.parquet(f"{tmp_dir}/report/verdict").first().exit_code == 1
     assert os.path.exists(f"{tmp_dir}/report/report.md")
+    assert spark.read.text(f"{tmp_dir}/report/report.md", wholetext=True).first().value == text
+    write_report(report_tables(classify_outcomes(log.limit(2))), f"file://{tmp_dir}/report")
+    assert "| ec2 |" not in spark.read.text(f"{tmp_dir}/report/report.md", wholetext=True).first().value
+
+
+def test_report_of_several_runs(spark, tmp_dir):
+    from veilgrid.operators.report import classify_outcomes, render_markdown, report_tables, report_text, service_matrix, summary, write_report
+
+    rows = [("r1", "s3", "ListBuckets", None), ("r1", "s3", "GetObject", "AccessDenied"), ("r1", None, "GetObject", None), ("r2", "s3", "ListBuckets", None), ("r2", "a", "GetKeys", None)]
+    log = spark.createDataFrame([(*r, None, None) for r in rows], "run_id string, service string, permission string, error_code string, error_message string, response map<string, array<string>>")
+    o = classify_outcomes(log)
+    tables = report_tables(o, by=["run_id"])
+    assert {r.run_id: r.exit_code for r in tables["verdict"].collect()} == {"r1": 1, "r2": 0}
+    assert {(r.run_id, r.n) for r in tables["summary"].where("status = 'Total'").collect()} == {("r1", 3), ("r2", 2)}
+    assert write_report(tables, f"{tmp_dir}/runs") is None
+    for run in ("r1", "r2"):
+        mine = o.where(f"run_id = '{run}'")
+        want = render_markdown(summary(mine).collect(), service_matrix(mine).collect())
+        assert spark.read.text(f"{tmp_dir}/runs/report.md/run_id={run}", wholetext=True).first().value == want
+    assert report_text(summary(o.limit(0), ["run_id"]), service_matrix(o.limit(0), ["run_id"]), ["run_id"]).count() == 0
 
 
 def test_load_permissions_yaml(spark, tmp_dir):

@@ -2,20 +2,21 @@
 
 Input: a call-log DataFrame ``(service, permission, error_code, error_message,
 response map<string, array<string>>)``, one row per permission check. Every
-section is a DataFrame; writing text is a last, driver-side formatting step
-over small aggregates (``render_markdown``). A scalar field of a response is a
+section is a DataFrame, the text of the report included (``report_text``), and
+is written by Spark. A log of several runs has a column that tells them apart;
+named in ``by``, it gives every run its own section. A scalar field of a response is a
 list of one; an object inside a list is its JSON text.
 """
 
 from __future__ import annotations
 
-import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veilgrid.functions.scalars import RESPONSE_METADATA_KEYS, identity_name, identity_type, is_readonly, snake_case
+from veilgrid.operators.audit import with_ordered_id
 
 # Fixed values that must equal the reference's for the same classification.
 # Error codes that mean the call was refused.
@@ -224,17 +225,17 @@ def status_counts(outcomes: DataFrame) -> Column:
     return [F.count_if(s == st).alias(st.lower()) for st in STATUSES]
 
 
-def summary(outcomes: DataFrame) -> DataFrame:
-    """A2 + A3: count and integer percent (``n*100 // total``, 0 when empty) per status, plus Total.
+def summary(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A2 + A3, R6: count and integer percent (``n*100 // total``, 0 when empty) per status, plus Total, for each run of ``by``.
 
-    One aggregate row (partial aggregation map-side, one scan), unpivoted with
+    One aggregate row a run (partial aggregation map-side, one scan), unpivoted with
     ``stack`` into the five status rows and the Total row.
     """
-    agg = outcomes.agg(*status_counts(outcomes), F.count(F.lit(1)).alias("total"))
+    agg = outcomes.groupBy(*by).agg(*status_counts(outcomes), F.count(F.lit(1)).alias("total"))
     pairs = [f"'{st}', {st.lower()}" for st in STATUSES] + ["'Total', total"]
-    per = agg.select("total", F.expr(f"stack({len(pairs)}, {', '.join(pairs)}) AS (status, n)"))
+    per = agg.select(*by, "total", F.expr(f"stack({len(pairs)}, {', '.join(pairs)}) AS (status, n)"))
     pct = F.when(F.col("status") == "Total", F.lit(100)).when(F.col("total") == 0, F.lit(0)).otherwise(F.expr("n * 100 div total"))
-    return per.select("status", F.col("n").cast("long").alias("n"), pct.cast("long").alias("percent"))
+    return per.select(*by, "status", F.col("n").cast("long").alias("n"), pct.cast("long").alias("percent"))
 
 
 def service_verdict(total: Column, passed: Column, denied: Column, not_tested: Column, skipped: Column, error: Column) -> Column:
@@ -248,19 +249,20 @@ def service_verdict(total: Column, passed: Column, denied: Column, not_tested: C
     )
 
 
-def service_matrix(outcomes: DataFrame) -> DataFrame:
-    """A4 + A5 + O4: per service totals by status and a verdict, sorted by service."""
-    agg = outcomes.groupBy("service").agg(F.count(F.lit(1)).alias("total"), *status_counts(outcomes))
+def service_matrix(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A4 + A5 + O4: per (run and) service totals by status and a verdict, sorted by service."""
+    agg = outcomes.groupBy(*by, "service").agg(F.count(F.lit(1)).alias("total"), *status_counts(outcomes))
     c = F.col
     return agg.withColumn(
         "verdict", service_verdict(c("total"), c("passed"), c("denied"), c("not_tested"), c("skipped"), c("error"))
-    ).orderBy(F.col("service").asc_nulls_last())
+    ).orderBy(*by, F.col("service").asc_nulls_last())
 
 
-def sections(outcomes: DataFrame) -> DataFrame:
+def sections(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The not-tested list and the error list with their whole messages, in one pass."""
     s = F.col("status")
     return outcomes.filter(s.isin("NOT_TESTED", "ERROR")).select(
+        *by,
         F.when(s == "NOT_TESTED", F.lit("not_tested")).otherwise(F.lit("error")).alias("section"),
         "service",
         "permission",
@@ -268,26 +270,52 @@ def sections(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def run_verdict(outcomes: DataFrame) -> DataFrame:
-    """Exit code 1 when any check was DENIED (errors and not-tested do not fail the run)."""
-    return outcomes.agg(F.count_if(F.col("status") == "DENIED").alias("denied")).select(
-        "denied", F.when(F.col("denied") > 0, F.lit(1)).otherwise(F.lit(0)).alias("exit_code")
+def run_verdict(outcomes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Exit code 1 for each run in which any check was DENIED (errors and not-tested do not fail it)."""
+    return outcomes.groupBy(*by).agg(F.count_if(F.col("status") == "DENIED").alias("denied")).select(
+        *by, "denied", F.when(F.col("denied") > 0, F.lit(1)).otherwise(F.lit(0)).alias("exit_code")
     )
 
 
 def permission_inventory(log: DataFrame) -> DataFrame:
     """D12 + A7: one row per distinct (service, permission) with its place in the service's sorted list and the list's length.
 
-    Rows, not one array per service: nothing bounds a service's permissions.
+    Rows, not one array per service, and no window over one: nothing bounds a
+    service's permissions. Places in the order of all pairs come from ranges of
+    it, and a service's own start at its first.
     """
     pairs = log.select("service", "permission").distinct()
-    sizes = pairs.groupBy("service").agg(F.count(F.lit(1)).cast("int").alias("n_permissions"))
-    place = F.row_number().over(Window.partitionBy("service").orderBy("permission"))
-    return pairs.withColumn("position", place).join(sizes, "service")
+    ranked = with_ordered_id(pairs, ["service", "permission"], id_col="rank")
+    sizes = ranked.groupBy(F.col("service").alias("of")).agg(F.min("rank").alias("first"), F.count(F.lit(1)).cast("int").alias("n_permissions"))
+    position = (F.col("rank") - F.col("first") + 1).cast("int").alias("position")
+    return ranked.join(sizes, F.col("service").eqNullSafe(F.col("of"))).select("service", "permission", position, "n_permissions")
+
+
+def report_text(summaries: DataFrame, matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., value): the Markdown text of each run from its summary and its service matrix.
+
+    A text holds a line a status and a line a service of one run.
+    """
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    order = F.array_position(F.array(*[F.lit(x) for x in (*STATUSES, "Total")]), F.col("status"))
+    status_line = F.format_string("| %s | %s | %s%% |", "status", "n", "percent")
+    columns = ("service", "total", "passed", "denied", "not_tested", "skipped", "error", "verdict")
+    service_line = F.concat(F.lit("| "), F.concat_ws(" | ", *[shown(c) for c in columns]), F.lit(" |"))
+    # A service without a name comes last.
+    key = F.struct(order.cast("int").alias("place"), F.lit("").alias("name"), status_line.alias("line"))
+    service_key = F.struct(F.when(F.col("service").isNull(), len(STATUSES) + 3).otherwise(len(STATUSES) + 2).alias("place"), F.coalesce("service", F.lit("")).alias("name"), service_line.alias("line"))
+    lines = summaries.select(*by, key.alias("x")).union(matrix.select(*by, service_key.alias("x")))
+    text = lines.groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    part = lambda test: F.transform(F.filter("xs", test), lambda x: x["line"])
+    head = lambda xs: F.array(*[F.lit(x) for x in xs])
+    whole = F.concat(
+        head(HEAD_SUMMARY), part(lambda x: x["place"] <= len(STATUSES) + 1), head(("", *HEAD_MATRIX)), part(lambda x: x["place"] > len(STATUSES) + 1)
+    )
+    return text.select(*by, F.array_join(whole, "\n").alias("value"))
 
 
 def render_markdown(summary_rows, matrix_rows) -> str:
-    """Driver-side text of two small, already aggregated sections."""
+    """The text of ``report_text`` for one run, from the rows of the two small, already aggregated sections."""
     out = list(HEAD_SUMMARY)
     out += [f"| {r['status']} | {r['n']} | {r['percent']}% |" for r in summary_rows]
     out += ["", *HEAD_MATRIX]
@@ -326,48 +354,58 @@ def identity_section(identity: DataFrame) -> DataFrame:
     )
 
 
-def denied_section(outcomes: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+def denied_section(outcomes: DataFrame, lookup: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The denied checks with their audit-trail text; "N/A" when no look-up was run.
 
     ``lookup`` is the output of ``audit_lookup`` over the denied rows (keyed by
     ``event_id``, with ``ct_message``).
     """
     denied = outcomes.filter(F.col("status") == "DENIED")
-    base = denied.select("service", "permission", F.coalesce("result_error_code", F.lit(NOT_AVAILABLE)).alias("error_code"))
+    base = denied.select(*by, "service", "permission", F.coalesce("result_error_code", F.lit(NOT_AVAILABLE)).alias("error_code"))
     if lookup is None:
         return base.withColumn("audit_trail", F.lit(NOT_AVAILABLE))
     return lookup.select(
-        "service", "permission", F.coalesce("error_code", F.lit(NOT_AVAILABLE)).alias("error_code"),
+        *by, "service", "permission", F.coalesce("error_code", F.lit(NOT_AVAILABLE)).alias("error_code"),
         F.coalesce("ct_message", F.lit(NOT_AVAILABLE)).alias("audit_trail"),
     )
 
 
 def report_tables(
-    outcomes: DataFrame, denied_lookup: DataFrame | None = None, identity: DataFrame | None = None
+    outcomes: DataFrame, denied_lookup: DataFrame | None = None, identity: DataFrame | None = None, by: Sequence[str] = ()
 ) -> dict[str, DataFrame]:
-    """Every report section as a DataFrame (nothing is collected here)."""
+    """Every report section as a DataFrame (nothing is collected here).
+
+    ``by`` names the columns that tell runs apart (``run_id``): every section
+    then has them, and each run its own counts, percents, text and verdict.
+    """
     out = {
-        "summary": summary(outcomes),
-        "service_matrix": service_matrix(outcomes),
-        "denied": denied_section(outcomes, denied_lookup),
-        "sections": sections(outcomes),
-        "detail": detail_table(outcomes).select("service", "permission", "short_status", "detail_text"),
-        "verdict": run_verdict(outcomes),
+        "summary": summary(outcomes, by),
+        "service_matrix": service_matrix(outcomes, by),
+        "denied": denied_section(outcomes, denied_lookup, by),
+        "sections": sections(outcomes, by),
+        "detail": detail_table(outcomes).select(*by, "service", "permission", "short_status", "detail_text"),
+        "verdict": run_verdict(outcomes, by),
     }
     if identity is not None:
         out["identity"] = identity_section(identity)
     return out
 
 
-def write_report(tables: dict[str, DataFrame], path: str, markdown_name: str = "report.md") -> str:
-    """S18 sink: each section written as Parquet under ``path/<section>`` (distributed writes);
-    the Markdown text is rendered on the driver from the two small aggregated sections only."""
+def write_report(tables: dict[str, DataFrame], path: str, markdown_name: str = "report.md") -> str | None:
+    """S18 sink: each section as Parquet under ``path/<section>``, the Markdown as text files under ``path/<markdown_name>``.
+
+    Spark writes both, to whatever file system the path names. Of a log of one
+    run the text is also returned; with several runs each has its folder
+    ``<column>=<run>`` below ``markdown_name``, and None is returned.
+    """
+    base = path.rstrip("/")
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-    text = render_markdown(tables["summary"].collect(), tables["service_matrix"].collect())
-    if "://" not in path or path.startswith("file://"):
-        local = path.removeprefix("file://")
-        os.makedirs(local, exist_ok=True)
-        with open(os.path.join(local, markdown_name), "w", encoding="utf-8") as fh:
-            fh.write(text)
-    return text
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+    by = [c for c in tables["summary"].columns if c not in ("status", "n", "percent")]
+    text = report_text(tables["summary"], tables["service_matrix"], by)
+    writer = text.write.mode("overwrite")
+    if by:
+        writer.partitionBy(*by).text(f"{base}/{markdown_name}")
+        return None
+    writer.text(f"{base}/{markdown_name}")
+    return text.first().value + "\n"

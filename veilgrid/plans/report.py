@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from veilgrid.functions.joins import values_frame
 from veilgrid.operators.lookup import audit_lookup, expand_patterns, lookup_default
 from veilgrid.operators.report import (
+    HEAD_MATRIX,
+    HEAD_SUMMARY,
     classify_outcomes,
     detail_table,
     permission_inventory,
+    report_text,
     run_verdict,
     sections,
     service_matrix,
@@ -127,6 +130,27 @@ def report_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_verdict(outcomes(spark, sf_dir)).select(F.col("denied").cast("long").alias("denied"), "exit_code")
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes with a run_id; a run is a day of the call log (ours)."""
+    return outcomes(spark, sf_dir).withColumn("run_id", F.date_format("ts", "yyyy-MM-dd"))
+
+
+def report_run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run's own counts and percents."""
+    return summary(_runs(spark, sf_dir), ["run_id"])
+
+
+def report_run_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run's own verdict."""
+    return run_verdict(_runs(spark, sf_dir), ["run_id"]).select("run_id", F.col("denied").cast("long").alias("denied"), "exit_code")
+
+
+def report_run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run's report as text."""
+    runs = _runs(spark, sf_dir)
+    return report_text(summary(runs, ["run_id"]), service_matrix(runs, ["run_id"]), ["run_id"]).select("run_id", F.col("value").alias("report"))
+
+
 def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
 
@@ -182,6 +206,9 @@ QUERIES = {
     "report_service_matrix": report_service_matrix,
     "report_sections": report_sections,
     "report_verdict": report_verdict,
+    "report_run_summaries": report_run_summaries,
+    "report_run_verdicts": report_run_verdicts,
+    "report_run_texts": report_run_texts,
     "report_denied_audit": report_denied_audit,
     "events_audit_lookup": events_audit_lookup,
     "report_pattern_matches": report_pattern_matches,
@@ -310,6 +337,39 @@ ORACLES = {
     + """
     SELECT CAST(count(*) FILTER (WHERE status = 'DENIED') AS BIGINT) AS denied,
            CASE WHEN count(*) FILTER (WHERE status = 'DENIED') > 0 THEN 1 ELSE 0 END AS exit_code FROM outc""",
+    "report_run_summaries": CALLS
+    + """
+    , rn AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, status FROM outc),
+    t AS (SELECT run_id, count(*) AS total FROM rn GROUP BY run_id),
+    s(status) AS (VALUES ('PASSED'), ('DENIED'), ('NOT_TESTED'), ('SKIPPED'), ('ERROR'))
+    SELECT t.run_id, s.status, CAST(count(rn.status) AS BIGINT) AS n, CAST(count(rn.status) * 100 // t.total AS BIGINT) AS percent
+    FROM t CROSS JOIN s LEFT JOIN rn ON rn.run_id = t.run_id AND rn.status = s.status GROUP BY t.run_id, s.status, t.total
+    UNION ALL SELECT run_id, 'Total', CAST(total AS BIGINT), CAST(100 AS BIGINT) FROM t""",
+    "report_run_verdicts": CALLS
+    + """
+    SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, CAST(count(*) FILTER (WHERE status = 'DENIED') AS BIGINT) AS denied,
+           CASE WHEN count(*) FILTER (WHERE status = 'DENIED') > 0 THEN 1 ELSE 0 END AS exit_code FROM outc GROUP BY 1""",
+    "report_run_texts": CALLS
+    + (
+        """
+    , rn AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, service, status FROM outc),
+    t AS (SELECT run_id, count(*) AS total FROM rn GROUP BY run_id),
+    s(place, status) AS (VALUES (1, 'PASSED'), (2, 'DENIED'), (3, 'NOT_TESTED'), (4, 'SKIPPED'), (5, 'ERROR')),
+    n AS (SELECT t.run_id, s.place, s.status, count(rn.status) AS n, t.total
+          FROM t CROSS JOIN s LEFT JOIN rn ON rn.run_id = t.run_id AND rn.status = s.status GROUP BY t.run_id, s.place, s.status, t.total),
+    top AS (SELECT run_id, string_agg('| ' || status || ' | ' || n || ' | ' || (n * 100 // total) || '%% |', chr(10) ORDER BY place)
+                   || chr(10) || '| Total | ' || max(total) || ' | 100%% |' AS body FROM n GROUP BY run_id),
+    g AS (SELECT run_id, service, count(*) AS total, count(*) FILTER (WHERE status = 'PASSED') AS passed,
+                 count(*) FILTER (WHERE status = 'DENIED') AS denied, count(*) FILTER (WHERE status = 'NOT_TESTED') AS not_tested,
+                 count(*) FILTER (WHERE status = 'SKIPPED') AS skipped, count(*) FILTER (WHERE status = 'ERROR') AS error
+          FROM rn GROUP BY run_id, service),
+    rest AS (SELECT run_id, string_agg('| ' || concat_ws(' | ', service, total, passed, denied, not_tested, skipped, error,
+                        CASE WHEN denied > 0 THEN 'ISSUES' WHEN error > 0 THEN 'ERRORS' WHEN not_tested > 0 THEN 'PARTIAL'
+                             WHEN passed = total - skipped THEN 'OK' ELSE 'PARTIAL' END) || ' |', chr(10) ORDER BY service) AS body
+             FROM g GROUP BY run_id)
+    SELECT run_id, '%s' || chr(10) || top.body || chr(10) || chr(10) || '%s' || chr(10) || rest.body AS report FROM top JOIN rest USING (run_id)"""
+        % ("\n".join(HEAD_SUMMARY), "\n".join(HEAD_MATRIX))
+    ),
     "report_denied_audit": CALLS
     + ", probes AS (SELECT event_id, ts, user_id, service, permission, error_code FROM outc WHERE status = 'DENIED')"
     + _PURCHASE_LOOKUP
