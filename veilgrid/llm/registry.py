@@ -22,6 +22,7 @@ QUERIES = {
     "op1_embedding_near_dedup": embed_pca.op1_embedding_near_dedup,
     "op2_language_id": langid_crf.op2_language_id,
     "op3_html_extraction": page_diff.op3_html_extraction,
+    "pages_differenced": page_diff.pages_differenced,
     "op4_simhash_near_dedup": simhash_vp.op4_simhash_near_dedup,
     "op5_exact_top_k": cover_search.op5_exact_top_k,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
