@@ -117,7 +117,7 @@ class EventConsumer:
 
     ``tables`` maps ``db.table`` to the rows to export when it changes: all of
     them each time, or with ``only_new`` those that no earlier epoch exported
-    (see ``export_new``), in a folder of the epoch. An An
+    (see ``export_new``), in a folder of the epoch. An
     event is processed once if its copies arrive within ``dedupe_delay`` of
     each other. The delay runs on arrival, not on the event's own time, so an
     event that comes days late is processed like any other.
