@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_events import DEFAULTS, NAMED, RULE, _line
+from veilgrid.functions.joins import spread_join
 from veilgrid.operators.audit import append_audit, audit_json, audit_rows, latest, with_ordered_id
 from veilgrid.operators.events import dedupe_events, match_rule_table, route_events, valid_events
 from veilgrid.sources.events import parsed_frame, read_events
@@ -126,6 +127,24 @@ def test_rule_table_equals_predicates(spark):
     assert pairs(got) == pairs(route_events(ev, rules)) and got.columns == [*ev.columns, "rule"]
 
 
+def test_a_join_spreads_a_key_that_most_rows_share(spark):
+    many = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).when(F.col("id") % 997 != 1, F.lit("common")).alias("k"))
+    few = spark.createDataFrame([("common", "a"), ("common", "b"), ("10", "c"), ("10", "c"), ("none", "d"), (None, "e")], "k string, rule string")
+    want = many.join(few, "k")
+    got = spread_join(many, few, ["k"], most=100)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    # Without AQE, which would put small partitions together: no task meets more than a small share of the common rows.
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("false", "-1", "64"), strict=True):
+            spark.conf.set(k, v)
+        at = lambda df: [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(at(want)) > 7000 and max(at(spread_join(many, few, ["k"], most=100))) < 1800
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_ordered_ids_are_gap_free_and_go_on(spark, tmp_dir):
     df = spark.range(0, 5000, 1, 7).select((F.pmod(F.xxhash64("id"), F.lit(1000))).alias("a"), F.col("id").alias("b"))
     got = [(r.audit_log_id, r.a, r.b) for r in with_ordered_id(df, ["a", "b"]).orderBy("audit_log_id").collect()]
